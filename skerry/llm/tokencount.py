@@ -41,12 +41,13 @@ class ChunkMap(NamedTuple):
     tail: str
 
 
-def chunk_map(chunk: str, count: Callable[[str], int]) -> ChunkMap:
+def cut_chunk(chunk: str) -> tuple[bool, str, str, str]:
+    """(closed, head, middle, tail): between the first and the last place where all states meet lies the middle."""
     first = _MEET.search(chunk)
     if first is None:
-        return ChunkMap(False, chunk, 0, "")
-    end = _last_meet(chunk, first.start())
-    return ChunkMap(True, chunk[: first.start()], count(chunk[first.start() : end]) if end > first.start() else 0, chunk[end:])
+        return False, chunk, "", ""
+    begin, end = first.start(), _last_meet(chunk, first.start())
+    return True, chunk[:begin], chunk[begin:end], chunk[end:]
 
 
 def _last_meet(chunk: str, least: int) -> int:
@@ -80,14 +81,19 @@ def swept(maps: list[ChunkMap], count: Callable[[str], int]) -> ChunkMap:
     return maps[0]
 
 
-def count_text(text: str, count: Callable[[str], int], chunk: int = CHUNK) -> int:
-    """Tokens of a text without special tokens; ``count`` counts a whole number of words."""
-    if len(text) <= chunk:
-        return count(text)
-    last = swept([chunk_map(text[i : i + chunk], count) for i in range(0, len(text), chunk)], count)
+def count_text(chunks: list[tuple[bool, str, str, str]], count: Callable[[str], int]) -> int:
+    """Tokens of a text from its cut chunks; ``count`` counts a whole number of words."""
+    maps = [ChunkMap(closed, head, count(middle) if middle else 0, tail) for closed, head, middle, tail in chunks]
+    last = swept(maps, count)
     return count(last.head) + last.count + (count(last.tail) if last.tail else 0)
 
 
+def pieces_of(chunks: list[tuple[bool, str, str, str]]) -> list[str]:
+    """The pieces that ``count_text`` will ask for if no chunk is open: middles, and tails with the next heads."""
+    ends = [("", chunks[0][1]), *((a[3], b[1]) for a, b in zip(chunks, chunks[1:], strict=False)), (chunks[-1][3], "")]
+    return [p for p in (*(c[2] for c in chunks), *(tail + head for tail, head in ends)) if p]
+
+
 def count_tokens(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None
 ) -> DataFrame:
@@ -98,22 +104,33 @@ def count_tokens(
         machine = pretokens.compiled(shared.value)
         memory = machine.counts
 
-        def count(piece: str) -> int:
-            words = machine.words(piece)
-            machine.learn([words], memory, machine.automaton.counts)
-            return sum(map(memory.__getitem__, words))
-
         for batch in rows:
             tokens: list[int] = []
             for some in pretokens.batches(batch.column(batch.num_columns - 1).to_pylist()):
-                pieces = [machine.parts(t) for t in some]
-                # the words of all short pieces are learnt side by side; what is long goes by chunks
-                short = [machine.words(p) for parts in pieces for s, p in parts if not s and len(p) <= CHUNK]
-                machine.learn(short, memory, machine.automaton.counts)
-                ready = iter([sum(map(memory.__getitem__, words)) for words in short])
-                del short
-                for parts in pieces:
-                    tokens.append(sum(1 if s else next(ready) if len(p) <= CHUNK else count_text(p, count) for s, p in parts))
+                texts = [machine.parts(t) for t in some]
+                chunked = {
+                    p: [cut_chunk(p[i : i + CHUNK]) for i in range(0, len(p), CHUNK)]
+                    for parts in texts
+                    for special, p in parts
+                    if not special and len(p) > CHUNK
+                }
+                # the new words of all pieces run through the tables side by side
+                pieces = [p for parts in texts for special, p in parts if not special and p not in chunked]
+                pieces += [p for chunks in chunked.values() for p in pieces_of(chunks)]
+                words = [machine.words(p) for p in pieces]
+                machine.learn(words, memory, machine.automaton.counts)
+                known = dict(zip(pieces, (sum(map(memory.__getitem__, w)) for w in words), strict=True))
+                del words
+
+                def count(piece: str, known: dict = known) -> int:
+                    if piece not in known:
+                        own = machine.words(piece)
+                        machine.learn([own], memory, machine.automaton.counts)
+                        known[piece] = sum(map(memory.__getitem__, own))
+                    return known[piece]
+
+                for parts in texts:
+                    tokens.append(sum(1 if special else count_text(chunked[p], count) if p in chunked else known[p] for special, p in parts))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(tokens, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"]
             )
