@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, tokencount
+from skerry.llm import bpe, chat, jaccard, pii, quality, sharding, tokencount
 
 TOKEN_LIMIT = 1024
+SHARDS = 24
+#: A key for tests; production jobs pass their own.
+PII_KEY = "key of the example queries"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,38 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op8_bpe_round_trip)}
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: counts at most one apart."""
+    dealt = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymize(docs, PII_KEY).select("doc_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_token_counts, op3_ngram_jaccard, op5_chat_format, op6_sharding, op8_bpe_round_trip, op9_quality_rules, op10_pii)
+}
+
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
