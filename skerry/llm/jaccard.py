@@ -8,9 +8,11 @@ of word shingles ("tokens" here).  All steps are exact:
    those that a sketch of the whole corpus counts as frequent last.  A document's
    first ``n - ceil(percent * n / 100) + 1`` tokens must hold one of any partner's,
    as a partner shares ``percent`` of all.  Documents of like size that share such
-   a token are put together, transitively: no link leaves a group.  As the tokens
-   are the rarest, documents that merely share a well-known passage stay apart.
-   The order only affects the time; the sketch has a fixed size.
+   a token are candidates.  Where up to PAIR_LIMIT share it, each pair is kept if
+   the parities of their tokens over a bitmap, which differ in no more bits than
+   the sets differ in tokens, allow a link.  Where more do, they are put together
+   as they are.  Candidates are joined transitively: no link leaves a group.  The
+   order only affects the time; the sketch has a fixed size.
 3. Within a group, a core set is chosen, the tokens that most members have.  A
    member is kept as its difference from the core.  As differences cancel,
    ``|A ^ B| = |Da ^ Db|`` for any core, so members near the core link to the one
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import shingles
@@ -46,6 +48,7 @@ from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
 
 GROUP_LIMIT = 4096
+PAIR_LIMIT = 32
 SKETCH_BITS = 20
 SKETCH_RUN = 1 << 21
 
@@ -73,9 +76,9 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
         size = 0
         for batch in rows:
-            for value in batch.column(0):
-                held.append(shingles.shingle_set(value.as_py(), width))
-                size += len(held[-1])
+            for tokens in shingles.shingle_sets(batch.column(0).to_pylist(), width):
+                held.append(tokens)
+                size += len(tokens)
                 if size > SKETCH_RUN:
                     note()
                     size = 0
@@ -102,31 +105,72 @@ def group_keys(tokens: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarr
     return np.concatenate(keys)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits a token: each bit is the parity of the tokens that fall on it."""
+    words = max(1, 1 << max(0, len(tokens).bit_length() - 5))
+    bits = np.bincount((shingles.mixed(tokens) & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the parities of documents i and j, of which either bitmap may have twice the other's length, allow a link."""
+
+    def folded(bits: Column, other: Column) -> Column:
+        half = F.size(other)
+        halves = F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > half, halves).otherwise(bits)
+
+    apart = F.zip_with(folded(F.col("bits_i"), F.col("bits_j")), folded(F.col("bits_j"), F.col("bits_i")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    least = F.aggregate(apart, F.lit(0), lambda n, x: n + x)
+    return (100 + percent) * least <= (100 - percent) * (F.col("n_i") + F.col("n_j"))
+
+
 def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """(doc, n, digest, keys) of each row; the digest of an empty set is null."""
+    """(doc, n, digest, keys, bits) of each row; the digest of an empty set is null."""
     # 4 MB, whatever the size of the corpus
     shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, width))
 
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)])
+        flat = np.concatenate(arrays).astype(np.int64) if arrays else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for batch in rows:
             for begin in range(0, batch.num_rows, 512):
                 some = batch.slice(begin, 512)
-                n, digests, keys, ends = [], [], [], [0]
-                for value in some.column(1):
-                    tokens = shingles.shingle_set(value.as_py(), width)
+                n, digests, keys, bits = [], [], [], []
+                for tokens in shingles.shingle_sets(some.column(1).to_pylist(), width):
                     n.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
                     keys.append(group_keys(tokens, percent, sketch) if len(tokens) else tokens)
-                    ends.append(ends[-1] + len(keys[-1]))
-                flat = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                    bits.append(parities(tokens))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc", "n", "digest", "keys"]
+                    [some.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(bits)],
+                    names=["doc", "n", "digest", "keys", "bits"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"doc {kind}, n long, digest binary, keys array<long>")
+    return docs.select(key, text).mapInArrow(run, f"doc {kind}, n long, digest binary, keys array<long>, bits array<long>")
+
+
+def _candidates(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold all links."""
+    own = profiles.select(F.col("doc").alias("rep"), "digest", "keys").join(reps, ["rep", "digest"], "left_semi")
+    keys = own.select(F.col("rep").alias("doc"), F.explode("keys").alias("found_by")).repartition("found_by")
+    buckets = keys.groupBy("found_by").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    shared = keys.join(buckets, "found_by")
+    stars = shared.where(F.col("size") > PAIR_LIMIT).select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a > b").distinct()
+    few = shared.where(F.col("size") <= PAIR_LIMIT).groupBy("found_by").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    later = F.transform(
+        F.col("docs"), lambda x, i: F.transform(F.slice(F.col("docs"), i + 2, F.size("docs")), lambda y: F.struct(y.alias("i"), x.alias("j")))
+    )
+    pairs = few.select(F.inline(F.flatten(later))).where("i > j").distinct()
+    sides = profiles.select("doc", "n", "bits").dropDuplicates(["doc"])
+    for side in "ij":
+        pairs = pairs.join(sides.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.where(_may_link(percent)).select(F.col("i").alias("a"), F.col("j").alias("b")).union(stars)
 
 
 class _Union:
@@ -228,14 +272,16 @@ def _links_in_groups(docs: DataFrame, members: DataFrame, key: str, text: str, w
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ids, sets = None, [], []
         for batch in rows:
-            found = []
-            for t, doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if t != task:
-                    found += solve(ids, sets)
-                    task, ids, sets = t, [], []
-                ids.append(doc)
-                sets.append(shingles.shingle_set(value.as_py(), width))
-            yield _pairs(found, kind)
+            for begin in range(0, batch.num_rows, 512):
+                some, found = batch.slice(begin, 512), []
+                texts = shingles.shingle_sets(some.column(2).to_pylist(), width)
+                for t, doc, tokens in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts, strict=True):
+                    if t != task:
+                        found += solve(ids, sets)
+                        task, ids, sets = t, [], []
+                    ids.append(doc)
+                    sets.append(tokens)
+                yield _pairs(found, kind)
         yield _pairs(solve(ids, sets), kind)
 
     spark_kind = docs.schema[key].dataType.simpleString()
@@ -262,15 +308,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     profiles = cut(_profiles(docs, key, text, width, percent))
     alike = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
-    keys = (
-        profiles.select(F.col("doc").alias("rep"), "digest", "keys")
-        .join(alike, ["rep", "digest"], "left_semi")
-        .select(F.col("rep").alias("doc"), F.explode("keys").alias("found_by"))
-        .repartition("found_by")
-    )
-    hubs = keys.groupBy("found_by").agg(F.min("doc").alias("hub"), F.max("doc").alias("_last")).where("_last > hub").drop("_last")
-    candidates = keys.join(hubs, "found_by").select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a > b").distinct()
-    groups = cut(connected_components(candidates).withColumnRenamed("node", "doc"))
+    groups = cut(connected_components(_candidates(profiles, alike, percent)).withColumnRenamed("node", "doc"))
     links = _links_in_groups(docs, groups, key, text, width, percent)
     labels = connected_components(links)
     reps = alike.join(labels, alike["rep"] == labels["node"], "left").select(

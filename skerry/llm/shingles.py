@@ -1,25 +1,31 @@
-"""Sets of word shingles as 64-bit hashes, for use inside Python workers."""
+"""Word shingles as 64-bit hashes, many texts at a time, for use inside Python workers."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 1 << 18
-
+_BASE = 0xD6E8FEB86659FD93
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_RUN = 1 << 21
 
-class _Hashes(dict):
-    """Hash of each word; emptied when full."""
+#: Which bytes end words: space, and tab to carriage return.
+BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All of ASCII but letters, digits and the underscore.
+MARKS = np.array([b < 128 and not (chr(b).isalnum() or b == 0x5F) for b in range(256)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_powers: dict[str, np.ndarray] = {}
 
 
-_HASHES = _Hashes()
+def _power(name: str, base: int, size: int) -> np.ndarray:
+    if len(_powers.get(name, ())) < size:
+        steps = np.full(max(size, _RUN + 1), base, np.uint64)
+        steps[0] = 1
+        _powers[name] = np.multiply.accumulate(steps)
+    return _powers[name][:size]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,29 +35,69 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each data[start:end], by differences of one running sum."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _power("up", _BASE, len(data)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _power("down", _BASE_INVERSE, len(data) + 1)[starts])
+
+
+def words_of(texts: list[bytes], breaks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, bytes of each word, where each text's words begin; one more at the end)."""
+    hashes, sizes, counts = [], [], []
+    for run in _runs(texts):
+        data = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
+        inside = np.concatenate([[False], ~breaks[data]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        if len(edges) % 2:
+            edges = np.append(edges, len(data))
+        starts, ends = edges[::2], edges[1::2]
+        hashes.append(_hashed(data, starts, ends))
+        sizes.append(ends - starts)
+        borders = np.cumsum([len(t) + 1 for t in run])
+        counts.append(np.diff(np.concatenate([[0], np.searchsorted(starts, borders)])))
+    begin = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int64)
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(hashes or none), np.concatenate(sizes or none).astype(np.int64), begin
+
+
+def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts of about _RUN bytes together, or one longer text."""
+    run: list[bytes] = []
+    held = 0
+    for text in texts:
+        if run and held + len(text) >= _RUN:
+            yield run
+            run, held = [], 0
+        run.append(text)
+        held += len(text) + 1
+    if run:
+        yield run
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of ``width`` words."""
-    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         out = mixed(out * _ODD + hashes[k : k + len(out)])
     return out
 
 
-def text_words(text: str | None) -> list[bytes]:
-    """Words between blanks (space, tab to carriage return), with A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingles of each text; a short text is one shingle, one without words none.
+
+    Words lie between blanks, with A-Z in lower case.
+    """
+    hashes, _, begin = words_of([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts])
+    runs = rolled(hashes, width)
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+        if b - a >= width:
+            yield np.unique(runs[a : b - width + 1])
+        elif b > a:
+            yield mixed(rolled(hashes[a:b], b - a) + np.uint64(b - a))
+        else:
+            yield np.zeros(0, np.uint64)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct shingles; a shorter text is one shingle, one without words none."""
-    words = text_words(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = word_hashes(words)
-    if len(words) < width:
-        return mixed(rolled(hashes, len(words)) + np.uint64(len(words)))
-    return np.unique(rolled(hashes, width))
+    return next(shingle_sets([text], width))
