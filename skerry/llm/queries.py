@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, chat, jaccard, pii, quality, sharding, tokencount
+from skerry.llm import bpe, chat, decontam, jaccard, pii, quality, sharding, spans, tokencount
 
 TOKEN_LIMIT = 1024
 SHARDS = 24
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -30,6 +34,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts hold control strings."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -57,7 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_ngram_jaccard, op5_chat_format, op6_sharding, op8_bpe_round_trip, op9_quality_rules, op10_pii)
+    for f in (op1_decontamination, op2_token_counts, op3_ngram_jaccard, op4_sentence_spans, op5_chat_format, op6_sharding, op8_bpe_round_trip, op9_quality_rules, op10_pii)
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op5_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
