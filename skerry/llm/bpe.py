@@ -51,14 +51,17 @@ def _mapped(docs: DataFrame, column: str, keep: tuple[str, ...], path: str | Non
     return source.mapInArrow(run, kept + outputs)
 
 
+def _id_lists(codes: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(c) // 4 for c in codes)])
+    flat = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """``keep`` and ``ids``, an array of integers."""
 
     def work(machine, column):
-        codes = [c for some in pretokens.batches(column.to_pylist()) for c in encode_texts(machine, some)]
-        sizes = np.cumsum([0, *(len(c) // 4 for c in codes)])
-        flat = np.frombuffer(b"".join(codes), "<u4").astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))]
+        return [_id_lists([c for some in pretokens.batches(column.to_pylist()) for c in encode_texts(machine, some)])]
 
     return _mapped(docs, text, keep, path, "ids array<int>", work)
 
@@ -73,17 +76,22 @@ def decode(coded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id"
     return _mapped(coded, ids, keep, path, "text string", work)
 
 
-def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
-    """``keep``, ``n_tokens``, and digests of the ids and of the text decoded from them."""
+def round_trip(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, with_ids: bool = False
+) -> DataFrame:
+    """``keep``, ``n_tokens``, and digests of the ids and of the text decoded from them; ``ids`` on demand."""
 
     def work(machine, column):
-        sizes, ids, texts = [], [], []
+        codes, digests, texts = [], [], []
         for some in pretokens.batches(column.to_pylist()):
             for code in encode_texts(machine, some):
-                sizes.append(len(code) // 4)
-                ids.append(hashlib.sha256(code).hexdigest())
+                codes.append(code if with_ids else len(code) // 4)
+                digests.append(hashlib.sha256(code).hexdigest())
                 back = machine.automaton.decode(code).decode(errors="replace")
                 texts.append(hashlib.sha256(back.encode()).hexdigest())
-        return [pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+        out = [pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+        sizes = [len(c) // 4 for c in codes] if with_ids else codes
+        return [pa.array(sizes, pa.int64()), *out, *([_id_lists(codes)] if with_ids else [])]
 
-    return _mapped(docs, text, keep, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    outputs = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _mapped(docs, text, keep, path, f"{outputs}, ids array<int>" if with_ids else outputs, work)

@@ -320,6 +320,6 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows whose key is the smallest of its component, with all their columns."""
-    kept = jaccard_components(docs, key, text, width, percent).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` without those whose component holds a smaller key; rows with equal or null keys stay."""
+    copies = jaccard_components(docs, key, text, width, percent).where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(copies, key, "left_anti")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, chat, decontam, jaccard, pii, quality, sharding, spans, tokencount
+from skerry.llm import bpe, chat, decontam, jaccard, pii, quality, sharding, spans, tokencount, warc
+from skerry.plans.shipping import ship
 
 TOKEN_LIMIT = 1024
 SHARDS = 24
@@ -14,6 +15,7 @@ PII_KEY = "key of the example queries"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,6 +28,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.through_archives(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -66,7 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_counts, op3_ngram_jaccard, op4_sentence_spans, op5_chat_format, op6_sharding, op8_bpe_round_trip, op9_quality_rules, op10_pii)
+    for f in (op1_decontamination, op2_token_counts, op3_ngram_jaccard, op4_sentence_spans, op5_chat_format, op6_sharding, op7_warc, op8_bpe_round_trip, op9_quality_rules, op10_pii)
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op5_chat_format": chat.SQL, "op9_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op5_chat_format": chat.SQL, "op7_warc": warc.SQL, "op9_quality_rules": quality.SQL}
