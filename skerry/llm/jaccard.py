@@ -46,11 +46,14 @@ from pyspark.sql import functions as F
 from skerry.llm import shingles
 from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
+from skerry.plans.sieve import likely, without
 
 GROUP_LIMIT = 4096
 PAIR_LIMIT = 32
 SKETCH_BITS = 20
-SKETCH_RUN = 1 << 21
+SKETCH_RUN = 1 << 20
+#: Rows whose texts are hashed together.
+SLICE = 128
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -76,12 +79,13 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
         size = 0
         for batch in rows:
-            for tokens in shingles.shingle_sets(batch.column(0).to_pylist(), width):
-                held.append(tokens)
-                size += len(tokens)
-                if size > SKETCH_RUN:
-                    note()
-                    size = 0
+            for begin in range(0, batch.num_rows, SLICE):
+                for tokens in shingles.shingle_sets(batch.column(0).slice(begin, SLICE).to_pylist(), width):
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size > SKETCH_RUN:
+                        note()
+                        size = 0
         note()
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["cell", "n"])
@@ -138,8 +142,8 @@ def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for batch in rows:
-            for begin in range(0, batch.num_rows, 512):
-                some = batch.slice(begin, 512)
+            for begin in range(0, batch.num_rows, SLICE):
+                some = batch.slice(begin, SLICE)
                 n, digests, keys, bits = [], [], [], []
                 for tokens in shingles.shingle_sets(some.column(1).to_pylist(), width):
                     n.append(len(tokens))
@@ -272,8 +276,8 @@ def _links_in_groups(docs: DataFrame, members: DataFrame, key: str, text: str, w
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ids, sets = None, [], []
         for batch in rows:
-            for begin in range(0, batch.num_rows, 512):
-                some, found = batch.slice(begin, 512), []
+            for begin in range(0, batch.num_rows, SLICE):
+                some, found = batch.slice(begin, SLICE), []
                 texts = shingles.shingle_sets(some.column(2).to_pylist(), width)
                 for t, doc, tokens in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), texts, strict=True):
                     if t != task:
@@ -286,7 +290,7 @@ def _links_in_groups(docs: DataFrame, members: DataFrame, key: str, text: str, w
 
     spark_kind = docs.schema[key].dataType.simpleString()
     kind = pa.int32() if spark_kind == "int" else pa.string() if spark_kind == "string" else pa.int64()
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")).join(tasks, "doc")
+    texts = likely(docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")), members, "doc").join(tasks, "doc")
     return (
         texts.repartition("task")
         .sortWithinPartitions("task")
@@ -322,4 +326,4 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without those whose component holds a smaller key; rows with equal or null keys stay."""
     copies = jaccard_components(docs, key, text, width, percent).where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(copies, key, "left_anti")
+    return without(docs, cut(copies), key)

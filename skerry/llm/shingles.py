@@ -10,7 +10,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_RUN = 1 << 21
+_RUN = 1 << 19
 
 #: Which bytes end words: space, and tab to carriage return.
 BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
