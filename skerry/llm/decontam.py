@@ -39,6 +39,9 @@ THRESHOLD = 0.8
 BLOCKS = 8
 RADIUS = 31
 ITEM_BLOCK = 2000
+BITMAP_BITS = 20
+SLICE = 256
+STRETCH = 4096
 
 class Shingled(NamedTuple):
     """Shingles of one width of a text, with the bytes of each."""
@@ -58,12 +61,30 @@ def weights_of(sizes: np.ndarray, width: int) -> np.ndarray:
     return sums[width:] - sums[:-width]
 
 
-def fingerprint(found: Shingled) -> np.ndarray:
-    """The SimHash as BLOCKS numbers of 16 bits."""
-    both = np.stack([shingles.mixed(found.hashes), shingles.mixed(~found.hashes)], axis=1)
-    bits = np.unpackbits(both.astype("<u8").view(np.uint8), axis=1).astype(np.int64)
-    votes = ((2 * bits - 1) * found.weights[:, None]).sum(axis=0)
-    return np.packbits(votes > 0).view(np.uint16)
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """128 bits of each shingle, as 0 and 1."""
+    both = np.stack([shingles.mixed(hashes), shingles.mixed(~hashes)], axis=1)
+    return np.unpackbits(both.astype("<u8").view(np.uint8), axis=1)
+
+
+def fingerprints(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The SimHash of each window hashes[first : first + count], as BLOCKS numbers of 16 bits.
+
+    Votes are differences of running sums, taken over stretches of the text.
+    """
+    out = np.zeros((len(first), BLOCKS), np.uint16)
+    order = np.argsort(first, kind="stable")
+    while len(order):
+        low = int(first[order[0]])
+        near = int(np.searchsorted(first[order], low + STRETCH))
+        now, order = order[:near], order[near:]
+        high = int((first[now] + count[now]).max())
+        signs = (2 * _bits(hashes[low:high]).astype(np.int64) - 1) * weights[low:high, None]
+        sums = np.concatenate([np.zeros((1, signs.shape[1]), np.int64), np.cumsum(signs, axis=0)])
+        for some in np.array_split(now, -(-len(now) // STRETCH)):
+            votes = sums[first[some] + count[some] - low] - sums[first[some] - low]
+            out[some] = np.packbits(votes > 0, axis=1).view(np.uint16)
+    return out
 
 
 def similarity(a: Shingled, b: Shingled) -> float:
@@ -87,12 +108,16 @@ class Index:
                 self.numbers.append(number)
                 self.sizes.append(len(words))
                 self.items.append(found)
-                prints.append(fingerprint(found))
+                prints.append(fingerprints(*found, np.array([0]), np.array([len(found.hashes)]))[0])
         self.prints = np.array(prints, np.uint16).reshape(-1, BLOCKS)
         self.widths = {}
         for size, item in zip(self.sizes, self.items, strict=True):
             self.widths.setdefault(min(WIDTH, size), []).append(item.hashes)
         self.widths = {width: np.unique(np.concatenate(known)) for width, known in self.widths.items()}
+        self.bitmaps = {}
+        for width, known in self.widths.items():
+            self.bitmaps[width] = np.zeros(1 << BITMAP_BITS, bool)
+            self.bitmaps[width][(known >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)] = True
         near = [sum(1 << b for b in some) for n in range(RADIUS // BLOCKS + 1) for some in combinations(range(16), n)]
         masks = np.array(near, np.uint16)
         self.filed = []
@@ -116,20 +141,35 @@ class Index:
         return np.stack([rows, items], axis=1)[apart <= RADIUS]
 
     def all_matches(self, texts: list[str | None]) -> Iterator[dict[int, tuple[float, int, int]]]:
-        """``matches`` of each text."""
-        coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-        hashes, sizes, begin = shingles.words_of(coded, shingles.MARKS)
-        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            yield self.matches(hashes[a:b], sizes[a:b])
+        """For each text, ``matches``; texts without a shingle of any item are told apart all at once."""
+        for begin in range(0, len(texts), SLICE):
+            coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[begin : begin + SLICE]]
+            hashes, sizes, borders = shingles.words_of(coded, shingles.MARKS)
+            starts = borders[:-1]
+            hit = np.zeros(len(coded), bool)
+            for width in self.widths:
+                found = np.flatnonzero(self._known(shingles.rolled(hashes, width), width))
+                owner = np.searchsorted(starts, found, "right") - 1
+                hit[owner[found + width <= borders[owner + 1]]] = True
+            for i, (a, b) in enumerate(zip(starts.tolist(), borders[1:].tolist(), strict=True)):
+                yield self.matches(hashes[a:b], sizes[a:b]) if hit[i] else {}
+
+    def _known(self, runs: np.ndarray, width: int) -> np.ndarray:
+        """Which runs are shingles of an item: a bitmap of the hashes' first bits, then the exact table."""
+        known, first = self.widths[width], self.bitmaps[width]
+        out = first[(runs >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        out[at] = known[np.minimum(np.searchsorted(known, runs[at]), len(known) - 1)] == runs[at]
+        return out
 
     def matches(self, hashes: np.ndarray, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """For each item that a window is similar to: the best similarity, the window's first word and its size."""
         out: dict[int, tuple[float, int, int]] = {}
-        for width, known in self.widths.items():
+        for width in self.widths:
             if len(words) < width:
                 continue
             runs = shingles.rolled(hashes, width)
-            hit = known[np.minimum(np.searchsorted(known, runs), len(known) - 1)] == runs
+            hit = self._known(runs, width)
             if not hit.any():
                 continue
             weights = weights_of(words, width)
@@ -144,16 +184,14 @@ class Index:
             first, size = np.concatenate(starts), np.concatenate(sizes)
             if not len(first):
                 continue
-            windows = [
-                Shingled(runs[p : p + s - width + 1], weights[p : p + s - width + 1]) for p, s in zip(first.tolist(), size.tolist(), strict=True)
-            ]
-            prints = np.array([fingerprint(w) for w in windows])
+            prints = fingerprints(runs, weights, first, np.minimum(size, len(words)) - width + 1)
             for row, item in self.near(prints).tolist():
                 if self.sizes[item] == size[row]:
-                    alike = similarity(windows[row], self.items[item])
+                    p, end = int(first[row]), int(first[row]) + min(int(size[row]), len(words)) - width + 1
+                    alike = similarity(Shingled(runs[p:end], weights[p:end]), self.items[item])
                     number = self.numbers[item]
                     if alike >= THRESHOLD and alike > out.get(number, (0.0,))[0]:
-                        out[number] = alike, int(first[row]), min(int(size[row]), len(words))
+                        out[number] = alike, p, min(int(size[row]), len(words))
         return out
 
 
