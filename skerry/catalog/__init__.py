@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a ``catalog`` of queries.
-MODULES = ("metric_queries", "matching_queries")
+MODULES = ("metric_queries", "matching_queries", "text_queries")
 
 
 def queries() -> dict:

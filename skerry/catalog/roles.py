@@ -103,7 +103,7 @@ def duck(sql: str) -> str:
 
     def plain(text: str) -> str:
         text = text.replace("{A}", "list_value").replace("datediff({DAY}", "datediff('day', DATE '2024-01-01', ").replace(", ts, DATE '2024-01-01')", ", ts)")
-        return _NAME.sub(lambda m: m[1], text)
+        return _NAME.sub(lambda m: m[1] if m[1] in ROLES or m[1] in TABLES else m[0], text)
 
     roles = needed(sql)
     head = ", ".join(f"{name} AS ({plain(ROLES[name])})" for name in roles)
