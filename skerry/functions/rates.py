@@ -18,7 +18,7 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> tuple[Column, Colum
     scale = 1 + zz / m
     centre = (p + zz / (2 * m)) / scale
     half = z * F.sqrt(p * (1 - p) / m + zz / (4 * m * m)) / scale
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
 
 
 def erfc(x: Column) -> Column:
@@ -35,4 +35,4 @@ def erfc(x: Column) -> Column:
 def mcnemar(only_a: Column, only_b: Column) -> tuple[Column, Column]:
     """Continuity-corrected statistic and p value; null without discordant pairs."""
     statistic = F.try_divide(F.pow(F.abs(only_a - only_b).cast("double") - 1, 2), (only_a + only_b).cast("double"))
-    return statistic, erfc(F.sqrt(F.greatest(F.lit(0.0), statistic) / 2))
+    return statistic, F.when(statistic.isNotNull(), erfc(F.sqrt(F.greatest(F.lit(0.0), statistic) / 2)))

@@ -7,6 +7,7 @@ partition of the data.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +107,11 @@ def bootstrap_scores(counts: DataFrame, replicates: int = 200, seed: int = 0, st
         cells = cells.withColumn("_s", F.when(size == 1, F.lit("singletons")).otherwise(F.concat(F.lit("s"), F.col(stratum).cast("string"))))
         cells = cells.groupBy("_s", "tp", "fp", "fn").agg(F.sum("n").alias("n"))
 
-    def resample(key: tuple, cells):
+    def resample(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, *map(ord, str(key[0]))])
         n = cells["n"].to_numpy()
         draws = rng.multinomial(n.sum(), n / n.sum(), replicates)
         totals = draws @ cells[["tp", "fp", "fn"]].to_numpy()
-        import pandas as pd
-
         return pd.DataFrame({"r": np.arange(replicates), "tp": totals[:, 0], "fp": totals[:, 1], "fn": totals[:, 2]})
 
     grouped = cells.withColumn("_g", F.col("_s") if stratum else F.lit("all")).groupBy("_g")

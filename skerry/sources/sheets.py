@@ -68,7 +68,7 @@ def whole_document_labels(sheet: DataFrame, leaves: DataFrame) -> DataFrame:
     """
     filled = sheet.where(F.trim(F.coalesce("concepts", F.lit(""))) != "")
     listed = filled.select(
-        "document_id", F.when(F.lower(F.trim("concepts")) == "none", F.array().cast("array<string>")).otherwise(F.transform(F.split("concepts", ";"), F.trim)).alias("names")
+        "document_id", F.when(F.lower(F.trim("concepts")) == "none", F.array().cast("array<string>")).otherwise(F.transform(F.split("concepts", ";"), lambda name: F.trim(name))).alias("names")
     ).withColumn("names", F.array_remove("names", ""))
     named = listed.select("document_id", F.explode("names").alias("concept"))
     refused = named.join(leaves, "concept", "left_anti").select("document_id").distinct()
