@@ -13,21 +13,21 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def _bucket(key: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
 
 
-def _buckets(keys: DataFrame, key: str) -> DataFrame:
+def _buckets(keys: DataFrame, key: tuple[str, ...]) -> DataFrame:
     # 2 ** 20 integers at most
     return F.broadcast(keys.select(_bucket(key).alias("_bucket")).distinct())
 
 
-def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def likely(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
     """The rows whose key may be among the keys."""
     return rows.withColumn("_bucket", _bucket(key)).join(_buckets(keys, key), "_bucket", "left_semi").drop("_bucket")
 
 
-def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key isn't among the keys; rows with a null key stay."""
+def without(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key isn't among the keys; rows with a null in the key stay."""
     clear = rows.withColumn("_bucket", _bucket(key)).join(_buckets(keys, key), "_bucket", "left_anti").drop("_bucket")
-    return clear.unionByName(likely(rows, keys, key).join(keys.select(key), key, "left_anti").select(*rows.columns))
+    return clear.unionByName(likely(rows, keys, *key).join(keys.select(*key), list(key), "left_anti").select(*rows.columns))
