@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skerry.llm import bpe, decontam, jaccard, pii, quality
 from skerry.llm.queries import PII_KEY, table
@@ -36,8 +37,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms of the same format."""
-    return pii.pseudonymize(docs, PII_KEY)
+    """Personal data replaced by pseudonyms of the same format; an address may change its length."""
+    new = pii.pseudonymize(docs, PII_KEY)
+    return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,15 +4,12 @@ Two documents link when ``100 * intersection >= percent * union`` of their sets
 of word shingles ("tokens" here).  All steps are exact:
 
 1. Documents with equal sets are one: the smallest id stands for all.
-2. Partitioning into groups of similar documents.  All tokens get one fixed order,
-   those that a sketch of the whole corpus counts as frequent last.  A document's
-   first ``n - ceil(percent * n / 100) + 1`` tokens must hold one of any partner's,
-   as a partner shares ``percent`` of all.  Documents of like size that share such
-   a token are candidates.  Where up to PAIR_LIMIT share it, each pair is kept if
-   the parities of their tokens over a bitmap, which differ in no more bits than
-   the sets differ in tokens, allow a link.  Where more do, they are put together
-   as they are.  Candidates are joined transitively: no link leaves a group.  The
-   order only affects the time; the sketch has a fixed size.
+2. Partitioning into groups of similar documents.  Each set gives keys such that
+   linked sets share one (see ``part_keys`` and ``rarest_keys``).  Where up to
+   PAIR_LIMIT documents share a key, each pair is kept if the parities of their
+   tokens over a bitmap, which differ in no more bits than the sets differ in
+   tokens, allow a link.  Where more do, they are put together as they are.
+   Candidates are joined transitively: no link leaves a group.
 3. Within a group, a core set is chosen, the tokens that most members have.  A
    member is kept as its difference from the core.  As differences cancel,
    ``|A ^ B| = |Da ^ Db|`` for any core, so members near the core link to the one
@@ -37,6 +34,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +48,7 @@ from skerry.plans.sieve import likely, without
 
 GROUP_LIMIT = 4096
 PAIR_LIMIT = 32
+CLASS_RATIO = 1.3
 SKETCH_BITS = 20
 SKETCH_RUN = 1 << 20
 #: Rows whose texts are hashed together.
@@ -96,13 +95,58 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return sketch
 
 
-def group_keys(tokens: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarray:
-    """A key for each token by which a partner of any size may find this set."""
+def by_parts(percent: int) -> bool:
+    """Whether parts of sets hold enough tokens, seven or so, to tell documents apart; else the rarest tokens do better."""
+    return 100 + percent >= 5 * CLASS_RATIO * 2 * (100 - percent)
+
+
+@lru_cache(maxsize=1)
+def _class_edges() -> list[int]:
+    """Smallest sizes of the size classes, up to sizes that no text has."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * CLASS_RATIO)))
+    return edges
+
+
+def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys from parts of the set.
+
+    Linked sets of sizes a and b differ in at most (a + b) * (100 - percent) /
+    (100 + percent) tokens.  If tokens are dealt by hash into more parts than that,
+    a part is the same in both.  The larger set is in size class c; the smaller one
+    is as well, or its size reaches into it, and then it gives keys for c too.  Some
+    parts more are dealt, so that either side may leave out its smallest parts.
+    """
+    edges, n = _class_edges(), len(tokens)
+    c = own = int(np.searchsorted(edges, n, "right")) - 1
+    blended, keys = shingles.mixed(tokens), []
+    while c == own or 100 * n >= percent * edges[c]:
+        most = 2 * (edges[c + 1] - 1) * (100 - percent) // (100 + percent)
+        if most:  # else only equal sets link
+            spare = most // 12
+            parts = most + 1 + 2 * spare
+            part = ((tokens >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+            sizes = np.bincount(part, minlength=parts)
+            full, sums = np.flatnonzero(sizes), np.zeros(parts, np.uint64)
+            sums[full] = np.add.reduceat(blended[np.argsort(part, kind="stable")], (np.cumsum(sizes) - sizes)[full])
+            chosen = np.argsort(sizes, kind="stable")[spare:].astype(np.uint64)
+            keys.append(shingles.mixed(sums[chosen.astype(np.int64)] + shingles.mixed(chosen + np.uint64(c << 32))))
+        c += 1
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def rarest_keys(tokens: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarray:
+    """Keys from the set's rarest tokens.
+
+    All tokens have one fixed order, those that the sketch counts as frequent last.
+    As a partner shares ``percent`` of all tokens, the first ``n - ceil(percent * n /
+    100) + 1`` hold one of its own first.  The order only affects the time.
+    """
     n = len(tokens)
     first = n - -(-percent * n // 100) + 1
     rarest = tokens[np.lexsort((tokens, sketch[_cells(tokens)]))[:first]]
     size_class, keys = n.bit_length(), []
-    # the larger of two sets is in class c; the smaller one is as well, or its size reaches into it
     for c in (size_class, size_class + 1):
         if c == size_class or 100 * n >= percent << (c - 1):
             keys.append(shingles.mixed(rarest + np.uint64(c)))
@@ -131,8 +175,12 @@ def _may_link(percent: int) -> Column:
 
 def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """(doc, n, digest, keys, bits) of each row; the digest of an empty set is null."""
+    parts = by_parts(percent)
     # 4 MB, whatever the size of the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, width))
+    shared = docs.sparkSession.sparkContext.broadcast(None if parts else frequency_sketch(docs, text, width))
+
+    def keys_of(tokens: np.ndarray) -> np.ndarray:
+        return part_keys(tokens, percent) if parts else rarest_keys(tokens, percent, shared.value)
 
     def lists(arrays: list[np.ndarray]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, arrays)])
@@ -140,7 +188,6 @@ def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = shared.value
         for batch in rows:
             for begin in range(0, batch.num_rows, SLICE):
                 some = batch.slice(begin, SLICE)
@@ -148,7 +195,7 @@ def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
                 for tokens in shingles.shingle_sets(some.column(1).to_pylist(), width):
                     n.append(len(tokens))
                     digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                    keys.append(group_keys(tokens, percent, sketch) if len(tokens) else tokens)
+                    keys.append(keys_of(tokens) if len(tokens) else tokens)
                     bits.append(parities(tokens))
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(bits)],
@@ -161,8 +208,9 @@ def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
 
 def _candidates(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold all links."""
-    own = profiles.select(F.col("doc").alias("rep"), "digest", "keys").join(reps, ["rep", "digest"], "left_semi")
-    keys = own.select(F.col("rep").alias("doc"), F.explode("keys").alias("found_by")).repartition("found_by")
+    copies = cut(profiles.select("doc", "digest").join(reps, "digest").where("doc <> rep").select("doc", "digest"))
+    own = without(profiles.select("doc", "digest", "keys"), copies, "doc", "digest")
+    keys = own.select("doc", F.explode("keys").alias("found_by")).repartition("found_by")
     buckets = keys.groupBy("found_by").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = keys.join(buckets, "found_by")
     stars = shared.where(F.col("size") > PAIR_LIMIT).select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a > b").distinct()

@@ -76,16 +76,17 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         kept = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), removed)
         return F.array_join(F.transform(kept, lambda i: F.get(found, i)), "")
 
-    gone = removals(docs, key, text).withColumnRenamed(key, "_key")
-    joined = docs.join(gone, docs[key].cast("long") == gone["_key"], "left").drop("_key")
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(let(sentences(F.col(text)), lambda found: left_over(found, F.col("removed"))))
+    gone = removals(docs, key, text).select(F.col(key).alias("_spans_key"), F.col("removed").alias("_spans_removed"))
+    joined = docs.join(gone, docs[key].cast("long") == gone["_spans_key"], "left").drop("_spans_key")
+    removed = F.col("_spans_removed")
+    cleaned = F.when(removed.isNull(), F.col(text)).otherwise(let(sentences(F.col(text)), lambda found: left_over(found, removed)))
     return joined.withColumns(
         {
-            "n_sentences": F.coalesce(F.size(sentences(F.col(text))), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
+            "n_sentences": F.when(F.col(text).isNull(), 0).otherwise(F.size(sentences(F.col(text)))).cast("long"),
+            "n_removed": F.when(removed.isNull(), 0).otherwise(F.size(removed)).cast("long"),
             text: cleaned,
         }
-    ).drop("removed")
+    ).drop("_spans_removed")
 
 
 SQL = r"""
