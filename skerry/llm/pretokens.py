@@ -63,7 +63,7 @@ class Compiled:
     and words are then run again.
     """
 
-    def __init__(self, content: bytes, remembered: int = 300_000):
+    def __init__(self, content: bytes, remembered: int = 150_000):
         self.automaton = MergeAutomaton(content)
         self.remembered = remembered
         self.counts: dict[str, int] = {}
