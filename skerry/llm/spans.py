@@ -1,9 +1,10 @@
 """Substring deduplication by sliding sentence spans, in DataFrame operations only.
 
 A text is cut into sentences, which together are the text again.  Spans are all
-runs of three consecutive sentences, of two with 25 words or more, and single
-sentences of more than 50 words; so any aligned repeat of over 50 words is made
-of spans.  Spans are hashed (128 bits) and joined globally.  Of equal spans the
+runs of two and of three consecutive sentences with 12 words or more, and, as a
+passage may be one sentence, single sentences of 25 words or more.  So of a repeat
+of over 50 words, all whole sentences are covered by spans, but for runs of under
+12 words at its ends.  Spans are hashed (128 bits) and joined globally.  Of equal spans the
 one with the smallest (id, position) is the first; every sentence that another
 one covers is removed.
 
@@ -21,7 +22,8 @@ from skerry.llm.exprs import let
 
 #: Up to marks before a blank, or to line ends, or to the end of the text.
 SENTENCE = r"[^\n]*?[.!?]+[ \t]+\n*|[^\n]*\n+[ \t]*|[^\n]+"
-LONG, MIDDLE = 50, 25
+#: Least words of a span of several sentences, and of a sentence that is a span of its own.
+FEW, LONG = 12, 25
 
 
 def sentences(text: Column) -> Column:
@@ -46,9 +48,9 @@ def _spans(found: Column) -> Column:
             )
 
         return F.array(
-            F.when(a["w"] > LONG, span(1, a)),
-            F.when(b.isNotNull() & (a["w"] + b["w"] >= MIDDLE), span(2, a, b)),
-            F.when(c.isNotNull(), span(3, a, b, c)),
+            F.when(a["w"] >= LONG, span(1, a)),
+            F.when(b.isNotNull() & (a["w"] + b["w"] >= FEW), span(2, a, b)),
+            F.when(c.isNotNull() & (a["w"] + b["w"] + c["w"] >= FEW), span(3, a, b, c)),
         )
 
     def all_of(items: Column) -> Column:
@@ -99,11 +101,11 @@ WITH s AS (
          trim(regexp_replace(ss[i + 2], '[ \t\r\n]+', ' ', 'g')) AS c
   FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)
 ), w AS (
-  SELECT *, length(a) - length(replace(a, ' ', '')) + 1 AS wa, length(b) - length(replace(b, ' ', '')) + 1 AS wb FROM e
+  SELECT *, length(a) - length(replace(a, ' ', '')) + 1 AS wa, length(b) - length(replace(b, ' ', '')) + 1 AS wb, length(c) - length(replace(c, ' ', '')) + 1 AS wc FROM e
 ), spans AS (
-  SELECT doc_id, pos, 1 AS size, a AS k FROM w WHERE wa > 50
-  UNION ALL SELECT doc_id, pos, 2, a || chr(1) || b FROM w WHERE b IS NOT NULL AND wa + wb >= 25
-  UNION ALL SELECT doc_id, pos, 3, a || chr(1) || b || chr(1) || c FROM w WHERE c IS NOT NULL
+  SELECT doc_id, pos, 1 AS size, a AS k FROM w WHERE wa >= 25
+  UNION ALL SELECT doc_id, pos, 2, a || chr(1) || b FROM w WHERE b IS NOT NULL AND wa + wb >= 12
+  UNION ALL SELECT doc_id, pos, 3, a || chr(1) || b || chr(1) || c FROM w WHERE c IS NOT NULL AND wa + wb + wc >= 12
 ), later AS (
   SELECT doc_id, pos, size FROM (SELECT *, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, pos) AS n FROM spans) WHERE n > 1
 ), gone AS (
