@@ -120,3 +120,8 @@ def error_rows(truth: DataFrame, verdicts: DataFrame, notes: DataFrame) -> DataF
     """Wrong verdicts with what was said and the label's note (JN26)."""
     wrong = truth.withColumnRenamed("matched", "expected").join(clean(verdicts), PAIR).where(F.col("expected") != F.col("matched"))
     return wrong.join(notes, PAIR, "left")
+
+
+def truth_of(bank: DataFrame, reworded: DataFrame, sets: DataFrame, name: str | None = None) -> DataFrame:
+    """The human truth, or that of a named annotation set (BK05)."""
+    return trusted(bank, reworded) if name is None else sets.where(F.col("set") == name).select(*PAIR, "matched")

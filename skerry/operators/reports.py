@@ -116,3 +116,19 @@ def share(part: DataFrame, whole: DataFrame) -> DataFrame:
     """One count of another (AGG01, AGG04)."""
     counts = part.agg(F.count("*").alias("part")).crossJoin(whole.agg(F.count("*").alias("whole")))
     return counts.withColumn("share", F.round(rate(F.col("part"), F.col("whole")), 6))
+
+
+def live_leaderboard(truth: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Every run's coverage of the sample and its scores; runs that cover only a part stay unscored (EV04, AGG44)."""
+    sample = truth.select("document_id").distinct()
+    size = sample.agg(F.count("*").alias("sample"))
+    said = verdicts.join(sample, "document_id", "left_semi")
+    covered = said.groupBy("run_id").agg(F.countDistinct("document_id").alias("covered"))
+    positives = truth.agg(F.count_if("matched").alias("positives"))
+    counts = M.clean(said).withColumnRenamed("matched", "predicted").join(truth, M.PAIR).groupBy("run_id").agg(
+        F.count_if(F.col("predicted") & F.col("matched")).alias("tp"), F.count_if(F.col("predicted") & ~F.col("matched")).alias("fp")
+    )
+    rows = covered.join(counts, "run_id", "left").fillna(0, ["tp", "fp"]).crossJoin(F.broadcast(size)).crossJoin(F.broadcast(positives))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("positives") - F.col("tp")
+    f1 = F.when(F.col("covered") == F.col("sample"), F.round(rate(2 * tp, 2 * tp + fp + fn), 6))
+    return rows.select("run_id", "sample", "covered", f1.alias("f1")).orderBy(F.desc_nulls_last("f1"), "run_id")

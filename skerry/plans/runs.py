@@ -102,3 +102,52 @@ def stale_concepts(then: DataFrame, now: DataFrame, columns: tuple[str, ...] = (
     old = then.select("concept_id", wording(*columns).alias("_then"))
     new = now.select("concept_id", wording(*columns).alias("_now"))
     return old.join(new, "concept_id", "left").where(~F.col("_then").eqNullSafe(F.col("_now"))).select("concept_id")
+
+
+def retrieval_version(config: dict, leaves: list[tuple[int, str]]) -> str:
+    """Names how leaves are ranked: the settings and the leaves with their wording, in any order (RN06)."""
+    clean = without_infra(normalised(config))
+    return stable_hash([clean["candidates"], clean["retrieval"], sorted(leaves)])
+
+
+def judge_version(config: dict, prompts: dict[str, str]) -> str:
+    """Names how pairs are judged: the settings and the wording of the prompts (RN06)."""
+    return stable_hash([without_infra(normalised(config))["judge"], prompts])
+
+
+def filter_version(links: list[tuple[int, str, str]]) -> str:
+    """Names what a feed is filtered by (RN06)."""
+    return stable_hash(sorted(links))
+
+
+def source_fingerprint(*functions) -> str:
+    """Changes when the code of the functions does (RN07)."""
+    import inspect
+
+    return stable_hash([inspect.getsource(f) for f in functions])
+
+
+class DriftError(ValueError):
+    """Prompts aren't those that a run was pinned to."""
+
+
+def check_prompts(pinned: dict[str, str], prompts: dict[str, str]) -> None:
+    """Refuse prompts whose wording drifted from the pins, name -> hash (JD07)."""
+    drifted = sorted(name for name, pin in pinned.items() if stable_hash(prompts.get(name)) != pin)
+    if drifted:
+        raise DriftError(f"reworded since the run was pinned: {drifted}")
+
+
+def own_cutoff(config: dict) -> dict:
+    """The cutoff a run was made with (OT16)."""
+    return normalised(config)["candidates"]["cutoff"]
+
+
+def judging_copy(config: dict, **judge) -> dict:
+    """A stored configuration with another decoder (OT27)."""
+    return deep_merge(config, {"judge": judge})
+
+
+def reopened(record: dict) -> dict:
+    """A run's record open again: its start stays, its end and error go (OT36)."""
+    return record | {"finished_at": None, "error": None}

@@ -103,3 +103,35 @@ def read_ontology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 def upserted(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Rows of both, the new one where a key is in both (SRC18, BK01)."""
     return existing.join(rows.select(*key), key, "left_anti").unionByName(rows.dropDuplicates(key))
+
+
+def write_manifest(order: DataFrame, path: str, **about: str) -> None:
+    """A frozen order with what it was drawn from, as JSON lines (SRC24)."""
+    rows = order.select("position", *(c for c in order.columns if c != "position"))
+    rows.withColumns({k: F.lit(v) for k, v in about.items()}).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.json(path, schema=schema)
+
+
+def import_observations(rows: DataFrame, concepts: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(observations, rows that name an unknown class or place) (SRC16); a blank place is any place.
+
+    ``rows``: concept, locus_iso3, occurred_on as text; places: place_id, iso3.
+    """
+    cells = rows.select(F.trim("concept").alias("concept"), F.nullif(F.upper(F.trim("locus_iso3")), F.lit("")).alias("iso3"), F.try_to_date("occurred_on", "yyyy-MM-dd").alias("occurred_on"))
+    named = cells.join(concepts, "concept", "left").join(places, "iso3", "left")
+    bad = F.col("concept_id").isNull() | (F.col("iso3").isNotNull() & F.col("place_id").isNull())
+    return named.where(~bad).select("concept_id", "place_id", "occurred_on").distinct(), named.where(bad).select("concept", "iso3")
+
+
+def seeded_places(existing: DataFrame, rows: DataFrame, corrections: dict[str, str]) -> DataFrame:
+    """Places to add (SRC09): feed codes corrected where the feed's differ from the standard's; running it again adds none.
+
+    ``rows``: iso2, iso3, name.
+    """
+    fixed = F.col("iso2")
+    for iso2, fips in corrections.items():
+        fixed = F.when(F.col("iso2") == iso2, fips).otherwise(fixed)
+    return rows.withColumn("fips", fixed).dropDuplicates(["iso3"]).join(existing.select("iso3"), "iso3", "left_anti")

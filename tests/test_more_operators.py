@@ -141,3 +141,35 @@ def test_batched_cost_adds_up(spark):
     calls = spark.createDataFrame([(1, 10), (2, 7)], "document_id long, tokens long")
     pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 5)], "document_id long, concept_id int")
     assert {tuple(r) for r in judging.batched_cost(calls, pairs).collect()} == {(1, 1, 4), (1, 2, 3), (1, 3, 3), (2, 5, 7)}
+
+
+def test_versions_and_pins():
+    from skerry.plans import runs
+
+    assert runs.retrieval_version({}, [(1, "a"), (2, "b")]) == runs.retrieval_version({"judge": {"samples": 3}}, [(2, "b"), (1, "a")]) != runs.retrieval_version({}, [(1, "a")])
+    prompts = {"pair": "ask"}
+    runs.check_prompts({"pair": runs.stable_hash("ask")}, prompts)
+    with pytest.raises(runs.DriftError):
+        runs.check_prompts({"pair": runs.stable_hash("other")}, prompts)
+    assert runs.source_fingerprint(runs.sweep) != runs.source_fingerprint(runs.stage_keys)
+    assert runs.own_cutoff({})["max_k"] == 15 and runs.judging_copy({"judge": {"model": "a"}}, model="b")["judge"]["model"] == "b"
+
+
+def test_leaderboard_leaves_partial_runs_unscored(spark):
+    truth = spark.createDataFrame([(1, 1, True), (2, 1, False)], "document_id long, concept_id int, matched boolean")
+    verdicts = spark.createDataFrame([(1, 1, 1, True, None), (1, 2, 1, True, None), (2, 1, 1, True, None)], "run_id int, document_id long, concept_id int, matched boolean, error string")
+    assert [(r.run_id, r.covered, r.f1) for r in reports.live_leaderboard(truth, verdicts).collect()] == [(1, 2, 0.666667), (2, 1, None)]
+
+
+def test_observations_places_and_manifests(spark, tmp_path):
+    from skerry.sources import sheets
+
+    rows = spark.createDataFrame([("A", "deu", "2024-01-02"), ("A", "", "2024-01-02"), ("A", "XXX", ""), ("Q", "DEU", "")], "concept string, locus_iso3 string, occurred_on string")
+    concepts, places = spark.createDataFrame([(1, "A")], "concept_id int, concept string"), spark.createDataFrame([(7, "DEU")], "place_id int, iso3 string")
+    good, bad = sheets.import_observations(rows, concepts, places)
+    assert {(r.concept_id, r.place_id) for r in good.collect()} == {(1, 7), (1, None)} and bad.count() == 2
+    seed = spark.createDataFrame([("DE", "DEU", "Germany"), ("AT", "AUT", "Austria")], "iso2 string, iso3 string, name string")
+    added = sheets.seeded_places(places, seed, {"AT": "AU"}).collect()
+    assert [(r.iso3, r.fips) for r in added] == [("AUT", "AU")]
+    sheets.write_manifest(spark.createDataFrame([(0, 5)], "position int, document_id long"), f"file://{tmp_path}/m", seed="0")
+    assert sheets.read_manifest(spark, f"file://{tmp_path}/m", "position int, document_id long, seed string").first() == (0, 5, "0")
