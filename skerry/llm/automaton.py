@@ -128,7 +128,10 @@ class MergeAutomaton:
                     children.append({})
                 at = nxt
             ends[at] = t
-        self.step = np.zeros((len(children), 256), np.int32)
+        # a node without children steps as the node it falls back to, so it shares that one's row
+        self.row = np.zeros(len(children), np.int32)
+        self.row[[at for at, below in enumerate(children) if below]] = np.arange(sum(map(bool, children)))
+        self.step = np.zeros((int(self.row.max()) + 1, 256), np.int32)
         self.longest = np.full(len(children), -1, np.int32)
         self.shorter = np.full(len(self.labels), -1, np.int32)
         fail = [0] * len(children)
@@ -141,12 +144,16 @@ class MergeAutomaton:
             if at in ends:
                 self.shorter[ends[at]] = self.longest[at]
                 self.longest[at] = ends[at]
-            row = self.step[back].copy()
+            behind = self.step[self.row[back]]
+            if not children[at]:
+                self.row[at] = self.row[back]
+                continue
+            row = behind.copy()
             for b, child in children[at].items():
                 fail[child] = int(row[b])
                 row[b] = child
                 line.append(child)
-            self.step[at] = row
+            self.step[self.row[at]] = row
         self.length = np.array([len(x) for x in self.labels], np.int32)
 
     # arcs
@@ -204,7 +211,7 @@ class MergeAutomaton:
             while sizes[alive - 1] <= i:
                 alive -= 1
             at = start[:alive]
-            node = self.step[node[:alive], data[at + i]]
+            node = self.step[self.row[node[:alive]], data[at + i]]
             token = self.longest[node]
             wait = np.arange(alive)
             while len(wait):
@@ -220,10 +227,11 @@ class MergeAutomaton:
 
     def _one(self, word: bytes) -> tuple[list[int], list[int]]:
         """``_last_tokens`` of one long word."""
-        step, longest, shorter, length = memoryview(self.step.reshape(-1)), self.longest, self.shorter, self.length
+        step, row = memoryview(self.step.reshape(-1)), memoryview(self.row)
+        longest, shorter, length = self.longest, self.shorter, self.length
         last, count, node, known = [], [], 0, {}
         for i, b in enumerate(word):
-            node = step[node * 256 + b]
+            node = step[row[node] * 256 + b]
             token = int(longest[node])
             while True:
                 before = i - int(length[token])

@@ -44,7 +44,9 @@ def _mapped(docs: DataFrame, column: str, keep: tuple[str, ...], path: str | Non
         machine = pretokens.compiled(shared.value)
         for batch in rows:
             names = [*batch.schema.names[:-1], *(x.split()[0] for x in outputs.split(", "))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *work(machine, batch.column(batch.num_columns - 1))], names=names)
+            for begin in range(0, batch.num_rows, pretokens.SLICE):
+                some = batch.slice(begin, pretokens.SLICE)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], *work(machine, some.column(some.num_columns - 1))], names=names)
 
     source = docs.select(*keep, F.col(column).alias("_value"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])

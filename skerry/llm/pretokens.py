@@ -14,6 +14,9 @@ from skerry.llm.automaton import MergeAutomaton
 #: Fixed value: the split pattern of byte-level BPE with 50,257 ids.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Rows of an Arrow batch whose texts are held as strings at a time.
+SLICE = 1024
+
 _words = regex.compile(PATTERN).findall
 
 
@@ -99,7 +102,7 @@ class Compiled:
         memory.update(zip(fresh, run([w.encode() for w in fresh]), strict=True))
 
 
-def batches(texts: list[str | None], size: int = 1 << 22):
+def batches(texts: list[str | None], size: int = 1 << 21):
     """Runs of texts of about ``size`` characters at most, so that lists of words stay small."""
     run: list[str] = []
     held = 0

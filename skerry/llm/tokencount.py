@@ -104,7 +104,7 @@ def count_tokens(
         machine = pretokens.compiled(shared.value)
         memory = machine.counts
 
-        for batch in rows:
+        for batch in (whole.slice(begin, pretokens.SLICE) for whole in rows for begin in range(0, whole.num_rows, pretokens.SLICE)):
             tokens: list[int] = []
             for some in pretokens.batches(batch.column(batch.num_columns - 1).to_pylist()):
                 texts = [machine.parts(t) for t in some]
