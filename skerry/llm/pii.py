@@ -12,10 +12,15 @@ turn them back.  The permutations are Feistel networks:
   place within the character's class, so a digit stays a digit, a lower-case
   letter a lower-case letter, and a hexadecimal string hexadecimal.  Cards (13 to 19 digits with a Luhn check digit):
   all but the last digit are permuted and the check digit is set anew; numbers
-  of that length without a valid check digit stay without one.
+  of that length without a valid check digit stay without one.  Three digits after
+  a card of 16 are part of it only if 19 digits have a check digit and 16 have none.
+- IBANs (compact or in groups, of their country's length, with a valid check): all
+  after the check digits is permuted, the country stays, the check is set anew.
 - IPv4 addresses: two halves of 16 bits.
-- dates (YYYY-MM-DD, valid, 1800 to 2199): the 146,097 days of 400 years as a
-  189 x 773 grid; rows and columns take turns.
+- dates (YYYY-MM-DD, also before a time; D.M.YYYY, D/M/YYYY, D-M-YYYY, or month first
+  where only that is valid; 1800 to 2199): the 146,097 days of 400 years as a
+  189 x 773 grid; rows and columns take turns.  Where the day or month has one digit
+  or the month is first, the permutation is repeated until the new day is written so too.
 
 Numbers of 9 to 12 digits are permuted whole: they may be account or identity
 numbers.
@@ -39,14 +44,33 @@ FIRST_DAY = "1800-01-01"
 MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}"
-PHONE = r"\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}-\d{3}-\d{4}"
+WRITTEN = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+#: With a country code, in groups of 3, 3 and 4 digits, or national with a leading 0.
+TRIPLE = r"\d{3}[ .\-]\d{3}[ .\-]\d{4}"
+NATIONAL = r"0\d(?:[ .\-]\d{2}){4}|0\d{2,4}[ /\-]\d{6,8}|0\d{2,4}[ \-]\d{3,4}[ \-]\d{3,4}"
+PHONE = rf"\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}[ .\-]\d{{4}}|{TRIPLE}|{NATIONAL}"
 SOCIAL = r"\d{3}-\d{2}-\d{4}"
-CARD = r"\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}"
+FOURS = r"\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}"
+CARD = rf"{FOURS}(?:[ \-]\d{{3}})?|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{5}}|\d{{6}}[ \-]\d{{13}}"
 NUMBER = r"\d{9,19}"
-#: Hex or mixed strings of 32 to 128 characters with a digit, and keys with a known prefix.
-SECRET = r"(?=[A-Za-z]{0,127}\d)[A-Za-z0-9]{32,128}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9_\-]{12,128}"
-
-HIT = rf"(?<![A-Za-z0-9._%+\-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])|(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)|(?<![\w+])(?:{PHONE})(?!\w)|(?<![\w\-])(?:{DATE}|{SOCIAL}|{CARD}|{NUMBER})(?![\w])"
+#: Hex or mixed strings of 32 characters or more with a digit, and keys with a known prefix.
+SECRET = r"(?=[A-Za-z]*\d)[A-Za-z0-9]{32,}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9_\-]{12,}"
+#: Countries by the length of their IBANs.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(
+    rf"(?:{names})\d{{2}}(?:[ \-]?[A-Z0-9]{{4}}){{{(size - 4) // 4}}}" + (rf"[ \-]?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+    for size, names in IBAN_COUNTRIES.items()
+)
+#: Around an IBAN; one in a mail address is a part of that.
+BEFORE_IBAN, AFTER_IBAN = r"(?<![A-Za-z0-9@])", r"(?![A-Za-z0-9]|[\w.%+\-]*@)"
+#: The most repeats of the permutation of a written date; one in five days at least is written with one digit each.
+WALK = 256
+
+HIT = rf"(?<![A-Za-z0-9._%+\-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])|(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)|(?<![\w/\-])(?<!\d\.)(?:{WRITTEN})(?!\w|[./\-]\d)|(?<![\w+])(?:{PHONE})(?!\w)|(?<![\w\-])(?:{DATE}(?=T\d)|(?:{DATE}|{SOCIAL}|{CARD}|{NUMBER})(?![\w]))"
 
 
 def _pad(key: str, label: Column, half: Column) -> Column:
@@ -154,9 +178,40 @@ def _long_number(key: str, value: Column) -> Column:
     return let(F.regexp_replace(value, "[^0-9]", ""), of_digits)
 
 
+def _card(key: str, value: Column) -> Column:
+    """Of 4-4-4-4-3 digits, the last three stay apart unless they make the card."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    apart = value.rlike(rf"^{FOURS}[ \-]") & ((luhn_sum(digits) % 10 != 0) | (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0))
+    return F.concat(_long_number(key, F.when(apart, F.substring(value, 1, 19)).otherwise(value)), F.when(apart, F.substring(value, 20, 4)).otherwise(""))
+
+
+def _mod_97(plain: Column) -> Column:
+    """Letters count as 10 to 35."""
+
+    def add(n: Column, c: Column) -> Column:
+        d = (F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1).cast("int")
+        return (n * F.when(d > 9, 100).otherwise(10) + d) % 97
+
+    return F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.lit(0), add)
+
+
+def _is_iban(value: Column) -> Column:
+    plain = F.regexp_replace(value, "[^A-Z0-9]", "")
+    return _mod_97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
+
+
+def _iban(key: str, value: Column) -> Column:
+    def with_check(new: Column) -> Column:
+        country = F.substring(value, 1, 2)
+        check = 98 - _mod_97(F.concat(F.regexp_replace(new, "[^A-Z0-9]", ""), country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+    return let(permuted_text(key, "iban", F.substring(value, F.lit(5), F.length(value))), with_check)
+
+
 def _phone(key: str, value: Column) -> Column:
-    """A country code stays."""
-    country = F.coalesce(F.regexp_extract(value, r"^(\+\d{1,3})[ .\-(]", 1), F.lit(""))
+    """A country code stays, and so does the 0 that makes a number a national one."""
+    country = F.regexp_extract(value, rf"^(?:\+\d{{1,3}}(?=[ .\-(])|0(?!\d\d[ .\-]\d{{3}}[ .\-]\d{{4}}$))", 0)
     return F.concat(country, permuted_text(key, "phone", F.substring(value, F.length(country) + 1, F.length(value))))
 
 
@@ -177,6 +232,49 @@ def _date(key: str, value: Column) -> Column:
     return F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), new.cast("int")), "yyyy-MM-dd")
 
 
+def _written_date(key: str, value: Column) -> Column:
+    """A date of two numbers and a year keeps its order, its marks and the width of each number."""
+    first, mark, second = F.regexp_extract(value, r"^\d+", 0), F.regexp_extract(value, r"\D", 0), F.regexp_extract(value, r"^\d+\D(\d+)", 1)
+
+    def day(d: Column, m: Column) -> Column:
+        found = F.try_to_date(F.concat_ws("-", F.substring(value, -4, 4), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        return F.when(found.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), F.datediff(found, F.to_date(F.lit(FIRST_DAY))).cast("long"))
+
+    in_order = day(first, second)
+    start = F.coalesce(in_order, day(second, first))
+    state = F.struct(
+        F.floor(start / COLUMNS).cast("long").alias("a"), (start % COLUMNS).cast("long").alias("b"), F.lit(False).alias("done"),
+        in_order.isNotNull().alias("in_order"), F.length(first).alias("first"), F.length(second).alias("second"),
+    )
+
+    def date(s: Column) -> Column:
+        return F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["a"] * COLUMNS + s["b"]).cast("int"))
+
+    def numbers(s: Column) -> tuple[Column, Column]:
+        d, m = F.dayofmonth(date(s)), F.month(date(s))
+        return F.when(s["in_order"], d).otherwise(m), F.when(s["in_order"], m).otherwise(d)
+
+    def turn(s: Column, i: Column) -> Column:
+        a, b = numbers(s)
+        fits = ((a < 10) | (s["first"] == 2)) & ((b < 10) | (s["second"] == 2)) & (s["in_order"] | (b > 12))
+        name = F.concat(F.lit("date:"), (i % ROUNDS).cast("string"))
+
+        def moved(a: Column, b: Column, done: bool) -> Column:
+            return F.struct(a.alias("a"), b.alias("b"), F.lit(done).alias("done"), *(s[k].alias(k) for k in ("in_order", "first", "second")))
+
+        return (
+            F.when(s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits), moved(s["a"], s["b"], True))
+            .when(i % 2 == 0, moved((s["a"] + _number(key, name, s["b"])) % (DAYS // COLUMNS), s["b"], False))
+            .otherwise(moved(s["a"], (s["b"] + _number(key, name, s["a"])) % COLUMNS, False))
+        )
+
+    def written(s: Column) -> Column:
+        a, b = (F.lpad(n.cast("string"), s[k], "0") for n, k in zip(numbers(s), ("first", "second"), strict=True))
+        return F.concat(a, mark, b, mark, F.year(date(s)).cast("string"))
+
+    return F.when(start.isNull(), value).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(WALK * ROUNDS)), state, turn, written))
+
+
 def _mail(key: str, value: Column) -> Column:
     """The name and the host are permuted apart; the dots and the top-level domain stay."""
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
@@ -194,26 +292,35 @@ def pseudonym(key: str, value: Column) -> Column:
     day = F.when(is_date, F.try_to_date(value, "yyyy-MM-dd"))
     return (
         F.when(value.contains("@"), _mail(key, value))
+        .when(value.rlike(rf"^(?:{IBAN})$") & _is_iban(value), _iban(key, value))
         .when(is_address, F.when(octets & plain, _address(key, value)).otherwise(value))
         .when(is_date, F.when(day.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), _date(key, value)).otherwise(value))
-        .when(value.rlike(rf"^(?:{CARD}|\d{{13,19}})$"), _long_number(key, value))
-        .when(value.rlike(r"^[+(]|^\d{3}-\d{3}-\d{4}$"), _phone(key, value))
+        .when(value.rlike(rf"^(?:{WRITTEN})$"), _written_date(key, value))
+        .when(value.rlike(rf"^(?:{CARD}|\d{{13,19}})$"), _card(key, value))
+        .when(value.rlike(rf"^[+(]|^(?:{TRIPLE}|{NATIONAL})$"), _phone(key, value))
         .when(value.rlike("^[0-9a-f]{32,}$"), permuted_text(key, "hex", value, "0123456789abcdef"))
         .when(value.rlike("^[0-9A-F]{32,}$"), permuted_text(key, "hex", value, "0123456789ABCDEF"))
         .otherwise(permuted_text(key, "other", value))
     )
 
 
+def _pattern(text: Column) -> Column:
+    """HIT, and before it the valid IBANs of the text; what only looks like one hides nothing."""
+    found = F.regexp_extract_all(text, F.lit(rf"{BEFORE_IBAN}(?=[A-Z]{{2}}\d)(?=({IBAN}){AFTER_IBAN})"), F.lit(1))
+    valid = F.array_join(F.filter(found, _is_iban), "|")
+    return F.when(valid == "", HIT).otherwise(F.concat(F.lit(f"{BEFORE_IBAN}(?:"), valid, F.lit(f"){AFTER_IBAN}|{HIT}")))
+
+
 def hits(text: Column) -> Column:
     """All candidates in order."""
-    return F.regexp_extract_all(text, F.lit(HIT), F.lit(0))
+    return F.regexp_extract_all(text, _pattern(text), F.lit(0))
 
 
 def pseudonymized(text: Column, key: str) -> Column:
     """The text with each valid hit replaced."""
 
     def woven(new: Column) -> Column:
-        pairs = F.zip_with(F.split(text, HIT, -1), new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
+        pairs = F.zip_with(F.split(text, _pattern(text), -1), new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
         return F.array_join(F.flatten(pairs), "")
 
     def changed(found: Column) -> Column:

@@ -153,3 +153,75 @@ def test_permutations_are_one_to_one(spark):
     numbers = spark.range(3000).select(pii.pseudonym("k", F.concat(F.lit("10000000000"), F.lpad(F.col("id").cast("string"), 4, "0"))).alias("p"), "id").collect()
     assert len({r.p for r in numbers}) == 3000
     assert sum(luhn(r.p) == 0 for r in numbers) == sum(luhn(f"10000000000{r.id:04d}") == 0 for r in numbers)
+
+
+def all_changed(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    return [r.text for r in sorted(pii.pseudonymize(rows, "k").collect())]
+
+
+def iban_check(value):
+    plain = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def as_zeros(text):
+    return re.sub("[0-9]", "0", text)
+
+
+def test_ibans_stay_ibans(spark):
+    values = ["DE89370400440532013000", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"]
+    cases = [(v, a) for v in values for a in ("{}", "IBAN: {}, 2024.", "BE12 {} 1234", "card 4111 1111 1111 1111 and {} and {}")]
+    texts = [a.format(v, v) for v, a in cases]
+    for (value, around), text, new in zip(cases, texts, all_changed(spark, texts), strict=True):
+        shape = "".join("[0-9]" if c.isdigit() else "[A-Z]" if c.isalpha() else c for c in value[4:])
+        found = [m[0] for m in re.finditer(rf"{value[:2]}[0-9]{{2}}{shape}", new)]
+        assert len(found) == around.count("{}") and len(set(found)) == 1 and all(iban_check(f) == 1 for f in found)
+        assert value not in new and "4111 1111" not in new and len(new) == len(text)
+
+
+def test_no_iban_hides_other_data(spark):
+    new = changed(spark, "BE12 4111 1111 1111 1111 DE00 3704 0044 0532 0130 00 GB82.X@mail.com DE89370400440532013000@example.com")
+    for secret in ("4111 1111", "3704 0044", "GB82.X", "DE8937", "example"):
+        assert secret not in new
+    assert new.startswith("BE12 ") and " DE00 " in new
+
+
+def test_spaced_cards(spark):
+    values = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904", "4222 2222 22222"]
+    bodies = ["6212 3456 7890 0000 00", "621234 567890000000"]
+    values += [b + str(-luhn(re.sub("[^0-9]", "", b) + "0") % 10) for b in bodies]
+    new = [n[2:-3] for n in all_changed(spark, [f"a {v}, b" for v in values])]
+    for old, n in zip(values, new, strict=True):
+        assert n != old and as_zeros(n) == as_zeros(old) and luhn(re.sub("[^0-9]", "", n)) == 0
+    a, b = all_changed(spark, ["4111 1111 1111 1111 123", "4111 1111 1111 1111"])
+    assert a == b + " 123"
+
+
+def test_written_dates(spark):
+    values = ["31.12.1984", "12/03/1975", "12/31/1975", "1.2.1984", "1/12/1984", "10/2/1984", "31-12-1984", "3/14/1999"]
+    for value, text in zip(values, all_changed(spark, [f"on {v}. ok" for v in values]), strict=True):
+        new = text[3:-4]
+        assert new != value and as_zeros(new) == as_zeros(value)
+        a, b, year = map(int, re.split(r"[./-]", new))
+        second = int(re.split(r"[./-]", value)[1])
+        assert datetime.date(year, *((a, b) if second > 12 else (b, a)))
+    days = [datetime.date(1984, 1, 1) + datetime.timedelta(n) for n in range(366)]
+    written = {w for d in days for w in (f"{d.day}/{d.month}/{d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.day:02}/{d.month:02}/{d.year}", f"{d.month:02}/{d.day:02}/{d.year}")}
+    assert len(set(all_changed(spark, sorted(written)))) == len(written)
+
+
+def test_phones_long_secrets_and_dates_before_times(spark):
+    phones = ["06 12 34 56 78", "06.12.34.56.78", "555.123.4567", "555 123 4567", "0171 1234567", "030/12345678", "020 7946 0958"]
+    for value, text in zip(phones, all_changed(spark, [f"tel {v}!" for v in phones]), strict=True):
+        assert text[4:-1] != value and as_zeros(text[4:-1]) == as_zeros(value) and re.fullmatch(pii.PHONE, text[4:-1])
+    secrets = ["a1B2" * 33, "sk-" + "x9" * 80, "q" * 200 + "7", "0f" * 400]
+    for value, text in zip(secrets, all_changed(spark, [f"key={v};" for v in secrets]), strict=True):
+        assert len(text) == len(value) + 5 and value[8:40] not in text
+    new = changed(spark, "1985-03-12T00:00:00Z")
+    assert new[:10] != "1985-03-12" and new[10:] == "T00:00:00Z" and datetime.date.fromisoformat(new[:10])
+
+
+def test_what_fails_its_check_stays(spark):
+    texts = ["31.02.1984 and 45/45/1999 and 1.31.12.1984", "DE88370400440532013000 DE89", "/12/03/1975/ 1985-03-12Tx"]
+    assert all_changed(spark, texts) == texts
