@@ -19,15 +19,21 @@ def _bucket(key: tuple[str, ...]) -> Column:
 
 def _buckets(keys: DataFrame, key: tuple[str, ...]) -> DataFrame:
     # 2 ** 20 integers at most
-    return F.broadcast(keys.select(_bucket(key).alias("_bucket")).distinct())
+    return F.broadcast(keys.select(_bucket(key).alias("bucket_of_keys")).distinct())
+
+
+def _by_bucket(rows: DataFrame, keys: DataFrame, key: tuple[str, ...], how: str) -> DataFrame:
+    """No column is added to ``rows``, so none of theirs can clash."""
+    buckets = _buckets(keys, key)
+    return rows.join(buckets, F.pmod(F.xxhash64(*(rows[k] for k in key)), F.lit(BUCKETS)).cast("int") == buckets["bucket_of_keys"], how)
 
 
 def likely(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
     """The rows whose key may be among the keys."""
-    return rows.withColumn("_bucket", _bucket(key)).join(_buckets(keys, key), "_bucket", "left_semi").drop("_bucket")
+    return _by_bucket(rows, keys, key, "left_semi")
 
 
 def without(rows: DataFrame, keys: DataFrame, *key: str) -> DataFrame:
     """The rows whose key isn't among the keys; rows with a null in the key stay."""
-    clear = rows.withColumn("_bucket", _bucket(key)).join(_buckets(keys, key), "_bucket", "left_anti").drop("_bucket")
+    clear = _by_bucket(rows, keys, key, "left_anti")
     return clear.unionByName(likely(rows, keys, *key).join(keys.select(*key), list(key), "left_anti").select(*rows.columns))
