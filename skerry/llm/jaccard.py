@@ -9,7 +9,9 @@ of word shingles ("tokens" here).  All steps are exact:
    PAIR_LIMIT documents share a key, each pair is kept if the parities of their
    tokens over a bitmap, which differ in no more bits than the sets differ in
    tokens, allow a link.  Where more do, they are put together as they are.
-   Candidates are joined transitively: no link leaves a group.
+   Candidates are joined transitively: no link leaves a group.  Keys that many
+   documents share are counted and joined apart from the others, so that no task
+   gets all of one.
 3. Within a group, a core set is chosen, the tokens that most members have.  A
    member is kept as its difference from the core.  As differences cancel,
    ``|A ^ B| = |Da ^ Db|`` for any core, so members near the core link to the one
@@ -20,13 +22,18 @@ of word shingles ("tokens" here).  All steps are exact:
    overlap with every member.  Only subgroups whose bound qualifies are opened and
    compared exactly; those already joined with the query are skipped.
 
-Groups of more than ``GROUP_LIMIT`` members are cut into blocks and go by pairs of
-blocks, so that a task holds two blocks at most.  Components come from the links
-found, which span each component.
+Groups of more than ``GROUP_LIMIT`` members or ``GROUP_TOKENS`` tokens are cut into
+blocks and go by pairs of blocks, so that a task holds two blocks at most.
+Components come from the links found, which span each component.
 
 Null and empty texts have no shingles and link with nothing.  Rows with equal ids
-count as one document with several texts.  Extra columns are ignored.  Shingles
-are compared by 64-bit hashes.
+are one document: it links where one of its texts does, all its rows get the
+same component, and each row the size of its own set.  Rows with a null id are found by
+nobody and get the component of their text's other rows, if there are any.  Repeated
+rows give a row each, ties go to the smallest id, an empty table gives an empty
+table.  Very long texts are held whole, one at a time, by the task that reads them.
+Extra columns are ignored, whatever their names.  Shingles are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -45,14 +52,20 @@ from skerry.llm import shingles
 from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
 from skerry.plans.sieve import likely, without
+from skerry.plans.skew import looked_up
 
 GROUP_LIMIT = 4096
+GROUP_TOKENS = 1 << 22
 PAIR_LIMIT = 32
 CLASS_RATIO = 1.3
 SKETCH_BITS = 20
 SKETCH_RUN = 1 << 20
 #: Rows whose texts are hashed together.
 SLICE = 128
+#: Cells in which keys are counted to find those that many share.
+KEY_CELLS = 1 << 16
+#: A cell with one in so many of all keys is crowded; there are so many crowded cells at most.
+CROWDED = 1000
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -206,23 +219,59 @@ def _profiles(docs: DataFrame, key: str, text: str, width: int, percent: int) ->
     return docs.select(key, text).mapInArrow(run, f"doc {kind}, n long, digest binary, keys array<long>, bits array<long>")
 
 
-def _candidates(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold all links."""
-    copies = cut(profiles.select("doc", "digest").join(reps, "digest").where("doc <> rep").select("doc", "digest"))
+def _several(profiles: DataFrame) -> DataFrame:
+    """Ids that occur with unequal sets."""
+    known = profiles.where("digest IS NOT NULL AND doc IS NOT NULL").groupBy("doc").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high"))
+    return cut(known.where("low <> high").select("doc"))
+
+
+def _bucketed(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found_by, doc, hub, size) of keys (doc, found_by) that several documents share, and (found_by, docs) of those that few do."""
+    cell = F.pmod(F.xxhash64("found_by"), F.lit(KEY_CELLS))
+    cells = cut(keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")))
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    # CROWDED cells at most
+    crowded = F.broadcast(cells.where((F.col("n") * CROWDED >= total) & (F.col("n") > KEY_CELLS)).select("cell"))
+    placed = keys.withColumn("cell", cell)
+    usual = placed.join(crowded, "cell", "left_anti").drop("cell").repartition("found_by")
+    hot = placed.join(crowded, "cell", "left_semi").drop("cell")
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.groupBy("found_by").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
+
+    heavy = cut(counted(hot))
+    in_heavy = looked_up(hot, heavy.withColumn("weight", F.col("size")), ("found_by",), "weight", F.xxhash64("doc")).where("hub IS NOT NULL")
+    shared = usual.join(counted(usual), "found_by")
+    few = F.col("size") <= PAIR_LIMIT
+    stars = shared.where(~few).unionByName(in_heavy.where(~few))
+
+    def listed(some: DataFrame) -> DataFrame:
+        return some.where(few).groupBy("found_by").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+
+    return stars, listed(shared).unionByName(listed(in_heavy))
+
+
+def _candidates(profiles: DataFrame, reps: DataFrame, several: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold all links; ids in ``several`` have no bitmap of their own."""
+    # copies of a set, but for its first holder
+    copies = cut(_with_rep(profiles.select("doc", "digest"), reps).where("doc <> rep").select("doc", "digest"))
     own = without(profiles.select("doc", "digest", "keys"), copies, "doc", "digest")
-    keys = own.select("doc", F.explode("keys").alias("found_by")).repartition("found_by")
-    buckets = keys.groupBy("found_by").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    shared = keys.join(buckets, "found_by")
-    stars = shared.where(F.col("size") > PAIR_LIMIT).select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a > b").distinct()
-    few = shared.where(F.col("size") <= PAIR_LIMIT).groupBy("found_by").agg(F.sort_array(F.collect_list("doc")).alias("docs"))
+    shared, few = _bucketed(own.select("doc", F.explode("keys").alias("found_by")))
+    stars = shared.select(F.col("doc").alias("a"), F.col("hub").alias("b")).where("a > b").distinct()
     later = F.transform(
         F.col("docs"), lambda x, i: F.transform(F.slice(F.col("docs"), i + 2, F.size("docs")), lambda y: F.struct(y.alias("i"), x.alias("j")))
     )
     pairs = few.select(F.inline(F.flatten(later))).where("i > j").distinct()
-    sides = profiles.select("doc", "n", "bits").dropDuplicates(["doc"])
+    sides = without(profiles.where("digest IS NOT NULL").select("doc", "n", "bits"), several, "doc").dropDuplicates(["doc"])
     for side in "ij":
-        pairs = pairs.join(sides.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.where(_may_link(percent)).select(F.col("i").alias("a"), F.col("j").alias("b")).union(stars)
+        pairs = pairs.join(sides.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side, "left")
+    allowed = F.col("bits_i").isNull() | F.col("bits_j").isNull() | _may_link(percent)
+    return pairs.where(allowed).select(F.col("i").alias("a"), F.col("j").alias("b")).union(stars)
+
+
+def _with_rep(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (doc, digest) with ``rep``, the first holder of the set; a set that most rows have doesn't meet in one task."""
+    return looked_up(rows, reps, ("digest",), "copies", F.xxhash64("doc"))
 
 
 class _Union:
@@ -303,9 +352,9 @@ def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _links_in_groups(docs: DataFrame, members: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Links (a, b) within the groups; ``members`` has (doc, component)."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("_size"))
-    blocks = F.ceil(F.col("_size") / GROUP_LIMIT).cast("int")
+    """Links (a, b) within the groups; ``members`` has (doc, component, n)."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("_size"), F.sum("n").alias("_tokens"))
+    blocks = F.greatest(F.ceil(F.col("_size") / GROUP_LIMIT), F.ceil(F.col("_tokens") / GROUP_TOKENS)).cast("int")
     own = F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1), lambda o: F.struct(F.least(F.col("_own"), o).alias("x"), F.greatest(F.col("_own"), o).alias("y"))
@@ -359,16 +408,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     strings.
     """
     profiles = cut(_profiles(docs, key, text, width, percent))
-    alike = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep"))
-    groups = cut(connected_components(_candidates(profiles, alike, percent)).withColumnRenamed("node", "doc"))
-    links = _links_in_groups(docs, groups, key, text, width, percent)
-    labels = connected_components(links)
-    reps = alike.join(labels, alike["rep"] == labels["node"], "left").select(
-        "digest", F.coalesce("component", "rep").alias("component_id")
-    )
-    return profiles.join(reps, "digest", "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")
-    )
+    sets = profiles.where("digest IS NOT NULL")
+    alike = cut(sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))
+    several = _several(profiles)
+    groups = connected_components(_candidates(profiles, alike, several, percent)).withColumnRenamed("node", "doc")
+    members = cut(groups.join(sets.groupBy("doc").agg(F.sum("n").alias("n")), "doc"))
+    links = _links_in_groups(docs, members, key, text, width, percent)
+    # an id with unequal sets links to the first holder of each
+    own = _with_rep(likely(sets.select("doc", "digest"), several, "doc").join(several, "doc", "left_semi"), alike)
+    labels = connected_components(links.union(own.where("doc <> rep").select(F.greatest("doc", "rep"), F.least("doc", "rep"))))
+    reps = alike.join(labels, alike["rep"] == labels["node"], "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
+    found = _with_rep(profiles.select("doc", "n", "digest"), cut(reps))
+    return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -1,31 +1,37 @@
-"""Word shingles as 64-bit hashes, many texts at a time, for use inside Python workers."""
+"""Word shingles as 64-bit hashes, many texts at a time, for use inside Python workers.
+
+A word's hash is the first 64 bits of its BLAKE2b digest, so no texts collide by
+construction: two given words are told apart but for a chance of 2 ** -64.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_RUN = 1 << 19
 
-#: Which bytes end words: space, and tab to carriage return.
-BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: All of ASCII but letters, digits and the underscore.
-MARKS = np.array([b < 128 and not (chr(b).isalnum() or b == 0x5F) for b in range(256)])
+#: Bytes that end words where words are letters, digits, underscores and what isn't ASCII.
+MARKS = bytes(b for b in range(128) if not (chr(b).isalnum() or b == 0x5F))
+
+_AS_BLANKS = {b"": None, MARKS: bytes(0x20 if b in MARKS else b for b in range(256))}
+
 
-_powers: dict[str, np.ndarray] = {}
+class _Words(dict):
+    """Hashes of words, kept up to a number; new words are hashed when they are asked for."""
 
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[word] = found
+        return found
 
-def _power(name: str, base: int, size: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < size:
-        steps = np.full(max(size, _RUN + 1), base, np.uint64)
-        steps[0] = 1
-        _powers[name] = np.multiply.accumulate(steps)
-    return _powers[name][:size]
+
+_words = _Words()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,44 +41,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each data[start:end], by differences of one running sum."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power("up", _BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power("down", _BASE_INVERSE, len(data) + 1)[starts])
-
-
-def words_of(texts: list[bytes], breaks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, bytes of each word, where each text's words begin; one more at the end)."""
-    hashes, sizes, counts = [], [], []
-    for run in _runs(texts):
-        data = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
-        inside = np.concatenate([[False], ~breaks[data]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        if len(edges) % 2:
-            edges = np.append(edges, len(data))
-        starts, ends = edges[::2], edges[1::2]
-        hashes.append(_hashed(data, starts, ends))
-        sizes.append(ends - starts)
-        borders = np.cumsum([len(t) + 1 for t in run])
-        counts.append(np.diff(np.concatenate([[0], np.searchsorted(starts, borders)])))
-    begin = np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else [])]).astype(np.int64)
-    none = [np.zeros(0, np.uint64)]
-    return np.concatenate(hashes or none), np.concatenate(sizes or none).astype(np.int64), begin
-
-
-def _runs(texts: list[bytes]) -> Iterator[list[bytes]]:
-    """Texts of about _RUN bytes together, or one longer text."""
-    run: list[bytes] = []
-    held = 0
+def words_of(texts: list[bytes], marks: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, bytes of each word, where each text's words begin; one more at the end).
+
+    Words lie between blanks, that is space and tab to carriage return, and ``marks``.
+    """
+    hashes, sizes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
     for text in texts:
-        if run and held + len(text) >= _RUN:
-            yield run
-            run, held = [], 0
-        run.append(text)
-        held += len(text) + 1
-    if run:
-        yield run
+        words = text.translate(_AS_BLANKS[marks]).split()
+        hashes.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+        counts.append(len(words))
+    return np.concatenate(hashes), np.concatenate(sizes), np.cumsum([0, *counts]).astype(np.int64)
 
 
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:

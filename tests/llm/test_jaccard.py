@@ -52,7 +52,7 @@ def test_components_agree_with_brute_force(spark, width, percent):
     texts += [None, "", " \n", "a b", "A  b", "a b c", "same text here now", "Same TEXT here\tnow", " ".join("r" for _ in range(900))]
     rows = list(enumerate(texts))
     rng.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("nothing", "nothing")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width=width, percent=percent).collect()}
     assert got == brute(rows, width, percent)
 
@@ -101,6 +101,79 @@ def test_one_of_each(spark):
     assert got == [("3", 2), ("4", 4), ("7", 6), ("None", 5)]
 
 
+def by_id(rows, width, percent):
+    """Brute force where an id may have several texts: {(id, its set's size): component}."""
+    sets = [(d, shingled(t, width)) for d, t in rows]
+    up = {d: d for d, _ in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(d), find(e)
+                up[max(x, y)] = min(x, y)
+    return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+def test_unequal_words_that_linear_hashes_mix_up_stay_apart(spark):
+    """Thue-Morse words of 1,024 letters collide in any polynomial hash mod 2 ** 64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(10, one), (11, other), (12, f"x {one} y z"), (13, f"x {other} y z")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()} == {i: i for i in range(10, 14)}
+    assert len({shingles.shingle_set(t, 3)[0] for t in (one, other)}) == 2
+
+
+def test_ids_with_several_texts(spark):
+    rng = random.Random(5)
+    a, b, c = (family(rng, 6, 150, 3) for _ in range(3))
+    rows = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (4, c[0]), (9, c[1]), (9, a[2]), (8, "own words only here"), (8, "own words only here"), (0, b[0]), (7, None), (7, c[2]), (6, "")]
+    rows += [(20 + i, t) for i, t in enumerate(family(rng, 30, 200, 4))] + [(20, "one more text of twenty"), (5, "one more text of twenty")]
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, n int, digest string").repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect())
+    assert got == by_id(rows, 3, 90)
+
+
+def test_hot_texts_and_keys(spark, monkeypatch):
+    """Many copies of one text and many near copies of another, with every key counted as crowded or none."""
+    rng = random.Random(6)
+    rows = list(enumerate([family(rng, 1, 90, 0)[0]] * 120 + family(rng, 120, 90, 3) + family(rng, 60, 90, 90)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows, 3, 90)
+    for cells in (1 << 16, 0):
+        monkeypatch.setattr(jaccard, "CROWDED", 1 << 40 if cells == 0 else 1000)
+        monkeypatch.setattr(jaccard, "KEY_CELLS", cells or 1)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+        assert got == want
+
+
+def test_whole_table_agrees_with_brute_force(spark, sf_dir):
+    from skerry.llm import queries
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, sf_dir).collect()}
+    assert got == brute(rows, 3, 90)
+
+
+def test_null_ids_clashing_names_and_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(None, "a b c d"), (2, "a b c d"), (None, "q r s t"), (None, None), (3, long), (4, long + " end"), (5, "z" * 500_000)]
+    names = "doc_id long, text string, _bucket int, bucket_of_keys int, doc int, rep string, component int, component_id int, n_shingles int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "r", 5, 6, 7) for r in rows], names)
+    got = sorted(jaccard.jaccard_components(docs).collect(), key=str)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(
+        [("None", 2, "2"), ("2", 2, "2"), ("None", 2, "None"), ("None", 0, "None"), ("3", 119998, "3"), ("4", 119999, "3"), ("5", 1, "5")]
+    )
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "5", "None", "None", "None"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(docs).count() == 0
