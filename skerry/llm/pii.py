@@ -2,15 +2,18 @@
 
 A text is cut at everything that looks like personal data.  A hit that also
 passes the check of its kind is replaced by a keyed permutation of itself within
-its format, all else stays as it is to the last character.  As the permutation
-depends on the key and the value alone, equal values keep equal pseudonyms across
-documents, different values keep different ones, and the holder of the key can
-turn them back.  The permutations are Feistel networks:
+its format, all else stays as it is to the last character.  Hits have any length.
+As the permutation depends on the key and the value alone, equal values keep equal
+pseudonyms across documents, different values keep different ones, and with the
+key ``restore`` turns texts back: a pseudonym is a hit of the same kind in the same place.
+The permutations are Feistel networks, in restoring run backwards; where one leaves
+the kind of a value, it is repeated until it is back in it:
 
 - characters (cards, phones, mail names, secrets, other numbers): the string is
   halved; each round adds to one half a keyed hash of the other half, place by
   place within the character's class, so a digit stays a digit, a lower-case
-  letter a lower-case letter, and a hexadecimal string hexadecimal.  Cards (13 to 19 digits with a Luhn check digit):
+  letter a lower-case letter, and a hexadecimal string hexadecimal.  A secret keeps
+  a prefix that tells its kind.  Cards (13 to 19 digits with a Luhn check digit):
   all but the last digit are permuted and the check digit is set anew; numbers
   of that length without a valid check digit stay without one.  Three digits after
   a card of 16 are part of it only if 19 digits have a check digit and 16 have none.
@@ -22,16 +25,19 @@ turn them back.  The permutations are Feistel networks:
   189 x 773 grid; rows and columns take turns.  Where the day or month has one digit
   or the month is first, the permutation is repeated until the new day is written so too.
 
-Numbers of 9 to 12 digits are permuted whole: they may be account or identity
-numbers.
+Numbers of 9 to 12 or over 19 digits, phones and social security numbers have no
+check digit to validate; as they may be account or identity numbers, all are permuted.
 
 Null text stays null, empty text empty.  Texts without a hit are returned as they
-are.  Equal rows stay equal; all other columns are kept; an empty table gives an
-empty table.  Values only link where they are written in the same format.
+are; very long ones take time in proportion to their length.  Equal rows stay
+equal; all other columns are kept; an empty table gives an empty table.  Values
+only link where they are written in the same format.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +47,7 @@ ROUNDS = 6
 DAYS, COLUMNS = 146_097, 773
 FIRST_DAY = "1800-01-01"
 
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}"
+MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}"
 WRITTEN = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
@@ -52,9 +58,10 @@ PHONE = rf"\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,4}}|\(\d{{3}
 SOCIAL = r"\d{3}-\d{2}-\d{4}"
 FOURS = r"\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}"
 CARD = rf"{FOURS}(?:[ \-]\d{{3}})?|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{5}}|\d{{6}}[ \-]\d{{13}}"
-NUMBER = r"\d{9,19}"
+NUMBER = r"\d{9,}"
 #: Hex or mixed strings of 32 characters or more with a digit, and keys with a known prefix.
-SECRET = r"(?=[A-Za-z]*\d)[A-Za-z0-9]{32,}|(?:AKIA|ghp_|sk-|sk_live_|xox[bp]-)[A-Za-z0-9_\-]{12,}"
+PREFIX = "AKIA|ghp_|sk-|sk_live_|xox[bp]-"
+SECRET = rf"(?=[A-Za-z]*\d)[A-Za-z0-9]{{32,}}|(?:{PREFIX})[A-Za-z0-9_\-]{{12,}}"
 #: Countries by the length of their IBANs.
 IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
@@ -69,8 +76,10 @@ IBAN = "|".join(
 BEFORE_IBAN, AFTER_IBAN = r"(?<![A-Za-z0-9@])", r"(?![A-Za-z0-9]|[\w.%+\-]*@)"
 #: The most repeats of the permutation of a written date; one in five days at least is written with one digit each.
 WALK = 256
+#: The same where a kind of secret or card may be left; at worst one value in four leaves its kind at a step.
+STEPS = 64
 
-HIT = rf"(?<![A-Za-z0-9._%+\-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])|(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)|(?<![\w/\-])(?<!\d\.)(?:{WRITTEN})(?!\w|[./\-]\d)|(?<![\w+])(?:{PHONE})(?!\w)|(?<![\w\-])(?:{DATE}(?=T\d)|(?:{DATE}|{SOCIAL}|{CARD}|{NUMBER})(?![\w]))"
+HIT = rf"(?<![A-Za-z0-9._%+\-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])|(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)|(?<![\w/\-])(?<!\d\.)(?:{WRITTEN})(?!\w|[./\-]\d)|(?<![\w\-])(?:{CARD})(?!\w)|(?<![\w+])(?:{PHONE})(?!\w)|(?<![\w\-])(?:{DATE}(?=T\d)|(?:{DATE}|{SOCIAL}|{NUMBER})(?![\w]))"
 
 
 def _pad(key: str, label: Column, half: Column) -> Column:
@@ -78,8 +87,8 @@ def _pad(key: str, label: Column, half: Column) -> Column:
     return F.sha2(F.concat(F.lit(key), F.lit("|"), label, F.lit("|"), half), 256)
 
 
-def _shifted(chars: Column, pad: Column, alphabet: str | None = None) -> Column:
-    """Each character moved on within its class by the pad's byte at its place (the pad repeats).
+def _shifted(chars: Column, pad: Column, alphabet: str | None, back: bool) -> Column:
+    """Each character moved on, or back, within its class by the pad's byte at its place (the pad repeats).
 
     With an ``alphabet``, all characters are of it and it is the one class.
     """
@@ -87,11 +96,14 @@ def _shifted(chars: Column, pad: Column, alphabet: str | None = None) -> Column:
     def moved(c: Column, i: Column) -> Column:
         byte = F.conv(F.substring(pad, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
+        def by(size: int) -> Column:
+            return size - byte % size if back else byte
+
         if alphabet:
-            return F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + byte) % len(alphabet) + 1, F.lit(1))
+            return F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by(len(alphabet))) % len(alphabet) + 1, F.lit(1))
 
         def step(first: str, size: int) -> Column:
-            return F.char((F.ascii(c) - ord(first) + byte) % size + ord(first))
+            return F.char((F.ascii(c) - ord(first) + by(size)) % size + ord(first))
 
         return (
             F.when((c >= "0") & (c <= "9"), step("0", 10))
@@ -103,7 +115,11 @@ def _shifted(chars: Column, pad: Column, alphabet: str | None = None) -> Column:
     return F.array_join(F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), moved), "")
 
 
-def permuted_text(key: str, label: str, value: Column, alphabet: str | None = None) -> Column:
+def _rounds(back: bool) -> Column:
+    return F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+
+def permuted_text(key: str, label: str, value: Column, alphabet: str | None = None, back: bool = False) -> Column:
     """The character network; without an alphabet, characters outside 0-9, a-z and A-Z stay in place."""
 
     def from_half(size: Column) -> Column:
@@ -111,11 +127,11 @@ def permuted_text(key: str, label: str, value: Column, alphabet: str | None = No
 
         def turn(s: Column, r: Column) -> Column:
             name = F.concat(F.lit(label), F.lit(":"), r.cast("string"))
-            return F.when(r % 2 == 0, F.struct(_shifted(s["a"], _pad(key, name, s["b"]), alphabet).alias("a"), s["b"].alias("b"))).otherwise(
-                F.struct(s["a"].alias("a"), _shifted(s["b"], _pad(key, name, s["a"]), alphabet).alias("b"))
+            return F.when(r % 2 == 0, F.struct(_shifted(s["a"], _pad(key, name, s["b"]), alphabet, back).alias("a"), s["b"].alias("b"))).otherwise(
+                F.struct(s["a"].alias("a"), _shifted(s["b"], _pad(key, name, s["a"]), alphabet, back).alias("b"))
             )
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: F.concat(s["a"], s["b"]))
+        return F.aggregate(_rounds(back), state, turn, lambda s: F.concat(s["a"], s["b"]))
 
     return let(F.floor(F.length(value) / 2).cast("int"), from_half)
 
@@ -124,17 +140,21 @@ def _number(key: str, label: Column, half: Column) -> Column:
     return F.conv(F.substring(_pad(key, label, half.cast("string")), 1, 12), 16, 10).cast("long")
 
 
-def permuted_grid(key: str, label: str, value: Column, rows: int, columns: int) -> Column:
+def _added(n: Column, number: Column, size: int, back: bool) -> Column:
+    return (n + size - number % size) % size if back else (n + number) % size
+
+
+def permuted_grid(key: str, label: str, value: Column, rows: int, columns: int, back: bool = False) -> Column:
     """A permutation of 0 .. rows * columns - 1."""
     state = F.struct(F.floor(value / columns).cast("long").alias("a"), (value % columns).cast("long").alias("b"))
 
     def turn(s: Column, r: Column) -> Column:
         name = F.concat(F.lit(label), F.lit(":"), r.cast("string"))
-        return F.when(r % 2 == 0, F.struct(((s["a"] + _number(key, name, s["b"])) % rows).alias("a"), s["b"].alias("b"))).otherwise(
-            F.struct(s["a"].alias("a"), ((s["b"] + _number(key, name, s["a"])) % columns).alias("b"))
+        return F.when(r % 2 == 0, F.struct(_added(s["a"], _number(key, name, s["b"]), rows, back).alias("a"), s["b"].alias("b"))).otherwise(
+            F.struct(s["a"].alias("a"), _added(s["b"], _number(key, name, s["a"]), columns, back).alias("b"))
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: s["a"] * columns + s["b"])
+    return F.aggregate(_rounds(back), state, turn, lambda s: s["a"] * columns + s["b"])
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -162,7 +182,7 @@ def _laid_out(pattern: Column, digits: Column) -> Column:
     )
 
 
-def _long_number(key: str, value: Column) -> Column:
+def _long_number(key: str, value: Column, back: bool) -> Column:
     """13 to 19 digits: how far the last digit is from the check digit stays, so cards map to cards and others to others."""
 
     def off(body: Column, last: Column) -> Column:
@@ -171,18 +191,66 @@ def _long_number(key: str, value: Column) -> Column:
     def of_digits(digits: Column) -> Column:
         body, last = F.substring(digits, F.lit(1), F.length(digits) - 1), F.substring(digits, -1, 1).cast("int")
         return let(
-            permuted_text(key, "card", body),
+            permuted_text(key, "card", body, back=back),
             lambda new: _laid_out(value, F.concat(new, ((off(body, last) + 10 - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10).cast("string"))),
         )
 
     return let(F.regexp_replace(value, "[^0-9]", ""), of_digits)
 
 
-def _card(key: str, value: Column) -> Column:
+def _walked(value: Column, kind: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    """``step`` of ``value``, repeated until the result is of the value's kind."""
+
+    def turn(s: Column, _: Column) -> Column:
+        def moved(new: Column) -> Column:
+            return F.struct(new.alias("value"), s["kind"].alias("kind"), (kind(new) == s["kind"]).alias("done"))
+
+        return F.when(s["done"], s).otherwise(let(step(s["value"]), moved))
+
+    state = F.struct(value.alias("value"), kind(value).alias("kind"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, turn, lambda s: s["value"])
+
+
+def _card(key: str, value: Column, back: bool) -> Column:
     """Of 4-4-4-4-3 digits, the last three stay apart unless they make the card."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    apart = value.rlike(rf"^{FOURS}[ \-]") & ((luhn_sum(digits) % 10 != 0) | (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0))
-    return F.concat(_long_number(key, F.when(apart, F.substring(value, 1, 19)).otherwise(value)), F.when(apart, F.substring(value, 20, 4)).otherwise(""))
+
+    def apart(v: Column) -> Column:
+        digits = F.regexp_replace(v, "[^0-9]", "")
+        return (luhn_sum(digits) % 10 != 0) | (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0)
+
+    def step(v: Column) -> Column:
+        # by the value's own kind, so that all steps are of one permutation
+        return F.when(apart(value), F.concat(_long_number(key, F.substring(v, 1, 19), back), F.substring(v, 20, 4))).otherwise(_long_number(key, v, back))
+
+    return F.when(value.rlike(rf"^{FOURS}[ \-]"), _walked(value, apart, step)).otherwise(_long_number(key, value, back))
+
+
+def _secret(key: str, value: Column, back: bool) -> Column:
+    """Digits stay digits, hexadecimal strings hexadecimal, and prefixes as they are."""
+
+    def prefix(v: Column) -> Column:
+        return F.regexp_extract(v, rf"^(?:{PREFIX})", 0)
+
+    def kind(v: Column) -> Column:
+        # an IBAN is found as one before all else
+        return (
+            F.when(v.rlike("^[0-9]+$"), F.lit("digits"))
+            .when(v.rlike("^(?=.*[0-9])[0-9a-f]{32,}$"), F.lit("hex"))
+            .when(v.rlike("^(?=.*[0-9])[0-9A-F]{32,}$"), F.lit("HEX"))
+            .when(v.rlike(rf"^(?:{IBAN})$") & _is_iban(v), F.lit("iban"))
+            .otherwise(F.concat(F.lit("other"), prefix(v)))
+        )
+
+    def step(v: Column) -> Column:
+        return (
+            F.when(kind_of_value == "hex", permuted_text(key, "hex", v, "0123456789abcdef", back))
+            .when(kind_of_value == "HEX", permuted_text(key, "hex", v, "0123456789ABCDEF", back))
+            .otherwise(F.concat(front, permuted_text(key, "other", F.substring(v, F.length(front) + 1, F.length(v)), back=back)))
+        )
+
+    # by the value's own kind and prefix, so that all steps are of one permutation
+    kind_of_value, front = kind(value), prefix(value)
+    return _walked(value, kind, step)
 
 
 def _mod_97(plain: Column) -> Column:
@@ -200,39 +268,39 @@ def _is_iban(value: Column) -> Column:
     return _mod_97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1
 
 
-def _iban(key: str, value: Column) -> Column:
+def _iban(key: str, value: Column, back: bool) -> Column:
     def with_check(new: Column) -> Column:
         country = F.substring(value, 1, 2)
         check = 98 - _mod_97(F.concat(F.regexp_replace(new, "[^A-Z0-9]", ""), country, F.lit("00")))
         return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
 
-    return let(permuted_text(key, "iban", F.substring(value, F.lit(5), F.length(value))), with_check)
+    return let(permuted_text(key, "iban", F.substring(value, F.lit(5), F.length(value)), back=back), with_check)
 
 
-def _phone(key: str, value: Column) -> Column:
+def _phone(key: str, value: Column, back: bool) -> Column:
     """A country code stays, and so does the 0 that makes a number a national one."""
     country = F.regexp_extract(value, rf"^(?:\+\d{{1,3}}(?=[ .\-(])|0(?!\d\d[ .\-]\d{{3}}[ .\-]\d{{4}}$))", 0)
-    return F.concat(country, permuted_text(key, "phone", F.substring(value, F.length(country) + 1, F.length(value))))
+    return F.concat(country, permuted_text(key, "phone", F.substring(value, F.length(country) + 1, F.length(value)), back=back))
 
 
-def _address(key: str, value: Column) -> Column:
+def _address(key: str, value: Column, back: bool) -> Column:
     def of_parts(parts: Column) -> Column:
         whole = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n * 256 + p.cast("long"))
         return let(
-            permuted_grid(key, "address", whole, 65536, 65536),
+            permuted_grid(key, "address", whole, 65536, 65536, back),
             lambda n: F.concat_ws(".", *(F.floor(n / 256**k).cast("long") % 256 for k in (3, 2, 1, 0))),
         )
 
     return let(F.split(value, r"\."), of_parts)
 
 
-def _date(key: str, value: Column) -> Column:
+def _date(key: str, value: Column, back: bool) -> Column:
     day = F.datediff(F.try_to_date(value, "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY))).cast("long")
-    new = permuted_grid(key, "date", day, DAYS // COLUMNS, COLUMNS)
+    new = permuted_grid(key, "date", day, DAYS // COLUMNS, COLUMNS, back)
     return F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), new.cast("int")), "yyyy-MM-dd")
 
 
-def _written_date(key: str, value: Column) -> Column:
+def _written_date(key: str, value: Column, back: bool) -> Column:
     """A date of two numbers and a year keeps its order, its marks and the width of each number."""
     first, mark, second = F.regexp_extract(value, r"^\d+", 0), F.regexp_extract(value, r"\D", 0), F.regexp_extract(value, r"^\d+\D(\d+)", 1)
 
@@ -257,15 +325,16 @@ def _written_date(key: str, value: Column) -> Column:
     def turn(s: Column, i: Column) -> Column:
         a, b = numbers(s)
         fits = ((a < 10) | (s["first"] == 2)) & ((b < 10) | (s["second"] == 2)) & (s["in_order"] | (b > 12))
-        name = F.concat(F.lit("date:"), (i % ROUNDS).cast("string"))
+        r = ROUNDS - 1 - i % ROUNDS if back else i % ROUNDS
+        name = F.concat(F.lit("date:"), r.cast("string"))
 
         def moved(a: Column, b: Column, done: bool) -> Column:
             return F.struct(a.alias("a"), b.alias("b"), F.lit(done).alias("done"), *(s[k].alias(k) for k in ("in_order", "first", "second")))
 
         return (
             F.when(s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits), moved(s["a"], s["b"], True))
-            .when(i % 2 == 0, moved((s["a"] + _number(key, name, s["b"])) % (DAYS // COLUMNS), s["b"], False))
-            .otherwise(moved(s["a"], (s["b"] + _number(key, name, s["a"])) % COLUMNS, False))
+            .when(r % 2 == 0, moved(_added(s["a"], _number(key, name, s["b"]), DAYS // COLUMNS, back), s["b"], False))
+            .otherwise(moved(s["a"], _added(s["b"], _number(key, name, s["a"]), COLUMNS, back), False))
         )
 
     def written(s: Column) -> Column:
@@ -275,32 +344,31 @@ def _written_date(key: str, value: Column) -> Column:
     return F.when(start.isNull(), value).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(WALK * ROUNDS)), state, turn, written))
 
 
-def _mail(key: str, value: Column) -> Column:
+def _mail(key: str, value: Column, back: bool) -> Column:
     """The name and the host are permuted apart; the dots and the top-level domain stay."""
     name, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(host, ".", -1)
     rest = F.substring(host, F.lit(1), F.length(host) - F.length(top))
-    return F.concat(permuted_text(key, "mail", name), F.lit("@"), permuted_text(key, "host", rest), top)
+    return F.concat(permuted_text(key, "mail", name, back=back), F.lit("@"), permuted_text(key, "host", rest, back=back), top)
 
 
-def pseudonym(key: str, value: Column) -> Column:
-    """What replaces a hit; the hit itself if it fails the check of its kind."""
+def pseudonym(key: str, value: Column, back: bool = False) -> Column:
+    """What replaces a hit, or with ``back`` what it replaced; the hit itself if it fails the check of its kind."""
     is_address = value.rlike(rf"^{ADDRESS}$")
     octets = F.forall(F.split(value, r"\."), lambda p: p.cast("int") < 256)
     plain = F.forall(F.split(value, r"\."), lambda p: (F.length(p) == 1) | ~p.startswith("0"))
     is_date = value.rlike(rf"^{DATE}$")
     day = F.when(is_date, F.try_to_date(value, "yyyy-MM-dd"))
     return (
-        F.when(value.contains("@"), _mail(key, value))
-        .when(value.rlike(rf"^(?:{IBAN})$") & _is_iban(value), _iban(key, value))
-        .when(is_address, F.when(octets & plain, _address(key, value)).otherwise(value))
-        .when(is_date, F.when(day.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), _date(key, value)).otherwise(value))
-        .when(value.rlike(rf"^(?:{WRITTEN})$"), _written_date(key, value))
-        .when(value.rlike(rf"^(?:{CARD}|\d{{13,19}})$"), _card(key, value))
-        .when(value.rlike(rf"^[+(]|^(?:{TRIPLE}|{NATIONAL})$"), _phone(key, value))
-        .when(value.rlike("^[0-9a-f]{32,}$"), permuted_text(key, "hex", value, "0123456789abcdef"))
-        .when(value.rlike("^[0-9A-F]{32,}$"), permuted_text(key, "hex", value, "0123456789ABCDEF"))
-        .otherwise(permuted_text(key, "other", value))
+        F.when(value.contains("@"), _mail(key, value, back))
+        .when(value.rlike(rf"^(?:{IBAN})$") & _is_iban(value), _iban(key, value, back))
+        .when(is_address, F.when(octets & plain, _address(key, value, back)).otherwise(value))
+        .when(is_date, F.when(day.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), _date(key, value, back)).otherwise(value))
+        .when(value.rlike(rf"^(?:{WRITTEN})$"), _written_date(key, value, back))
+        .when(value.rlike(rf"^(?:{CARD}|\d{{13,19}})$"), _card(key, value, back))
+        .when(value.rlike(rf"^[+(]|^(?:{TRIPLE}|{NATIONAL})$"), _phone(key, value, back))
+        .when(value.rlike(rf"^(?:{SECRET})$"), _secret(key, value, back))
+        .otherwise(permuted_text(key, "other", value, back=back))
     )
 
 
@@ -316,18 +384,18 @@ def hits(text: Column) -> Column:
     return F.regexp_extract_all(text, _pattern(text), F.lit(0))
 
 
-def pseudonymized(text: Column, key: str) -> Column:
-    """The text with each valid hit replaced."""
+def pseudonymized(text: Column, key: str, back: bool = False) -> Column:
+    """The text with each valid hit replaced, or with ``back`` put back."""
 
     def woven(new: Column) -> Column:
         pairs = F.zip_with(F.split(text, _pattern(text), -1), new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
         return F.array_join(F.flatten(pairs), "")
 
     def changed(found: Column) -> Column:
-        return F.when(F.size(found) == 0, text).otherwise(let(F.transform(found, lambda v: pseudonym(key, v)), woven))
+        return F.when(F.size(found) == 0, text).otherwise(let(F.transform(found, lambda v: pseudonym(key, v, back)), woven))
 
-    # every kind has a digit or an @
-    return F.when(text.rlike("[0-9@]"), let(hits(text), changed)).otherwise(text)
+    # every kind has a digit, an @ or a known prefix
+    return F.when(text.rlike(f"[0-9@]|{PREFIX}"), let(hits(text), changed)).otherwise(text)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -337,3 +405,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     as safe as the key.
     """
     return docs.withColumn(text, pseudonymized(F.col(text), key))
+
+
+def restore(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The original texts of ``pseudonymize``d ones."""
+    return docs.withColumn(text, pseudonymized(F.col(text), key, back=True))
