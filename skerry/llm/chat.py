@@ -1,8 +1,8 @@
 """Chat formatting with a reversible template and a loss mask, in Spark expressions only.
 
-The turns of a conversation are collected as structs and sorted; an array
-aggregation merges neighbours of the same role into one block and concatenates
-the blocks.  Within a block, the parts stay apart, so that the turns can be read
+The turns of a conversation are collected as structs and sorted; array functions
+merge neighbours of the same role into one block, add up the places and concatenate
+the blocks, in time proportional to the conversation's length.  Within a block, the parts stay apart, so that the turns can be read
 back one by one:
 
     <|begin|>user<|says|>first text<|part|>second text<|end|><|begin|>assistant ...
@@ -14,21 +14,27 @@ The mask is an array of (start, length) in code points of the formatted string,
 one for each assistant text.
 
 Null text is the empty text, null role the empty role.  Rows with the same
-conversation and turn are ordered by role and text; rows with a null turn come
-first, and a null conversation is one of its own.  Extra columns are ignored.  An
+conversation and turn are ordered by role and text as they are before escaping;
+repeated rows are turns of their own; rows with a null turn come first, and a null conversation is one of its own.  Extra columns are ignored.  An
 empty table gives an empty table.  A conversation is one row of the result, so it
 has to fit into a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.exprs import let
+
 BEGIN, SAYS, PART, END = "<|begin|>", "<|says|>", "<|part|>", "<|end|>"
 #: Order counts: the ampersand is escaped first and restored last.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
 LEARNT_ROLE = "assistant"
+#: Turns whose places are added up in a row.
+RUN = 256
 
 
 def escaped(text: Column) -> Column:
@@ -43,37 +49,45 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def _before(sizes: Column) -> Column:
+    """The sums of the sizes before each place, run by run so that only short arrays grow step by step."""
+
+    def last(a: Column) -> Column:
+        return F.element_at(a, -1)
+
+    def summed(items: Column, size: Callable[[Column], Column]) -> Column:
+        return F.aggregate(items, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(last(a) + size(x))))
+
+    def placed(runs: Column) -> Column:
+        starts = F.zip_with(runs, summed(runs, last), lambda run, at: F.transform(F.slice(run, F.lit(1), F.size(run) - 1), lambda x: x + at))
+        return F.flatten(F.filter(starts, lambda run: run.isNotNull()))
+
+    cuts = F.sequence(F.lit(1), F.size(sizes), F.lit(RUN))
+    return let(F.transform(cuts, lambda k: summed(F.slice(sizes, k, RUN), lambda x: x)), placed)
+
+
 def _join(turns: Column) -> Column:
-    """A struct of the formatted string and the mask, from sorted turn structs with escaped parts."""
-    start = F.struct(
-        F.lit(None).cast("string").alias("role"),
-        F.array().cast("array<string>").alias("pieces"),
-        F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"),
-    )
+    """A struct of the formatted string and the mask, from sorted turn structs."""
 
-    def add(state: Column, turn: Column) -> Column:
-        opening = (
-            F.when(state["role"] == turn["role"], F.lit(PART))
-            .when(state["role"].isNull(), F.concat(F.lit(BEGIN), turn["role"], F.lit(SAYS)))
-            .otherwise(F.concat(F.lit(END + BEGIN), turn["role"], F.lit(SAYS)))
-        )
-        at = state["at"] + F.length(opening)
-        size = F.length(turn["text"]).cast("long")
-        span = F.array(F.struct(at.alias("start"), size.alias("length")))
+    def opened(turn: Column, i: Column) -> Column:
+        role = escaped(turn["role"])
+        begin = F.concat(F.lit(BEGIN), role, F.lit(SAYS))
+        opening = F.when(i == 0, begin).when(F.get(turns, i - 1)["role"] == turn["role"], F.lit(PART)).otherwise(F.concat(F.lit(END), begin))
+        return F.struct(opening.alias("opening"), escaped(turn["text"]).alias("text"), (turn["role"] == LEARNT_ROLE).alias("learnt"))
+
+    def whole(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: (F.length(p["opening"]) + F.length(p["text"])).cast("long"))
+
+        def span(p: Column, at: Column) -> Column:
+            return F.struct((at + F.length(p["opening"])).alias("start"), F.length(p["text"]).cast("long").alias("length"), p["learnt"].alias("learnt"))
+
+        spans = F.filter(F.zip_with(parts, let(sizes, _before), span), lambda s: s["learnt"])
         return F.struct(
-            turn["role"].alias("role"),
-            F.concat(state["pieces"], F.array(opening, turn["text"])).alias("pieces"),
-            (at + size).alias("at"),
-            F.when(turn["role"] == LEARNT_ROLE, F.concat(state["mask"], span)).otherwise(state["mask"]).alias("mask"),
+            F.concat(F.array_join(F.flatten(F.transform(parts, lambda p: F.array(p["opening"], p["text"]))), ""), F.lit(END)).alias("formatted"),
+            F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("mask"),
         )
 
-    return F.aggregate(
-        turns,
-        start,
-        add,
-        lambda s: F.struct(F.concat(F.array_join(s["pieces"], ""), F.lit(END)).alias("formatted"), s["mask"].alias("mask")),
-    )
+    return let(F.transform(turns, opened), whole)
 
 
 def format_conversations(
@@ -82,11 +96,12 @@ def format_conversations(
     """One row for each conversation: its id, ``formatted`` and ``mask``; one shuffle."""
     one = F.struct(
         F.col(turn).alias("turn"),
-        escaped(F.coalesce(F.col(role), F.lit(""))).alias("role"),
-        escaped(F.coalesce(F.col(text), F.lit(""))).alias("text"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     collected = rows.groupBy(F.col(conversation).alias(conversation)).agg(F.sort_array(F.collect_list(one)).alias("_turns"))
-    return collected.select(conversation, _join(F.col("_turns")).alias("_out")).select(conversation, "_out.formatted", "_out.mask")
+    joined = collected.select(F.col(conversation), let(F.col("_turns"), _join).alias("_out"))
+    return joined.select(F.col(conversation), "_out.formatted", "_out.mask")
 
 
 def read_turns(formatted: Column) -> Column:

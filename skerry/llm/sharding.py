@@ -15,12 +15,15 @@ by bucket, with the buckets before added, so no task holds a whole shard.
 
 Null text counts as empty: size 8, checksum 0.  Rows with equal keys are told apart
 by their text alone, equal rows are interchangeable.  A null key is a key like any
-other.  Tables with fewer rows than shards leave shards empty.
+other.  Very long texts are read once for their size and checksum and take no part in
+the exchanges.  Tables with fewer rows than shards leave shards empty; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import lgamma, log, log1p, pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 
 PARTS = 512
 BUCKETS = 64
+#: From so many rows on numpy has no hypergeometric draw.
+NUMPY_LIMIT = 10**9
 
 
 def communication_matrix(parts: Sequence[int], shards: int, seed: int) -> np.ndarray:
@@ -49,16 +54,42 @@ def communication_matrix(parts: Sequence[int], shards: int, seed: int) -> np.nda
     return matrix
 
 
+def _log_binomial(x: int, n: int, p: float) -> float:
+    """Logarithm of the binomial probability in Loader's saddle-point form, which keeps its digits for any n."""
+    if x == 0 or x == n:
+        return n * (log1p(-p) if x == 0 else log(p))
+
+    def stirling(k: int) -> float:
+        """log(k!) less Stirling's formula."""
+        return lgamma(k + 1) - (k + 0.5) * log(k) + k - 0.5 * log(2 * pi) if k < 16 else 1 / (12 * k) - 1 / (360 * k**3) + 1 / (1260 * k**5) - 1 / (1680 * k**7)
+
+    def deviance(k: int, mean: float) -> float:
+        return k * log1p((k - mean) / mean) - (k - mean)
+
+    corrections = stirling(n) - stirling(x) - stirling(n - x)
+    return corrections - deviance(x, n * p) - deviance(n - x, n * (1 - p)) + 0.5 * log(n / (2 * pi * x * (n - x)))
+
+
 def _hypergeometric(draw: np.random.Generator, good: int, bad: int, size: int) -> int:
-    """numpy's exact draw below its limit of 10^9 rows; beyond it the normal law stands in, and sizes stay exact."""
-    if not bad:
-        return size
-    if good + bad < 10**9:
-        return int(draw.hypergeometric(good, bad, size)) if good else 0
-    n = good + bad
-    mean = size * good / n
-    deviation = (mean * (bad / n) * ((n - size) / (n - 1))) ** 0.5
-    return int(min(max(round(draw.normal(mean, deviation)), size - bad, 0), good, size))
+    """How many of ``size`` rows drawn from ``good + bad`` are good.
+
+    Up to numpy's limit it draws itself.  Beyond, two binomial draws given their sum
+    follow the same law: the smaller side is drawn, and kept with the probability,
+    by its maximum, that the larger side makes up the rest.  Five in seven are kept
+    at least, whatever the size.
+    """
+    if size in (0, good + bad) or not good or not bad:
+        return min(size, good) if size and good else 0
+    if good + bad < NUMPY_LIMIT:
+        return int(draw.hypergeometric(good, bad, size))
+    if good > bad:
+        return size - _hypergeometric(draw, bad, good, size)
+    p = size / (good + bad)
+    likeliest = _log_binomial(min(int((bad + 1) * p), bad), bad, p)
+    while True:
+        x = int(draw.binomial(good, p))
+        if 0 <= size - x <= bad and log(1 - draw.random()) <= _log_binomial(size - x, bad, p) - likeliest:
+            return x
 
 
 def _keyed(seed: int, step: str, columns: Sequence[str]) -> Column:
@@ -70,9 +101,13 @@ def shuffled(rows: DataFrame, identity: Sequence[str], shards: int, seed: int =
 
     ``identity``: the columns that tell rows apart; rows equal in all of them are
     interchangeable.  All columns take part in the exchanges, so select what is
-    needed first.
+    needed first.  Columns named ``shard`` or ``slot`` are replaced; any other name will do.
     """
-    spark = rows.sparkSession
+    spark, names = rows.sparkSession, rows.columns
+    wanted = [n for n in names if n not in ("shard", "slot")]
+    # columns go by their places meanwhile, so that no name clashes
+    rows = rows.toDF(*(f"_{i}" for i in range(len(names))))
+    identity = [f"_{names.index(c)}" for c in identity]
     part = F.pmod(_keyed(seed, "part", identity), F.lit(PARTS)).cast("int")
     counted = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     parts = [counted.get(p, 0) for p in range(PARTS)]
@@ -95,7 +130,7 @@ def shuffled(rows: DataFrame, identity: Sequence[str], shards: int, seed: int =
     return (
         ranked.join(F.broadcast(offsets), ["shard", "_bucket"])
         .withColumn("slot", F.col("_before") + F.col("_rank") - 1)
-        .drop("_bucket", "_order", "_rank", "_before")
+        .select(*(F.col(f"_{names.index(n)}").alias(n) for n in wanted), "shard", "slot")
     )
 
 

@@ -1,11 +1,13 @@
 """Sentence spans, chat formatting, sharding, quality rules and pseudonyms."""
 
 import datetime
+import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from skerry.llm import chat, pii, quality, queries, sharding, spans
@@ -55,9 +57,87 @@ def test_chat_reads_back(spark):
     assert [tuple(t) for t in got[2].turns] == [("", "")] and got[None].loss == "x"
 
 
+def test_ties_are_ordered_before_escaping(spark):
+    rows = [(1, 1, "user", "<a"), (1, 1, "user", "1b"), (1, 1, "user", "1b"), (1, 2, "[x", "q"), (1, 2, "Zx", "r")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = out.select(chat.read_turns(F.col("formatted")).alias("t")).first().t
+    assert [tuple(t) for t in got] == [("user", "1b"), ("user", "1b"), ("user", "<a"), ("Zx", "r"), ("[x", "q")]
+
+
+def test_long_conversations_and_empty_tables(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    turns = [(1, i, ("user", "assistant", "assistant")[i % 3], f"<{i}" * (i % 4)) for i in range(3000)] + [(2, 0, "assistant", "y" * 500_000)]
+    out = chat.format_conversations(spark.createDataFrame(turns, schema))
+    got = {r.conv_id: r for r in out.select("conv_id", "mask", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert [tuple(t) for t in got[1].t] == [t[2:] for t in turns[:3000]]
+    assert got[1].loss == "".join(t[3] for t in turns[:3000] if t[2] == "assistant") and len(got[1].mask) == 2000
+    assert got[2].loss == "y" * 500_000
+    assert chat.digest(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
 # sharding
 
 
+def keyed(step, row):
+    """Spark's xxhash64 of the step's name and the row."""
+    h = 42
+    for value in (f"17:{step}", *row):
+        if value is not None:
+            raw = value.encode() if isinstance(value, str) else int(value).to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_every_slot_agrees_with_plain_python(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect()]
+    parts = [[] for _ in range(sharding.PARTS)]
+    for row in rows:
+        parts[keyed("part", row) % sharding.PARTS].append(row)
+    matrix = sharding.communication_matrix([len(p) for p in parts], queries.SHARDS, 17)
+    shards = [[] for _ in range(queries.SHARDS)]
+    for part, line in zip(parts, matrix.tolist(), strict=True):
+        ranked = iter(sorted(part, key=lambda row: (keyed("local", row), row)))
+        for shard, n in enumerate(line):
+            shards[shard] += [next(ranked) for _ in range(n)]
+    want = {}
+    for shard, inside in enumerate(shards):
+        inside.sort(key=lambda row: (keyed("again", row) % sharding.BUCKETS, keyed("again", row), row))
+        want |= {row: (shard, slot) for slot, row in enumerate(inside)}
+    got = queries.op6_sharding(spark, sf_dir).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32): (r.shard, r.slot) for r in got} == want and len(got) == len(rows)
+
+
+def test_draws_beyond_numpy_follow_the_exact_law(monkeypatch):
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 0)
+    draw, times = np.random.default_rng(4), 20_000
+    for good, bad, size in ((5, 7, 6), (30, 8, 12), (3, 400, 50), (40, 45, 80), (1, 1, 1)):
+        found = np.bincount([sharding._hypergeometric(draw, good, bad, size) for _ in range(times)], minlength=good + 1)
+        law = np.array([math.comb(good, x) * math.comb(bad, size - x) if size >= x else 0 for x in range(good + 1)]) / math.comb(good + bad, size)
+        seen = law * times > 5
+        assert found[law == 0].sum() == 0
+        assert (((found - law * times) ** 2)[seen] / (law * times)[seen]).sum() < 3 * seen.sum() + 12
+
+
+def test_matrix_of_twenty_billion_rows():
+    rng = np.random.default_rng(2)
+    parts = (rng.multinomial(2 * 10**10, [1 / 512] * 512)).tolist()
+    parts[0] += 9 * 10**9
+    matrix = sharding.communication_matrix(parts, 24, 3)
+    assert matrix.sum(axis=1).tolist() == parts and np.ptp(matrix.sum(axis=0)) <= 1 and matrix.min() >= 0
+    rows, total = np.array(parts)[:, None], sum(parts)
+    spread = np.sqrt(rows / 24 * (23 / 24) * (total - rows) / (total - 1))
+    off = (matrix - rows / 24) / spread
+    assert 0.95 < off.std() < 1.05 and abs(off).max() < 5.5
+
+
+def test_clashing_names_and_few_rows(spark):
+    rows = spark.createDataFrame([(i, -i, "s", i, 0.5) for i in range(5)], "_part long, _rank long, shard string, _bucket long, slot double")
+    got = sharding.shuffled(rows, ("_part",), 7)
+    assert sorted(got.columns) == sorted(["_part", "_rank", "_bucket", "shard", "slot"])
+    assert sorted((r._part, r._rank, r._bucket, r.slot) for r in got.collect()) == [(i, -i, i, 0) for i in range(5)]
+
+
 def test_shards_are_exact_and_uniform(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 5), "c") for i in range(3000)] + [(7, None, None), (7, None, None), (None, "é", "c")], "doc_id long, text string, shard string")
     rows = sharding.shard_documents(docs.drop("shard"), 7).collect()
@@ -113,6 +193,16 @@ def test_order_of_rules_changes_no_verdict(spark):
     assert {r.name for r in quality.ordered(docs, rules)} == {r.name for r in rules}
 
 
+def test_very_long_and_repeated_texts_and_the_size_of_the_sample(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "again and again " * 20_000), (3, None)] + [(10 + i, f"short text {i}") for i in range(4000)], "doc_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_repeat_words, r.kept) for r in quality.report(docs.repartition(40)).collect() if r.doc_id < 4]
+    assert sorted(got) == [(1, 60_000, 0, True), (1, 60_000, 0, True), (2, 60_000, 60_000, False), (3, 0, 0, False)]
+    sizes = []
+    quality.ordered(docs.repartition(40), quality.text_rules(F.coalesce("text", F.lit(""))), prepare=lambda s: sizes.append(s.count()) or s)
+    assert 0 < sizes[0] <= quality.SAMPLE_ROWS
+
+
 # pseudonyms
 
 
