@@ -10,9 +10,12 @@ state is known from the last token alone.
 
 One gadget is a difference against the state it was cloned from, so it is stored
 as such (``cut_from``, ``cut_token``): the whole automaton takes one entry per
-merge.  Whether an arc is still there is answered from these entries through the
-edges of the two tokens (``_edge_tables``), and the answers are kept in a table
-of fixed size.
+merge, and the states form a tree.  A state has arc ``y`` unless it, or a state it
+was cloned from, has cut ``y``, or has cut the token that ``y`` begins with before
+``y`` was made of it, and so on down to the first byte of ``y``.  So an arc is looked
+up along the tree: which of the gadgets above a state cut a given token is told by
+numbering the tree in preorder (``_arc_tables``).  Answers are kept in a table of
+fixed size.
 
 To run it over bytes, all tokens are put into one suffix machine (``step``): at
 each byte it names the longest token that ends there; the shorter ones follow
@@ -72,7 +75,7 @@ class MergeAutomaton:
         self.label_of_id = dict(zip(self.ids.tolist(), self.labels, strict=True))
         self.label_of_id |= {i: text.encode() for text, i in self.special.items()}
         self._gadgets()
-        self._edge_tables()
+        self._arc_tables()
         self._suffix_machine()
         self._known_key = np.full(1 << 20, -1, np.int64)
         self._known_cut = np.zeros(1 << 20, bool)
@@ -91,30 +94,52 @@ class MergeAutomaton:
             enters[u] = k + 1
         self.enters = np.array(enters, np.int32)
 
-    def _edge_tables(self) -> None:
-        """The tokens that close (open) each token, and until which merge each of them did.
+    def _arc_tables(self) -> None:
+        """The tree of gadgets in preorder, the gadgets by the token they cut, and what each token begins with.
 
-        A gadget of merge ``k`` with left part ``u`` is on the chain of the state
-        entered by ``x`` if ``u`` closed ``x`` until after ``k``.
+        ``gadget_above`` and ``gadget_top``: of the gadgets from which one was cloned
+        and which cut the same token, the nearest, and the first (or itself).
         """
-        total = len(self.labels)
-        for name, child in (("close", self.right), ("open", self.left)):
-            depth = np.ones(total, np.int32)
-            for t in range(256, total):
-                depth[t] = depth[child[t]] + 1
-            token = np.full((total, int(depth.max())), -1, np.int32)
-            until = np.full((total, int(depth.max())), -1, np.int32)
-            token[:, 0], until[:, 0] = np.arange(total), total
-            for t in range(256, total):
-                n = depth[child[t]]
-                token[t, 1 : n + 1], until[t, 1 : n + 1] = token[child[t], :n], until[child[t], :n]
-                until[t, 1] = t
-            setattr(self, f"{name}_token", token)
-            setattr(self, f"{name}_until", until)
-            setattr(self, f"{name}_depth", depth)
-        keys = self.left[256:].astype(np.int64) * total + self.right[256:]
+        states, total = len(self.cut_from), len(self.labels)
+        below: list[list[int]] = [[] for _ in range(states)]
+        for g in range(1, states):
+            below[self.cut_from[g]].append(g)
+        self.enter, self.leave = np.zeros(states, np.int32), np.zeros(states, np.int32)
+        self.gadget_above, self.gadget_top = np.full(states, -1, np.int32), np.arange(states, dtype=np.int32)
+        cutting: dict[int, list[int]] = {}
+        stack, clock = [(0, False)], 0
+        while stack:
+            g, done = stack.pop()
+            token = int(self.cut_token[g])
+            if done:
+                self.leave[g] = clock
+                if g:
+                    cutting[token].pop()
+                continue
+            self.enter[g] = clock
+            clock += 1
+            if g:
+                line = cutting.setdefault(token, [])
+                if line:
+                    self.gadget_above[g], self.gadget_top[g] = line[-1], line[0]
+                line.append(g)
+            stack.append((g, True))
+            stack += [(child, False) for child in below[g]]
+        keys = self.cut_token[1:].astype(np.int64) * states + self.enter[1:]
         order = np.argsort(keys)
-        self._pair_keys, self._pair_made = keys[order], (order + 256).astype(np.int32)
+        self.gadget_keys, self.gadgets = keys[order], (order + 1).astype(np.int32)
+        # the tokens that a token begins with, itself first, and with which merge each of them got its next part
+        depth = np.ones(total, np.int32)
+        for t in range(256, total):
+            depth[t] = depth[self.left[t]] + 1
+        self.open_depth = depth
+        self.open_token = np.full((total, int(depth.max())), -1, np.int32)
+        self.open_until = np.full((total, int(depth.max())), -1, np.int32)
+        self.open_token[:, 0], self.open_until[:, 0] = np.arange(total), total
+        for t in range(256, total):
+            n, first = depth[self.left[t]], self.left[t]
+            self.open_token[t, 1 : n + 1], self.open_until[t, 1 : n + 1] = self.open_token[first, :n], self.open_until[first, :n]
+            self.open_until[t, 1] = t
 
     def _suffix_machine(self) -> None:
         children: list[dict[int, int]] = [{}]
@@ -159,23 +184,23 @@ class MergeAutomaton:
     # arcs
 
     def _cut(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether a gadget has cut arc ``y`` from the state that ``x`` enters."""
-        total = len(self.labels)
+        """Whether arc ``y`` is missing at the state that ``x`` enters."""
+        states = len(self.cut_from)
         cut = np.zeros(len(x), bool)
-        for a in range(self.close_token.shape[1]):
-            rows = np.flatnonzero(self.close_depth[x] > a)
+        at = self.enter[self.enters[x]]
+        for b in range(self.open_token.shape[1]):
+            rows = np.flatnonzero((self.open_depth[y] > b) & ~cut)
             if not len(rows):
                 break
-            for b in range(self.open_token.shape[1]):
-                rows = rows[(self.open_depth[y[rows]] > b) & ~cut[rows]]
-                if not len(rows):
-                    break
-                u, v = self.close_token[x[rows], a], self.open_token[y[rows], b]
-                key = u.astype(np.int64) * total + v
-                at = np.minimum(np.searchsorted(self._pair_keys, key), len(self._pair_keys) - 1)
-                made = np.where(self._pair_keys[at] == key, self._pair_made[at], total + 1)
-                # a pair of equal tokens merges from the left: the opening part may be made by this very merge
-                cut[rows] = (made < self.close_until[x[rows], a]) & (made <= self.open_until[y[rows], b])
+            token = self.open_token[y[rows], b]
+            # the last gadget before the state that cuts the token; then up the tree to one that the state was cloned from
+            place = np.searchsorted(self.gadget_keys, token.astype(np.int64) * states + at[rows], "right") - 1
+            gadget = np.where(place >= 0, self.gadgets[place], -1)
+            gadget = np.where((gadget >= 0) & (self.cut_token[gadget] == token), gadget, -1)
+            while len(off := np.flatnonzero((gadget >= 0) & (self.leave[gadget] <= at[rows]))):
+                gadget[off] = self.gadget_above[gadget[off]]
+            # gadget g belongs to the merge that makes token 255 + g; one of a pair of equal tokens cuts that pair itself
+            cut[rows] = (gadget >= 0) & (self.gadget_top[gadget] + 255 <= self.open_until[y[rows], b])
         return cut
 
     def cut(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:

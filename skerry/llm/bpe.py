@@ -1,12 +1,12 @@
 """Byte-pair encoding and decoding on a tokenization automaton.
 
 ``MergeAutomaton`` is compiled from the merges gadget by gadget.  Texts are split
-into words, each new word runs through the tables once, and decoding puts the arc
-labels in a row again.  One pass, no shuffle.
+into words by a transducer (``splitter``), each new word runs through the tables once,
+and decoding puts the arc labels in a row again.  One pass, no shuffle.
 
 Null is treated as the empty text: no ids.  Very long texts and words cost time in
 proportion to their length.  Only the named columns are read; rows that are equal
-give equal rows.
+give equal rows, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,16 +24,13 @@ from skerry.llm import pretokens
 
 def encode_texts(machine: pretokens.Compiled, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    memory = machine.codes
     pieces = [machine.parts(t) for t in texts]
-    words = [machine.words(p) for parts in pieces for s, p in parts if not s]
-    machine.learn(words, memory, machine.automaton.encode)
-    ready = iter(words)
-    special = machine.automaton.special
-    return [
-        b"".join(special[p].to_bytes(4, "little") if s else b"".join(map(memory.__getitem__, next(ready))) for s, p in parts)
-        for parts in pieces
-    ]
+    plain = [p for parts in pieces for special, p in parts if not special]
+    codes: list[list[bytes]] = [[] for _ in plain]
+    for i, found in machine.over_words(plain, machine.codes, machine.automaton.encode):
+        codes[i].append(b"".join(found))
+    ready, special = iter(codes), machine.automaton.special
+    return [b"".join(special[p].to_bytes(4, "little") if s else b"".join(next(ready)) for s, p in parts) for parts in pieces]
 
 
 def _mapped(docs: DataFrame, column: str, keep: tuple[str, ...], path: str | None, outputs: str, work) -> DataFrame:

@@ -1,23 +1,20 @@
-"""Byte-level BPE files: reading one, and splitting texts as its library does."""
+"""Byte-level BPE files: reading one, and cutting texts into words as its library does."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
-import regex
 from pyspark.sql import SparkSession
 
+from skerry.llm import splitter
 from skerry.llm.automaton import MergeAutomaton
 
-#: Fixed value: the split pattern of byte-level BPE with 50,257 ids.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 #: Rows of an Arrow batch whose texts are held as strings at a time.
 SLICE = 1024
-
-_words = regex.compile(PATTERN).findall
+#: Characters that are split at a time.
+SECTION = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,23 +39,6 @@ def compiled(content: bytes) -> "Compiled":
     return Compiled(content)
 
 
-@lru_cache(maxsize=1)
-def _newer_letters() -> re.Pattern:
-    """Characters whose class depends on the Unicode version a library was built with."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
-    odd = set()
-    for kind in "LN":
-        odd |= set(regex.findall(rf"\p{{{kind}}}", every)) ^ {c for c in every if unicodedata.category(c)[0] == kind}
-    runs, codes = [], sorted(map(ord, odd))
-    for c in codes:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    unassigned = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) or "\ud800"
-    return re.compile(f"[{unassigned}]")
-
-
 class Compiled:
     """An automaton with the splitting around it and a bounded memory of words.
 
@@ -80,14 +60,37 @@ class Compiled:
             return [(False, text)]
         return [(i % 2 == 1, part) for i, part in enumerate(self.special.split(text)) if part]
 
-    def words(self, text: str) -> list[str]:
-        """The pre-split words of a text without special tokens."""
-        if not text.isascii() and re.search("[Ԁ-\U0010ffff]", text) and _newer_letters().search(text):
-            from tokenizers import pre_tokenizers
-
-            split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-            return [text[a:b] for _, (a, b) in split.pre_tokenize_str(text)]
-        return _words(text)
+    def words(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """(place of the text, words) of texts without special tokens; a long text comes in several parts."""
+        run: list[int] = []
+        held = 0
+        for i, text in enumerate(texts):
+            if run and held + len(text) > SECTION:
+                yield from zip(run, splitter.split([texts[k] for k in run]), strict=True)
+                run, held = [], 0
+            if len(text) > SECTION:
+                yield from ((i, some) for some in splitter.sections(text, SECTION))
+            else:
+                run.append(i)
+                held += len(text)
+        yield from zip(run, splitter.split([texts[k] for k in run]), strict=True)
+
+    def over_words(self, texts: list[str], memory: dict, run) -> Iterator[tuple[int, list]]:
+        """``words``, each replaced by what ``run`` makes of it; words new to ``memory`` run side by side."""
+        group: list[tuple[int, list[str]]] = []
+        held = 0
+        for i, words in self.words(texts):
+            group.append((i, words))
+            held += len(words)
+            if held > SECTION // 4:
+                yield from self._learnt(group, memory, run)
+                group, held = [], 0
+        yield from self._learnt(group, memory, run)
+
+    def _learnt(self, group: list[tuple[int, list[str]]], memory: dict, run) -> Iterator[tuple[int, list]]:
+        self.learn([words for _, words in group], memory, run)
+        for i, words in group:
+            yield i, list(map(memory.__getitem__, words))
 
     def learn(self, lists: list[list[str]], memory: dict, run) -> None:
         """Put every word of the lists into ``memory``."""

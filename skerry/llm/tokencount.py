@@ -1,25 +1,21 @@
-"""Token counts by a compiled transducer and a prefix scan over chunk maps.
+"""Token counts by compiled finite-state transducers.
 
-The text is cut into chunks of equal length, wherever that falls.  A chunk is
-run without knowing the state in which the machine arrives: from the first place
-on where every state meets (a blank between two non-blanks always ends a word)
-the count no longer depends on it.  So the map of a chunk, from the state before
-to the state after and the tokens emitted, is (head, count, tail): head is what
-still belongs to the arriving word, tail the word left open.  Without such a
-place the whole chunk is one open piece.  Maps compose associatively, and a
-prefix scan of log2(n) rounds composes them.  Each word is counted by the arcs of
-``MergeAutomaton``, which carry token counts.
+Two deterministic transducers run one after the other.  The first (``splitter``) cuts
+texts into words: all texts are cut into chunks, each chunk's map from states to
+states and counts is computed without knowing in which state the machine arrives,
+and a parallel prefix scan composes the maps.  The second (``MergeAutomaton``) reads
+the bytes of a word; its arcs carry how many tokens they emit more, and the sum over the
+words of a text is its count.
 
 Null and empty texts have 0 tokens.  Special strings inside a text count as their
-one token, as the library does by default.  All columns but the id and the text
-are left alone; rows with equal ids give a row each.
+one token, as the library does by default.  Very long texts go by sections, an endless
+word in one.  Only the named columns are read; rows with equal ids give a row each,
+and an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,71 +23,15 @@ from pyspark.sql import functions as F
 
 from skerry.llm import pretokens
 
-CHUNK = 1 << 14
 
-_MEET = re.compile(r"(?<=\S)[ \n\t](?=\S)")
-
-
-class ChunkMap(NamedTuple):
-    """What a chunk does: ``closed`` False means that ``head`` is all of it."""
-
-    closed: bool
-    head: str
-    count: int
-    tail: str
-
-
-def cut_chunk(chunk: str) -> tuple[bool, str, str, str]:
-    """(closed, head, middle, tail): between the first and the last place where all states meet lies the middle."""
-    first = _MEET.search(chunk)
-    if first is None:
-        return False, chunk, "", ""
-    begin, end = first.start(), _last_meet(chunk, first.start())
-    return True, chunk[:begin], chunk[begin:end], chunk[end:]
-
-
-def _last_meet(chunk: str, least: int) -> int:
-    """The last place after ``least`` where all states meet, looked for from the end in growing windows."""
-    width = 256
-    while True:
-        begin = max(least, len(chunk) - width)
-        places = [m.start() for m in _MEET.finditer(chunk, begin)]
-        if places:
-            return places[-1]
-        if begin == least:
-            return least
-        width *= 8
-
-
-def compose(a: ChunkMap, b: ChunkMap, count: Callable[[str], int]) -> ChunkMap:
-    """First ``a``, then ``b``."""
-    if not a.closed and not b.closed:
-        return ChunkMap(False, a.head + b.head, 0, "")
-    if not a.closed:
-        return ChunkMap(True, a.head + b.head, b.count, b.tail)
-    if not b.closed:
-        return ChunkMap(True, a.head, a.count, a.tail + b.head)
-    return ChunkMap(True, a.head, a.count + count(a.tail + b.head) + b.count, b.tail)
-
-
-def swept(maps: list[ChunkMap], count: Callable[[str], int]) -> ChunkMap:
-    """The last inclusive prefix of the scan: neighbours are composed round by round, log2(n) rounds in all."""
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2], count) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
-
-
-def count_text(chunks: list[tuple[bool, str, str, str]], count: Callable[[str], int]) -> int:
-    """Tokens of a text from its cut chunks; ``count`` counts a whole number of words."""
-    maps = [ChunkMap(closed, head, count(middle) if middle else 0, tail) for closed, head, middle, tail in chunks]
-    last = swept(maps, count)
-    return count(last.head) + last.count + (count(last.tail) if last.tail else 0)
-
-
-def pieces_of(chunks: list[tuple[bool, str, str, str]]) -> list[str]:
-    """The pieces that ``count_text`` will ask for if no chunk is open: middles, and tails with the next heads."""
-    ends = [("", chunks[0][1]), *((a[3], b[1]) for a, b in zip(chunks, chunks[1:], strict=False)), (chunks[-1][3], "")]
-    return [p for p in (*(c[2] for c in chunks), *(tail + head for tail, head in ends)) if p]
+def counted(machine: pretokens.Compiled, texts: list[str]) -> list[int]:
+    """The number of tokens of each text."""
+    parts = [machine.parts(t) for t in texts]
+    plain = [(i, p) for i, some in enumerate(parts) for special, p in some if not special]
+    totals = [sum(special for special, _ in some) for some in parts]
+    for k, found in machine.over_words([p for _, p in plain], machine.counts, machine.automaton.counts):
+        totals[plain[k][0]] += sum(found)
+    return totals
 
 
 def count_tokens(
@@ -102,35 +42,8 @@ def count_tokens(
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = pretokens.compiled(shared.value)
-        memory = machine.counts
-
         for batch in (whole.slice(begin, pretokens.SLICE) for whole in rows for begin in range(0, whole.num_rows, pretokens.SLICE)):
-            tokens: list[int] = []
-            for some in pretokens.batches(batch.column(batch.num_columns - 1).to_pylist()):
-                texts = [machine.parts(t) for t in some]
-                chunked = {
-                    p: [cut_chunk(p[i : i + CHUNK]) for i in range(0, len(p), CHUNK)]
-                    for parts in texts
-                    for special, p in parts
-                    if not special and len(p) > CHUNK
-                }
-                # the new words of all pieces run through the tables side by side
-                pieces = [p for parts in texts for special, p in parts if not special and p not in chunked]
-                pieces += [p for chunks in chunked.values() for p in pieces_of(chunks)]
-                words = [machine.words(p) for p in pieces]
-                machine.learn(words, memory, machine.automaton.counts)
-                known = dict(zip(pieces, (sum(map(memory.__getitem__, w)) for w in words), strict=True))
-                del words
-
-                def count(piece: str, known: dict = known) -> int:
-                    if piece not in known:
-                        own = machine.words(piece)
-                        machine.learn([own], memory, machine.automaton.counts)
-                        known[piece] = sum(map(memory.__getitem__, own))
-                    return known[piece]
-
-                for parts in texts:
-                    tokens.append(sum(1 if special else count_text(chunked[p], count) if p in chunked else known[p] for special, p in parts))
+            tokens = [n for some in pretokens.batches(batch.column(batch.num_columns - 1).to_pylist()) for n in counted(machine, some)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(tokens, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"]
             )

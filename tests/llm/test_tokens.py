@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from skerry.llm import bpe, pretokens, tokencount
+from skerry.llm import bpe, pretokens, queries, splitter, tokencount
 
 TEXTS = [
     None, "", " ", "  a  b ", "a\n\nb\n c", "it's they'll we'd", "x" * 3000, "ab" * 9000 + " " + "cd" * 9000, "word " * 9000, " " * 20000 + "z",
@@ -45,7 +45,7 @@ def test_counts_and_round_trip_agree_with_the_library(spark, library):
 def test_random_words_agree_with_the_library(machine, library):
     rng = random.Random(3)
     words = ["".join(rng.choice("aabcdeth iongsr") for _ in range(rng.randint(1, 90))).strip() or "a" for _ in range(3000)]
-    words = [w for text in words for w in machine.words(text)]
+    words = [w for text in splitter.split(words) for w in text]
     encoded = machine.automaton.encode([w.encode() for w in words])
     counted = machine.automaton.counts([w.encode() for w in words])
     for word, ids, n in zip(words, encoded, counted, strict=True):
@@ -55,20 +55,76 @@ def test_random_words_agree_with_the_library(machine, library):
 
 def test_split_agrees_with_the_library_on_every_kind_of_character(machine, library):
     codes = [*range(0x600), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), *range(0xA7C0, 0xA800), 0x558, 0x88F, 0x10EC5, 0x1247D, 0x13C9F, 0x323B0]
-    for c in codes:
-        text = f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}! {chr(c)} "
-        want = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
-        assert machine.words(text) == want, hex(c)
+    texts = [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}! {chr(c)} " for c in codes]
+    for c, text, got in zip(codes, texts, splitter.split(texts), strict=True):
+        assert got == by_library(library, text), hex(c)
+
+
+def by_library(library, text):
+    return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def test_chunk_maps_compose(library, monkeypatch):
+    """Chunks of any length, borders at any place, and texts in sections."""
+    rng = random.Random(2)
+    alphabet = "  \t\n\u00a0\'\'\'\'srtvlemdDSab1!?é٣"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 90))) for _ in range(2000)] + ["", "'", "'r", "a'l", "''re  \n", " x" * 300]
+    want = [by_library(library, t) for t in texts]
+    for size, stride in ((1, 8), (3, 2), (7, 8), (64, 3), (256, 8)):
+        monkeypatch.setattr(splitter, "CHUNK", size)
+        monkeypatch.setattr(splitter, "STRIDE", stride)
+        assert splitter.split(texts) == want
+    monkeypatch.setattr(splitter, "CHUNK", 8)
+    for size in (1, 2, 5, 30):
+        assert [[w for some in splitter.sections(t, size) for w in some] for t in texts[-60:-1]] == want[-60:-1]
+
+
+def test_maps_are_those_of_single_steps():
+    rng = np.random.default_rng(1)
+    kinds = rng.integers(0, splitter.PAD + 1, (40, 50)).astype(np.uint8)
+    after, begun = splitter.chunk_maps(kinds)
+    for chunk in range(50):
+        for state in range(splitter.STATES):
+            now, n = state, 0
+            for kind in kinds[:, chunk].tolist():
+                now, where = splitter._transition(now, kind)
+                n += where.bit_count()
+            assert (now, n) == (after[chunk, state], begun[chunk, state])
+
+
+def test_the_gadgets_decide_the_encoding(library):
+    """Without the gadget that cuts a pair, the pair stays apart no more."""
+    from skerry.llm.automaton import MergeAutomaton
 
-
-def test_chunks_compose(machine):
-    def count(piece):
-        return len(machine.automaton.encode([piece.encode()])[0]) // 4 if False else sum(machine.automaton.counts([w.encode() for w in machine.words(piece)]))
-
-    for text in ("one two\nthree four " * 40, "a" * 500, "ab  cd\n\nef gh ij" * 30, " x" * 100):
-        for size in (1, 3, 7, 64):
-            chunks = [tokencount.cut_chunk(text[i : i + size]) for i in range(0, len(text), size)]
-            assert tokencount.count_text(chunks, count) == count(text)
+    with open(pretokens.vocabulary_path(), "rb") as f:
+        own = MergeAutomaton(f.read())
+    word = "the"
+    t, h = (own.labels.index(c.encode()) for c in "th")
+    assert own.encode([word.encode()]) == [np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert own._cut(np.array([t]), np.array([h])).all()
+    gadget = next(g for g in range(1, len(own.cut_token)) if own.left[255 + g] == t and own.right[255 + g] == h)
+    own.cut_token[gadget] = own.labels.index(b"\x00")
+    own._arc_tables()
+    assert not own._cut(np.array([t]), np.array([h])).any()
+    own.cut_token[1:] = own.labels.index(b"\x00")
+    own._arc_tables()
+    own._known_key[:] = -1
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeioulnrst") for _ in range(12)) for _ in range(50)]
+    assert own.encode([w.encode() for w in words]) != [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+
+
+def test_queries_agree_with_the_library_on_all_documents(spark, sf_dir, library):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    counts = {r.doc_id: r for r in queries.op2_token_counts(spark, sf_dir).collect()}
+    trips = {r.doc_id: r for r in queries.op8_bpe_round_trip(spark, sf_dir).collect()}
+    assert set(counts) == set(trips) == set(docs)
+    for i, text in docs.items():
+        ids = library.encode(text, add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (counts[i].n_bytes, counts[i].n_tokens, counts[i].over_limit) == (len(text.encode()), len(ids), len(ids) > 1024)
+        assert (trips[i].n_tokens, trips[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert trips[i].decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
 
 
 def test_decode_any_ids(spark, library):
