@@ -2,7 +2,8 @@
 
 For each benchmark item of w words, every window of w words of every document is
 looked at.  A window's fingerprint is the SimHash (128 bits) of its word shingles,
-weighted by their bytes in UTF-8.  Item fingerprints are indexed by 8 blocks of 16
+weighted by the root of their bytes in UTF-8: as its angle goes by squares of weights,
+it then follows the similarity below.  Item fingerprints are indexed by 8 blocks of 16
 bits: two fingerprints within RADIUS bits agree on some block up to RADIUS // 8
 bits, and each item is filed under all block values that near, so a lookup by
 exact block values finds every item within the radius.  Candidates are then
@@ -16,8 +17,14 @@ Words are runs of ASCII letters, digits, underscores and non-ASCII characters, i
 lower case.  Items of fewer
 words than a shingle are one shingle; documents shorter than an item are one
 window.  Null and empty texts and items match nothing.  Equal documents give equal
-rows, equal items each their own.  Items come to the driver ITEM_BLOCK at a time,
-and each block is one pass over the documents, so any number of items will do.
+rows; an item counts once however often its row is repeated, equal items with other keys each their own.
+Of windows equally similar to an item the first is given.  Null ids are ids like any
+other, extra columns are kept by ``drop_contaminated`` and ignored by ``contaminated``.
+Empty tables match nothing.  Very long texts are held whole, one at a time.
+
+Items come to the driver ITEM_BLOCK at a time and go to all tasks, so they have to be
+a benchmark, not a corpus.  The documents are read once, their words hashed once, and
+each run of them meets one block of items after the other.
 """
 
 from __future__ import annotations
@@ -79,7 +86,7 @@ def fingerprints(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, cou
         near = int(np.searchsorted(first[order], low + STRETCH))
         now, order = order[:near], order[near:]
         high = int((first[now] + count[now]).max())
-        signs = (2 * _bits(hashes[low:high]).astype(np.int64) - 1) * weights[low:high, None]
+        signs = (2 * _bits(hashes[low:high]).astype(np.int64) - 1) * np.rint(16 * np.sqrt(weights[low:high, None])).astype(np.int64)
         sums = np.concatenate([np.zeros((1, signs.shape[1]), np.int64), np.cumsum(signs, axis=0)])
         for some in np.array_split(now, -(-len(now) // STRETCH)):
             votes = sums[first[some] + count[some] - low] - sums[first[some] - low]
@@ -95,6 +102,13 @@ def similarity(a: Shingled, b: Shingled) -> float:
     return float(np.minimum(in_a, in_b).sum() / np.maximum(in_a, in_b).sum())
 
 
+def hashed_slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of SLICE texts at a time."""
+    for begin in range(0, len(texts), SLICE):
+        coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[begin : begin + SLICE]]
+        yield shingles.words_of(coded, shingles.MARKS)
+
+
 class Index:
     """Items by the blocks of their fingerprints."""
 
@@ -141,18 +155,21 @@ class Index:
         return np.stack([rows, items], axis=1)[apart <= RADIUS]
 
     def all_matches(self, texts: list[str | None]) -> Iterator[dict[int, tuple[float, int, int]]]:
-        """For each text, ``matches``; texts without a shingle of any item are told apart all at once."""
-        for begin in range(0, len(texts), SLICE):
-            coded = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts[begin : begin + SLICE]]
-            hashes, sizes, borders = shingles.words_of(coded, shingles.MARKS)
-            starts = borders[:-1]
-            hit = np.zeros(len(coded), bool)
-            for width in self.widths:
-                found = np.flatnonzero(self._known(shingles.rolled(hashes, width), width))
-                owner = np.searchsorted(starts, found, "right") - 1
-                hit[owner[found + width <= borders[owner + 1]]] = True
-            for i, (a, b) in enumerate(zip(starts.tolist(), borders[1:].tolist(), strict=True)):
-                yield self.matches(hashes[a:b], sizes[a:b]) if hit[i] else {}
+        """For each text, ``matches``."""
+        for some in hashed_slices(texts):
+            yield from self.matches_in(some)
+
+    def matches_in(self, some: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[dict[int, tuple[float, int, int]]]:
+        """For each hashed text, ``matches``; texts without a shingle of any item are told apart all at once."""
+        hashes, sizes, borders = some
+        starts = borders[:-1]
+        hit = np.zeros(len(starts), bool)
+        for width in self.widths:
+            found = np.flatnonzero(self._known(shingles.rolled(hashes, width), width))
+            owner = np.searchsorted(starts, found, "right") - 1
+            hit[owner[found + width <= borders[owner + 1]]] = True
+        for i, (a, b) in enumerate(zip(starts.tolist(), borders[1:].tolist(), strict=True)):
+            yield self.matches(hashes[a:b], sizes[a:b]) if hit[i] else {}
 
     def _known(self, runs: np.ndarray, width: int) -> np.ndarray:
         """Which runs are shingles of an item: a bitmap of the hashes' first bits, then the exact table."""
@@ -200,55 +217,59 @@ def _index(texts: tuple[str | None, ...]) -> Index:
     return Index(texts)
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list, tuple]]:
+def item_blocks(items: DataFrame, key: str, text: str) -> list[tuple[list, tuple]]:
     """(keys, texts) of ITEM_BLOCK items or so at a time."""
-    blocks = -(-items.count() // ITEM_BLOCK)
-    block = F.pmod(F.xxhash64(key, text), F.lit(max(blocks, 1)))
+    each = items.select(F.col(key).alias("key"), F.col(text).alias("text")).distinct()
+    blocks = -(-each.count() // ITEM_BLOCK)
+    block = F.pmod(F.xxhash64("key", "text"), F.lit(max(blocks, 1)))
+    out = []
     for b in range(blocks):
-        rows = sorted(items.where(block == b).select(key, text).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield [r[0] for r in rows], tuple(r[1] for r in rows)
+        rows = sorted(each.where(block == b).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+        out.append(([r[0] for r in rows], tuple(r[1] for r in rows)))
+    return out
+
+
+def _by_batch(blocks: list[tuple], batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+    """Each batch and, for each of its rows, (block, item, match) of all items found; each text is hashed once."""
+    for batch in batches:
+        held = list(hashed_slices(batch.column(batch.schema.get_field_index(column)).to_pylist()))
+        found: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
+        for b, texts in enumerate(blocks):
+            index = _index(texts)
+            for row, hits in enumerate(hits for some in held for hits in index.matches_in(some)):
+                found[row] += [(b, i, best) for i, best in sorted(hits.items())]
+        yield batch, found
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(key, item_key, ``similarity``, ``window_start``, ``window_words``): the best window for each pair found."""
-    spark, out = docs.sparkSession, None
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, similarity double, window_start long, window_words long"
-    for numbers, texts in item_blocks(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast((numbers, texts))
-
-        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            numbers, texts = shared.value
-            index = _index(texts)
-            for batch in rows:
-                found: list[tuple] = []
-                for doc, hits in zip(batch.column(0).to_pylist(), index.all_matches(batch.column(1).to_pylist()), strict=True):
-                    found += [(doc, numbers[i], *best) for i, best in sorted(hits.items())]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks = item_blocks(items, item_key, item_text)
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    types = [docs.schema[key].dataType, items.schema[item_key].dataType]
+    schema = f"`{key}` {types[0].simpleString()}, `{item_key}` {types[1].simpleString()}, similarity double, window_start long, window_words long"
+    kinds = [*map(to_arrow_type, types), pa.float64(), pa.int64(), pa.int64()]
+    names = [key, item_key, "similarity", "window_start", "window_words"]
 
-        from pyspark.sql.pandas.types import to_arrow_type
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [numbers for numbers, _ in shared.value]
+        for batch, found in _by_batch([texts for _, texts in shared.value], rows, "_text"):
+            out = [(doc, keys[b][i], *best) for doc, hits in zip(batch.column(0).to_pylist(), found, strict=True) for b, i, best in hits]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-        types = [docs.schema[key].dataType, items.schema[item_key].dataType]
-        kinds = [*map(to_arrow_type, types), pa.float64(), pa.int64(), pa.int64()]
-        names = [key, item_key, "similarity", "window_start", "window_words"]
-        part = docs.select(key, text).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, of which no window is similar to an item; no shuffle."""
-    for _, texts in item_blocks(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(texts)
+    shared = docs.sparkSession.sparkContext.broadcast([texts for _, texts in item_blocks(items, item_key, item_text)])
 
-        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared.value)
-            for batch in rows:
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                yield batch.filter(pa.array([not hits for hits in index.all_matches(texts)], pa.bool_()))
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _by_batch(shared.value, rows, text):
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,10 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
-from skerry.llm import decontam, shingles
+from skerry.llm import decontam, queries, shingles
 
 
 def brute(index, text):
@@ -74,6 +76,75 @@ def test_tables_blocks_and_dropping(spark, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {r[0] for r in whole}
 
 
+def plain(text):
+    """Shingles as strings with their bytes, by plain Python."""
+    words = re.findall(r"[A-Za-z0-9_\u0080-\U0010ffff]+", (text or "").lower())
+    width = min(decontam.WIDTH, len(words))
+    return [(tuple(words[i : i + width]), sum(len(w.encode()) for w in words[i : i + width])) for i in range(len(words) - width + 1)] if words else [], len(words), width
+
+
+def alike(a, b):
+    """Weighted Jaccard similarity of two lists of (shingle, bytes)."""
+    x, y = Counter(), Counter()
+    for t, w in a:
+        x[t] += w
+    for t, w in b:
+        y[t] += w
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def plain_matches(items, text):
+    """The best similarity of each item that some window is similar to, without hashes or fingerprints."""
+    words = re.findall(r"[A-Za-z0-9_\u0080-\U0010ffff]+", (text or "").lower())
+    out = {}
+    for key, item in items:
+        own, size, width = plain(item)
+        if not size or len(words) < width:
+            continue
+        count, vocabulary = max(1, min(size, len(words)) - width + 1), {t for t, _ in own}
+        grams = [(tuple(words[i : i + width]), sum(len(w.encode()) for w in words[i : i + width])) for i in range(len(words) - width + 1)]
+        if not any(t in vocabulary for t, _ in grams):
+            continue
+        best = max(alike(grams[p : p + count], own) for p in range(len(grams) - count + 1))
+        if best >= decontam.THRESHOLD:
+            out[key] = round(best, 9)
+    return out
+
+
+def test_query_agrees_with_plain_python(spark, sf_dir):
+    items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {(d.doc_id, key): s for d in docs for key, s in plain_matches(items, d.text).items()}
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in queries.op1_decontamination(spark, sf_dir).collect()}
+    assert got == want and len(want) > 2
+
+
+def test_items_with_long_words_are_found_at_the_threshold():
+    """A replaced word of many bytes costs fingerprints no more bits than similarity."""
+    rng, pairs, missed = random.Random(3), 0, 0
+    for trial in range(400):
+        words = [f"w{rng.randrange(9000)}" + ("x" * rng.choice([0, 0, 0, 30])) for _ in range(rng.randint(80, 170))]
+        other = list(words)
+        for at in rng.sample(range(len(words)), rng.randint(1, 5)):
+            other[at] = f"{trial}_{at}" + "y" * (len(words[at]) - 4)
+        item, text = " ".join(words), " ".join(other)
+        if 0.8 <= alike(plain(item)[0], plain(text)[0]) < 0.86:
+            pairs += 1
+            missed += 0 not in next(decontam.Index((item,)).all_matches([text]))
+    assert pairs > 40 and missed <= 0.01 * pairs
+
+
+def test_very_long_repeated_and_null(spark):
+    rng = random.Random(9)
+    item = " ".join(f"q{rng.randrange(999)}" for _ in range(40))
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (1, f"{long} {item} {long}"), (None, item), (4, None), (5, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item, 0), (7, item, 0), (8, item, 0), (None, item, 0), (9, None, 0)], "item_id long, text string, similarity int")
+    got = sorted((str(r.doc_id), str(r.item_id), r.similarity, r.window_start) for r in decontam.contaminated(docs, items).collect())
+    assert got == sorted((d, i, 1.0, 0 if d == "None" else 200_000) for d in ("1", "1", "None") for i in ("7", "8", "None"))
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, items).collect()) == [4, 5]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, items).count() == 0
