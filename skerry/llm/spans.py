@@ -1,16 +1,20 @@
 """Substring deduplication by sliding sentence spans, in DataFrame operations only.
 
 A text is cut into sentences, which together are the text again.  Spans are all
-runs of two and of three consecutive sentences with 12 words or more, and, as a
-passage may be one sentence, single sentences of 25 words or more.  So of a repeat
-of over 50 words, all whole sentences are covered by spans, but for runs of under
-12 words at its ends.  Spans are hashed (128 bits) and joined globally.  Of equal spans the
-one with the smallest (id, position) is the first; every sentence that another
-one covers is removed.
+runs of two and of three consecutive sentences with ``few`` words or more.  Where three
+sentences have fewer, the run goes on until it has as many, so short sentences and lines
+are in spans as well.  As a passage may be one sentence, single sentences of ``long``
+words or more are spans, too.  So of a repeat of over 50 words, all whole sentences are
+covered by spans, but for runs of under ``few`` words at its ends; sentences that only
+partly belong to it are not.  With ``few = long = 1`` every run of one to three is a span.
+Spans are hashed (128 bits) and joined globally.  Of equal spans the one with the
+smallest (id, position) is the first; every sentence that another one covers is removed.
 
 Null text stays null and empty text empty.  A text without sentence marks is one
 sentence.  Rows with equal ids are the same document, so they don't repeat each
-other.  Extra columns of ``docs`` are kept by ``deduplicate``.  Ids are integers.
+other.  Rows with a null id are left as they are.  Very long texts take time in
+proportion to their length; an empty table gives an empty table.  Extra columns are kept
+by ``deduplicate``, but for ``n_sentences`` and ``n_removed``, which are set.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from skerry.llm.exprs import let
 
 #: Up to marks before a blank, or to line ends, or to the end of the text.
 SENTENCE = r"[^\n]*?[.!?]+[ \t]+\n*|[^\n]*\n+[ \t]*|[^\n]+"
-#: Least words of a span of several sentences, and of a sentence that is a span of its own.
+#: Least words of a span of several sentences, and of a sentence that is a span of its own.  Every sentence counts as a word at least.
 FEW, LONG = 12, 25
 
 
@@ -30,7 +34,7 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
-def _spans(found: Column) -> Column:
+def _spans(found: Column, few: int, long: int) -> Column:
     """Structs (pos, size, h1, h2) of all spans among the sentences."""
     plain = F.transform(found, lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " ")))
     counted = let(
@@ -47,10 +51,24 @@ def _spans(found: Column) -> Column:
                 i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(*whole).alias("h1"), F.xxhash64(F.lit("2"), *whole).alias("h2")
             )
 
+        def grown(run: Column) -> Column:
+            """The shortest run from here that has enough words, of more than three sentences."""
+            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
+            enough = F.aggregate(
+                run, start, lambda s, x: F.when(s["w"] >= few, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["w"] + x["w"]).alias("w")))
+            )
+            whole = F.transform(F.slice(run, F.lit(1), enough["n"]), lambda x: x["s"])
+            long_span = F.struct(
+                i.alias("pos"), enough["n"].alias("size"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit("2"), whole).alias("h2")
+            )
+            return F.when((enough["w"] >= few) & (enough["n"] > 3), long_span)
+
+        three = a["w"] + b["w"] + c["w"]
         return F.array(
-            F.when(a["w"] >= LONG, span(1, a)),
-            F.when(b.isNotNull() & (a["w"] + b["w"] >= FEW), span(2, a, b)),
-            F.when(c.isNotNull() & (a["w"] + b["w"] + c["w"] >= FEW), span(3, a, b, c)),
+            F.when(a["w"] >= long, span(1, a)),
+            F.when(b.isNotNull() & (a["w"] + b["w"] >= few), span(2, a, b)),
+            F.when(c.isNotNull() & (three >= few), span(3, a, b, c)),
+            F.when(c.isNotNull() & (three < few), let(F.slice(items, i + 1, few), grown)),
         )
 
     def all_of(items: Column) -> Column:
@@ -59,26 +77,27 @@ def _spans(found: Column) -> Column:
     return let(counted, all_of)
 
 
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, long: int = LONG) -> DataFrame:
     """(key, ``removed``): the positions of the sentences to remove, for documents that have some."""
-    spans = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.inline(_spans(sentences(F.col(text)))))
+    known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    spans = known.select(F.col(key).cast("long").alias("doc"), F.inline(_spans(sentences(F.col(text)), few, long)))
     # one exact number in the order of (id, position); a decimal stays in the hash aggregation
     place = (F.col("doc").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    spans = spans.withColumn("place", place)
-    repeated = spans.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = spans.join(repeated, ["h1", "h2"]).where("place > first")
+    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # the place is worked out again after the exchange, which stays as slim as can be
+    later = spans.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
     covered = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("p"))
     return covered.groupBy(F.col("doc").alias(key)).agg(F.collect_set("p").alias("removed"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int = FEW, long: int = LONG) -> DataFrame:
     """``docs`` with repeated sentences removed from the text, and ``n_sentences`` and ``n_removed``."""
 
     def left_over(found: Column, removed: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), removed)
         return F.array_join(F.transform(kept, lambda i: F.get(found, i)), "")
 
-    gone = removals(docs, key, text).select(F.col(key).alias("_spans_key"), F.col("removed").alias("_spans_removed"))
+    gone = removals(docs, key, text, few, long).select(F.col(key).alias("_spans_key"), F.col("removed").alias("_spans_removed"))
     joined = docs.join(gone, docs[key].cast("long") == gone["_spans_key"], "left").drop("_spans_key")
     removed = F.col("_spans_removed")
     cleaned = F.when(removed.isNull(), F.col(text)).otherwise(let(sentences(F.col(text)), lambda found: left_over(found, removed)))
@@ -91,7 +110,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     ).drop("_spans_removed")
 
 
-SQL = r"""
+SQL = rf"""
 WITH s AS (
   SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[^\n]*?[.!?]+[ \t]+\n*|[^\n]*\n+[ \t]*|[^\n]+') END AS ss
   FROM documents
@@ -102,10 +121,22 @@ WITH s AS (
   FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)
 ), w AS (
   SELECT *, length(a) - length(replace(a, ' ', '')) + 1 AS wa, length(b) - length(replace(b, ' ', '')) + 1 AS wb, length(c) - length(replace(c, ' ', '')) + 1 AS wc FROM e
+), plain AS (
+  SELECT doc_id, list_transform(ss, lambda x: trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g'))) AS ps FROM s
+), sized AS (
+  SELECT doc_id, ps, list_transform(ps, lambda x: length(x) - length(replace(x, ' ', '')) + 1) AS ns FROM plain
+), lines AS (
+  SELECT doc_id, i, ps, ns FROM (SELECT doc_id, ps, ns, unnest(range(1, len(ps) - 2)) AS i FROM sized)
+  WHERE list_sum(ns[i:i + 2]) < {FEW}
+), longer AS (
+  SELECT doc_id, i, ps, (SELECT min(j) FROM range(i + 3, least(i + {FEW}, len(ps) + 1)) AS r(j) WHERE list_sum(ns[i:j]) >= {FEW}) AS j FROM lines
+), grown AS (
+  SELECT doc_id, i, j, array_to_string(ps[i:j], chr(1)) AS k FROM longer WHERE j IS NOT NULL
 ), spans AS (
-  SELECT doc_id, pos, 1 AS size, a AS k FROM w WHERE wa >= 25
-  UNION ALL SELECT doc_id, pos, 2, a || chr(1) || b FROM w WHERE b IS NOT NULL AND wa + wb >= 12
-  UNION ALL SELECT doc_id, pos, 3, a || chr(1) || b || chr(1) || c FROM w WHERE c IS NOT NULL AND wa + wb + wc >= 12
+  SELECT doc_id, pos, 1 AS size, a AS k FROM w WHERE wa >= {LONG}
+  UNION ALL SELECT doc_id, pos, 2, a || chr(1) || b FROM w WHERE b IS NOT NULL AND wa + wb >= {FEW}
+  UNION ALL SELECT doc_id, i - 1, j - i + 1, k FROM grown
+  UNION ALL SELECT doc_id, pos, 3, a || chr(1) || b || chr(1) || c FROM w WHERE c IS NOT NULL AND wa + wb + wc >= {FEW}
 ), later AS (
   SELECT doc_id, pos, size FROM (SELECT *, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, pos) AS n FROM spans) WHERE n > 1
 ), gone AS (

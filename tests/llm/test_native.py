@@ -44,6 +44,42 @@ def test_sentences_are_the_whole_text(spark, text):
     assert "".join(found) == text
 
 
+def removed_by(rows, few, long):
+    """What plain Python removes: {id: positions}."""
+    first, cover = {}, {}
+    for doc, text in sorted(rows):
+        found = [re.sub("[ \t\r\n]+", " ", s).strip(" ") for s in re.findall(spans.SENTENCE, text)]
+        sizes = [s.count(" ") + 1 for s in found]
+        for i in range(len(found)):
+            ends = [k for k in (2, 3) if i + k <= len(found) and sum(sizes[i : i + k]) >= few] + [1] * (sizes[i] >= long)
+            if i + 3 <= len(found) and sum(sizes[i : i + 3]) < few:
+                ends += [k for k in range(4, few + 1) if i + k <= len(found) and sum(sizes[i : i + k]) >= few][:1]
+            for k in ends:
+                if first.setdefault(tuple(found[i : i + k]), (doc, i)) != (doc, i):
+                    cover.setdefault(doc, set()).update(range(i, i + k))
+    return cover
+
+
+@pytest.mark.parametrize(("few", "long"), [(12, 25), (1, 1), (1, 25), (5, 8)])
+def test_removals_agree_with_plain_python(spark, sf_dir, few, long):
+    rng = np.random.default_rng(3)
+    short = "".join(f"W{rng.integers(40)}. " for _ in range(60))
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10**6, short), (10**6 + 1, short), (10**6 + 2, "Own begin.\n" + short[7:]), (10**6 + 3, "one two\nthree\n" * 30), (10**6 + 4, "a. " * 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.removed) for r in spans.removals(docs, few=few, long=long).collect()}
+    assert got == removed_by(rows, few, long)
+    if few > 1:
+        assert len(got[10**6 + 1]) >= 49
+
+
+def test_very_long_text_and_clashing_names(spark):
+    long = " ".join(f"Sentence number {i} has some more words of its own here." for i in range(20_000))
+    docs = spark.createDataFrame([(1, long, 9), (2, long, 9)], "doc_id long, text string, n_removed int")
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in spans.deduplicate(docs).collect()}
+    assert got == {1: (20_000, 0, long), 2: (20_000, 20_000, "")}
+
+
 # chat
 
 
