@@ -37,31 +37,38 @@ def sentences(text: Column) -> Column:
 def _spans(found: Column, few: int, long: int) -> Column:
     """Structs (pos, size, h1, h2) of all spans among the sentences."""
     plain = F.transform(found, lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " ")))
+    # each sentence is hashed once, spans by the hashes of their sentences
     counted = let(
         plain,
-        lambda p: F.transform(p, lambda s: F.struct(s.alias("s"), (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("w"))),
+        lambda p: F.transform(
+            p,
+            lambda s: F.struct(
+                (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit(""))) + 1).alias("w"),
+                F.xxhash64(s).alias("h1"),
+                F.xxhash64(F.lit("2"), s).alias("h2"),
+            ),
+        ),
     )
 
     def starting(items: Column, i: Column) -> Column:
         a, b, c = (F.get(items, i + k) for k in range(3))
 
         def span(size: int, *parts: Column) -> Column:
-            whole = [p["s"] for p in parts]
-            return F.struct(
-                i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(*whole).alias("h1"), F.xxhash64(F.lit("2"), *whole).alias("h2")
-            )
+            hashes = (F.xxhash64(*(p[h] for p in parts)).alias(h) for h in ("h1", "h2"))
+            return F.struct(i.alias("pos"), F.lit(size).alias("size"), *hashes)
 
         def grown(run: Column) -> Column:
             """The shortest run from here that has enough words, of more than three sentences."""
-            start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
-            enough = F.aggregate(
-                run, start, lambda s, x: F.when(s["w"] >= few, s).otherwise(F.struct((s["n"] + 1).alias("n"), (s["w"] + x["w"]).alias("w")))
-            )
-            whole = F.transform(F.slice(run, F.lit(1), enough["n"]), lambda x: x["s"])
-            long_span = F.struct(
-                i.alias("pos"), enough["n"].alias("size"), F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit("2"), whole).alias("h2")
-            )
-            return F.when((enough["w"] >= few) & (enough["n"] > 3), long_span)
+            one = 1 << 40  # a sentence; its words are counted below that
+            enough = F.aggregate(run, F.lit(0).cast("long"), lambda n, x: F.when(n % one >= few, n).otherwise(n + one + x["w"]))
+
+            def whole(n: Column) -> Column:
+                size = F.floor(n / one).cast("int")
+                inside = F.slice(run, F.lit(1), size)
+                hashes = (F.xxhash64(F.transform(inside, lambda x: x[h])).alias(h) for h in ("h1", "h2"))
+                return F.when((n % one >= few) & (size > 3), F.struct(i.alias("pos"), size.alias("size"), *hashes))
+
+            return let(enough, whole)
 
         three = a["w"] + b["w"] + c["w"]
         return F.array(
