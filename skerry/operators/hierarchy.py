@@ -24,13 +24,17 @@ def top_level(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("concept_id")).distinct().join(edges.select(F.col("child").alias("concept_id")), "concept_id", "left_anti")
 
 
-def paths(edges: DataFrame, limit: int = 64) -> DataFrame:
-    """(concept_id, ancestor, level) for each length of a path up; a recursive query."""
+def paths(edges: DataFrame) -> DataFrame:
+    """(concept_id, ancestor, level) for each length of a path up; a recursive query.
+
+    It ends by itself.  Cycles, and hierarchies of more levels than
+    ``spark.sql.cteRecursionLevelLimit``, raise an error; none is cut short.
+    """
     spark = edges.sparkSession
     return spark.sql(
-        f"""WITH RECURSIVE up (concept_id, ancestor, level) AS (
-              SELECT child, parent, 1 FROM {{e}}
-              UNION ALL SELECT up.concept_id, e.parent, up.level + 1 FROM up JOIN {{e}} e ON up.ancestor = e.child WHERE up.level < {limit})
+        """WITH RECURSIVE up (concept_id, ancestor, level) AS (
+              SELECT child, parent, 1 FROM {e}
+              UNION ALL SELECT up.concept_id, e.parent, up.level + 1 FROM up JOIN {e} e ON up.ancestor = e.child)
             SELECT DISTINCT concept_id, ancestor, level FROM up""",
         e=edges.select("child", "parent").distinct(),
     )
@@ -69,7 +73,7 @@ def leaves_under(concepts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def internal_truth(truth: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
     """A class is true of a document if any leaf below it is (GR08)."""
-    below = F.broadcast(leaves_under(concepts, edges))
+    below = leaves_under(concepts, edges)
     return truth.join(below, "concept_id").groupBy("document_id", "ancestor").agg(F.bool_or("matched").alias("matched"))
 
 

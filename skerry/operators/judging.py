@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions import replies
-from skerry.operators.metrics import PAIR
+from skerry.operators.metrics import PAIR, voted
 from skerry.operators.ranking import split_remainder
 from skerry.plans.shipping import ship
 
@@ -96,16 +96,90 @@ def asked(rows: DataFrame, provider: ChatProvider, prompt: str = "prompt") -> Da
     return rows.mapInArrow(run, f"{fields}, reply string, error string")
 
 
-def judge(pairs: DataFrame, articles: DataFrame, concepts: DataFrame, done: DataFrame, provider: ChatProvider) -> DataFrame:
-    """Verdicts of the pairs not yet judged (JD02); a document without a body is an error row and stays in the count (JD06)."""
-    open_ = pending(pairs.select(*PAIR), done).join(articles.select("document_id", "body"), "document_id", "left").join(concepts, "concept_id")
+def first_pairs(pairs: DataFrame, limit: int | None, by_score: bool) -> DataFrame:
+    """The pairs to judge now (JD01): in the order of ids or, by score, best first; all without a limit."""
+    if limit is None:
+        return pairs
+    return pairs.orderBy(*([F.desc("score")] if by_score else []), *PAIR).limit(limit)
+
+
+def sampled(rows: DataFrame, samples: int) -> DataFrame:
+    """Each prompt so many times; those after the first carry their number, so that no cache answers them alike."""
+    each = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    return each.withColumn("prompt", F.when(F.col("sample") == 1, F.col("prompt")).otherwise(F.concat("prompt", F.lit("\nSample "), F.col("sample").cast("string"))))
+
+
+def judge(
+    pairs: DataFrame, articles: DataFrame, concepts: DataFrame, done: DataFrame, provider: ChatProvider, samples: int = 1, vote: str = "majority",
+    limit: int | None = None, by_score: bool = False,
+) -> DataFrame:
+    """Verdicts of the pairs not yet judged (JD01, JD02), by vote where several samples are drawn.
+
+    A sample that failed or can't be read has no vote; a pair without any is an error.
+    The confidence is that of the sample that first gave the answer, with several
+    samples the share that gave it.  A document without a body is an error row and
+    stays in the count (JD06).
+    """
+    wanted = first_pairs(pending(pairs, done), limit, by_score).select(*PAIR)
+    open_ = wanted.join(articles.select("document_id", "body"), "document_id", "left").join(concepts, "concept_id")
     with_text, without = open_.where("body IS NOT NULL"), open_.where("body IS NULL")
-    answers = asked(with_text.select(*PAIR, pair_prompt(F.col("name"), F.col("definition"), F.col("body")).alias("prompt")), provider)
-    verdicts = answers.select(*PAIR, replies.verdict(F.col("reply")).alias("v"), "error").select(*PAIR, "v.matched", "v.confidence", "error")
+    prompts = with_text.select(*PAIR, pair_prompt(F.col("name"), F.col("definition"), F.col("body")).alias("prompt"))
+    if samples == 1:
+        answers = asked(prompts, provider).select(*PAIR, replies.verdict(F.col("reply")).alias("v"), "error")
+        verdicts = answers.select(*PAIR, "v.matched", "v.confidence", "error")
+    else:
+        said = asked(sampled(prompts, samples), provider).select(*PAIR, "sample", replies.verdict(F.col("reply"))["matched"].alias("matched"))
+        votes = voted(said.where("matched IS NOT NULL"), PAIR, vote).select(*PAIR, "matched", F.col("vote_fraction").alias("confidence"))
+        missed = F.when(F.col("matched").isNull(), F.lit("no sample could be read")).alias("error")
+        verdicts = prompts.select(*PAIR).join(votes, PAIR, "left").select(*PAIR, "matched", "confidence", missed)
     missing = without.select(*PAIR, F.lit(None).cast("boolean").alias("matched"), F.lit(None).cast("double").alias("confidence"), F.lit("no body").alias("error"))
     return verdicts.unionByName(missing)
 
 
+def batch_prompt(classes: Column, body: Column) -> Column:
+    """The question about one document and several classes, structs of concept_id and name (FN25)."""
+    lines = F.transform(classes, lambda c: F.concat(c["concept_id"].cast("string"), F.lit(": "), c["name"]))
+    return F.concat(
+        F.lit("Which of these classes does the article report an instance of?\n"), F.array_join(lines, "\n"), F.lit("\nArticle:\n"), body,
+        F.lit('\nAnswer with JSON: {"results": [{"concept_id": 0, "matched": true or false, "confidence": 0 to 1}]}'),
+    )
+
+
+def judge_batched(pairs: DataFrame, articles: DataFrame, concepts: DataFrame, done: DataFrame, provider: ChatProvider) -> DataFrame:
+    """Verdicts by one call a document (JD03); a class the reply leaves out is a no.
+
+    A failed call is recorded on every pair of the document.  A document's classes are
+    those it was shown, so they fit into a row.
+    """
+    open_ = pending(pairs.select(*PAIR), done).join(concepts.select("concept_id", "name"), "concept_id")
+    grouped = open_.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("concept_id", "name"))).alias("classes"))
+    known = grouped.join(articles.select("document_id", "body"), "document_id", "left")
+    calls = asked(known.where("body IS NOT NULL").withColumn("prompt", batch_prompt(F.col("classes"), F.col("body"))).drop("body"), provider)
+    ids = F.transform("classes", lambda c: c["concept_id"])
+    read = calls.select("document_id", "error", F.explode(replies.batch(F.coalesce("reply", F.lit("")), ids)).alias("r"))
+    ok = F.col("error").isNull()
+    verdicts = read.select("document_id", "r.concept_id", F.when(ok, F.col("r.matched")).alias("matched"), F.when(ok, F.col("r.confidence")).alias("confidence"), "error")
+    missing = known.where("body IS NULL").select("document_id", F.explode(ids).alias("concept_id"))
+    none = missing.select(*PAIR, F.lit(None).cast("boolean").alias("matched"), F.lit(None).cast("double").alias("confidence"), F.lit("no body").alias("error"))
+    return verdicts.select(*PAIR, "matched", "confidence", "error").unionByName(none)
+
+
+def trial(spark, name: str, definition: str, body: str | None, provider: ChatProvider, samples: int = 1, vote: str = "majority") -> DataFrame:
+    """What a judge would say of one pasted pair; nothing is stored (JD08)."""
+    article = spark.createDataFrame([(0, body)], "document_id long, body string")
+    concept = spark.createDataFrame([(0, name, definition)], "concept_id int, name string, definition string")
+    pair = spark.createDataFrame([(0, 0)], "document_id long, concept_id int")
+    return judge(pair, article, concept, pair.where("false"), provider, samples, vote).drop(*PAIR)
+
+
+def judged(mode: str, pairs: DataFrame, articles: DataFrame, concepts: DataFrame, done: DataFrame, provider: ChatProvider, **how) -> DataFrame:
+    """Verdicts by the mode a run is configured with (JD01)."""
+    modes = {"pair": judge, "batch": judge_batched}
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode!r}; one of {sorted(modes)}")
+    return modes[mode](pairs, articles, concepts, done, provider, **how)
+
+
 def batched_cost(calls: DataFrame, pairs: DataFrame) -> DataFrame:
     """A call's tokens split exactly over its pairs, the first taking the remainder (JD03)."""
     from pyspark.sql import Window

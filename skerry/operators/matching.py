@@ -83,7 +83,7 @@ def link_confusion(events: DataFrame, articles: DataFrame, links: DataFrame, tru
 
 
 def code_tree(codes: DataFrame) -> DataFrame:
-    """Codes with their parent, the longest proper prefix that is a code (JN25)."""
+    """Codes with their parent, the code without its last character if that is a code (JN25)."""
     parents = codes.select("system", F.col("code").alias("_up"), F.col("code").alias("parent"))
     up = codes.withColumn("_up", F.expr("substring(code, 1, length(code) - 1)"))
     return up.join(parents, ["system", "_up"], "left").select("system", "code", "parent", F.length("code").alias("level"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators.components import connected_components
+from skerry.plans.cuts import cut
 from skerry.plans.shipping import ship
 
 WIDTH, SLOTS, BAND = 5, 64, 4
@@ -83,12 +84,14 @@ def near_pairs(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
 def deduplicate(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(document_id, duplicate_of): null for representatives (DD01).
 
+    Documents with ``is_junk`` set are left out: they neither are copies nor have any.
     ``documents`` may have ``duplicate_of`` from before: a document that copies
     already point at stays the representative of its group, else the smallest id is.
     """
     if "duplicate_of" not in documents.columns:
         documents = documents.withColumn("duplicate_of", F.lit(None).cast("long"))
-    groups = connected_components(near_pairs(signatures(documents), threshold)).withColumnRenamed("node", "document_id")
+    texts = documents.where(~F.coalesce("is_junk", F.lit(False))) if "is_junk" in documents.columns else documents
+    groups = connected_components(near_pairs(cut(signatures(texts)), threshold)).withColumnRenamed("node", "document_id")
     standing = documents.where("duplicate_of IS NOT NULL").select(F.col("duplicate_of").alias("document_id")).distinct().withColumn("standing", F.lit(0))
     rank = F.struct(F.coalesce("standing", F.lit(1)), "document_id")
     chosen = groups.join(standing, "document_id", "left").groupBy("component").agg(F.min(rank)["document_id"].alias("chosen"))

@@ -92,11 +92,14 @@ def interval(low: float | None, high: float | None, digits: int = 3) -> str:
 
 
 def markdown(rows: DataFrame, columns: list[str], most: int = 200) -> str:
-    """A report table as Markdown; for results of a few rows (SRC27)."""
+    """A report table as Markdown; for results of a few rows (SRC27).  Rows beyond ``most`` are counted in a last line."""
     lines = ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
-    for row in rows.select(*columns).limit(most).collect():
+    found = rows.select(*columns).take(most + 1)
+    for row in found[:most]:
         cells = [number(v) if isinstance(v, float) or v is None else str(v).replace("|", "\\|") for v in row]
         lines.append("| " + " | ".join(cells) + " |")
+    if len(found) > most:
+        lines.append(f"\n{rows.count() - most} more rows are left out.")
     return "\n".join(lines) + "\n"
 
 

@@ -22,16 +22,16 @@ def flat(pool: DataFrame) -> DataFrame:
     return pool.where("selected").select(*PAIR)
 
 
-def routed(articles: DataFrame, concepts: DataFrame, edges: DataFrame, provider: ChatProvider, levels: int = 16) -> tuple[DataFrame, DataFrame]:
+def routed(articles: DataFrame, concepts: DataFrame, edges: DataFrame, provider: ChatProvider) -> tuple[DataFrame, DataFrame]:
     """(shown leaves, all answers): sibling sets are asked top down, children only of classes answered yes (RT08, JD04).
 
-    One round a level of the hierarchy; each class is asked once of a document.
+    One round a level of the hierarchy, until nothing is left to ask; each class is asked once of a document.
     """
     none = articles.select("document_id", F.lit(0).alias("concept_id")).where("false")
     answers = none.withColumn("matched", F.lit(True))
     top = F.broadcast(hierarchy.top_level(edges))
     ask = articles.select("document_id").crossJoin(top)
-    for _ in range(levels):
+    while True:
         prompts = ask.join(articles.select("document_id", "body"), "document_id").join(concepts.select("concept_id", "name"), "concept_id")
         text = F.concat(F.lit("Is this article about the following? "), F.col("name"), F.lit("\n"), F.coalesce("body", F.lit("")))
         said = cut(asked(prompts.select(*PAIR, text.alias("prompt")), provider).select(*PAIR, F.coalesce(replies.verdict(F.col("reply"))["matched"], F.lit(False)).alias("matched")))
