@@ -7,7 +7,8 @@ are in spans as well.  As a passage may be one sentence, single sentences of ``l
 words or more are spans, too.  So of a repeat of over 50 words, all whole sentences are
 covered by spans, but for runs of under ``few`` words at its ends; sentences that only
 partly belong to it are not.  With ``few = long = 1`` every run of one to three is a span.
-Spans are hashed (128 bits) and joined globally.  Of equal spans the one with the
+Spans are hashed (128 bits) and joined globally; common spans, of which one task would
+hold all, are looked up in a broadcast of bounded size instead.  Of equal spans the one with the
 smallest (id, position) is the first; every sentence that another one covers is removed.
 
 Null text stays null and empty text empty.  A text without sentence marks is one
@@ -23,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.exprs import let
+from skerry.plans.cuts import cut
 
 #: Up to marks before a blank, or to line ends, or to the end of the text.
 SENTENCE = r"[^\n]*?[.!?]+[ \t]+\n*|[^\n]*\n+[ \t]*|[^\n]+"
 #: Least words of a span of several sentences, and of a sentence that is a span of its own.  Every sentence counts as a word at least.
 FEW, LONG = 12, 25
+#: A span is common if it makes up one in COMMON of all repeated spans or more; so there are COMMON of them at most.
+COMMON = 1000
 
 
 def sentences(text: Column) -> Column:
@@ -90,10 +94,21 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", few: int
     spans = known.select(F.col(key).cast("long").alias("doc"), F.inline(_spans(sentences(F.col(text)), few, long)))
     # one exact number in the order of (id, position); a decimal stays in the hash aggregation
     place = (F.col("doc").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(38,0)")
-    repeated = spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = cut(spans.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") * COMMON >= total
+    # COMMON rows at most
+    known_first = F.broadcast(repeated.where(common).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first").alias("_first")))
+    found = spans.join(known_first, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    # a common span is settled here: only its repeats go on, with a negative size, to the task that their own place gives
+    settled = F.col("_first").isNotNull()
+    going = found.where(~settled | (place > F.col("_first"))).select(
+        "doc", "pos", F.when(settled, -F.col("size")).otherwise(F.col("size")).alias("size"),
+        F.when(settled, F.xxhash64("doc", "pos")).otherwise(F.col("h1")).alias("h1"), "h2",
+    )
     # the place is worked out again after the exchange, which stays as slim as can be
-    later = spans.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.col("size") - 1)).alias("p"))
+    later = going.join(repeated.where(~common).drop("n"), ["h1", "h2"], "left").where((F.col("size") < 0) | (place > F.col("first")))
+    covered = later.select("doc", F.explode(F.sequence("pos", F.col("pos") + F.abs("size") - 1)).alias("p"))
     return covered.groupBy(F.col("doc").alias(key)).agg(F.collect_set("p").alias("removed"))
 
 

@@ -73,6 +73,19 @@ def test_removals_agree_with_plain_python(spark, sf_dir, few, long):
         assert len(got[10**6 + 1]) >= 49
 
 
+@pytest.mark.parametrize("common", [1, 3, 1 << 40])
+def test_common_spans_go_like_others(spark, monkeypatch, common):
+    """Whether a span counts as common changes where it is looked up, not what is found."""
+    line = "This notice of twelve words or more stands in very many texts here. Nobody may copy it or hand it on to others at all. "
+    rows = [(i, f"Text {i} has a beginning of its own that no other text has in it. " + line * (1 + i % 2)) for i in range(40)]
+    rows += [(i, f"Pair {i // 2} shares this sentence of its own with just one other text. And this one follows right behind it. ") for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {r.doc_id: sorted(r.removed) for r in spans.removals(docs).collect()}
+    monkeypatch.setattr(spans, "COMMON", common)
+    assert {r.doc_id: sorted(r.removed) for r in spans.removals(docs).collect()} == expected
+    assert all((i in expected) == (i % 2 == 1) for i in range(40, 60)) and len(expected) == 39 + 10
+
+
 def test_very_long_text_and_clashing_names(spark):
     long = " ".join(f"Sentence number {i} has some more words of its own here." for i in range(20_000))
     docs = spark.createDataFrame([(1, long, 9), (2, long, 9)], "doc_id long, text string, n_removed int")
