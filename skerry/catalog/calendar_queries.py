@@ -41,7 +41,7 @@ def _(calendar):
     return found.select(F.col("day").cast("string").alias("day"), F.array_join(F.array_sort(F.transform("places", lambda p: p.cast("string"))), ",").alias("places"))
 
 
-_STAGES = f"""w AS ({_SEEN}), p AS (SELECT w.*, c.concept_id, c.kind, coalesce(a.lang <> 'de', false) AS passed,
+STAGES = f"""w AS ({_SEEN}), p AS (SELECT w.*, c.concept_id, c.kind, coalesce(a.lang <> 'de', false) AS passed,
       CASE WHEN a.lang <> 'de' AND a.body IS NOT NULL AND NOT a.is_junk THEN coalesce(a.duplicate_of, a.document_id) END AS rep
       FROM w JOIN {{calendar}} c USING (entry_id) LEFT JOIN {{articles}} a USING (document_id)),
     sh AS (SELECT DISTINCT document_id AS rep, concept_id FROM {{shown}} WHERE run_id = 1), v AS (SELECT document_id AS rep, concept_id, matched FROM {{verdicts}} WHERE run_id = 1),
@@ -64,7 +64,7 @@ def _stages(calendar, coded, articles, shown, verdicts):
 @add(
     "AGG32_stage_counts",
     "calendar coded articles shown verdicts",
-    f"WITH {_STAGES} SELECT entry_id, kind, in_feed, passed_filter, fetched, retrieved, judged, matched, CAST(first_match AS VARCHAR) AS first_match, unique_documents, lost_at FROM r",
+    f"WITH {STAGES} SELECT entry_id, kind, in_feed, passed_filter, fetched, retrieved, judged, matched, CAST(first_match AS VARCHAR) AS first_match, unique_documents, lost_at FROM r",
 )
 def _(*frames):
     return _stages(*frames).withColumn("first_match", F.col("first_match").cast("string"))
@@ -73,7 +73,7 @@ def _(*frames):
 @add(
     "AGG31_calendar_summary",
     "calendar coded articles shown verdicts",
-    f"""WITH {_STAGES} SELECT kind, count(*) AS entries, count_if(matched > 0) AS detected, round(avg(CASE WHEN matched > 0 THEN 1E0 ELSE 0E0 END), 6) AS rate,
+    f"""WITH {STAGES} SELECT kind, count(*) AS entries, count_if(matched > 0) AS detected, round(avg(CASE WHEN matched > 0 THEN 1E0 ELSE 0E0 END), 6) AS rate,
       {', '.join(f"count_if(lost_at = '{s}') AS lost_at_{s}" for s in C.STAGES)} FROM r GROUP BY kind""",
 )
 def _(*frames):
@@ -83,7 +83,7 @@ def _(*frames):
 @add(
     "JN23_lead_times",
     "calendar coded articles shown verdicts",
-    f"""WITH {_STAGES} SELECT c.entry_id, c.precursor_of, CAST(t.starts_on - r.first_match AS INT) AS lead_days, d.matched > 0 AS disruption_detected
+    f"""WITH {STAGES} SELECT c.entry_id, c.precursor_of, CAST(t.starts_on - r.first_match AS INT) AS lead_days, d.matched > 0 AS disruption_detected
     FROM {{calendar}} c JOIN r ON r.entry_id = c.entry_id AND r.first_match IS NOT NULL JOIN {{calendar}} t ON t.entry_id = c.precursor_of JOIN r d ON d.entry_id = c.precursor_of
     WHERE c.kind = 'precursor'""",
 )
@@ -180,17 +180,47 @@ def _(verdicts, pool, labels):
     return S.queue(verdicts, pool.where("selected"), labels, usable)
 
 
-@add("WIN05_frozen_order", "articles")
+def _draw(seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}|' || document_id), 1, 13))::BIGINT / 4503599627370496E0"
+
+
+FROZEN = f"""SELECT document_id, lang, source, row_number() OVER (ORDER BY place, lang, source, document_id) - 1 AS position FROM (
+      SELECT document_id, lang, source, (row_number() OVER (PARTITION BY lang, source ORDER BY {_draw(0)}, document_id) - 1 + {_draw(1)}) / count(*) OVER (PARTITION BY lang, source) AS place FROM {{articles}}) a"""
+EQUAL = f"""SELECT document_id, lang, source, row_number() OVER (ORDER BY turn, lang, document_id) - 1 AS position FROM (
+      SELECT document_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY place, source, document_id) - 1 + {_draw(2)} AS turn FROM (
+        SELECT document_id, lang, source, (row_number() OVER (PARTITION BY lang, source ORDER BY {_draw(0)}, document_id) - 1 + {_draw(1)}) / count(*) OVER (PARTITION BY lang, source) AS place
+        FROM {{articles}}) a) b"""
+
+
+@add("WIN05_frozen_order", "articles", FROZEN)
 def _(articles):
     """Every prefix is proportional; tests check the prefixes."""
     return S.frozen_order(articles.select("document_id", "lang", "source"), "document_id", ["lang", "source"])
 
 
-@add("WIN06_equal_order", "articles")
+@add("WIN06_equal_order", "articles", EQUAL)
 def _(articles):
     return S.equal_order(articles.select("document_id", "lang", "source"), "document_id", "lang", ["source"])
 
 
+@add("OT35_drawn_sample", "articles", EQUAL)
+def _(articles):
+    """By default every window has its turn."""
+    return S.draw_sample(articles.select("document_id", "lang", "source"), ["source"], window="lang")
+
+
+@add(
+    "OT12_sample_sheet",
+    "articles",
+    f"""SELECT o.position + 1 AS position, document_id, substr(split_part(body, chr(10), 1), 1, 160) AS title,
+      substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 700) AS excerpt FROM ({FROZEN}) o JOIN {{articles}} USING (document_id) WHERE o.position BETWEEN 49 AND 148""",
+)
+def _(articles):
+    """A hundred positions of the frozen order."""
+    order = S.frozen_order(articles.select("document_id", "lang", "source"), "document_id", ["lang", "source"])
+    return S.sample_sheet(order, articles, 50, 100).drop("concepts", "note")
+
+
 @add(
     "WIN07_labelled_prefix",
     "articles",

@@ -131,7 +131,7 @@ def _(embeddings):
     """Classes against codes, those at least 0.45 alike (JN06)."""
     concepts = embeddings.groupBy(F.col("label").alias("concept_id")).agg(F.min_by("embedding", "vec_id").alias("leaf_vector"))
     codes = embeddings.select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
-    found = R.pool(codes, concepts, 1 << 30).where("score >= 0.45")
+    found = R.similar(codes, concepts, 0.45)
     return found.select("concept_id", F.col("document_id").alias("code_id"), "score")
 
 
@@ -144,7 +144,12 @@ def _(part):
     return runs.stale_concepts(then, now)
 
 
-@add("ON02_snapshot_hash", "part", "SELECT substr(sha256(string_agg(p_partkey || chr(30) || p_name || chr(31) || p_type, chr(10) ORDER BY p_partkey || chr(30) || p_name || chr(31) || p_type)), 1, 16) AS content_hash FROM {part}")
+@add(
+    "ON02_snapshot_hash",
+    "part",
+    f"""WITH d AS (SELECT sha256(p_partkey || chr(30) || p_name || chr(31) || p_type) AS h FROM {{part}})
+    SELECT substr(sha256(concat_ws(',', {", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT)" for i in range(8))})), 1, 16) AS content_hash FROM d""",
+)
 def _(part):
     return runs.snapshot_hash(part.select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("name"), F.col("p_type").alias("definition")))
 
@@ -249,18 +254,6 @@ def _(shown, verdicts):
     return M.clean(verdicts.where("run_id = 1")).select(*PAIR, "matched").join(shown.where("run_id = 1"), PAIR, "left_semi")
 
 
-@add(
-    "OT12_sample_sheet",
-    "articles",
-    """SELECT document_id AS position, split_part(body, chr(10), 1) AS title, substr(trim(regexp_replace(body, '\\s+', ' ', 'g')), 1, 700) AS excerpt FROM {articles} WHERE document_id BETWEEN 50 AND 149""",
-)
-def _(articles):
-    """A hundred positions of the order."""
-    one_line = F.trim(F.regexp_replace("body", r"\s+", " "))
-    rows = articles.select(F.col("document_id").alias("position"), F.substring_index("body", "\n", 1).alias("title"), F.substring(one_line, 1, 700).alias("excerpt"))
-    return rows.where(F.col("position").between(50, 149))
-
-
 @add("OT13_calendar_preview", "calendar coded", "SELECT c.entry_id, count(DISTINCT e.document_id) AS in_feed, count(DISTINCT CASE WHEN e.root_code < '11' THEN e.document_id END) AS passing FROM {calendar} c LEFT JOIN {coded} e ON e.place_id = c.place_id AND CAST(e.occurred_at AS DATE) BETWEEN c.starts_on - 3 AND c.starts_on + 3 GROUP BY c.entry_id")
 def _(calendar, coded):
     from skerry.operators.calendars import entry_days

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +20,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _scored(documents: DataFrame, leaves: DataFrame, digits: int) -> list[DataFrame]:
+    """(document_id, concept_id, score) of all documents with each block of leaves, BLOCK at most in a broadcast."""
+    blocks = -(-leaves.count() // BLOCK) or 1
+    each = [leaves if blocks == 1 else leaves.where(F.pmod(F.xxhash64("concept_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    score = F.round(cosine(F.col("vector"), F.col("leaf_vector")), digits).alias("score")
+    return [documents.crossJoin(F.broadcast(block)).select("document_id", "concept_id", score) for block in each]
+
+
 def pool(documents: DataFrame, leaves: DataFrame, size: int, digits: int = 6) -> DataFrame:
     """The nearest ``size`` leaves of each document: (document_id, concept_id, score, rank) (JN07, WIN01).
 
     Leaves are a dimension: they are broadcast BLOCK at a time, each block keeps its
     best ``size`` before the blocks meet, so no document meets all leaves in a shuffle.
     """
-    spark = documents.sparkSession
-    blocks = -(-leaves.count() // BLOCK) or 1
     nearest = Window.partitionBy("document_id").orderBy(F.desc("score"), "concept_id")
-    parts = None
-    for b in range(blocks):
-        block = leaves if blocks == 1 else leaves.where(F.pmod(F.xxhash64("concept_id"), F.lit(blocks)) == b)
-        scored = documents.crossJoin(F.broadcast(block)).select(
-            "document_id", "concept_id", F.round(cosine(F.col("vector"), F.col("leaf_vector")), digits).alias("score")
-        )
-        kept = scored.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size)
-        parts = kept if parts is None else parts.unionByName(kept)
-    return parts if blocks == 1 else parts.drop("rank").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size)
+    best = [part.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size) for part in _scored(documents, leaves, digits)]
+    if len(best) == 1:
+        return best[0]
+    return reduce(DataFrame.unionByName, best).drop("rank").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size)
+
+
+def similar(documents: DataFrame, leaves: DataFrame, least: float, digits: int = 6) -> DataFrame:
+    """(document_id, concept_id, score) of those at least so alike (JN06, RT03), kept where they are scored, without a shuffle."""
+    return reduce(DataFrame.unionByName, [part.where(F.col("score") >= least) for part in _scored(documents, leaves, digits)])
 
 
 def adaptive(ranked: DataFrame, min_score: float, margin: float, max_k: int, by: str = "document_id") -> DataFrame:

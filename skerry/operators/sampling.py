@@ -15,35 +15,92 @@ from skerry.functions.rates import rate
 from skerry.operators.metrics import PAIR
 
 
-def draw(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) for each row."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) / float(1 << 30)
+#: Ranges into which a group is cut to be ranked.
+PIECES = 1024
+
+
+def draw(seed: int, key: str) -> Column:
+    """A number in [0, 1) for each row: 52 bits of a digest, so that any engine can draw it again."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _ranked(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``_rank`` from 0 of each row in its group, and the group's ``_size``; order[0] lies in [0, 1).
+
+    Ranks are taken within PIECES ranges of order[0], to which what lies before is
+    added, so a group that holds most rows is spread over PIECES tasks.
+    """
+    pieces = rows.withColumn("_piece", F.floor(F.col(order[0]) * PIECES).cast("int"))
+    whole = Window.partitionBy(*by)
+    counts = pieces.groupBy(*by, "_piece").agg(F.count("*").alias("_n"))
+    before = counts.select(
+        *(F.col(c).alias(f"_of_{c}") for c in [*by, "_piece"]),
+        (F.sum("_n").over(whole.orderBy("_piece")) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(whole).alias("_size"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_piece"]]
+    inside = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(*order)) - 1
+    return pieces.withColumn("_rank", inside).join(before, same).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*rows.columns, "_rank", "_size")
+
+
+def _proportional(rows: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
+    """``_at`` in [0, 1): by it every prefix of the rows holds all groups in proportion."""
+    ranked = _ranked(rows.withColumn("_draw", draw(seed, key)), by, ["_draw", key])
+    return ranked.withColumn("_at", (F.col("_rank") + draw(seed + 1, key)) / F.col("_size")).drop("_draw", "_rank", "_size")
 
 
 def frozen_order(rows: DataFrame, key: str, stratum: list[str], seed: int = 0) -> DataFrame:
     """``position``: an order of which every prefix holds all strata in proportion (WIN05)."""
-    inside = Window.partitionBy(*stratum)
-    shuffled = inside.orderBy(draw(seed, key), key)
-    at = (F.row_number().over(shuffled) - 1 + draw(seed + 1, key)) / F.count("*").over(inside)
-    return _positions(rows.withColumn("_at", at), ["_at", *stratum, key]).drop("_at")
+    return _positions(_proportional(rows, key, stratum, seed), ["_at", *stratum, key]).drop("_at")
 
 
 def equal_order(rows: DataFrame, key: str, window: str, stratum: list[str], seed: int = 0) -> DataFrame:
     """As ``frozen_order`` within each window, the windows taking turns (WIN06)."""
-    inside = Window.partitionBy(window, *stratum)
-    at = (F.row_number().over(inside.orderBy(draw(seed, key), key)) - 1 + draw(seed + 1, key)) / F.count("*").over(inside)
-    turn = F.row_number().over(Window.partitionBy(window).orderBy("_at", *stratum, key)) - 1 + draw(seed + 2, key)
-    return _positions(rows.withColumn("_at", at).withColumn("_turn", turn), ["_turn", window, key]).drop("_at", "_turn")
+    placed = _ranked(_proportional(rows, key, [window, *stratum], seed), [window], ["_at", *stratum, key])
+    turns = placed.withColumn("_turn", F.col("_rank") + draw(seed + 2, key))
+    return _positions(turns, ["_turn", window, key]).drop("_at", "_rank", "_size", "_turn")
+
+
+#: How a sample is dealt over the windows.
+ALLOCATIONS = ("equal-per-window", "proportional")
+
+
+def draw_sample(frame: DataFrame, stratum: list[str], window: str = "window", key: str = "document_id", seed: int = 0, allocation: str = "equal-per-window") -> DataFrame:
+    """The frozen order of a sample (OT35): by default each window has an equal share of every prefix."""
+    if allocation not in ALLOCATIONS:
+        raise ValueError(f"unknown allocation {allocation!r}; one of {ALLOCATIONS}")
+    if allocation == "proportional":
+        return frozen_order(frame, key, [window, *stratum], seed)
+    return equal_order(frame, key, window, stratum, seed)
+
+
+def sample_sheet(order: DataFrame, articles: DataFrame, start: int = 1, count: int = 120) -> DataFrame:
+    """The documents at positions ``start`` and on of a frozen order, from 1, labelled or not, as people read them (OT12).
+
+    ``order``: document_id, position from 0; ``articles``: document_id, body and, if
+    known, title.  Without a title the body's first line stands in.
+    """
+    chosen = order.where(F.col("position").between(start - 1, start + count - 2)).select("document_id", (F.col("position") + 1).alias("position"))
+    body = F.coalesce("body", F.lit(""))
+    first_line = F.substring(F.substring_index(body, "\n", 1), 1, 160)
+    title = F.coalesce(F.nullif("title", F.lit("")), first_line) if "title" in articles.columns else first_line
+    excerpt = F.substring(F.trim(F.regexp_replace(body, r"\s+", " ")), 1, 700)
+    # a sheet has as many rows as a person reads
+    return articles.join(chosen, "document_id").select("position", "document_id", title.alias("title"), excerpt.alias("excerpt"), F.lit("").alias("concepts"), F.lit("").alias("note"))
 
 
 def _positions(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Gapless global positions without one task that sorts everything: rank within 1024 ranges of the first key, plus what lies before."""
-    spread = F.when(F.col(order[0]) < 1, F.floor(F.col(order[0]) * 512)).otherwise(512 + F.least(F.floor(F.log2(F.greatest(order[0], F.lit(1.0))) * 8), F.lit(511)))
+    """Gapless global positions without one task that sorts everything: rank within ranges of the first key, plus what lies before.
+
+    The ranges are PIECES below 1 and PIECES in each doubling above it.
+    """
+    first = F.col(order[0])
+    spread = F.when(first < 1, F.floor(first * PIECES)).otherwise(PIECES + F.floor(F.log2(F.greatest(first, F.lit(1.0))) * PIECES))
     ranged = rows.withColumn("_range", spread.cast("int"))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    # at most 1024 rows
+    # PIECES rows for each doubling of the number of rows at most
     return ranged.join(F.broadcast(before), "_range").withColumn("position", F.col("_before") + inner).drop("_range", "_before")
 
 

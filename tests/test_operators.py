@@ -268,3 +268,36 @@ def test_replayed_batches_add_nothing(spark, sf_dir, tmp_path):
         source = ingest.stream(spark, f"file://{tmp_path}/in", schema)
         ingest.ingest(source, f"file://{tmp_path}/out", f"file://{tmp_path}/{round_}", ["event_id"]).awaitTermination()
         assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1000
+
+
+def test_samples_by_allocation(spark):
+    """A window with most rows does not take the others' turns, and every position is given once."""
+    rows = spark.range(3000).selectExpr("id AS document_id", "CASE WHEN id % 10 = 0 THEN 'small' ELSE 'large' END AS window", "CASE WHEN id % 7 = 0 THEN NULL ELSE id % 3 END AS s")
+    equal = {r.position: r.window for r in sampling.draw_sample(rows, ["s"]).collect()}
+    assert sorted(equal) == list(range(3000))
+    assert abs(sum(equal[i] == "small" for i in range(200)) - 100) <= 1
+    shared = {r.position: r.window for r in sampling.draw_sample(rows, ["s"], allocation="proportional").collect()}
+    assert sorted(shared) == list(range(3000)) and abs(sum(shared[i] == "small" for i in range(200)) - 20) <= 8
+    with pytest.raises(ValueError):
+        sampling.draw_sample(rows, ["s"], allocation="by size")
+    assert sampling.draw_sample(rows.where("false"), ["s"]).count() == 0
+
+
+def test_sample_sheet_without_titles_or_bodies(spark):
+    order = spark.createDataFrame([(7, 0), (8, 1), (9, 2)], "document_id long, position long")
+    docs = spark.createDataFrame([(7, None, "a"), (8, None, "first\nsecond  line"), (9, "T", None)], "document_id long, title string, body string")
+    got = {r.position: (r.document_id, r.title, r.excerpt) for r in sampling.sample_sheet(order, docs, 2, 5).collect()}
+    assert got == {2: (8, "first", "first second line"), 3: (9, "T", "")}
+
+
+def test_prompts_leave_out_what_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from skerry.functions import prompts
+
+    rows = spark.sql("SELECT named_struct('concept_id', 1, 'name', 'Strike', 'definition', CAST(NULL AS STRING), 'inclusion', '', 'exclusion', 'threats') AS c, 'abcdefghij' AS body")
+    text = prompts.article(F.lit(None).cast("string"), F.lit("T"), F.col("body"), 8)
+    out = rows.select(prompts.pair(text, F.col("c")), prompts.concept_first(text, F.col("c")), prompts.extract(text, F.array("c")), prompts.route(text, F.array("c")), prompts.batch(text, F.array("c"))).first()
+    assert out[0].startswith("Title: T\nArticle: abcde...\n\nClass: Strike\nDoesn't count if: threats\n\n")
+    assert out[1].startswith("Class: Strike") and "\n- Strike: Strike\n" in out[2]
+    assert "Number 1\nQuestion: Strike" in out[3] and "Number 1\nClass: Strike" in out[4]
