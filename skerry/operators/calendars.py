@@ -47,12 +47,9 @@ def stage_counts(
     Copies read their representative; retrieved means shown, judged means a verdict.
     """
     usable = articles.where(F.col("body").isNotNull() & ~F.col("is_junk")).select("document_id", F.coalesce("duplicate_of", "document_id").alias("rep"))
-    pairs = (
-        seen.join(calendar.select("entry_id", "concept_id"), "entry_id")
-        .join(passed.select("document_id").distinct().withColumn("passed", F.lit(True)), "document_id", "left")
-        .join(usable, "document_id", "left")
-        .withColumn("rep", F.when(F.col("passed"), F.col("rep")))
-    )
+    # what is known of a document is put together before entries multiply it
+    known = passed.select("document_id").distinct().withColumn("passed", F.lit(True)).join(usable, "document_id", "left")
+    pairs = seen.join(calendar.select("entry_id", "concept_id"), "entry_id").join(known, "document_id", "left")
     offered = shown.select(F.col("document_id").alias("rep"), "concept_id").distinct().withColumn("was_shown", F.lit(True))
     said = verdicts.select(F.col("document_id").alias("rep"), "concept_id", "matched", F.lit(True).alias("was_judged"))
     full = pairs.join(offered, ["rep", "concept_id"], "left").join(said, ["rep", "concept_id"], "left")

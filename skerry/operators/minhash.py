@@ -2,7 +2,7 @@
 
 Signatures come from one fused Arrow pass.  Documents with equal signatures are one
 before any join.  Candidates share a band; they are verified by the share of equal
-slots.  Representatives never chain: a copy points at a representative, and one
+slots, and what is kept of them are links enough to hold the groups together.  Representatives never chain: a copy points at a representative, and one
 that was a representative before stays one.
 """
 
@@ -20,30 +20,48 @@ from pyspark.sql import functions as F
 from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
 from skerry.plans.shipping import ship
+from skerry.plans.skew import looked_up
 
 WIDTH, SLOTS, BAND = 5, 64, 4
 MIN_SHINGLES = 20
 PRIME = (1 << 31) - 1
+#: Signatures that one task compares with how many others.
+QUERIES, MEMBERS = 512, 16384
 
 _draw = np.random.default_rng(31)
-_FACTORS = _draw.integers(1, PRIME, SLOTS, np.int64)
-_OFFSETS = _draw.integers(0, PRIME, SLOTS, np.int64)
+_FACTORS = _draw.integers(1, PRIME, SLOTS, np.int64).astype(np.uint64)
+_OFFSETS = _draw.integers(0, PRIME, SLOTS, np.int64).astype(np.uint64)
 
 
 def text_shingles(text: str | None) -> np.ndarray:
-    """Distinct 31-bit hashes of the runs of five words (FN14); a shorter text is one run."""
+    """Distinct runs of five words as 31-bit hashes (FN14); a shorter text is one run."""
     words = re.findall(r"\w+", (text or "").lower())
-    runs = {" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))} if words else set()
-    return np.array([int.from_bytes(hashlib.blake2b(r.encode(), digest_size=4).digest()) & PRIME for r in runs], np.int64)
+    starts = range(min(WIDTH, len(words)))
+    runs = set(map(" ".join, zip(*(words[i:] for i in starts), strict=False))) if len(words) >= WIDTH else {" ".join(words)} if words else set()
+    digests = b"".join([hashlib.blake2b(r.encode(), digest_size=4).digest() for r in runs])
+    return (np.frombuffer(digests, ">u4") & PRIME).astype(np.int64)
+
+
+def _modulo(values: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 62 modulo PRIME, in place: as PRIME is 2 ** 31 - 1, the bits above the 31st are added to those below."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        high = values >> bits
+        values &= prime
+        values += high
+    values[values == prime] = 0
+    return values
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least value of each permutation (FN15)."""
-    out = np.full(SLOTS, PRIME, np.int64)
-    for begin in range(0, len(shingles), 4096):
-        some = shingles[begin : begin + 4096] % PRIME
-        out = np.minimum(out, ((some[:, None] * _FACTORS + _OFFSETS) % PRIME).min(axis=0))
-    return out
+    out = np.full(SLOTS, PRIME, np.uint64)
+    whole = _modulo(shingles.astype(np.uint64))
+    for begin in range(0, len(whole), 512):
+        values = np.multiply.outer(_FACTORS, whole[begin : begin + 512])
+        values += _OFFSETS[:, None]
+        np.minimum(out, _modulo(values).min(axis=1), out=out)
+    return out.astype(np.int64)
 
 
 def signatures(documents: DataFrame) -> DataFrame:
@@ -66,19 +84,81 @@ def similarity(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / SLOTS
 
 
-def near_pairs(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b) with a > b: each document with the first of its signature, and similar firsts with each other (JN18)."""
+def _bands(signed: DataFrame) -> DataFrame:
+    """A row for each band of each signature: (first, signature, band, slots)."""
+    numbers = F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1))
+    keys = F.transform(numbers, lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND + 1, F.lit(BAND))).alias("slots")))
+    return signed.select("first", "signature", F.inline(keys))
+
+
+def near_links(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b) with a > b: links that hold together all documents that share a band and are similar enough (JN18).
+
+    Each document links to the first of its signature.  In a bucket of a band every
+    signature meets the bucket's smallest id; only those unlike it are compared with the
+    others, in blocks, so a bucket that holds most rows takes neither one task nor all its pairs.
+    """
     long = signed.where(F.col("shingles") >= MIN_SHINGLES)
-    firsts = long.groupBy("signature").agg(F.min("document_id").alias("first"))
-    same = long.join(firsts, "signature").where("document_id > first").select(F.col("document_id").alias("a"), F.col("first").alias("b"))
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * BAND + 1, F.lit(BAND))).alias("slots"))
-    )
-    keyed = firsts.select("first", "signature", F.inline(bands))
-    left = keyed.select("band", "slots", F.col("first").alias("a"), F.col("signature").alias("sa"))
-    right = keyed.select("band", "slots", F.col("first").alias("b"), F.col("signature").alias("sb"))
-    mates = left.join(right, ["band", "slots"]).where("a > b").where(similarity(F.col("sa"), F.col("sb")) >= threshold)
-    return mates.select("a", "b").distinct().union(same)
+    firsts = cut(long.groupBy("signature").agg(F.min("document_id").alias("first"), F.count("*").alias("copies")))
+    same = looked_up(long.select("document_id", "signature"), firsts, ("signature",), "copies", F.xxhash64("document_id")).where("document_id > first")
+    copies = same.select(F.col("document_id").alias("a"), F.col("first").alias("b"))
+    own = firsts.select("first", "signature")
+    keyed = _bands(own)
+    sizes = keyed.groupBy("band", "slots").agg(F.count("*").alias("size"), F.min("first").alias("hub")).where("size > 1")
+    hubs = sizes.join(own.select(F.col("first").alias("hub"), F.col("signature").alias("hub_signature")), "hub")
+    buckets = cut(hubs.withColumn("weight", F.col("size")))
+    met = looked_up(keyed, buckets, ("slots", "band"), "weight", F.xxhash64("first")).where("hub IS NOT NULL")
+    linked = similarity(F.col("signature"), F.col("hub_signature")) >= threshold
+    placed = cut(met.select("first", "band", "slots", "size", "hub", linked.alias("linked")))
+    stars = placed.where("linked AND first > hub").select(F.col("first").alias("a"), F.col("hub").alias("b")).distinct()
+    return copies.unionByName(stars).unionByName(_links_beside_hubs(placed, own, threshold))
+
+
+def _links_beside_hubs(placed: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+    """Links of signatures that aren't like their bucket's hub; ``placed``: first, band, slots, size, linked."""
+    apart = placed.where("NOT linked AND size > 2").groupBy("band", "slots").agg(F.count("*").alias("apart"), F.first("size").alias("weight"))
+    inside = looked_up(placed, cut(apart), ("slots", "band"), "weight", F.xxhash64("first")).where("apart IS NOT NULL").join(own, "first")
+    queries, members = (F.ceil(F.col(c) / n).cast("int") for c, n in (("apart", QUERIES), ("size", MEMBERS)))
+
+    def dealt(rows: DataFrame, mine: Column, others: Column, is_member: int) -> DataFrame:
+        each = rows.withColumn("_mine", F.pmod(F.xxhash64("first"), mine)).withColumn("_other", F.explode(F.sequence(F.lit(0), others - 1)))
+        q, m = ("_other", "_mine") if is_member else ("_mine", "_other")
+        task = F.xxhash64("band", "slots", F.col(q).cast("int"), F.col(m).cast("int"))
+        return each.select(task.alias("task"), F.lit(is_member).alias("is_member"), "first", "signature")
+
+    tasks = dealt(inside.where("NOT linked"), queries, members, 0).unionByName(dealt(inside, members, queries, 1))
+    need = threshold * SLOTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asked, forest = None, [], {}
+
+        def root(x: int) -> int:
+            while forest.setdefault(x, x) != x:
+                forest[x] = forest[forest[x]]
+                x = forest[x]
+            return x
+
+        for batch in batches:
+            found = []
+            task, member, ids = (batch.column(i).to_numpy() for i in range(3))
+            rows = batch.column(3).flatten().to_numpy().reshape(-1, SLOTS)
+            ends = [*(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for begin, end in zip([0, *ends], ends, strict=False):
+                if begin == end:
+                    continue
+                if task[begin] != now:
+                    now, asked, forest = task[begin], [], {}
+                # a task's queries come first
+                split = begin + int((member[begin:end] == 0).sum())
+                asked += zip(ids[begin:split].tolist(), rows[begin:split].copy(), strict=True)
+                for q, slots in asked:
+                    for other in ids[split:end][(rows[split:end] == slots).sum(axis=1) >= need].tolist():
+                        if root(other) != root(q):
+                            forest[root(other)] = root(q)
+                            found.append((max(q, other), min(q, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return tasks.repartition("task").sortWithinPartitions("task", "is_member").mapInArrow(run, "a long, b long")
 
 
 def deduplicate(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -91,7 +171,7 @@ def deduplicate(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     if "duplicate_of" not in documents.columns:
         documents = documents.withColumn("duplicate_of", F.lit(None).cast("long"))
     texts = documents.where(~F.coalesce("is_junk", F.lit(False))) if "is_junk" in documents.columns else documents
-    groups = connected_components(near_pairs(cut(signatures(texts)), threshold)).withColumnRenamed("node", "document_id")
+    groups = connected_components(near_links(cut(signatures(texts)), threshold)).withColumnRenamed("node", "document_id")
     standing = documents.where("duplicate_of IS NOT NULL").select(F.col("duplicate_of").alias("document_id")).distinct().withColumn("standing", F.lit(0))
     rank = F.struct(F.coalesce("standing", F.lit(1)), "document_id")
     chosen = groups.join(standing, "document_id", "left").groupBy("component").agg(F.min(rank)["document_id"].alias("chosen"))

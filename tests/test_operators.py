@@ -1,5 +1,6 @@
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,40 @@ def test_near_duplicates_and_standing_representatives(spark):
     assert got == {1: 3, 2: 3, 3: None, 4: None, 5: None, 6: None, 9: 3}
 
 
+@pytest.mark.parametrize("block", [3, 1 << 14])
+def test_near_links_join_what_all_pairs_join(spark, monkeypatch, block):
+    """Families of signatures around centres, of which many share a band with members unlike them."""
+    monkeypatch.setattr(minhash, "QUERIES", block)
+    monkeypatch.setattr(minhash, "MEMBERS", block)
+    rng = np.random.default_rng(5)
+    rows = []
+    for size in (60, 25, 8, 1, 2):
+        centre = rng.integers(0, 1000, minhash.SLOTS)
+        for _ in range(size):
+            some = centre.copy()
+            changed = rng.choice(minhash.SLOTS, rng.integers(0, 16), replace=False)
+            some[changed] = rng.integers(0, 1000, len(changed))
+            rows.append([int(x) for x in some])
+    rows += rows[:5]
+    signed = spark.createDataFrame([(i, 100, s) for i, s in enumerate(rows)], "document_id long, shingles int, signature array<int>")
+    bands = [[tuple(s[i : i + minhash.BAND]) for i in range(0, minhash.SLOTS, minhash.BAND)] for s in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any(x == y for x, y in zip(bands[i], bands[j], strict=True)) and np.mean(np.array(rows[i]) == rows[j]) >= 0.8:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    found = minhash.near_links(signed, 0.8)
+    for r in found.collect():
+        assert r.a > r.b and np.mean(np.array(rows[r.a]) == rows[r.b]) >= 0.8
+    got = {r.node: r.component for r in minhash.connected_components(found).collect()}
+    assert [got.get(i, i) for i in range(len(rows))] == [root(i) for i in range(len(rows))]
+    assert any(root(i) != i for i in range(len(rows))) and minhash.near_links(signed.where("false")).count() == 0
+
+
 def test_signature_estimates_jaccard():
     a = minhash.text_shingles(" ".join(f"w{i}" for i in range(200)))
     b = minhash.text_shingles(" ".join(f"w{i}" for i in range(10, 200)))
