@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import bpe, chat, decontam, fim, jaccard, pii, quality, sharding, spans, tokencount, variants, warc
+from skerry.llm import bpe, caps, chat, decontam, fim, jaccard, pii, quality, sharding, spans, tokencount, variants, warc
 from skerry.plans.shipping import ship
 
 TOKEN_LIMIT = 1024
@@ -75,13 +75,17 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
 
 
+def op12_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_token_counts, op3_ngram_jaccard, op4_sentence_spans, op5_chat_format, op6_sharding, op7_warc, op8_bpe_round_trip, op9_quality_rules, op10_pii, op11_fill_in_middle, op13_spelling_variants)
+    for f in (op1_decontamination, op2_token_counts, op3_ngram_jaccard, op4_sentence_spans, op5_chat_format, op6_sharding, op7_warc, op8_bpe_round_trip, op9_quality_rules, op10_pii, op11_fill_in_middle, op12_embedding_near_duplicates, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_sentence_spans": spans.SQL, "op5_chat_format": chat.SQL, "op7_warc": warc.SQL, "op9_quality_rules": quality.SQL, "op11_fill_in_middle": fim.SQL}
