@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import re
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,91 @@ FINAL_FAILURES = 3
 class Fetcher(Protocol):
     def get(self, url: str) -> tuple[int, bytes]: ...
 
+    def status(self, url: str) -> int: ...
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a place that pyarrow can reach, and the path in it."""
+    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+@dataclass(frozen=True)
+class FolderFetcher:
+    """Files as if they were served: what isn't there is a 404."""
+
+    def get(self, url: str) -> tuple[int, bytes]:
+        system, path = file_system(url)
+        try:
+            with system.open_input_stream(path, compression=None) as stream:
+                return 200, stream.read()
+        except FileNotFoundError:
+            return 404, b""
+
+    def status(self, url: str) -> int:
+        system, path = file_system(url)
+        return 200 if system.get_file_info(path).type == pafs.FileType.File else 404
+
+
+@dataclass(frozen=True)
+class WebFetcher:
+    """Pages of one host, or of any host; a redirect to a host other than the pinned one is refused."""
+
+    host: str | None = None
+    timeout: float = 30.0
+    agent: str = "skerry"
+
+    def _asked(self, url: str, method: str) -> tuple[int, bytes]:
+        pinned = self.host
+
+        def check(target: str) -> None:
+            if pinned and urllib.parse.urlsplit(target).hostname != pinned:
+                raise PermissionError(f"{target} isn't on {pinned}")
+
+        class Same(urllib.request.HTTPRedirectHandler):
+            def redirect_request(self, req, fp, code, msg, headers, newurl):
+                check(newurl)
+                return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+        check(url)
+        request = urllib.request.Request(url, method=method, headers={"User-Agent": self.agent})
+        try:
+            with urllib.request.build_opener(Same).open(request, timeout=self.timeout) as reply:
+                return reply.status, reply.read() if method == "GET" else b""
+        except urllib.error.HTTPError as e:
+            return e.code, b""
+
+    def get(self, url: str) -> tuple[int, bytes]:
+        return self._asked(url, "GET")
+
+    def status(self, url: str) -> int:
+        return self._asked(url, "HEAD")[0]
+
+
+def fetcher_for(base: str) -> Fetcher:
+    """By the kind of address; a web address pins its host."""
+    parts = urllib.parse.urlsplit(base)
+    return WebFetcher(parts.hostname) if parts.scheme in ("http", "https") else FolderFetcher()
+
+
+class Note:
+    """A short text in a file, replaced as a whole."""
+
+    def __init__(self, uri: str):
+        self.system, self.path = file_system(uri)
+
+    def read(self) -> str | None:
+        try:
+            with self.system.open_input_stream(self.path) as stream:
+                return stream.read().decode() or None
+        except FileNotFoundError:
+            return None
+
+    def write(self, text: str) -> None:
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
+        with self.system.open_output_stream(f"{self.path}.new") as stream:
+            stream.write(text.encode())
+        self.system.move(f"{self.path}.new", self.path)
+
 
 def fetch(fetcher: Fetcher, url: str, attempts: int = 3, limit: int = 5 << 20, pause: float = 0.5) -> tuple[int | None, bytes | None, str | None]:
     """(status, body, error); retried on overload, bounded in size (SRC10)."""
@@ -80,9 +170,9 @@ def outcome(pages: DataFrame, reason: str = "reason") -> DataFrame:
     return pages.withColumn("outcome", status)
 
 
-def latest_stamp(listing: str) -> str:
-    """The newest stamp named in a feed's listing of its last files (SRC05)."""
-    stamps = re.findall(r"/(\d{14})\.", listing)
+def latest_stamp(listing: str, file: str = "") -> str:
+    """The newest stamp in a feed's listing of its last files, of those whose name goes on with ``file`` (SRC05)."""
+    stamps = re.findall(rf"/(\d{{14}})\.{re.escape(file)}", listing)
     if not stamps:
         raise ValueError("the listing names no slice")
     return max(stamps)

@@ -86,3 +86,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", by: str = "user_id", la
 def stream(spark: SparkSession, path: str, schema, per_trigger: int = 32) -> DataFrame:
     """Parquet files as a stream, at most ``per_trigger`` files a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+
+
+def land(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch to a partition of its own, once: a replayed batch takes the place of what it wrote before.
+
+    What a source read from elsewhere is read once this way, whatever is made of it later.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
