@@ -3,9 +3,11 @@
 A word's mask has a bit for the parity of each letter's count.  Two words are near if
 one inserted, deleted or replaced code point makes them equal; that flips at most two bits.  The
 masks are split into three bands, so near words agree in one band at least, and no
-length differs by more than one.  Words are joined on equal bands and lengths; of the pairs that
+length differs by more than one.  Words are joined on equal bands and lengths.  As one edit has one
+place, near words also have one half in common, counted by the shorter word's length, so
+the join key holds that half, too: the bands alone leave thousands of candidates a word.  Of the pairs that
 meet, those whose masks differ in more than two bits go at once, the edit distance decides on the
-rest.  Pairs that agree in several bands are taken in the first one.
+rest.  Pairs that agree in several bands or halves are taken in the first one.
 
 A band's value with a large part of all words is split: its shorter words are dealt
 to several tasks, its others go to each of these.  A word's form is its near word of the
@@ -73,15 +75,22 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n): each pair of near words once.  ``words`` has one row (word, n) for each word; it is read three times."""
     masked = words.select("word", "n", F.length("word").alias("size"), mask(F.col("word")).alias("mask"))
 
-    def entry(size: Column, band: int) -> Column:
-        return F.struct(F.lit(band).alias("band"), _band(F.col("mask"), band).alias("value"), size.alias("least"))
-
-    key = ["band", "value", "least"]
-    first = masked.select("*", F.inline(F.array(*(entry(F.col("size"), k) for k in range(BANDS)))))
+    def entries(least: Column) -> list[Column]:
+        """For each band and half, as one of two words of which the shorter one has so many code points."""
+        head = F.floor(least / 2).cast("int")
+        halves = (F.substring("word", F.lit(1), head), F.substring(F.col("word"), F.col("size") - least + head + 1, F.col("size")))
+        return [
+            F.struct(F.lit(k).alias("band"), _band(F.col("mask"), k).alias("value"), least.alias("least"), F.lit(i).alias("half"), F.xxhash64(half).alias("letters"))
+            for k in range(BANDS)
+            for i, half in enumerate(halves)
+        ]
+
+    key = ["band", "value", "least", "half", "letters"]
+    first = masked.select("*", F.inline(F.array(*entries(F.col("size")))))
     # as a word of equal length, and as the longer one of a pair
-    second = masked.select("*", F.inline(F.array(*(entry(F.col("size") - d, k) for k in range(BANDS) for d in (0, 1)))))
+    second = masked.select("*", F.inline(F.array(*entries(F.col("size")), *entries(F.col("size") - 1))))
     sizes = first.groupBy(*key).agg(F.count("*").alias("m"))
-    block = max(1, BANDS * words.count() // SPLIT)
+    block = max(1, 2 * BANDS * words.count() // SPLIT)
     # SPLIT rows at most
     large = F.broadcast(sizes.where(F.col("m") >= block + 1).select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
@@ -90,8 +99,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     apart = F.col("a_mask").bitwiseXOR(F.col("b_mask"))
     earlier = [(F.col("l.band") <= k) | (_band(apart, k) != 0) for k in range(BANDS - 1)]
     ordered = (F.col("a_size") < F.col("b_size")) | (F.col("a_word") < F.col("b_word"))
+    head = F.floor(F.col("l.least") / 2).cast("int")
+    heads = F.substring("a_word", F.lit(1), head) == F.substring("b_word", F.lit(1), head)
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*key, "part")]
-    alike = [F.bit_count(apart) <= 2, ordered, *earlier, F.levenshtein("a_word", "b_word", 1) == 1]
+    alike = [F.bit_count(apart) <= 2, ordered, *earlier, (F.col("l.half") == 0) == heads, F.levenshtein("a_word", "b_word", 1) == 1]
     return left.alias("l").join(right.alias("r"), reduce(Column.__and__, same + alike)).select(F.col("a_word").alias("a"), F.col("a_n"), F.col("b_word").alias("b"), F.col("b_n"))
 
 
