@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with a ``catalog`` of queries.
-MODULES = ("metric_queries", "matching_queries", "text_queries", "calendar_queries", "run_queries", "bank_queries", "record_queries", "evaluation_queries")
+MODULES = ("metric_queries", "matching_queries", "text_queries", "calendar_queries", "run_queries", "bank_queries", "record_queries", "evaluation_queries", "judge_queries")
 
 
 def queries() -> dict:

@@ -135,25 +135,3 @@ def _(truth, verdicts):
 def _(calendar, coded, articles, links):
     seen = C.window_documents(calendar, coded, articles).join(calendar.select("entry_id", "kind"), "entry_id")
     return reports.code_outcomes(matching.carried_codes(coded, articles, links), seen)
-
-
-@add("RT02_pool_with_flag", "embeddings")
-def _(embeddings):
-    documents, leaves = _vectors(embeddings)
-    return strategies.build_pool(documents.drop("own"), leaves)
-
-
-@add("RT06_ranked_text", "benchmark")
-def _(benchmark):
-    """Items as leaves, ranked for a pasted text."""
-    from skerry.operators.judging import embedded
-
-    leaves = embedded(benchmark, HashEmbedder()).select(F.col("item_id").cast("int").alias("concept_id"), F.col("vector").alias("leaf_vector"))
-    return strategies.rank_text(benchmark.sparkSession, "a text from the clipboard", leaves, HashEmbedder())
-
-
-@add("RT08_routed", "articles concepts edges")
-def _(articles, concepts, edges):
-    """Leaves reached by routing with the stand-in model."""
-    named = concepts.select("concept_id", F.concat(F.lit("class "), F.col("concept_id").cast("string")).alias("name"))
-    return strategies.routed(articles, named, edges, HashChat())[0]

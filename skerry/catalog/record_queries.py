@@ -463,48 +463,6 @@ def _(documents):
     return documents.select("doc_id", replies.choice(reply, F.array(*map(F.lit, range(4)))).alias("choice"))
 
 
-_PROMPT = """'Does the article report an instance of this class?' || chr(10) || 'Class: c' || concept_id || chr(10) || 'Meaning: d' || chr(10) || 'Article:' || chr(10) || body
-        || chr(10) || 'Answer with JSON: {"matched": true or false, "confidence": 0 to 1}'"""
-_ASKED = f"SELECT p.document_id, p.concept_id, body, {_PROMPT} AS prompt FROM {{pool}} p JOIN {{articles}} a USING (document_id) WHERE p.selected"
-_BYTE = "('0x' || substr(h, {at}, 2))::INT"
-
-
-@add(
-    "JD02_sampled_votes",
-    "pool articles concepts",
-    f"""SELECT document_id, concept_id, count_if(yes) * 2 > 3 AS matched, round(greatest(count_if(yes), 3 - count_if(yes)) / 3, 6) AS confidence, CAST(NULL AS VARCHAR) AS error FROM (
-      SELECT document_id, concept_id, {_BYTE.format(at=1)} < 96 AS yes FROM (SELECT document_id, concept_id, sha256(CASE WHEN i = 1 THEN prompt ELSE prompt || chr(10) || 'Sample ' || i END) AS h
-      FROM ({_ASKED}) q, range(1, 4) r(i)) s) v GROUP BY document_id, concept_id""",
-)
-def _(pool, articles, concepts):
-    """Three samples of a stand-in provider that answers by hash, and their majority."""
-    pairs = pool.where("selected").join(articles.select("document_id"), "document_id", "left_semi")
-    return judging.judged("pair", pairs.select(*PAIR, "score"), articles, _named(concepts), pairs.where("false"), judging.HashChat(), samples=3)
-
-
-@add(
-    "JD01_best_first",
-    "pool articles concepts",
-    f"""SELECT document_id, concept_id, {_BYTE.format(at=1)} < 96 AS matched, round({_BYTE.format(at=3)} / 255, 3) AS confidence, CAST(NULL AS VARCHAR) AS error FROM (SELECT document_id, concept_id, sha256(prompt) AS h
-      FROM (SELECT q.*, p.score FROM ({_ASKED}) q JOIN {{pool}} p USING (document_id, concept_id) WHERE concept_id % 3 <> 0 ORDER BY score DESC, document_id, concept_id LIMIT 60) t) s""",
-)
-def _(pool, articles, concepts):
-    """The sixty best pairs without a verdict; the limit is the feature."""
-    pairs = pool.where("selected").join(articles.select("document_id"), "document_id", "left_semi")
-    return judging.judged("pair", pairs.select(*PAIR, "score"), articles, _named(concepts), pairs.where("concept_id % 3 = 0"), judging.HashChat(), limit=60, by_score=True)
-
-
-@add("JD03_batched_replies", "pool articles concepts", "SELECT p.document_id, p.concept_id, CASE WHEN body IS NOT NULL THEN false END AS matched, CASE WHEN body IS NULL THEN 'no body' END AS error FROM {pool} p LEFT JOIN {articles} a USING (document_id) WHERE p.selected")
-def _(pool, articles, concepts):
-    """The stand-in's replies name no class, so all classes of a call are a no."""
-    return judging.judged("batch", pool.where("selected").select(*PAIR), articles, _named(concepts), pool.where("false"), judging.HashChat()).drop("confidence")
-
-
-@add("JD08_trial", "region", "SELECT ('0x' || substr(h, 1, 2))::INT < 96 AS matched, round(('0x' || substr(h, 3, 2))::INT / 255, 3) AS confidence, CAST(NULL AS VARCHAR) AS error FROM (SELECT sha256('Does the article report an instance of this class?' || chr(10) || 'Class: strike' || chr(10) || 'Meaning: a stop of work' || chr(10) || 'Article:' || chr(10) || 'Port workers stopped.' || chr(10) || 'Answer with JSON: {\"matched\": true or false, \"confidence\": 0 to 1}') AS h)")
-def _(region):
-    return judging.trial(region.sparkSession, "strike", "a stop of work", "Port workers stopped.", judging.HashChat())
-
-
 @add("RT07_flat_selection", "pool", "SELECT document_id, concept_id FROM {pool} WHERE selected")
 def _(pool):
     return strategies.flat(pool)
@@ -619,13 +577,6 @@ def _(events):
     return fetching.retry_state(before, last.select("url", F.when(F.col("last") == "error", "refused").alias("error")))
 
 
-@add("JD06_judged_without_body", "pool articles concepts", "SELECT document_id, concept_id, error FROM (SELECT document_id, concept_id, 'no body' AS error FROM {pool} WHERE selected AND document_id NOT IN (SELECT document_id FROM {articles}))")
-def _(pool, articles, concepts):
-    """Pairs of documents without a body stay in the count as errors."""
-    said = judging.judge(pool.where("selected"), articles, _named(concepts), pool.where("false"), judging.HashChat())
-    return said.where("error IS NOT NULL").select(*PAIR, "error")
-
-
 @add("SRC13_outcomes", "documents", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'failed' WHEN doc_id % 4 = 0 THEN 'junk' ELSE 'ok' END AS outcome FROM {documents}")
 def _(documents):
     rows = documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "timeout").alias("error"), F.when(F.col("doc_id") % 4 == 0, "too_thin").alias("reason"))

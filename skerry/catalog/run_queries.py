@@ -75,15 +75,6 @@ def _(pool, verdicts):
     return judging.pending(pool.where("selected").select(*PAIR), verdicts.where("run_id = 1"))
 
 
-@add("JD02_judged_pairs", "articles links")
-def _(articles, links):
-    """Verdicts of the stand-in model on each article and class that a theme links."""
-    concepts = links.select("concept_id").distinct().select("concept_id", F.concat(F.lit("class "), F.col("concept_id").cast("string")).alias("name"), F.lit("an event of this class").alias("definition"))
-    pairs = K.matched_articles(articles, links).select(*PAIR).distinct()
-    done = pairs.where("document_id < 0")
-    return judging.judge(pairs, articles, concepts, done, judging.HashChat())
-
-
 @add(
     "JD03_cost_split",
     "pool",
@@ -114,12 +105,6 @@ def _(articles, vectors):
     return judging.missing_vectors(objects, cache).select("object_id")
 
 
-@add("SRC31_embedded", "benchmark")
-def _(benchmark):
-    """Vectors of the stand-in embedder."""
-    return judging.embedded(benchmark, judging.HashEmbedder()).select("item_id", "vector")
-
-
 @add(
     "RT03_similarity_run",
     "embeddings",

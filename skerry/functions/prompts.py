@@ -16,6 +16,14 @@ VERDICTS = 'Answer with JSON: {"results": [{"concept_id": 0, "matched": true or
 EVENTS = 'Answer with JSON: {"events": [{"what": "", "status": "occurred or planned", "country": "two letters", "evidence": ""}]}'
 CHOICES = 'Answer with JSON: {"concept_ids": [0]}'
 CHOICE = 'Answer with JSON: {"concept_id": 0 or null}'
+PAIRED = "Does the article report an instance of this class?"
+BATCHED = "Which of these classes does the article report an instance of?"
+ROUTED = "Answer each question about the article."
+LISTED = "List the events of these kinds that the article reports."
+EVENT_ROUTED = "Which of these questions has the answer yes for this event?"
+CHOSEN = "Which one of these classes is the event an instance of, if any?"
+#: What stands between the subject of a prompt and its classes.
+QUESTIONS = (PAIRED, BATCHED, ROUTED, LISTED, EVENT_ROUTED, CHOSEN)
 
 
 def _labelled(*parts: tuple[str, Column]) -> Column:
@@ -29,8 +37,9 @@ def shortened(text: Column, limit: int) -> Column:
     return F.when(F.length(whole) > limit, F.concat(F.substring(whole, 1, limit - 3), F.lit("..."))).otherwise(whole)
 
 
-def article(url: Column, title: Column, body: Column, limit: int) -> Column:
-    return _labelled(("Address", url), ("Title", title), ("Article", shortened(body, limit)))
+def article(url: Column, title: Column, body: Column, limit: int | None = None) -> Column:
+    """The article, whole unless a model's context sets a limit."""
+    return _labelled(("Address", url), ("Title", title), ("Article", F.coalesce(body, F.lit("")) if limit is None else shortened(body, limit)))
 
 
 def concept(c: Column) -> Column:
@@ -56,33 +65,33 @@ def _asked(*parts: Column | str) -> Column:
 
 
 def pair(article: Column, c: Column) -> Column:
-    return _asked(article, concept(c), "Does the article report an instance of this class?", VERDICT)
+    return _asked(article, concept(c), PAIRED, VERDICT)
 
 
 def concept_first(article: Column, c: Column) -> Column:
     """As ``pair``, the class before the article, so that a cache of prefixes serves all articles of a class."""
-    return _asked(concept(c), article, "Does the article report an instance of this class?", VERDICT)
+    return _asked(concept(c), article, PAIRED, VERDICT)
 
 
 def batch(article: Column, classes: Column) -> Column:
-    return _asked(article, "Which of these classes does the article report an instance of?", _numbered(classes, concept), VERDICTS)
+    return _asked(article, BATCHED, _numbered(classes, concept), VERDICTS)
 
 
 def route(article: Column, classes: Column) -> Column:
-    return _asked(article, "Answer each question about the article.", _numbered(classes, _question), VERDICTS)
+    return _asked(article, ROUTED, _numbered(classes, _question), VERDICTS)
 
 
 def extract(article: Column, top: Column) -> Column:
     """The events of an article; the top classes say what is in scope."""
     kinds = F.array_join(F.transform(top, lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), F.coalesce(F.nullif(c["definition"], F.lit("")), c["name"]))), "\n")
-    return _asked(article, F.concat(F.lit("List the events of these kinds that the article reports.\n"), kinds), EVENTS)
+    return _asked(article, F.concat(F.lit(f"{LISTED}\n"), kinds), EVENTS)
 
 
 def event_route(e: Column, classes: Column, other: bool = False) -> Column:
     """Which of several questions an event answers with yes; with ``other``, none of them is an answer, too."""
     none = F.lit(f"\n\nNumber {OTHER}\nQuestion: Is it none of these?" if other else "")
-    return _asked(event(e), "Which of these questions has the answer yes for this event?", F.concat(_numbered(classes, _question), none), CHOICES)
+    return _asked(event(e), EVENT_ROUTED, F.concat(_numbered(classes, _question), none), CHOICES)
 
 
 def choose(e: Column, classes: Column) -> Column:
-    return _asked(event(e), "Which one of these classes is the event an instance of, if any?", _numbered(classes, concept), CHOICE)
+    return _asked(event(e), CHOSEN, _numbered(classes, concept), CHOICE)

@@ -44,7 +44,31 @@ def event_list(raw: Column, most: int = 8) -> Column:
     )
 
 
+def listed(raw: Column) -> Column:
+    """Whether a reply has a list of results at all."""
+    return _braced(raw, "struct<results:array<struct<concept_id:int>>>")["results"].isNotNull()
+
+
+def has_events(raw: Column) -> Column:
+    """Whether a reply has a list of events, be it empty."""
+    return _braced(raw, "struct<events:array<struct<what:string>>>")["events"].isNotNull()
+
+
+def choices(raw: Column, allowed: Column) -> Column:
+    """The ids said that are allowed, null if the reply has no list of them."""
+    said = _braced(raw, "struct<concept_ids:array<int>>")["concept_ids"]
+    return F.when(said.isNotNull(), F.array_intersect(allowed, said))
+
+
+def chosen(raw: Column, allowed: Column) -> Column:
+    """A struct (concept_id, confidence), the id null if it isn't allowed; null if the reply can't be read (FN23)."""
+    said = _braced(raw, "struct<concept_id:int,choice:int,confidence:double,evidence:string>")
+    one = F.coalesce(said["concept_id"], said["choice"])
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(said["confidence"], F.lit(0.0))))
+    readable = F.rlike(raw, F.lit(r"(?s)\{.*\}")) & said.isNotNull()
+    return F.when(readable, F.struct(F.when(F.array_contains(allowed, one), one).alias("concept_id"), sure.alias("confidence")))
+
+
 def choice(raw: Column, allowed: Column) -> Column:
     """The chosen id, null if it isn't allowed (FN23)."""
-    said = _braced(raw, "struct<choice:int>")["choice"]
-    return F.when(F.array_contains(allowed, said), said)
+    return chosen(raw, allowed)["concept_id"]

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions import replies
 from skerry.operators import hierarchy, ranking
-from skerry.operators.judging import ChatProvider, EmbeddingProvider, asked, embedded
+from skerry.operators.judging import article_text, routing
 from skerry.operators.metrics import PAIR
-from skerry.plans.cuts import cut
+from skerry.operators.providers import ChatProvider, EmbeddingProvider, embedded
 
 
 def build_pool(documents: DataFrame, leaves: DataFrame, size: int = 20, min_score: float = 0.25, margin: float = 0.1, max_k: int = 15) -> DataFrame:
@@ -22,38 +21,25 @@ def flat(pool: DataFrame) -> DataFrame:
     return pool.where("selected").select(*PAIR)
 
 
-def routed(articles: DataFrame, concepts: DataFrame, edges: DataFrame, provider: ChatProvider) -> tuple[DataFrame, DataFrame]:
-    """(shown leaves, all answers): sibling sets are asked top down, children only of classes answered yes (RT08, JD04).
+def routed(articles: DataFrame, concepts: DataFrame, edges: DataFrame, provider: ChatProvider, log: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(offered leaves, parents' answers): sibling sets are asked top down, children only of classes answered yes (RT08)."""
+    documents = articles.select("document_id", article_text(articles).alias("article"))
+    answers, offers = routing(documents, concepts, edges, provider, log)
+    return offers.select(*PAIR), answers
 
-    One round a level of the hierarchy, until nothing is left to ask; each class is asked once of a document.
+
+def ranked_events(events: DataFrame, passed: DataFrame, reached: DataFrame, edges: DataFrame, leaves: DataFrame, embedder: EmbeddingProvider, k: int = 5) -> DataFrame:
+    """The ``k`` leaves nearest to each event, of those it reached and those under the parents it was answered yes for (RT09, TOP09).
+
+    ``leaves``: concept_id, leaf_vector.  In place of routing below the top.
     """
-    none = articles.select("document_id", F.lit(0).alias("concept_id")).where("false")
-    answers = none.withColumn("matched", F.lit(True))
-    top = F.broadcast(hierarchy.top_level(edges))
-    ask = articles.select("document_id").crossJoin(top)
-    while True:
-        prompts = ask.join(articles.select("document_id", "body"), "document_id").join(concepts.select("concept_id", "name"), "concept_id")
-        text = F.concat(F.lit("Is this article about the following? "), F.col("name"), F.lit("\n"), F.coalesce("body", F.lit("")))
-        said = cut(asked(prompts.select(*PAIR, text.alias("prompt")), provider).select(*PAIR, F.coalesce(replies.verdict(F.col("reply"))["matched"], F.lit(False)).alias("matched")))
-        answers = answers.unionByName(said)
-        yes = said.where("matched").select(*PAIR)
-        children = yes.join(F.broadcast(edges), yes["concept_id"] == edges["parent"]).select("document_id", F.col("child").alias("concept_id")).distinct()
-        ask = cut(children.join(answers, PAIR, "left_anti"))
-        if ask.isEmpty():
-            break
-    leaves = hierarchy.leaves(concepts.select("concept_id"), edges)
-    return answers.where("matched").join(leaves, "concept_id", "left_semi").select(*PAIR).distinct(), answers
-
-
-def extracted(articles: DataFrame, leaves: DataFrame, chat: ChatProvider, embedder: EmbeddingProvider, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(shown leaves, events): events are read from the article, and the nearest leaves of each are offered (RT09, TOP09)."""
-    prompt = F.concat(F.lit("List the events this article reports, as JSON.\n"), F.coalesce("body", F.lit("")))
-    said = asked(articles.select("document_id", prompt.alias("prompt")), chat)
-    events = said.select("document_id", F.posexplode(replies.event_list(F.col("reply"))).alias("ordinal", "event")).select("document_id", "ordinal", "event.*")
-    events = cut(embedded(events, embedder, "what"))
-    key = F.struct("document_id", "ordinal")
-    nearest = ranking.pool(events.select(key.alias("document_id"), "vector"), leaves, k)
-    return nearest.select(F.col("document_id.document_id").alias("document_id"), F.col("document_id.ordinal").alias("ordinal"), "concept_id", "rank"), events
+    key = ["document_id", "ordinal"]
+    under = hierarchy.closure(edges).select(F.col("concept_id").alias("leaf"), F.col("ancestor").alias("concept_id"))
+    below = passed.where("matched").join(under, "concept_id").select(*key, F.col("leaf").alias("concept_id"))
+    allowed = below.unionByName(reached.select(*key, "concept_id")).distinct().join(leaves, "concept_id")
+    vectors = embedded(events.select(*key, F.col("event.what").alias("what")), embedder, "what").select(*key, "vector")
+    scored = allowed.join(vectors, key).select(*key, "concept_id", F.round(ranking.cosine(F.col("vector"), F.col("leaf_vector")), 6).alias("score"))
+    return ranking.budget(scored, k, key, ties=("concept_id",))
 
 
 def rank_text(spark, text: str, leaves: DataFrame, embedder: EmbeddingProvider, size: int = 20) -> DataFrame:

@@ -199,7 +199,7 @@ def test_judge_is_resumable_and_keeps_failures(spark):
     done = pairs.where("document_id = 3")
     got = {r.document_id: (r.matched is None, r.error) for r in judging.judge(pairs, articles, concepts, done, judging.HashChat()).collect()}
     assert got == {1: (False, None), 2: (True, "no body")}
-    got = {r.document_id: r.error for r in judging.judge(pairs, articles, concepts, done, Broken()).collect()}
+    got = {r.document_id: r.error for r in judging.judge(pairs, articles, concepts, done, Broken(), patience=judging.Patience(pause=0)).collect()}
     assert got == {1: "TimeoutError: gone", 2: "no body"}
 
 
