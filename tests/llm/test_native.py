@@ -45,19 +45,30 @@ def test_sentences_are_the_whole_text(spark, text):
 
 
 def removed_by(rows, few, long):
-    """What plain Python removes: {id: positions}."""
-    first, cover = {}, {}
-    for doc, text in sorted(rows):
-        found = [re.sub("[ \t\r\n]+", " ", s).strip(" ") for s in re.findall(spans.SENTENCE, text)]
-        sizes = [s.count(" ") + 1 for s in found]
+    """What plain Python removes: {id: positions}.  It hashes the runs of two, three and five sentences, to see that those of two cover the others."""
+    first, cover, out = {}, {}, {}
+    plain = {doc: [re.sub("[ \t\r\n]+", " ", s).strip(" ") for s in re.findall(spans.SENTENCE, text)] for doc, text in rows}
+    sizes = {doc: [s.count(" ") + 1 for s in found] for doc, found in plain.items()}
+    for doc, found in sorted(plain.items()):
         for i in range(len(found)):
-            ends = [k for k in (2, 3) if i + k <= len(found) and sum(sizes[i : i + k]) >= few] + [1] * (sizes[i] >= long)
-            if i + 3 <= len(found) and sum(sizes[i : i + 3]) < few:
-                ends += [k for k in range(4, few + 1) if i + k <= len(found) and sum(sizes[i : i + k]) >= few][:1]
+            ends = [k for k in (2, 3, 5) if i + k <= len(found)] + [1] * (sizes[doc][i] >= long or len(found) == 1)
             for k in ends:
                 if first.setdefault(tuple(found[i : i + k]), (doc, i)) != (doc, i):
                     cover.setdefault(doc, set()).update(range(i, i + k))
-    return cover
+    for doc, places in cover.items():
+        stretch = []
+        for p in [*sorted(places), None]:
+            if stretch and p != stretch[-1] + 1:
+                if sum(sizes[doc][x] for x in stretch) >= few or len(stretch) == len(plain[doc]):
+                    out.setdefault(doc, set()).update(stretch)
+                stretch = []
+            stretch.append(p)
+    return out
+
+
+def cleaned_by(rows, few, long):
+    gone = removed_by(rows, few, long)
+    return {doc: (len(gone.get(doc, ())), "".join(s for i, s in enumerate(re.findall(spans.SENTENCE, text)) if i not in gone.get(doc, ()))) for doc, text in rows}
 
 
 @pytest.mark.parametrize(("few", "long"), [(12, 25), (1, 1), (1, 25), (5, 8)])
@@ -67,10 +78,21 @@ def test_removals_agree_with_plain_python(spark, sf_dir, few, long):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows += [(10**6, short), (10**6 + 1, short), (10**6 + 2, "Own begin.\n" + short[7:]), (10**6 + 3, "one two\nthree\n" * 30), (10**6 + 4, "a. " * 11)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: set(r.removed) for r in spans.removals(docs, few=few, long=long).collect()}
-    assert got == removed_by(rows, few, long)
-    if few > 1:
-        assert len(got[10**6 + 1]) >= 49
+    got = {r.doc_id: (r.n_removed, r.text) for r in spans.deduplicate(docs, few=few, long=long).collect()}
+    assert got == cleaned_by(rows, few, long)
+    assert got[10**6 + 1] == (60, "")
+
+
+def test_copies_of_short_texts_go_and_chance_hits_stay(spark):
+    sentence = " ".join(f"w{i}" for i in range(24)) + "."
+    texts = ["One two three four. Five six seven.", "Hi. Yes. No. Ok.", sentence, "Yes.", "1\n2\n3\n4\n5\n6\n7\n8\n9\n10\n11\n12\n13\n"]
+    rows = [(10 * k + i, t) for k in (0, 1) for i, t in enumerate(texts)]
+    rows += [(100, "Hi. Yes. And then a clean text goes on with words of its own."), (101, f"It begins so. {sentence} It ends so."), (102, "1\n2\n3\nother\n" + texts[4][:-3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in spans.deduplicate(docs).collect()}
+    assert all(got[i] == (0, t) for i, t in enumerate(texts)) and all(got[10 + i][1] == "" for i in range(len(texts)))
+    assert got[100] == (0, rows[10][1]) and got[101] == (0, rows[11][1]), "two short sentences, and one of 24 words amid others"
+    assert got[102] == (12, "1\n2\n3\nother\n")
 
 
 @pytest.mark.parametrize("common", [1, 3, 1 << 40])
@@ -80,9 +102,9 @@ def test_common_spans_go_like_others(spark, monkeypatch, common):
     rows = [(i, f"Text {i} has a beginning of its own that no other text has in it. " + line * (1 + i % 2)) for i in range(40)]
     rows += [(i, f"Pair {i // 2} shares this sentence of its own with just one other text. And this one follows right behind it. ") for i in range(40, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    expected = {r.doc_id: sorted(r.removed) for r in spans.removals(docs).collect()}
+    expected = {r.doc_id: sorted(r.repeated) for r in spans.repeats(docs).collect()}
     monkeypatch.setattr(spans, "COMMON", common)
-    assert {r.doc_id: sorted(r.removed) for r in spans.removals(docs).collect()} == expected
+    assert {r.doc_id: sorted(r.repeated) for r in spans.repeats(docs).collect()} == expected
     assert all((i in expected) == (i % 2 == 1) for i in range(40, 60)) and len(expected) == 39 + 10
 
 
