@@ -20,13 +20,19 @@ the kind of a value, it is repeated until it is back in it:
 - IBANs (compact or in groups, of their country's length, with a valid check): all
   after the check digits is permuted, the country stays, the check is set anew.
 - IPv4 addresses: two halves of 16 bits.
-- dates (YYYY-MM-DD, also before a time; D.M.YYYY, D/M/YYYY, D-M-YYYY, or month first
-  where only that is valid; 1800 to 2199): the 146,097 days of 400 years as a
-  189 x 773 grid; rows and columns take turns.  Where the day or month has one digit
-  or the month is first, the permutation is repeated until the new day is written so too.
+- dates (YYYY-MM-DD, also before a time; YYYY/M/D; D.M.YYYY, D/M/YYYY, D-M-YYYY, or month first
+  where only that is valid; with the month's name in English, German, French or Spanish; 1800 to
+  2199): the 146,097 days of 400 years as a 189 x 773 grid; rows and columns take turns.  DD.MM.YY: the
+  36,525 days of 1950 to 2049 as a 75 x 487 grid.  Where the day or month has one digit, a leading zero or
+  the month first, or a month's name is of a language, the permutation is repeated until the new day is written so too.
+- mail names in any script: letters move within ranges of letters (see LETTERS), marks
+  and what is in none of the ranges stay.
 
 Numbers of 9 to 12 or over 19 digits, phones and social security numbers have no
-check digit to validate; as they may be account or identity numbers, all are permuted.
+check digit to validate; as they may be account or identity numbers, all are permuted
+where they stand by themselves.  Runs of 13 to 19 digits and cards in groups are hits wherever no digit touches them, so also
+after letters, underscores and hyphens.  What stays in clear: shorter numbers that touch a letter, ``_`` or
+(before) ``-``, other formats of dates, names and addresses in prose.
 
 Null text stays null, empty text empty.  Texts without a hit are returned as they
 are; very long ones take time in proportion to their length.  Equal rows stay
@@ -45,19 +51,37 @@ from skerry.llm.exprs import let
 
 ROUNDS = 6
 DAYS, COLUMNS = 146_097, 773
-FIRST_DAY = "1800-01-01"
+FIRST_DAY, LAST_DAY = "1800-01-01", "2199-12-31"
+#: The days of dates with two digits for the year.
+SHORT_DAYS, SHORT_COLUMNS, FIRST_SHORT = 36_525, 487, "1950-01-01"
 
-MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
+MAIL_NAME = r"[\p{L}\p{M}\p{N}._%+\-]"
+MAIL = rf"{MAIL_NAME}++@[\p{{L}}\p{{N}}](?:[\p{{L}}\p{{M}}\p{{N}}.\-]*[\p{{L}}\p{{M}}\p{{N}}])?\.\p{{L}}{{2,}}"
 ADDRESS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{2}-\d{2}"
 WRITTEN = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}"
+YEAR_FIRST = r"\d{4}/\d{1,2}/\d{1,2}|\d{4}\.\d{2}\.\d{2}"
+SHORT_YEAR = r"\d{2}\.\d{2}\.\d{2}|\d{2}/\d{2}/\d{2}|\d{2}-\d{2}-\d{2}"
+#: The months' names.
+MONTHS = {
+    "English": "January February March April May June July August September October November December",
+    "German": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "French": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "Spanish": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+}
+NAMES = "|".join(sorted({n for names in MONTHS.values() for n in names.split()}, key=lambda n: (-len(n), n)))
+ENGLISH = "|".join(sorted({n for k in ("English", "short") for n in MONTHS[k].split()}, key=lambda n: (-len(n), n)))
+DAY_NAMED = rf"(\d{{1,2}})((?:st|nd|rd|th|\.|er)?(?: de| of)? )({NAMES})(\.?(?: de|,)? )(\d{{4}})"
+MONTH_NAMED = rf"({ENGLISH})(\.? )(\d{{1,2}})((?:st|nd|rd|th)?,? )(\d{{4}})"
+NAMED = f"{DAY_NAMED}|(?=[JFMASOND]){MONTH_NAMED}".replace("((", "(?:(").replace("(\\d", "(?:\\d").replace(f"({NAMES})", f"(?:{NAMES})").replace(f"({ENGLISH})", f"(?:{ENGLISH})")
 #: With a country code, in groups of 3, 3 and 4 digits, or national with a leading 0.
 TRIPLE = r"\d{3}[ .\-]\d{3}[ .\-]\d{4}"
 NATIONAL = r"0\d(?:[ .\-]\d{2}){4}|0\d{2,4}[ /\-]\d{6,8}|0\d{2,4}[ \-]\d{3,4}[ \-]\d{3,4}"
 PHONE = rf"\+\d{{1,3}}[ .\-]?\(?\d{{2,4}}\)?(?:[ .\-]?\d{{2,4}}){{2,4}}|\(\d{{3}}\) ?\d{{3}}[ .\-]\d{{4}}|{TRIPLE}|{NATIONAL}"
 SOCIAL = r"\d{3}-\d{2}-\d{4}"
-FOURS = r"\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}"
-CARD = rf"{FOURS}(?:[ \-]\d{{3}})?|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{5}}|\d{{6}}[ \-]\d{{13}}"
+FOURS = r"\d{4}[ .\-]\d{4}[ .\-]\d{4}[ .\-]\d{4}"
+CARD = rf"{FOURS}(?:[ .\-]\d{{3}}(?!\d))?|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}[ \-]\d{{4}}[ \-]\d{{5}}|\d{{6}}[ \-]\d{{13}}"
 NUMBER = r"\d{9,}"
 #: Hex or mixed strings of 32 characters or more with a digit, and keys with a known prefix.
 PREFIX = "AKIA|ghp_|sk-|sk_live_|xox[bp]-"
@@ -79,7 +103,26 @@ WALK = 256
 #: The same where a kind of secret or card may be left; at worst one value in four leaves its kind at a step.
 STEPS = 64
 
-HIT = rf"(?<![A-Za-z0-9._%+\-])(?:{MAIL})|(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])|(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)|(?<![\w/\-])(?<!\d\.)(?:{WRITTEN})(?!\w|[./\-]\d)|(?<![\w\-])(?:{CARD})(?!\w)|(?<![\w+])(?:{PHONE})(?!\w)|(?<![\w\-])(?:{DATE}(?=T\d)|(?:{DATE}|{SOCIAL}|{NUMBER})(?![\w]))"
+HIT = "|".join(
+    [
+        rf"(?<!{MAIL_NAME})(?:{MAIL})",
+        rf"(?<![A-Za-z0-9])(?:{SECRET})(?![A-Za-z0-9])",
+        rf"(?<![\w.])(?:{ADDRESS})(?![\w]|\.\d)",
+        rf"(?<![\w/\-])(?<!\d\.)(?:{WRITTEN}|{YEAR_FIRST}|{SHORT_YEAR})(?!\w|[./\-]\d)",
+        rf"(?<![\p{{L}}\p{{N}}_])(?:{NAMED})(?!\d)",
+        rf"(?<!\d)(?:{CARD})(?!\d)",
+        rf"(?<![\w+])(?:{PHONE})(?!\w)",
+        rf"(?<![\w\-])(?:{DATE}(?=T\d)|(?:{DATE}|{SOCIAL}|{NUMBER})(?![\w]))",
+        r"(?<!\d)\d{13,19}(?!\d)",
+    ]
+)
+
+
+#: Ranges of code points that are all letters of one case: (first, how many).
+LETTERS = (
+    (0xC0, 23), (0xD8, 7), (0xDF, 24), (0xF8, 8), (0x391, 17), (0x3A3, 9), (0x3AC, 35), (0x400, 16), (0x410, 32), (0x430, 32), (0x450, 16),
+    (0x5D0, 27), (0x621, 26), (0x641, 10), (0x3041, 86), (0x30A1, 90), (0x4E00, 20992), (0xAC00, 11172),
+)
 
 
 def _pad(key: str, label: Column, half: Column) -> Column:
@@ -102,6 +145,14 @@ def _shifted(chars: Column, pad: Column, alphabet: str | None, back: bool) -> Co
         if alphabet:
             return F.substring(F.lit(alphabet), (F.instr(F.lit(alphabet), c) - 1 + by(len(alphabet))) % len(alphabet) + 1, F.lit(1))
 
+        def beyond(code: Column) -> Column:
+            """A letter that isn't ASCII, within its range."""
+            out = F.when(F.lit(False), code)
+            for first, size in LETTERS:
+                out = out.when(code.between(first, first + size - 1), (code - first + by(size)) % size + first)
+            new = F.decode(F.unhex(F.lpad(F.hex(out.cast("long")), 4, "0")), "UTF-16BE")
+            return F.coalesce(new, c)
+
         def step(first: str, size: int) -> Column:
             return F.char((F.ascii(c) - ord(first) + by(size)) % size + ord(first))
 
@@ -109,7 +160,8 @@ def _shifted(chars: Column, pad: Column, alphabet: str | None, back: bool) -> Co
             F.when((c >= "0") & (c <= "9"), step("0", 10))
             .when((c >= "a") & (c <= "z"), step("a", 26))
             .when((c >= "A") & (c <= "Z"), step("A", 26))
-            .otherwise(c)
+            .when(c < "\u0080", c)
+            .otherwise(let(F.ascii(c), beyond))
         )
 
     return F.array_join(F.transform(F.filter(F.split(chars, ""), lambda c: c != ""), moved), "")
@@ -222,7 +274,7 @@ def _card(key: str, value: Column, back: bool) -> Column:
         # by the value's own kind, so that all steps are of one permutation
         return F.when(apart(value), F.concat(_long_number(key, F.substring(v, 1, 19), back), F.substring(v, 20, 4))).otherwise(_long_number(key, v, back))
 
-    return F.when(value.rlike(rf"^{FOURS}[ \-]"), _walked(value, apart, step)).otherwise(_long_number(key, value, back))
+    return F.when(value.rlike(rf"^{FOURS}[ .\-]"), _walked(value, apart, step)).otherwise(_long_number(key, value, back))
 
 
 def _secret(key: str, value: Column, back: bool) -> Column:
@@ -300,48 +352,133 @@ def _date(key: str, value: Column, back: bool) -> Column:
     return F.date_format(F.date_add(F.to_date(F.lit(FIRST_DAY)), new.cast("int")), "yyyy-MM-dd")
 
 
-def _written_date(key: str, value: Column, back: bool) -> Column:
-    """A date of two numbers and a year keeps its order, its marks and the width of each number."""
-    first, mark, second = F.regexp_extract(value, r"^\d+", 0), F.regexp_extract(value, r"\D", 0), F.regexp_extract(value, r"^\d+\D(\d+)", 1)
-
-    def day(d: Column, m: Column) -> Column:
-        found = F.try_to_date(F.concat_ws("-", F.substring(value, -4, 4), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-        return F.when(found.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), F.datediff(found, F.to_date(F.lit(FIRST_DAY))).cast("long"))
+def _walked_date(
+    key: str, start: Column, kind: Column, fits: Callable[[Column, Column], Column], written: Callable[[Column, Column], Column], back: bool, short: bool = False
+) -> Column:
+    """``written`` of the permuted day, the permutation repeated until the day ``fits``.
 
-    in_order = day(first, second)
-    start = F.coalesce(in_order, day(second, first))
-    state = F.struct(
-        F.floor(start / COLUMNS).cast("long").alias("a"), (start % COLUMNS).cast("long").alias("b"), F.lit(False).alias("done"),
-        in_order.isNotNull().alias("in_order"), F.length(first).alias("first"), F.length(second).alias("second"),
-    )
+    ``start``: the day's number from the first one; ``kind`` is worked out once and handed to both functions with the date.
+    """
+    first, rows, columns, label = (FIRST_SHORT, SHORT_DAYS // SHORT_COLUMNS, SHORT_COLUMNS, "short") if short else (FIRST_DAY, DAYS // COLUMNS, COLUMNS, "date")
+    state = F.struct(F.floor(start / columns).cast("long").alias("a"), (start % columns).cast("long").alias("b"), F.lit(False).alias("done"), kind.alias("kind"))
 
     def date(s: Column) -> Column:
-        return F.date_add(F.to_date(F.lit(FIRST_DAY)), (s["a"] * COLUMNS + s["b"]).cast("int"))
-
-    def numbers(s: Column) -> tuple[Column, Column]:
-        d, m = F.dayofmonth(date(s)), F.month(date(s))
-        return F.when(s["in_order"], d).otherwise(m), F.when(s["in_order"], m).otherwise(d)
+        return F.date_add(F.to_date(F.lit(first)), (s["a"] * columns + s["b"]).cast("int"))
 
     def turn(s: Column, i: Column) -> Column:
-        a, b = numbers(s)
-        fits = ((a < 10) | (s["first"] == 2)) & ((b < 10) | (s["second"] == 2)) & (s["in_order"] | (b > 12))
         r = ROUNDS - 1 - i % ROUNDS if back else i % ROUNDS
-        name = F.concat(F.lit("date:"), r.cast("string"))
+        name = F.concat(F.lit(f"{label}:"), r.cast("string"))
 
         def moved(a: Column, b: Column, done: bool) -> Column:
-            return F.struct(a.alias("a"), b.alias("b"), F.lit(done).alias("done"), *(s[k].alias(k) for k in ("in_order", "first", "second")))
+            return F.struct(a.alias("a"), b.alias("b"), F.lit(done).alias("done"), s["kind"].alias("kind"))
 
         return (
-            F.when(s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits), moved(s["a"], s["b"], True))
-            .when(r % 2 == 0, moved(_added(s["a"], _number(key, name, s["b"]), DAYS // COLUMNS, back), s["b"], False))
-            .otherwise(moved(s["a"], _added(s["b"], _number(key, name, s["a"]), COLUMNS, back), False))
+            F.when(s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits(date(s), s["kind"])), moved(s["a"], s["b"], True))
+            .when(r % 2 == 0, moved(_added(s["a"], _number(key, name, s["b"]), rows, back), s["b"], False))
+            .otherwise(moved(s["a"], _added(s["b"], _number(key, name, s["a"]), columns, back), False))
         )
 
-    def written(s: Column) -> Column:
-        a, b = (F.lpad(n.cast("string"), s[k], "0") for n, k in zip(numbers(s), ("first", "second"), strict=True))
-        return F.concat(a, mark, b, mark, F.year(date(s)).cast("string"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WALK * ROUNDS)), state, turn, lambda s: written(date(s), s["kind"]))
+
+
+def _day_number(year: Column, month: Column, day: Column) -> Column:
+    """Days since FIRST_DAY; null if there is no such day within 400 years."""
+    found = F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return F.when(found.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit(LAST_DAY))), F.datediff(found, F.to_date(F.lit(FIRST_DAY))).cast("long"))
+
+
+def _written_date(key: str, value: Column, back: bool) -> Column:
+    """A date of two numbers and a year keeps its order, its marks and the width of each number."""
+    first, mark, second = F.regexp_extract(value, r"^\d+", 0), F.regexp_extract(value, r"\D", 0), F.regexp_extract(value, r"^\d+\D(\d+)", 1)
+    in_order = _day_number(F.substring(value, -4, 4), second, first)
+    start = F.coalesce(in_order, _day_number(F.substring(value, -4, 4), first, second))
+    kind = F.struct(in_order.isNotNull().alias("in_order"), F.length(first).alias("first"), F.length(second).alias("second"))
+
+    def numbers(d: Column, k: Column) -> tuple[Column, Column]:
+        return F.when(k["in_order"], F.dayofmonth(d)).otherwise(F.month(d)), F.when(k["in_order"], F.month(d)).otherwise(F.dayofmonth(d))
+
+    def fits(d: Column, k: Column) -> Column:
+        a, b = numbers(d, k)
+        return ((a < 10) | (k["first"] == 2)) & ((b < 10) | (k["second"] == 2)) & (k["in_order"] | (b > 12))
+
+    def written(d: Column, k: Column) -> Column:
+        a, b = (F.lpad(n.cast("string"), k[w], "0") for n, w in zip(numbers(d, k), ("first", "second"), strict=True))
+        return F.concat(a, mark, b, mark, F.year(d).cast("string"))
 
-    return F.when(start.isNull(), value).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(WALK * ROUNDS)), state, turn, written))
+    return F.when(start.isNull(), value).otherwise(_walked_date(key, start, kind, fits, written, back))
+
+
+def _year_first(key: str, value: Column, back: bool) -> Column:
+    """Y/M/D and Y.MM.DD keep their marks and the width of each number."""
+    mark, month, day = F.substring(value, 5, 1), F.regexp_extract(value, r"^\d+\D(\d+)", 1), F.regexp_extract(value, r"\d+$", 0)
+    start = _day_number(F.substring(value, 1, 4), month, day)
+    kind = F.struct(F.length(month).alias("month"), F.length(day).alias("day"))
+
+    def fits(d: Column, k: Column) -> Column:
+        return ((F.month(d) < 10) | (k["month"] == 2)) & ((F.dayofmonth(d) < 10) | (k["day"] == 2))
+
+    def written(d: Column, k: Column) -> Column:
+        return F.concat(F.year(d).cast("string"), mark, F.lpad(F.month(d).cast("string"), k["month"], "0"), mark, F.lpad(F.dayofmonth(d).cast("string"), k["day"], "0"))
+
+    return F.when(start.isNull(), value).otherwise(_walked_date(key, start, kind, fits, written, back))
+
+
+def _short_year(key: str, value: Column, back: bool) -> Column:
+    """DD.MM.YY, or month first where only that is valid: a day of 1950 to 2049."""
+    first, mark, second, short = F.substring(value, 1, 2), F.substring(value, 3, 1), F.substring(value, 4, 2), F.substring(value, 7, 2)
+    year = F.concat(F.when(short < "50", "20").otherwise("19"), short)
+
+    def since(month: Column, day: Column) -> Column:
+        return F.datediff(F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd"), F.to_date(F.lit(FIRST_SHORT))).cast("long")
+
+    in_order = since(second, first)
+    start = F.coalesce(in_order, since(first, second))
+
+    def fits(d: Column, k: Column) -> Column:
+        return k["in_order"] | (F.dayofmonth(d) > 12)
+
+    def written(d: Column, k: Column) -> Column:
+        m = mark
+        return F.when(k["in_order"], F.concat(F.date_format(d, "dd"), m, F.date_format(d, "MM"), m, F.date_format(d, "yy"))).otherwise(F.concat(F.date_format(d, "MM"), m, F.date_format(d, "dd"), m, F.date_format(d, "yy")))
+
+    return F.when(start.isNull(), value).otherwise(_walked_date(key, start, F.struct(in_order.isNotNull().alias("in_order")), fits, written, back, short=True))
+
+
+def _named_date(key: str, value: Column, back: bool) -> Column:
+    """A day with its month's name keeps the language, the order and what stands between.
+
+    A name that several languages have is of the first of them, so the new name has to be of the same first one.
+    """
+    day_first = value.rlike(f"^{DAY_NAMED}$")
+
+    def part(i: int, j: int) -> Column:
+        return F.when(day_first, F.regexp_extract(value, f"^{DAY_NAMED}$", i)).otherwise(F.regexp_extract(value, f"^{MONTH_NAMED}$", j))
+
+    day, name, year = part(1, 3), part(3, 1), part(5, 5)
+    language, month = F.lit(None).cast("int"), F.lit(None).cast("int")
+    firsts = []
+    seen: set[str] = set()
+    for k, names in enumerate(MONTHS.values()):
+        listed = F.array(*map(F.lit, names.split()))
+        language = F.coalesce(language, F.when(F.array_contains(listed, name), k))
+        month = F.coalesce(month, F.nullif(F.array_position(listed, name), F.lit(0)).cast("int"))
+        firsts.append([n not in seen for n in names.split()])
+        seen |= set(names.split())
+    own = F.array(*(F.array(*map(F.lit, row)) for row in firsts))
+    names = F.array(*(F.array(*map(F.lit, row.split())) for row in MONTHS.values()))
+    kind = F.struct(language.alias("language"), day.startswith("0").alias("zero"))
+    start = _day_number(year, month.cast("string"), day)
+
+    def fits(d: Column, k: Column) -> Column:
+        return F.get(F.get(own, k["language"]), F.month(d) - 1) & (~k["zero"] | (F.dayofmonth(d) < 10))
+
+    def written(d: Column, k: Column) -> Column:
+        new = F.get(F.get(names, k["language"]), F.month(d) - 1)
+        number = F.concat(F.when(k["zero"], "0").otherwise(""), F.dayofmonth(d).cast("string"))
+        four = F.year(d).cast("string")
+        return F.when(day_first, F.concat(number, part(2, 2), new, part(4, 4), four)).otherwise(F.concat(new, part(2, 2), number, part(4, 4), four))
+
+    return F.when(start.isNull() | (day == "0") | (day == "00"), value).otherwise(_walked_date(key, start, kind, fits, written, back))
 
 
 def _mail(key: str, value: Column, back: bool) -> Column:
@@ -363,8 +500,11 @@ def pseudonym(key: str, value: Column, back: bool = False) -> Column:
         F.when(value.contains("@"), _mail(key, value, back))
         .when(value.rlike(rf"^(?:{IBAN})$") & _is_iban(value), _iban(key, value, back))
         .when(is_address, F.when(octets & plain, _address(key, value, back)).otherwise(value))
-        .when(is_date, F.when(day.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit("2199-12-31"))), _date(key, value, back)).otherwise(value))
+        .when(is_date, F.when(day.between(F.to_date(F.lit(FIRST_DAY)), F.to_date(F.lit(LAST_DAY))), _date(key, value, back)).otherwise(value))
         .when(value.rlike(rf"^(?:{WRITTEN})$"), _written_date(key, value, back))
+        .when(value.rlike(rf"^(?:{YEAR_FIRST})$"), _year_first(key, value, back))
+        .when(value.rlike(rf"^(?:{SHORT_YEAR})$"), _short_year(key, value, back))
+        .when(value.rlike(rf"^(?:{NAMED})$"), _named_date(key, value, back))
         .when(value.rlike(rf"^(?:{CARD}|\d{{13,19}})$"), _card(key, value, back))
         .when(value.rlike(rf"^[+(]|^(?:{TRIPLE}|{NATIONAL})$"), _phone(key, value, back))
         .when(value.rlike(rf"^(?:{SECRET})$"), _secret(key, value, back))
@@ -372,30 +512,32 @@ def pseudonym(key: str, value: Column, back: bool = False) -> Column:
     )
 
 
-def _pattern(text: Column) -> Column:
-    """HIT, and before it the valid IBANs of the text; what only looks like one hides nothing."""
+def _ibans(text: Column) -> Column:
+    """The valid IBANs of a text as a pattern, empty if there are none; what only looks like one hides nothing."""
     found = F.regexp_extract_all(text, F.lit(rf"{BEFORE_IBAN}(?=[A-Z]{{2}}\d)(?=({IBAN}){AFTER_IBAN})"), F.lit(1))
-    valid = F.array_join(F.filter(found, _is_iban), "|")
-    return F.when(valid == "", HIT).otherwise(F.concat(F.lit(f"{BEFORE_IBAN}(?:"), valid, F.lit(f"){AFTER_IBAN}|{HIT}")))
-
-
-def hits(text: Column) -> Column:
-    """All candidates in order."""
-    return F.regexp_extract_all(text, _pattern(text), F.lit(0))
+    return F.when(text.rlike("[A-Z]{2}[0-9]{2}"), F.array_join(F.array_distinct(F.filter(found, _is_iban)), "|")).otherwise("")
 
 
 def pseudonymized(text: Column, key: str, back: bool = False) -> Column:
     """The text with each valid hit replaced, or with ``back`` put back."""
+    # a character that stands for hits, so that a pattern for all rows is compiled once
+    gap = "\u0000"
+
+    def cut(ibans: Column) -> Column:
+        """All hits in order, and what stands between them.  Only where there are IBANs the pattern is the row's own."""
+        own = F.concat(F.lit(f"{BEFORE_IBAN}(?:"), ibans, F.lit(f"){AFTER_IBAN}|{HIT}"))
+        found = F.when(ibans == "", F.regexp_extract_all(text, F.lit(HIT), F.lit(0))).otherwise(F.regexp_extract_all(text, own, F.lit(0)))
+        gaps = F.when(F.contains(text, F.lit(gap)), F.split(text, F.when(ibans == "", HIT).otherwise(own), -1)).otherwise(
+            F.split(F.when(ibans == "", F.regexp_replace(text, HIT, gap)).otherwise(F.regexp_replace(text, own, F.lit(gap))), gap, -1)
+        )
+        return let(found, lambda found: F.when(F.size(found) == 0, text).otherwise(woven(found, gaps)))
 
-    def woven(new: Column) -> Column:
-        pairs = F.zip_with(F.split(text, _pattern(text), -1), new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))
-        return F.array_join(F.flatten(pairs), "")
-
-    def changed(found: Column) -> Column:
-        return F.when(F.size(found) == 0, text).otherwise(let(F.transform(found, lambda v: pseudonym(key, v, back)), woven))
+    def woven(found: Column, gaps: Column) -> Column:
+        new = F.transform(found, lambda v: pseudonym(key, v, back))
+        return F.array_join(F.flatten(F.zip_with(gaps, new, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))), "")
 
     # every kind has a digit, an @ or a known prefix
-    return F.when(text.rlike(f"[0-9@]|{PREFIX}"), let(hits(text), changed)).otherwise(text)
+    return F.when(text.rlike(f"[0-9@]|{PREFIX}"), let(_ibans(text), cut)).otherwise(text)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
