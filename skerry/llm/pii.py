@@ -147,11 +147,14 @@ def _shifted(chars: Column, pad: Column, alphabet: str | None, back: bool) -> Co
 
         def beyond(code: Column) -> Column:
             """A letter that isn't ASCII, within its range."""
-            out = F.when(F.lit(False), code)
-            for first, size in LETTERS:
-                out = out.when(code.between(first, first + size - 1), (code - first + by(size)) % size + first)
-            new = F.decode(F.unhex(F.lpad(F.hex(out.cast("long")), 4, "0")), "UTF-16BE")
-            return F.coalesce(new, c)
+            firsts, sizes = (F.expr(f"array({', '.join(str(r[k]) for r in LETTERS)})") for k in (0, 1))
+            at = F.size(F.filter(firsts, lambda first: first <= code)) - 1
+
+            def within(r: Column) -> Column:
+                new = (code - r["first"] + F.pmod(F.lit(-1) * byte if back else byte, r["size"])) % r["size"] + r["first"]
+                return F.when((at >= 0) & (code < r["first"] + r["size"]), F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE"))
+
+            return F.coalesce(let(F.struct(F.get(firsts, at).alias("first"), F.get(sizes, at).alias("size")), within), c)
 
         def step(first: str, size: int) -> Column:
             return F.char((F.ascii(c) - ord(first) + by(size)) % size + ord(first))
@@ -178,10 +181,14 @@ def permuted_text(key: str, label: str, value: Column, alphabet: str | None = No
         state = F.struct(F.substring(value, F.lit(1), size).alias("a"), F.substring(value, size + 1, F.length(value)).alias("b"))
 
         def turn(s: Column, r: Column) -> Column:
-            name = F.concat(F.lit(label), F.lit(":"), r.cast("string"))
-            return F.when(r % 2 == 0, F.struct(_shifted(s["a"], _pad(key, name, s["b"]), alphabet, back).alias("a"), s["b"].alias("b"))).otherwise(
-                F.struct(s["a"].alias("a"), _shifted(s["b"], _pad(key, name, s["a"]), alphabet, back).alias("b"))
-            )
+            # the first half moves by the second one in even rounds, the second by the first in odd ones
+            even, name = r % 2 == 0, F.concat(F.lit(label), F.lit(":"), r.cast("string"))
+
+            def moved(half: Column) -> Column:
+                new = _shifted(half["moves"], _pad(key, name, half["by"]), alphabet, back)
+                return let(new, lambda new: F.struct(F.when(even, new).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(new).alias("b")))
+
+            return let(F.struct(F.when(even, s["a"]).otherwise(s["b"]).alias("moves"), F.when(even, s["b"]).otherwise(s["a"]).alias("by")), moved)
 
         return F.aggregate(_rounds(back), state, turn, lambda s: F.concat(s["a"], s["b"]))
 
@@ -192,21 +199,21 @@ def _number(key: str, label: Column, half: Column) -> Column:
     return F.conv(F.substring(_pad(key, label, half.cast("string")), 1, 12), 16, 10).cast("long")
 
 
-def _added(n: Column, number: Column, size: int, back: bool) -> Column:
-    return (n + size - number % size) % size if back else (n + number) % size
+def _turned(key: str, label: str, s: Column, r: Column, rows: int, columns: int, back: bool) -> Column:
+    """One round on a grid: the row moves by the column in even rounds, the column by the row in odd ones."""
+    even, name = r % 2 == 0, F.concat(F.lit(label), F.lit(":"), r.cast("string"))
+    number = _number(key, name, F.when(even, s["b"]).otherwise(s["a"]))
+    size = F.when(even, rows).otherwise(columns)
+    by = number % size
+    new = (F.when(even, s["a"]).otherwise(s["b"]) + (size - by if back else by)) % size
+    return let(new, lambda new: F.struct(F.when(even, new).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(new).alias("b")))
 
 
 def permuted_grid(key: str, label: str, value: Column, rows: int, columns: int, back: bool = False) -> Column:
     """A permutation of 0 .. rows * columns - 1."""
     state = F.struct(F.floor(value / columns).cast("long").alias("a"), (value % columns).cast("long").alias("b"))
 
-    def turn(s: Column, r: Column) -> Column:
-        name = F.concat(F.lit(label), F.lit(":"), r.cast("string"))
-        return F.when(r % 2 == 0, F.struct(_added(s["a"], _number(key, name, s["b"]), rows, back).alias("a"), s["b"].alias("b"))).otherwise(
-            F.struct(s["a"].alias("a"), _added(s["b"], _number(key, name, s["a"]), columns, back).alias("b"))
-        )
-
-    return F.aggregate(_rounds(back), state, turn, lambda s: s["a"] * columns + s["b"])
+    return F.aggregate(_rounds(back), state, lambda s, r: _turned(key, label, s, r, rows, columns, back), lambda s: s["a"] * columns + s["b"])
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -243,7 +250,7 @@ def _long_number(key: str, value: Column, back: bool) -> Column:
     def of_digits(digits: Column) -> Column:
         body, last = F.substring(digits, F.lit(1), F.length(digits) - 1), F.substring(digits, -1, 1).cast("int")
         return let(
-            permuted_text(key, "card", body, back=back),
+            permuted_text(key, "card", body, "0123456789", back),
             lambda new: _laid_out(value, F.concat(new, ((off(body, last) + 10 - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10).cast("string"))),
         )
 
@@ -265,16 +272,18 @@ def _walked(value: Column, kind: Callable[[Column], Column], step: Callable[[Col
 
 def _card(key: str, value: Column, back: bool) -> Column:
     """Of 4-4-4-4-3 digits, the last three stay apart unless they make the card."""
+    longer = value.rlike(rf"^{FOURS}[ .\-]")
 
     def apart(v: Column) -> Column:
         digits = F.regexp_replace(v, "[^0-9]", "")
-        return (luhn_sum(digits) % 10 != 0) | (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0)
+        return longer & ((luhn_sum(digits) % 10 != 0) | (luhn_sum(F.substring(digits, 1, 16)) % 10 == 0))
 
-    def step(v: Column) -> Column:
+    def of_kind(kind: Column) -> Column:
         # by the value's own kind, so that all steps are of one permutation
-        return F.when(apart(value), F.concat(_long_number(key, F.substring(v, 1, 19), back), F.substring(v, 20, 4))).otherwise(_long_number(key, v, back))
+        size = F.when(kind, F.lit(19)).otherwise(F.length(value))
+        return _walked(value, apart, lambda v: F.concat(_long_number(key, F.substring(v, F.lit(1), size), back), F.substring(v, size + 1, F.lit(4))))
 
-    return F.when(value.rlike(rf"^{FOURS}[ .\-]"), _walked(value, apart, step)).otherwise(_long_number(key, value, back))
+    return let(apart(value), of_kind)
 
 
 def _secret(key: str, value: Column, back: bool) -> Column:
@@ -367,16 +376,12 @@ def _walked_date(
 
     def turn(s: Column, i: Column) -> Column:
         r = ROUNDS - 1 - i % ROUNDS if back else i % ROUNDS
-        name = F.concat(F.lit(f"{label}:"), r.cast("string"))
 
-        def moved(a: Column, b: Column, done: bool) -> Column:
-            return F.struct(a.alias("a"), b.alias("b"), F.lit(done).alias("done"), s["kind"].alias("kind"))
+        def moved(new: Column, done: bool) -> Column:
+            return F.struct(new["a"].alias("a"), new["b"].alias("b"), F.lit(done).alias("done"), s["kind"].alias("kind"))
 
-        return (
-            F.when(s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits(date(s), s["kind"])), moved(s["a"], s["b"], True))
-            .when(r % 2 == 0, moved(_added(s["a"], _number(key, name, s["b"]), rows, back), s["b"], False))
-            .otherwise(moved(s["a"], _added(s["b"], _number(key, name, s["a"]), columns, back), False))
-        )
+        there = s["done"] | ((i > 0) & (i % ROUNDS == 0) & fits(date(s), s["kind"]))
+        return F.when(there, moved(s, True)).otherwise(let(_turned(key, label, s, r, rows, columns, back), lambda new: moved(new, False)))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(WALK * ROUNDS)), state, turn, lambda s: written(date(s), s["kind"]))
 
@@ -449,36 +454,36 @@ def _named_date(key: str, value: Column, back: bool) -> Column:
 
     A name that several languages have is of the first of them, so the new name has to be of the same first one.
     """
-    day_first = value.rlike(f"^{DAY_NAMED}$")
-
-    def part(i: int, j: int) -> Column:
-        return F.when(day_first, F.regexp_extract(value, f"^{DAY_NAMED}$", i)).otherwise(F.regexp_extract(value, f"^{MONTH_NAMED}$", j))
-
-    day, name, year = part(1, 3), part(3, 1), part(5, 5)
-    language, month = F.lit(None).cast("int"), F.lit(None).cast("int")
-    firsts = []
-    seen: set[str] = set()
-    for k, names in enumerate(MONTHS.values()):
-        listed = F.array(*map(F.lit, names.split()))
-        language = F.coalesce(language, F.when(F.array_contains(listed, name), k))
-        month = F.coalesce(month, F.nullif(F.array_position(listed, name), F.lit(0)).cast("int"))
-        firsts.append([n not in seen for n in names.split()])
-        seen |= set(names.split())
-    own = F.array(*(F.array(*map(F.lit, row)) for row in firsts))
-    names = F.array(*(F.array(*map(F.lit, row.split())) for row in MONTHS.values()))
-    kind = F.struct(language.alias("language"), day.startswith("0").alias("zero"))
-    start = _day_number(year, month.cast("string"), day)
+    lists = [names.split() for names in MONTHS.values()]
+    listed = F.expr(f"array({', '.join('array(' + ', '.join(map(repr, row)) + ')' for row in lists)})")
+    # whether a name is in no list before its own
+    own = F.expr(f"array({', '.join('array(' + ', '.join(str(all(n not in x for x in lists[:k])) for n in row) + ')' for k, row in enumerate(lists))})")
 
-    def fits(d: Column, k: Column) -> Column:
-        return F.get(F.get(own, k["language"]), F.month(d) - 1) & (~k["zero"] | (F.dayofmonth(d) < 10))
+    def with_language(p: Column) -> Column:
+        at = F.transform(listed, lambda row: F.array_position(row, p["name"]).cast("int"))
+        first = F.array_position(F.transform(at, lambda n: n > 0), F.lit(True)).cast("int") - 1
+        return let(F.struct(at.alias("at"), first.alias("language")), lambda f: moved(p, f["language"], F.get(f["at"], f["language"])))
 
-    def written(d: Column, k: Column) -> Column:
-        new = F.get(F.get(names, k["language"]), F.month(d) - 1)
-        number = F.concat(F.when(k["zero"], "0").otherwise(""), F.dayofmonth(d).cast("string"))
-        four = F.year(d).cast("string")
-        return F.when(day_first, F.concat(number, part(2, 2), new, part(4, 4), four)).otherwise(F.concat(new, part(2, 2), number, part(4, 4), four))
+    def moved(p: Column, language: Column, month: Column) -> Column:
+        start = _day_number(p["year"], month.cast("string"), p["day"])
+        kind = F.struct(language.alias("language"), p["day"].startswith("0").alias("zero"))
+
+        def fits(d: Column, k: Column) -> Column:
+            return F.get(F.get(own, k["language"]), F.month(d) - 1) & (~k["zero"] | (F.dayofmonth(d) < 10))
+
+        def written(d: Column, k: Column) -> Column:
+            name = F.get(F.get(listed, k["language"]), F.month(d) - 1)
+            number = F.concat(F.when(k["zero"], "0").otherwise(""), F.dayofmonth(d).cast("string"))
+            front, middle = F.when(p["day_first"], number).otherwise(name), F.when(p["day_first"], name).otherwise(number)
+            return F.concat(front, p["between"], middle, p["after"], F.year(d).cast("string"))
+
+        return F.when(start.isNull() | (p["day"] == "0") | (p["day"] == "00"), value).otherwise(_walked_date(key, start, kind, fits, written, back))
+
+    def parted(pattern: str, day: int, name: int) -> Column:
+        found = {k: F.regexp_extract(value, f"^{pattern}$", i).alias(k) for k, i in (("day", day), ("name", name), ("between", 2), ("after", 4), ("year", 5))}
+        return F.struct(F.lit(name == 3).alias("day_first"), *found.values())
 
-    return F.when(start.isNull() | (day == "0") | (day == "00"), value).otherwise(_walked_date(key, start, kind, fits, written, back))
+    return let(F.when(value.rlike(f"^{DAY_NAMED}$"), parted(DAY_NAMED, 1, 3)).otherwise(parted(MONTH_NAMED, 3, 1)), with_language)
 
 
 def _mail(key: str, value: Column, back: bool) -> Column:
