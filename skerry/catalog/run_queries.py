@@ -285,7 +285,7 @@ def _(truth, pool):
 )
 def _(truth, shown, edges, concepts):
     """Whether a true class above the leaves was reached, by its distance."""
-    up = F.broadcast(hierarchy.paths(edges).join(hierarchy.leaves(concepts, edges), "concept_id", "left_semi"))
+    up = hierarchy.levels(edges).join(hierarchy.leaves(concepts, edges), "concept_id", "left_semi")
     key = ["document_id", "level", "ancestor"]
     true = truth.join(up, "concept_id").groupBy(*key).agg(F.bool_or("matched").alias("m"))
     reached = shown.where("run_id = 1").join(up, "concept_id").select(*key).distinct().withColumn("r", F.lit(True))

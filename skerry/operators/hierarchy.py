@@ -1,7 +1,8 @@
 """Class hierarchies: edges (child, parent), in which a class may have several parents.
 
-Hierarchies are small and shallow, so the closure grows by one join a level with
-the edge table; a cycle shows as a path longer than there are classes.
+Pairs of a class and its ancestor are a set: each round joins only the pairs that the round before
+found with the edges and keeps those not known yet, so classes with many paths between them cost no more
+than others, and any number of levels will do.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.plans.cuts import cut
+
 
 class CycleError(ValueError):
     """The edges lead back to where they began."""
@@ -24,46 +27,75 @@ def top_level(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("concept_id")).distinct().join(edges.select(F.col("child").alias("concept_id")), "concept_id", "left_anti")
 
 
-def paths(edges: DataFrame) -> DataFrame:
-    """(concept_id, ancestor, level) for each length of a path up; a recursive query.
+def _doubled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(ancestors, cycle): all (concept_id, ancestor) pairs, or the pairs of classes that are their own ancestors.
 
-    It ends by itself.  Cycles, and hierarchies of more levels than
-    ``spark.sql.cteRecursionLevelLimit``, raise an error; none is cut short.
+    A round that joins what is new with all pairs known doubles the levels covered, so a chain of n levels takes log2(n) rounds.
+    Each pair is found anew in no round: what is known is left out before it is written.
     """
-    spark = edges.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE up (concept_id, ancestor, level) AS (
-              SELECT child, parent, 1 FROM {e}
-              UNION ALL SELECT up.concept_id, e.parent, up.level + 1 FROM up JOIN {e} e ON up.ancestor = e.child)
-            SELECT DISTINCT concept_id, ancestor, level FROM up""",
-        e=edges.select("child", "parent").distinct(),
-    )
+    known = fresh = cut(edges.select(F.col("child").alias("concept_id"), F.col("parent").alias("ancestor")).where("child IS NOT NULL AND parent IS NOT NULL").distinct())
+    while not fresh.isEmpty():
+        loops = fresh.where("concept_id = ancestor")
+        if not loops.isEmpty():
+            return known, loops
+        way = lambda t, a, b: t.select(F.col("concept_id").alias(a), F.col("ancestor").alias(b))
+        up = way(fresh, "concept_id", "via").join(way(known, "via", "ancestor"), "via").select("concept_id", "ancestor")
+        down = way(known, "concept_id", "via").join(way(fresh, "via", "ancestor"), "via").select("concept_id", "ancestor")
+        fresh = cut(up.union(down).distinct().join(known, ["concept_id", "ancestor"], "left_anti"))
+        known = cut(known.union(fresh))
+    return known, None
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(concept_id, ancestor), each once (GR03)."""
-    return paths(edges).select("concept_id", "ancestor").distinct()
+    """(concept_id, ancestor), each once (GR03); a cycle raises CycleError."""
+    known, cycle = _doubled(edges)
+    if cycle is not None:
+        raise CycleError("a class is its own ancestor")
+    return known
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(concept_id, ancestor, level), each once, for each length of a path up; a cycle raises CycleError."""
+    check_acyclic(edges)
+    links = cut(edges.select("child", "parent").distinct())
+    now = links.select(F.col("child").alias("concept_id"), F.col("parent").alias("ancestor"))
+    out, level = now.withColumn("level", F.lit(1)), 1
+    while not now.isEmpty():
+        level += 1
+        now = cut(now.join(links, F.col("ancestor") == F.col("child")).select("concept_id", F.col("parent").alias("ancestor")).distinct())
+        out = out.union(now.withColumn("level", F.lit(level)))
+        if level % 16 == 0:
+            out = cut(out)
+    return out
 
 
 def depths(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The longest path to the top, 0 for classes without parents (GR04)."""
-    deepest = paths(edges).groupBy("concept_id").agg(F.max("level").alias("depth"))
-    return concepts.join(deepest, "concept_id", "left").select("concept_id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    """The longest path to the top, 0 for classes without parents (GR04).
+
+    Round by round the classes without a parent left are taken off, so a class's round is its depth: one row
+    a class, however many paths there are.  A cycle raises CycleError.
+    """
+    links = cut(edges.select("child", "parent").distinct())
+    left = cut(links.select(F.col("child").alias("concept_id")).distinct())
+    done, depth = None, 1
+    while not left.isEmpty():
+        open_ = links.join(left.withColumnRenamed("concept_id", "parent"), "parent", "left_semi").select(F.col("child").alias("concept_id"))
+        now = left.join(open_, "concept_id", "left_anti").withColumn("depth", F.lit(depth))
+        rest = cut(left.join(open_, "concept_id", "left_semi"))
+        if rest.count() == left.count():
+            raise CycleError("a class is its own ancestor")
+        done = now if done is None else done.union(now)
+        left, depth = rest, depth + 1
+        if depth % 16 == 0:
+            done = cut(done)  # a chain of many levels would make a plan of as many unions
+    if done is None:
+        return concepts.select("concept_id", F.lit(0).alias("depth"))
+    return concepts.join(done, "concept_id", "left").select("concept_id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def check_acyclic(edges: DataFrame) -> None:
-    """Raise CycleError if a class is its own ancestor (GR05); each round keeps distinct pairs only."""
-    known = edges.select(F.col("child").alias("a"), F.col("parent").alias("b")).distinct()
-    size, step = known.count(), known
-    while True:
-        longer = known.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-        grown = known.union(longer).distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else known.union(longer).distinct()
-        if not grown.where("a = b").isEmpty():
-            raise CycleError("a class is its own ancestor")
-        count = grown.count()
-        if count == size:
-            return
-        known, step, size = grown, grown, count
+    """Raise CycleError if a class is its own ancestor (GR05)."""
+    closure(edges)
 
 
 def leaves_under(concepts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
+from skerry.plans.keyed import KeyedTable
 from skerry.plans.shipping import ship
 from skerry.plans.skew import looked_up
+from skerry.plans.store import Manifest
 
 WIDTH, SLOTS, BAND = 5, 64, 4
 MIN_SHINGLES = 20
@@ -180,3 +183,79 @@ def deduplicate(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     new = F.when(F.col("chosen") != F.col("document_id"), F.col("chosen"))
     # neither a copy nor a standing representative is pointed elsewhere
     return joined.select("document_id", F.when(F.col("standing").isNotNull(), None).otherwise(F.coalesce("duplicate_of", new)).alias("duplicate_of"))
+
+
+class CopyIndex:
+    """Near copies found batch by batch (DD01): what was signed is kept, and a batch is compared only with what shares a band with it.
+
+    ``signatures`` and ``bands`` are keyed tables, the latter with a row for each band of each signature; ``state`` has
+    (document_id, component, duplicate_of) of all documents so far, three numbers a document, and is
+    published anew with each batch.  The grouping is that of ``deduplicate`` over all documents so far, with the copies known before.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, threshold: float = 0.8):
+        self.spark, self.path, self.threshold = spark, path.rstrip("/"), threshold
+        self.signatures = KeyedTable(spark, f"{self.path}/signatures", ["document_id"])
+        self.bands = KeyedTable(spark, f"{self.path}/bands", ["band", "slots", "document_id"])
+
+    def state(self, batches: list[str]) -> DataFrame | None:
+        """The state after the last of the batches."""
+        if not batches:
+            return None
+        held = Manifest(self.spark, f"{self.path}/state/{batches[-1]}.json").read()
+        return self.spark.read.parquet(f"{self.path}/state/{held['data']}")
+
+    def batches(self) -> list[str]:
+        """The batches that count, in order."""
+        names = []
+        last = None
+        while (found := Manifest(self.spark, f"{self.path}/state/after-{last or 'none'}.json").read()) is not None:
+            last = found["batch"]
+            names.append(last)
+        return names
+
+    def add(self, documents: DataFrame, batch: str) -> DataFrame:
+        """Take in (document_id, body) and return the state: (document_id, component, duplicate_of) of all documents so far.
+
+        A batch of a name that was taken in adds nothing; one that died is taken in anew.  Documents that are
+        known already stay as they are, whatever their text.
+        """
+        before = self.batches()
+        if batch in before:
+            return self.state(before)
+        old = self.state(before)
+        texts = documents.select("document_id", "body").where("document_id IS NOT NULL").dropDuplicates(["document_id"])
+        fresh = texts if old is None else texts.join(old.select("document_id"), "document_id", "left_anti")
+        signed = cut(signatures(fresh))
+        long = signed.where(F.col("shingles") >= MIN_SHINGLES)
+        bands = _bands(long.select(F.col("document_id").alias("first"), "signature")).select("band", "slots", F.col("first").alias("document_id"))
+        met = None
+        if old is not None and (stored := self.bands.read()) is not None:
+            keys = bands.select("band", "slots").distinct()
+            touched = stored.join(keys, ["band", "slots"], "left_semi").select("document_id").distinct().join(old.select("document_id"), "document_id", "left_semi")
+            met = self.signatures.read().join(touched, "document_id", "left_semi")
+        links = near_links(signed if met is None else cut(signed.unionByName(met.select(*signed.columns))), self.threshold)
+        state = cut(self._grouped(fresh.select("document_id"), old, links))
+        self.signatures.insert(signed, batch)
+        self.bands.insert(bands, batch)
+        own = f"{batch}-{uuid.uuid4().hex}"
+        state.write.parquet(f"{self.path}/state/{own}")
+        Manifest(self.spark, f"{self.path}/state/{batch}.json").put({"data": own})
+        Manifest(self.spark, f"{self.path}/state/after-{before[-1] if before else 'none'}.json").put({"batch": batch})
+        return self.state(self.batches())
+
+    def _grouped(self, fresh: DataFrame, old: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The state with the new documents and links: components that were apart may become one."""
+        none = fresh.select("document_id", F.col("document_id").alias("component"), F.lit(None).cast("long").alias("duplicate_of"))
+        known = none if old is None else old.select("document_id", "component", "duplicate_of").unionByName(none)
+        at = known.select("document_id", "component")
+        ends = links.join(at.select(F.col("document_id").alias("a"), F.col("component").alias("x")), "a").join(at.select(F.col("document_id").alias("b"), F.col("component").alias("y")), "b")
+        merged = connected_components(ends.select("x", "y"), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        wide = known.join(merged, "component", "left").select("document_id", F.coalesce("whole", "component").alias("component"), "duplicate_of")
+        standing = known.where("duplicate_of IS NOT NULL").select(F.col("duplicate_of").alias("document_id")).distinct().withColumn("standing", F.lit(0))
+        ranked = wide.join(standing, "document_id", "left")
+        # a group's representative: the smallest that copies point at, else the smallest id
+        chosen = ranked.groupBy("component").agg(F.min(F.struct(F.coalesce("standing", F.lit(1)), "document_id"))["document_id"].alias("chosen"))
+        told = ranked.join(chosen, "component")
+        new = F.when(F.col("standing").isNull() & (F.col("chosen") != F.col("document_id")), F.col("chosen"))
+        return told.select("document_id", "component", F.coalesce("duplicate_of", new).alias("duplicate_of"))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors that one broadcast may hold; larger sides are ranked in blocks of so many.
-BLOCK = 4096
+from skerry.plans.cuts import cut, shared_folder
+from skerry.plans.shipping import ship
+from skerry.sources.fetching import file_system
+
+#: Leaves and documents that are multiplied at once.
+BLOCK, ROWS = 4096, 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -20,30 +29,105 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _scored(documents: DataFrame, leaves: DataFrame, digits: int) -> list[DataFrame]:
-    """(document_id, concept_id, score) of all documents with each block of leaves, BLOCK at most in a broadcast."""
-    blocks = -(-leaves.count() // BLOCK) or 1
-    each = [leaves if blocks == 1 else leaves.where(F.pmod(F.xxhash64("concept_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    score = F.round(cosine(F.col("vector"), F.col("leaf_vector")), digits).alias("score")
-    return [documents.crossJoin(F.broadcast(block)).select("document_id", "concept_id", score) for block in each]
+def _unit(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length one in double precision, and which have a direction; null vectors have none, null components count as none either."""
+    known = np.array([v.is_valid and len(v.values) == size for v in column], bool) if column.null_count or not _even(column, size) else np.ones(len(column), bool)
+    out = np.zeros((len(column), size))
+    if known.any():
+        inside = column.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out[known] = inside.reshape(-1, size)
+    norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+    known &= np.isfinite(norms) & (norms > 0)
+    out[~known] = 0
+    norms[~known] = 1
+    return out / norms[:, None], known
+
+
+def _even(column: pa.Array, size: int) -> bool:
+    return len(column) * size == len(column.flatten())
+
+
+def _written_leaves(leaves: DataFrame) -> str:
+    """The leaves as files in the shared folder, which tasks read a block at a time."""
+    place = f"{shared_folder(leaves.sparkSession)}/leaves-{uuid.uuid4().hex}"
+    leaves.select("concept_id", "leaf_vector").write.parquet(place)
+    return place
+
+
+def _blocks(place: str, rows: int) -> Iterator[pa.RecordBatch]:
+    system, path = file_system(place)
+    files = sorted(f.path for f in system.get_file_info(pafs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+    for file in files:
+        with pq.ParquetFile(file, filesystem=system) as part:
+            yield from part.iter_batches(batch_size=rows)
+
+
+def _against(documents: DataFrame, leaves: DataFrame, digits: int, chosen: Callable[[list], tuple], out: str) -> DataFrame:
+    """Each Arrow batch of documents against all leaves, a block of leaves at a time, by matrix products; no row is shuffled.
+
+    ``chosen`` gets the running choice, (row, concept_id, score), and a block's scores, and returns the new choice.
+    """
+    ship(documents.sparkSession)
+    place, rows, block_rows = _written_leaves(leaves), ROWS, BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, rows):
+                batch = whole.slice(begin, rows)
+                found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                for block in _blocks(place, block_rows):
+                    size = max(len(block.column(1).flatten()) // max(1, len(block) - block.column(1).null_count), 1)
+                    (mine, here), (theirs, there) = _unit(batch.column(1), size), _unit(block.column(1), size)
+                    scores = np.round(mine @ theirs.T, digits)
+                    scores[~here] = scores[:, ~there] = -np.inf  # no direction, no score
+                    found = chosen(found, scores, block.column(0).to_numpy())
+                row, concept, score = found
+                score = pa.array(np.where(np.isinf(score), 0.0, score + 0.0), mask=np.isinf(score))
+                columns = [batch.column(0).take(pa.array(row)), pa.array(concept).cast(concept_type), score]
+                if rank:
+                    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+                    columns.append(pa.array(np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)])) + 1, pa.int32()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rank = out.endswith("rank int")
+    document, concept = documents.schema["document_id"].dataType.simpleString(), leaves.schema["concept_id"].dataType
+    concept_type = pa.int32() if concept.simpleString() == "int" else pa.int64()
+    names = ["document_id", "concept_id", "score", *(["rank"] if rank else [])]
+    return documents.select("document_id", "vector").mapInArrow(run, f"document_id {document}, concept_id {concept.simpleString()}, {out}")
 
 
 def pool(documents: DataFrame, leaves: DataFrame, size: int, digits: int = 6) -> DataFrame:
-    """The nearest ``size`` leaves of each document: (document_id, concept_id, score, rank) (JN07, WIN01).
+    """The nearest ``size`` leaves of each document: (document_id, concept_id, score, rank) (JN07, WIN01, WIN04, TOP01).
 
-    Leaves are a dimension: they are broadcast BLOCK at a time, each block keeps its
-    best ``size`` before the blocks meet, so no document meets all leaves in a shuffle.
+    Exact: each document keeps its best ``size`` over the blocks of leaves, ties by the smaller id, pairs
+    without a score (null or zero vectors) last.  Ids are integers.
     """
-    nearest = Window.partitionBy("document_id").orderBy(F.desc("score"), "concept_id")
-    best = [part.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size) for part in _scored(documents, leaves, digits)]
-    if len(best) == 1:
-        return best[0]
-    return reduce(DataFrame.unionByName, best).drop("rank").withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= size)
+
+    def best(found: tuple, scores: np.ndarray, ids: np.ndarray) -> tuple:
+        if scores.shape[1] > size:
+            least = -np.partition(-scores, size - 1, axis=1)[:, size - 1]
+            row, column = np.nonzero(scores >= least[:, None])  # with all ties of the last one
+        else:
+            row, column = (x.ravel() for x in np.indices(scores.shape))
+        row, concept, score = (np.concatenate(x) for x in zip(found, (row, ids[column], scores[row, column]), strict=True))
+        order = np.lexsort((concept, -score, row))
+        row, concept, score = row[order], concept[order], score[order]
+        starts = np.r_[0, np.flatnonzero(row[1:] != row[:-1]) + 1] if len(row) else np.zeros(0, np.int64)
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        keep = place < size
+        return row[keep], concept[keep], score[keep]
+
+    return _against(documents, leaves, digits, best, "score double, rank int")
 
 
 def similar(documents: DataFrame, leaves: DataFrame, least: float, digits: int = 6) -> DataFrame:
     """(document_id, concept_id, score) of those at least so alike (JN06, RT03), kept where they are scored, without a shuffle."""
-    return reduce(DataFrame.unionByName, [part.where(F.col("score") >= least) for part in _scored(documents, leaves, digits)])
+
+    def enough(found: tuple, scores: np.ndarray, ids: np.ndarray) -> tuple:
+        row, column = np.nonzero(scores >= least)
+        return tuple(np.concatenate(x) for x in zip(found, (row, ids[column], scores[row, column]), strict=True))
+
+    return _against(documents, leaves, digits, enough, "score double")
 
 
 def adaptive(ranked: DataFrame, min_score: float, margin: float, max_k: int, by: str = "document_id") -> DataFrame:
@@ -72,22 +156,126 @@ def kept_histogram(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("document_id").agg(F.count_if("kept").alias("kept")).groupBy("kept").agg(F.count("*").alias("documents"))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, digits: int = 6) -> DataFrame:
-    """Pairs of classes at least ``threshold`` alike, i < j (JN27).
+#: Rows that the axes and centres of ``near_pairs`` are fitted on, how many of each, and the vectors of a cell that meet in one task.
+FIT, AXES, CENTRES, CELL = 4096, 16, 64, 4096
+
+
+def _fitted(vectors: DataFrame, axes: int, centres: int) -> tuple[np.ndarray, np.ndarray]:
+    """A turned basis whose first axes hold most of the vectors' length, and centres far from each other: from FIT rows at most."""
+    rows = vectors.where(F.col("vector").isNotNull()).orderBy(F.xxhash64("concept_id"), "concept_id").limit(FIT).select("vector").toArrow()["vector"]
+    size = len(rows[0].values) if len(rows) else 1
+    unit, known = _unit(rows.combine_chunks() if len(rows) else pa.array([], pa.list_(pa.float64())), size)
+    unit = unit[known]
+    if not len(unit):
+        return np.eye(size), np.zeros((1, size))
+    turn = np.linalg.svd(unit.T @ unit)[0]
+    picked = [0]
+    nearest = unit @ unit[0]
+    while len(picked) < min(centres, len(unit)):
+        picked.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[picked[-1]])
+    return turn, unit[picked]
+
+
+def near_pairs(vectors: DataFrame, threshold: float, digits: int = 6, counts: bool = False) -> DataFrame:
+    """Pairs of classes at least ``threshold`` alike, a < b (JN27), without comparing all.
 
-    A theta join has no key, so it goes by blocks of BLOCK rows: every pair of blocks
-    meets once, each as a broadcast of known size.
+    Exact.  Each vector is in the cell of its nearest centre.  By the triangle inequality on angles, two cells
+    whose centres are further apart than their radii and the threshold's angle hold no pair and don't meet.  Where
+    cells meet, the first AXES coordinates and the lengths of the rest bound each cosine from above; only
+    pairs that the bound allows are compared.  A cell is cut into parts of CELL vectors.  Null and zero vectors are in no pair.
+    With ``counts``, one row: ``pairs`` there are, ``met`` in cells, ``compared`` in full, ``found``.
     """
-    blocks = -(-vectors.count() // BLOCK) or 1
-    left = vectors.select(F.col("concept_id").alias("a"), F.col("vector").alias("va"))
-    out = None
-    for b in range(blocks):
-        block = vectors if blocks == 1 else vectors.where(F.pmod(F.xxhash64("concept_id"), F.lit(blocks)) == b)
-        right = F.broadcast(block.select(F.col("concept_id").alias("b"), F.col("vector").alias("vb")))
-        part = left.join(right, F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), digits).alias("score"))
-        part = part.where(F.col("score") >= threshold)
-        out = part if out is None else out.unionByName(part)
-    return out
+    spark = vectors.sparkSession
+    ship(spark)
+    known = cut(vectors.select("concept_id", "vector"))
+    turn, centres = _fitted(known, AXES, CENTRES)
+    size, slack, limit = turn.shape[0], 1e-9, threshold - 0.5 * 10.0**-digits
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, good = _unit(batch.column(1), size)
+            unit = unit[good]
+            near = unit @ centres.T
+            cell = near.argmax(axis=1) if len(unit) else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(near[np.arange(len(unit)), cell], -1, 1))
+            turned = pa.ListArray.from_arrays(np.arange(0, unit.size + 1, size, dtype=np.int32), pa.array((unit @ turn).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array(cell), pa.array(angle), turned], names=["concept_id", "cell", "angle", "turned"])
+
+    kind = vectors.schema["concept_id"].dataType.simpleString()
+    cells = cut(known.mapInArrow(placed, f"concept_id {kind}, cell long, angle double, turned array<double>"))
+    # CENTRES rows at most
+    sizes = {r.cell: (r.n, r.radius) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    reach = np.arccos(np.clip(limit, -1, 1)) + slack
+    parts = {c: -(-n // CELL) for c, (n, _) in sizes.items()}
+    meeting = [(x, y) for x in sorted(sizes) for y in sorted(sizes) if x <= y and (x == y or apart[x, y] - sizes[x][1] - sizes[y][1] <= reach)]
+    # for each part of a cell the tasks it goes to, with its side; a cell meets CENTRES others at most
+    goes: list[tuple[int, int, str, int]] = []
+    for x, y in meeting:
+        for i in range(parts[x]):
+            for j in range(i if x == y else 0, parts[y]):
+                goes.append((x, i, f"{x}.{i}-{y}.{j}", 0))
+                if (x, i) != (y, j):
+                    goes.append((y, j, f"{x}.{i}-{y}.{j}", 1))
+    tasks = spark.createDataFrame(goes or [(-1, 0, "", 0)], "cell long, part int, task string, side int")
+    count = spark.createDataFrame([(c, p) for c, p in parts.items()] or [(-1, 1)], "cell long, parts int")
+    dealt = cells.join(F.broadcast(count), "cell").withColumn("part", F.pmod(F.xxhash64("concept_id"), F.col("parts")).cast("int"))
+    sent = dealt.join(tasks, ["cell", "part"]).select("task", "side", "concept_id", "turned").repartition("task").sortWithinPartitions("task", "side")
+
+    def compared(left: tuple, right: tuple, same: bool) -> tuple[list, int, int]:
+        found, met, full = [], 0, 0
+        for s in range(0, len(left[0]), 1024):
+            a, ids = left[1][s : s + 1024], left[0][s : s + 1024]
+            for t in range(s if same else 0, len(right[0]), 1024):
+                b, others = right[1][t : t + 1024], right[0][t : t + 1024]
+                rest = np.sqrt(np.einsum("ij,ij->i", a[:, AXES:], a[:, AXES:])), np.sqrt(np.einsum("ij,ij->i", b[:, AXES:], b[:, AXES:]))
+                may = a[:, :AXES] @ b[:, :AXES].T + np.outer(*rest) >= limit - slack
+                if same and s == t:
+                    may = np.triu(may, 1)
+                met += may.size if not (same and s == t) else may.shape[0] * (may.shape[0] - 1) // 2
+                i, j = np.nonzero(may)
+                full += len(i)
+                score = np.round(np.einsum("ij,ij->i", a[i], b[j]), digits)
+                good = score >= threshold
+                found.append((np.minimum(ids[i], others[j])[good], np.maximum(ids[i], others[j])[good], score[good]))
+        return found, met, full
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {0: [], 1: []}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            sides = {k: (np.concatenate([x for x, _ in v]), np.concatenate([y for _, y in v])) for k, v in held.items() if v}
+            if 0 not in sides:
+                return
+            found, met, full = compared(sides[0], sides.get(1, sides[0]), 1 not in sides)
+            a, b, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+            if counts:
+                a, b, score, extra = a[:0], b[:0], score[:0], (met, full, len(a))
+            else:
+                extra = (0, 0, 0)
+            n = max(len(a), 1) if counts else len(a)
+            fill = lambda x, t: pa.array(np.resize(x, n), t) if len(x) else pa.nulls(n, t)
+            columns = [fill(a, concept), fill(b, concept), fill(score, pa.float64()), *(pa.array([e] * n, pa.int64()) for e in extra)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "score", "met", "compared", "found"])
+
+        for batch in batches:
+            task, side, ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            rows = batch.column(3).flatten().to_numpy().reshape(-1, size)
+            edges = np.r_[0, np.flatnonzero((task[1:] != task[:-1]) | (side[1:] != side[:-1])) + 1, len(task)] if len(task) else [0]
+            for begin, end in zip(edges[:-1], edges[1:], strict=True):
+                if task[begin] != now:
+                    yield from told()
+                    now, held = task[begin], {0: [], 1: []}
+                held[side[begin]].append((ids[begin:end].copy(), rows[begin:end].copy()))
+        yield from told()
+
+    concept = pa.int32() if kind == "int" else pa.int64()
+    out = sent.mapInArrow(run, f"a {kind}, b {kind}, score double, met long, compared long, found long")
+    if not counts:
+        return out.select("a", "b", "score")
+    n = cells.count()
+    return out.agg(F.lit(n * (n - 1) // 2).cast("long").alias("pairs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "compared", "found")))
 
 
 def latest(rows: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.functions.rates import rate
@@ -22,31 +22,24 @@ def evaluate_run(truth: DataFrame, verdicts: DataFrame, pool: DataFrame, shown:
 def paired_bootstrap(truth: DataFrame, a: DataFrame, b: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
     """F1 of ``b`` minus F1 of ``a`` over the same resampled documents, with its interval (AGG19).
 
-    Documents with equal counts in both runs are one cell, so the driver's share is
-    the number of different cells.
+    Documents with equal counts in both runs are one cell; see ``sampling.resampled``.
     """
-    import numpy as np
-    import pandas as pd
-
     def counted(verdicts: DataFrame, side: str) -> DataFrame:
         return S.document_counts(M.answers(truth, verdicts)).select("document_id", *(F.col(c).alias(f"{c}_{side}") for c in ("tp", "fp", "fn")))
 
     names = [f"{c}_{side}" for side in "ab" for c in ("tp", "fp", "fn")]
     cells = counted(a, "a").join(counted(b, "b"), "document_id").groupBy(*names).agg(F.count("*").alias("n"))
 
-    def f1(totals: np.ndarray) -> np.ndarray:
-        whole = 2 * totals[:, 0] + totals[:, 1] + totals[:, 2]
-        return np.where(whole > 0, 2 * totals[:, 0] / np.maximum(whole, 1), np.nan)
-
-    def resample(cells: pd.DataFrame) -> pd.DataFrame:
-        n, values = cells["n"].to_numpy(), cells[names].to_numpy()
-        draws = np.vstack([n, np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), replicates)]) @ values
-        difference = f1(draws[:, 3:]) - f1(draws[:, :3])
-        known = np.sort(difference[1:][~np.isnan(difference[1:])])
-        ends = [known[int(q * (len(known) - 1))] if len(known) else np.nan for q in (0.025, 0.975)]
-        return pd.DataFrame({"documents": [n.sum()], "difference": [round(difference[0], 6)], "low": [round(ends[0], 4)], "high": [round(ends[1], 4)]})
+    def f1(side: str) -> Column:
+        tp, fp, fn = (F.col(f"{c}_{side}") for c in ("tp", "fp", "fn"))
+        return rate(2 * tp, 2 * tp + fp + fn)
 
-    found = cells.withColumn("_g", F.lit(1)).groupBy("_g").applyInPandas(resample, "documents long, difference double, low double, high double")
+    drawn = S.resampled(cells, names, replicates, seed).select((f1("b") - f1("a")).alias("d"))
+    # one number a replicate
+    ends = drawn.agg(F.array_sort(F.collect_list("d")).alias("d"))
+    low, high = (F.round(F.get("d", F.floor(q * (F.size("d") - 1)).cast("int")), 4) for q in (0.025, 0.975))
+    observed = cells.agg(F.sum("n").alias("documents"), *(F.sum(F.col(c) * F.col("n")).alias(c) for c in names))
+    found = observed.select("documents", F.round(f1("b") - f1("a"), 6).alias("difference")).crossJoin(ends.select(low.alias("low"), high.alias("high")))
     return found.withColumn("improvement", F.coalesce(F.col("low") > 0, F.lit(False)))
 
 

@@ -151,28 +151,53 @@ def document_counts(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return pairs.groupBy("document_id", *by).agg(F.count_if(m & p).alias("tp"), F.count_if(~m & p).alias("fp"), F.count_if(m & ~p).alias("fn"))
 
 
-def bootstrap_scores(counts: DataFrame, replicates: int = 200, seed: int = 0, stratum: str | None = None) -> DataFrame:
-    """Precision, recall and F1 with 95% intervals from resampling documents (AGG18, AGG20).
+#: Cells that one task of a bootstrap draws.
+CELLS = 4096
+
 
-    Equal (tp, fp, fn) of a stratum are one cell, and a multinomial draw of the
-    cells has the law of drawing documents; so the driver's work depends on the
-    number of different cells.  Strata of one document are pooled.
+def resampled(cells: DataFrame, values: list[str], replicates: int, seed: int = 0, stratum: str | None = None) -> DataFrame:
+    """(r, the values' totals) of each replicate: within each stratum, as many units as there are drawn with replacement.
+
+    ``cells``: the values of units and ``n``, how many units have them; so a multinomial draw of
+    the cells has the law of drawing units.  A stratum with more than CELLS cells is cut into parts.  A multinomial draw splits: how
+    many units fall to each part is multinomial over the parts, and within a part its cells are again.  Each task works out
+    the split from the stratum's seed and its parts' sizes, and draws its own cells; no task has all.
     """
+    by = [F.col(stratum).cast("string").alias("_s") if stratum else F.lit("all").alias("_s")]
+    named = cells.select(*by, "n", *values)
+    parts = named.groupBy("_s").agg(F.ceil(F.count("*") / CELLS).cast("int").alias("_parts"))
+    dealt = named.join(parts, "_s").withColumn("_part", F.pmod(F.xxhash64(*values), "_parts").cast("int"))
+    sizes = dealt.groupBy("_s", "_part").agg(F.sum("n").alias("_size"))
+    shares = sizes.groupBy("_s").agg(F.array_sort(F.collect_list(F.struct("_part", "_size"))).alias("_sizes"))
+    # the sizes of a stratum's parts go with one row of each part, not with all
+    first = shares.select(F.col("_s").alias("_of"), F.col("_sizes").alias("_split"), F.explode("_sizes._part").alias("_at"))
+
+    def draw_part(key: tuple, own: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
+        stratum, part = key
+        text = [seed, *map(ord, str(stratum))]
+        sizes = [(x["_part"], x["_size"]) for x in split["_split"].iloc[0]]
+        counts = np.array([n for _, n in sizes], np.int64)
+        drawn = np.random.default_rng(text).multinomial(counts.sum(), counts / counts.sum(), replicates)[:, [p for p, _ in sizes].index(part)]
+        ordered = own.sort_values(values)  # whatever the order of rows, the draws are the same
+        n, rows = ordered["n"].to_numpy(), ordered[values].to_numpy()
+        rng = np.random.default_rng([*text, part])
+        totals = np.array([rng.multinomial(m, n / n.sum()) @ rows for m in drawn])
+        return pd.DataFrame({"r": np.arange(replicates)} | {c: totals[:, i] for i, c in enumerate(values)})
+
+    schema = ", ".join(["r int", *(f"{c} long" for c in values)])
+    drawn = dealt.groupBy("_s", "_part").cogroup(first.groupBy("_of", "_at")).applyInPandas(draw_part, schema)
+    return drawn.groupBy("r").agg(*(F.sum(c).alias(c) for c in values))
+
+
+def bootstrap_scores(counts: DataFrame, replicates: int = 200, seed: int = 0, stratum: str | None = None) -> DataFrame:
+    """Precision, recall and F1 with 95% intervals from resampling documents (AGG18, AGG20); strata of one document are pooled."""
     cells = counts.groupBy(*([stratum] if stratum else []), "tp", "fp", "fn").agg(F.count("*").alias("n"))
     if stratum:
-        size = F.sum("n").over(Window.partitionBy(stratum))
-        cells = cells.withColumn("_s", F.when(size == 1, F.lit("singletons")).otherwise(F.concat(F.lit("s"), F.col(stratum).cast("string"))))
+        sizes = counts.groupBy(F.col(stratum).alias("_of")).agg(F.count("*").alias("_size"))
+        cells = cells.join(sizes, F.col(stratum).eqNullSafe(F.col("_of")))
+        cells = cells.withColumn("_s", F.when(F.col("_size") == 1, F.lit("singletons")).otherwise(F.concat(F.lit("s"), F.coalesce(F.col(stratum).cast("string"), F.lit("")))))
         cells = cells.groupBy("_s", "tp", "fp", "fn").agg(F.sum("n").alias("n"))
-
-    def resample(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, *map(ord, str(key[0]))])
-        n = cells["n"].to_numpy()
-        draws = rng.multinomial(n.sum(), n / n.sum(), replicates)
-        totals = draws @ cells[["tp", "fp", "fn"]].to_numpy()
-        return pd.DataFrame({"r": np.arange(replicates), "tp": totals[:, 0], "fp": totals[:, 1], "fn": totals[:, 2]})
-
-    grouped = cells.withColumn("_g", F.col("_s") if stratum else F.lit("all")).groupBy("_g")
-    drawn = grouped.applyInPandas(resample, "r int, tp long, fp long, fn long").groupBy("r").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    drawn = resampled(cells, ["tp", "fp", "fn"], replicates, seed, "_s" if stratum else None)
 
     def scores(frame: DataFrame) -> DataFrame:
         tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

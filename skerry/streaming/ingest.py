@@ -7,12 +7,15 @@ table and read by ``watermark.contiguous``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from skerry.plans.keyed import KeyedTable
+
 MISSING_AFTER = 3 * 3600
 
 
@@ -40,24 +43,20 @@ def catch_up(slots: DataFrame, watermark: DataFrame, bound: int = 32) -> DataFra
     return ahead.withColumn("_n", F.row_number().over(order)).withColumn("_stop", stop).where((F.col("_n") <= bound) & (F.col("_stop") == 0)).select("feed", "slot", "status")
 
 
-def append_once(batch: DataFrame, path: str, key: list[str]) -> None:
-    """Append the rows whose key isn't in the table (ST05); replaying a batch adds nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(key)
-    try:
-        there = spark.read.parquet(path).select(*key)
-    except Exception as e:  # noqa: BLE001  the first batch has no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        there = None
-    (fresh if there is None else fresh.join(there, key, "left_anti")).write.mode("append").parquet(path)
+def append_once(batch: DataFrame, path: str, key: list[str], name: str) -> int:
+    """Add the rows whose key isn't in the keyed table (ST05); a batch of a name that was added adds nothing."""
+    return KeyedTable(batch.sparkSession, path, key).insert(batch, name)
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, key: list[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Drain a stream into a table, idempotently, one micro-batch after the other."""
+    """Drain a stream into a keyed table (see ``KeyedTable.read``), idempotently, one micro-batch after the other.
+
+    A batch's name is made of the checkpoint and its number, so one that is replayed after a crash is added once.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_once(prepare(batch) if prepare else batch, path, key)
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(prepare(batch) if prepare else batch, path, key, f"{stream}-{number}")
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -112,7 +112,7 @@ def test_runs_are_reused_by_key(spark, tmp_path):
     root = f"file://{tmp_path}/runs"
     store.execute(spark, root, {}, candidates, judge)
     again = store.execute(spark, root, {"judge": {"host": "b"}}, candidates, judge)
-    assert made == ["candidates", "judge"] and again["reused"] == {"candidates": True, "judge": True}
+    assert made == ["candidates", "judge"] and again["reused"] == {"candidates": True, "retrieval": True, "judge": True}
     store.execute(spark, root, {"judge": {"samples": 3}}, candidates, judge)
     assert made == ["candidates", "judge", "judge"]
     with pytest.raises(ZeroDivisionError):

@@ -9,6 +9,7 @@ from skerry.operators import calendars, hierarchy, judging, matching, minhash, r
 from skerry.operators.components import connected_components
 from skerry.plans import runs
 from skerry.sources import feeds, html_text, sheets
+from skerry.plans.keyed import KeyedTable
 from skerry.streaming import ingest
 from skerry.streaming.watermark import contiguous
 
@@ -302,7 +303,7 @@ def test_replayed_batches_add_nothing(spark, sf_dir, tmp_path):
     for round_ in ("one", "two"):
         source = ingest.stream(spark, f"file://{tmp_path}/in", schema)
         ingest.ingest(source, f"file://{tmp_path}/out", f"file://{tmp_path}/{round_}", ["event_id"]).awaitTermination()
-        assert spark.read.parquet(f"file://{tmp_path}/out").count() == 1000
+        assert KeyedTable(spark, f"file://{tmp_path}/out", ["event_id"]).read().count() == 1000
 
 
 def test_samples_by_allocation(spark):
