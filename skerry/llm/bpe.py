@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import pretokens
+from skerry.plans.shipping import ship
 
 
 def encode_texts(machine: pretokens.Compiled, texts: list[str]) -> list[bytes]:
@@ -79,6 +80,7 @@ def round_trip(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, with_ids: bool = False
 ) -> DataFrame:
     """``keep``, ``n_tokens``, and digests of the ids and of the text decoded from them; ``ids`` on demand."""
+    ship(docs.sparkSession)
 
     def work(machine, column):
         codes, digests, texts = [], [], []

@@ -29,8 +29,8 @@ each run of them meets one block of items after the other.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import shingles
+from skerry.plans.shipping import ship
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -212,9 +213,16 @@ class Index:
         return out
 
 
-@lru_cache(maxsize=2)
-def _index(texts: tuple[str | None, ...]) -> Index:
-    return Index(texts)
+#: The indexes of the items that a worker looks for just now, by the job's name.
+_HELD: dict[str, list[Index]] = {}
+
+
+def _indexes(name: str, blocks: list[tuple]) -> list[Index]:
+    """One index a block, built once in a worker for any number of blocks; those of other jobs go."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = [Index(texts) for texts in blocks]
+    return _HELD[name]
 
 
 def item_blocks(items: DataFrame, key: str, text: str) -> list[tuple[list, tuple]]:
@@ -229,13 +237,12 @@ def item_blocks(items: DataFrame, key: str, text: str) -> list[tuple[list, tuple
     return out
 
 
-def _by_batch(blocks: list[tuple], batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+def _by_batch(name: str, blocks: list[tuple], batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
     """Each batch and, for each of its rows, (block, item, match) of all items found; each text is hashed once."""
     for batch in batches:
         held = list(hashed_slices(batch.column(batch.schema.get_field_index(column)).to_pylist()))
         found: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-        for b, texts in enumerate(blocks):
-            index = _index(texts)
+        for b, index in enumerate(_indexes(name, blocks)):
             for row, hits in enumerate(hits for some in held for hits in index.matches_in(some)):
                 found[row] += [(b, i, best) for i, best in sorted(hits.items())]
         yield batch, found
@@ -247,8 +254,9 @@ def contaminated(
     """(key, item_key, ``similarity``, ``window_start``, ``window_words``): the best window for each pair found."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship(docs.sparkSession)
     blocks = item_blocks(items, item_key, item_text)
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    shared, name = docs.sparkSession.sparkContext.broadcast(blocks), uuid.uuid4().hex
     types = [docs.schema[key].dataType, items.schema[item_key].dataType]
     schema = f"`{key}` {types[0].simpleString()}, `{item_key}` {types[1].simpleString()}, similarity double, window_start long, window_words long"
     kinds = [*map(to_arrow_type, types), pa.float64(), pa.int64(), pa.int64()]
@@ -256,7 +264,7 @@ def contaminated(
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [numbers for numbers, _ in shared.value]
-        for batch, found in _by_batch([texts for _, texts in shared.value], rows, "_text"):
+        for batch, found in _by_batch(name, [texts for _, texts in shared.value], rows, "_text"):
             out = [(doc, keys[b][i], *best) for doc, hits in zip(batch.column(0).to_pylist(), found, strict=True) for b, i, best in hits]
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
@@ -266,10 +274,11 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, of which no window is similar to an item; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast([texts for _, texts in item_blocks(items, item_key, item_text)])
+    ship(docs.sparkSession)
+    shared, name = docs.sparkSession.sparkContext.broadcast([texts for _, texts in item_blocks(items, item_key, item_text)]), uuid.uuid4().hex
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _by_batch(shared.value, rows, text):
+        for batch, found in _by_batch(name, shared.value, rows, text):
             yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

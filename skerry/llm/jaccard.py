@@ -53,6 +53,7 @@ from skerry.operators.components import connected_components
 from skerry.plans.cuts import cut
 from skerry.plans.sieve import likely, without
 from skerry.plans.skew import looked_up
+from skerry.plans.shipping import ship
 
 GROUP_LIMIT = 4096
 GROUP_TOKENS = 1 << 22
@@ -407,6 +408,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``component_id`` is the smallest key that links lead to.  Keys are integers or
     strings.
     """
+    ship(docs.sparkSession)
     profiles = cut(_profiles(docs, key, text, width, percent))
     sets = profiles.where("digest IS NOT NULL")
     alike = cut(sets.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm import pretokens
+from skerry.plans.shipping import ship
 
 
 def counted(machine: pretokens.Compiled, texts: list[str]) -> list[int]:
@@ -38,6 +39,7 @@ def count_tokens(
     docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None
 ) -> DataFrame:
     """``keep`` columns, ``n_bytes`` (UTF-8) and ``n_tokens`` of each row; one pass, no shuffle."""
+    ship(docs.sparkSession)
     shared = pretokens.shared_vocabulary(docs.sparkSession, path)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,3 +150,17 @@ def test_empty_tables(spark):
     assert decontam.contaminated(docs, items).count() == 0
     assert decontam.drop_contaminated(docs, items).count() == 1
     assert decontam.contaminated(docs.where("false"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_indexes_are_built_once_for_any_number_of_items(monkeypatch):
+    import pyarrow as pa
+
+    built = []
+    monkeypatch.setattr(decontam, "Index", lambda texts: built.append(texts) or type("None_", (), {"matches_in": lambda self, held: [{} for _ in range(3)]})())
+    blocks = [(f"item {i}",) for i in range(10)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"])], names=["t"]) for _ in range(6)]
+    for _ in range(2):
+        assert len(list(decontam._by_batch("job", blocks, iter(batches), "t"))) == 6
+    assert len(built) == 10
+    list(decontam._by_batch("another job", blocks[:1], iter(batches), "t"))
+    assert len(built) == 11 and list(decontam._HELD) == ["another job"]
