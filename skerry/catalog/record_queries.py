@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.catalog.roles import Catalog
-from skerry.functions import replies
-from skerry.operators import bank, components, judging, ontology, records, reports, strategies
+from skerry.functions import feed_time, replies
+from skerry.operators import bank, components, minhash, ontology, ranking, records, reports, strategies
 from skerry.operators import metrics as M
 from skerry.operators import sampling as S
 from skerry.plans import runs, store
 from skerry.plans.cuts import shared_folder
-from skerry.sources import feeds, fetching, sheets
+from skerry.plans.keyed import KeyedTable
+from skerry.sources import feeds, fetching, sheets, slices
 
 catalog = Catalog()
 add = catalog.add
@@ -494,31 +495,40 @@ def _(pool):
     return found.withColumn("reused", F.lit(reused))
 
 
-@add("RN05_sweep", "region", "SELECT a || '/' || b AS setting, CAST(CASE WHEN a = '10' THEN 1 ELSE 2 END AS INT) AS candidates FROM (SELECT unnest(['10', '20']) AS a) x, (SELECT unnest(['pair', 'batch', 'route']) AS b) y")
-def _(region):
-    """Six runs with two different keys of candidates, numbered as they come up."""
-    made = runs.sweep({}, {"candidates.pool_size": [10, 20], "judge.mode": ["pair", "batch", "route"]})
-    keys = list(dict.fromkeys(runs.stage_keys(c)["candidates"] for c in made))
-    rows = [(f"{c['candidates']['pool_size']}/{c['judge']['mode']}", keys.index(runs.stage_keys(c)["candidates"]) + 1) for c in made]
-    return region.sparkSession.createDataFrame(rows, "setting string, candidates int")
-
-
-@add("FN26_stable_hash", "nation", """SELECT n_nationkey, substr(sha256('{"a":' || n_nationkey || ',"b":"' || n_nationkey % 3 || '"}'), 1, 12) AS hash FROM {nation}""")
+@add(
+    "RN05_sweep",
+    "nation",
+    """WITH h AS (SELECT n_nationkey AS run_id, 10 * (1 + n_nationkey % 3) AS size, CASE n_nationkey % 2 WHEN 0 THEN 'pair' ELSE 'batch' END AS mode FROM {nation} WHERE n_nationkey % 4 <> 0),
+    a AS (SELECT * FROM (SELECT unnest([10, 20, 40]) AS size) x, (SELECT unnest(['pair', 'batch', 'extract']) AS mode) y)
+    SELECT a.size || '/' || a.mode AS setting, min(run_id) AS run_id FROM a LEFT JOIN h USING (size, mode) GROUP BY 1""",
+)
 def _(nation):
-    """The driver's share is one value a run; here one a nation."""
-    values = [(i, runs.stable_hash({"b": str(i % 3), "a": i})) for i in range(25)]
-    return nation.select("n_nationkey").join(nation.sparkSession.createDataFrame(values, "n_nationkey long, hash string"), "n_nationkey")
+    """Nine runs of a sweep, and which of the runs so far did them; some of these failed, and all ran on hosts of their own."""
+    n = F.col("n_nationkey")
+    mode = F.when(n % 2 == 0, "pair").otherwise("batch")
+    config = F.concat(F.lit('{"candidates": {"pool_size": '), (10 * (1 + n % 3)).cast("string"), F.lit('}, "judge": {"host": "h'), n.cast("string"), F.lit('", "mode": "'), mode, F.lit('"}}'))
+    history = nation.select(n.alias("run_id"), config.alias("config"), F.when(n % 4 == 0, "failed").otherwise("done").alias("status"))
+    return runs.sweep_status(history, {}, {"candidates.pool_size": [10, 20, 40], "judge.mode": ["pair", "batch", "extract"]}).select("setting", "run_id")
 
 
-@add("ON03_resolved", "region", "SELECT 'latest' AS version, 4 AS resolved UNION ALL SELECT 'v2', 2 UNION ALL SELECT 'v3', NULL")
-def _(region):
-    def of(version: str) -> int | None:
-        try:
-            return ontology.resolve(version, [1, 2, 4])
-        except ValueError:
-            return None
+@add("FN26_stable_hash", "part", """SELECT p_partkey, substr(sha256('{"a":' || p_partkey || ',"b":"' || p_partkey % 3 || '"}'), 1, 12) AS hash FROM {part}""")
+def _(part):
+    """Of each part's settings, whatever the order and blanks of their JSON."""
+    value = F.concat(F.lit('{"b": "'), _s("p_partkey", 3), F.lit('",  "a": '), F.col("p_partkey").cast("string"), F.lit("}"))
+    return part.select("p_partkey", runs.stable_hashes(value).alias("hash"))
+
 
-    return region.sparkSession.createDataFrame([(v, of(v)) for v in ("latest", "v2", "v3")], "version string, resolved int")
+@add(
+    "ON03_resolved",
+    "part region",
+    """WITH q AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'latest' WHEN 1 THEN 'v' || p_partkey % 8 ELSE 'x' || p_partkey END AS version FROM {part})
+    SELECT p_partkey, version, CAST(CASE WHEN version = 'latest' THEN (SELECT max(r_regionkey) FROM {region}) WHEN version LIKE 'v%' THEN r_regionkey END AS INT) AS resolved FROM q LEFT JOIN {region} ON version = 'v' || r_regionkey""",
+)
+def _(part, region):
+    """Versions that parts ask for, of the snapshots there are; others are refused."""
+    k = F.col("p_partkey")
+    version = F.when(k % 3 == 0, "latest").when(k % 3 == 1, F.concat(F.lit("v"), _s("p_partkey", 8))).otherwise(F.concat(F.lit("x"), k.cast("string")))
+    return ontology.resolved(part.select("p_partkey", version.alias("version")), region.select(F.col("r_regionkey").cast("int").alias("version")))
 
 
 @add("TOP06_labelling_queue", "verdicts pool labels_all")
@@ -581,3 +591,61 @@ def _(events):
 def _(documents):
     rows = documents.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "timeout").alias("error"), F.when(F.col("doc_id") % 4 == 0, "too_thin").alias("reason"))
     return fetching.outcome(rows).select("doc_id", "outcome")
+
+
+_SLOTS = "SELECT unnest(generate_series((SELECT min(t) FROM s), (SELECT max(t) FROM s), INTERVAL 15 MINUTES)) AS t"
+
+
+@add(
+    "SRC06_slice_source",
+    "events",
+    f"""WITH s AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS t, count(*) AS n, sum(event_id) AS ids FROM {{events}} GROUP BY 1)
+    SELECT strftime(a.t, '%Y%m%d%H%M%S') AS slice_key, CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status, coalesce(n, 0) AS rows, CAST(coalesce(ids, 0) AS BIGINT) AS ids FROM ({_SLOTS}) a LEFT JOIN s ON a.t = s.t""",
+)
+def _(events):
+    """Each quarter hour's events as a zipped slice of a feed, read back by the source; quarters without events aren't published."""
+    spark = events.sparkSession
+    base = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    fields = [F.lit("")] * 61
+    fields[0], fields[60] = F.col("event_id").cast("string"), F.lit("http://x.example/")
+    system, path = fetching.file_system(base)
+    system.create_dir(path, recursive=True)
+    lines = events.select(feed_time.floor_stamp(F.col("ts")).alias("slice_key"), F.concat_ws("\t", *fields).alias("line"))
+    ends = slices.write_slices(lines, base, "export").agg(F.min("slice_key").alias("first"), F.max("slice_key").alias("last")).first()
+    fetching.Note(f"{base}/{slices.LISTING}").write(f"1 0 http://x.example/{ends['last']}.{slices.FILES['export']}")
+    rows = spark.read.format(slices.registered(spark)).options(base=base, feed="export", start=ends["first"]).load()
+    named = slices.lines(rows).select("slice_key", F.get(F.split("line", "\t"), F.lit(0)).cast("long").alias("event_id")).groupBy("slice_key").agg(F.sum("event_id").alias("ids"))
+    return slices.states(rows).join(named, "slice_key", "left").select("slice_key", "status", "rows", F.coalesce("ids", F.lit(0)).alias("ids"))
+
+
+@add(
+    "ST05_keyed_batches",
+    "events",
+    "SELECT user_id, min(event_id) % 4 AS batch, count(*) OVER () AS users FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 4, event_id) AS n FROM {events}) e WHERE n = 1 GROUP BY user_id",
+)
+def _(events):
+    """Users seen first in one of four batches, each of which is replayed once."""
+    table = KeyedTable(events.sparkSession, f"{shared_folder(events.sparkSession)}/keyed-{uuid.uuid4().hex}", ["user_id"])
+    for batch in (0, 1, 1, 2, 0, 3):
+        table.insert(events.where(F.col("event_id") % 4 == batch).select("user_id", F.lit(batch).cast("long").alias("batch")), f"b{batch}")
+    rows = table.read()
+    return rows.crossJoin(rows.agg(F.count("*").alias("users")))
+
+
+@add("JN27_compared_share", "embeddings")
+def _(embeddings):
+    """How many pairs of vectors the similarity join at 0.92 compares in full; tests hold its pairs against all pairs."""
+    return ranking.near_pairs(embeddings.select(F.col("vec_id").alias("concept_id"), F.col("embedding").alias("vector")), 0.92, counts=True)
+
+
+@add(
+    "DD01_batches",
+    "documents",
+)
+def _(documents):
+    """Near copies of the documents taken in by three batches; tests hold the grouping against the rule in plain Python."""
+    spark = documents.sparkSession
+    index = minhash.CopyIndex(spark, f"{shared_folder(spark)}/copies-{uuid.uuid4().hex}")
+    for batch in range(3):
+        state = index.add(documents.where(F.col("doc_id") % 3 == batch).select(F.col("doc_id").alias("document_id"), F.col("text").alias("body")), f"b{batch}")
+    return state.select("document_id", "duplicate_of")

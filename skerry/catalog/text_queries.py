@@ -12,7 +12,11 @@ catalog = Catalog()
 add = catalog.add
 
 _LINK = r"\[[^\]]*\]\([^)]*\)"
-_DEAD = gate.DEAD_PAGE.removeprefix("(?i)").replace("'", "''")
+#: As the rule is written, apart from the operator's own pattern.
+_DEAD = (
+    "page not found|page (cannot|could not|can''t) be found|page has (been )?moved|looking for (cannot|could not|can''t) be found|\\b404\\b[^\\n]{0,80}\\berror|\\berror\\s*(code\\s*)?404\\b|access denied"
+    "|are you a (human|robot)|verify (that )?you are|(enable|turn on) javascript|subscribe (now )?to (read|continue)|(not available|unavailable) in your (country|region|location)"
+)
 
 
 @add(

@@ -49,6 +49,16 @@ def live_version(snapshots: DataFrame, concepts: DataFrame) -> DataFrame:
     return snapshot_hash(concepts).join(snapshots, "content_hash", "left").agg(F.max("version").alias("version"))
 
 
+def resolved(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``requests`` with ``resolved``: the number that ``version`` (``latest`` or ``vN``) stands for, null where it is refused (ON03)."""
+    # one row
+    newest = F.broadcast(snapshots.agg(F.max("version").alias("_newest")))
+    known = snapshots.select(F.col("version").alias("_known")).distinct()
+    asked = requests.withColumn("_asked", F.when(F.col("version").rlike("^v[0-9]+$"), F.expr("try_cast(substring(version, 2) AS int)")))
+    found = asked.join(known, F.col("_asked") == F.col("_known"), "left").crossJoin(newest)
+    return found.select(*requests.columns, F.when(F.col("version") == "latest", F.col("_newest")).otherwise(F.col("_known")).alias("resolved"))
+
+
 def resolve(version: str, known: list[int]) -> int:
     """``latest`` or ``vN`` as a number; others are refused (ON03)."""
     if version == "latest" and known:

@@ -8,13 +8,19 @@ import itertools
 import json
 from typing import Any
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.plans.shipping import ship
+
 #: Settings that say where something runs, not what it computes; never part of a key (RN02).
 INFRA = frozenset({"host", "url", "timeout", "retries", "workers", "batch_size", "api_key"})
 
 STAGES = ("candidates", "retrieval", "judge")
+#: How a judge may be asked; ``judging.MODES`` has what each does.
+MODES = ("pair", "batch", "hierarchical", "extract")
 
 
 def stable_hash(value: Any, size: int = 12) -> str:
@@ -44,6 +50,8 @@ def normalised(config: dict) -> dict:
         raise ValueError("samples and pool_size have to be 1 or more")
     if merged["judge"]["vote"] not in ("majority", "unanimous", "any"):
         raise ValueError(f"unknown vote {merged['judge']['vote']!r}")
+    if merged["judge"]["mode"] not in MODES:
+        raise ValueError(f"unknown mode {merged['judge']['mode']!r}; one of {MODES}")
     return merged
 
 
@@ -77,6 +85,54 @@ def sweep(base: dict, axes: dict[str, list]) -> list[dict]:
     return out
 
 
+def stable_hashes(value: Column, size: int = 12) -> Column:
+    """``stable_hash`` of each row's JSON (FN26); null where it is none."""
+
+    @F.pandas_udf("string")
+    def hashed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return None if text is None else stable_hash(json.loads(text), size)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return hashed(value)
+
+
+def judge_keys(config: Column) -> Column:
+    """The judge's key of each row's configuration in JSON, null where it is none (RN01)."""
+
+    @F.pandas_udf("string")
+    def keyed(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                return stage_keys(json.loads(text))["judge"] if text else None
+            except (ValueError, TypeError):
+                return None
+
+        return texts.map(one)
+
+    return keyed(config)
+
+
+def sweep_status(history: DataFrame, base: dict, axes: dict[str, list]) -> DataFrame:
+    """(setting, candidates_key, run_id): each run of a sweep with the first run of the history that did it, null if it is to be done (RN05).
+
+    ``history``: run_id, config (JSON), status; a run counts if its status is ``done``, whatever it ran on.
+    """
+    ship(history.sparkSession)
+    rows = []
+    for values, config in zip(itertools.product(*axes.values()), sweep(base, axes), strict=True):
+        keys = stage_keys(config)
+        rows.append(("/".join(map(str, values)), keys["candidates"], keys["judge"]))
+    # the product of a sweep's settings is as many runs as someone pays for
+    planned = F.broadcast(history.sparkSession.createDataFrame(rows, "setting string, candidates_key string, judge_key string"))
+    done = history.where("status = 'done'").select("run_id", judge_keys(F.col("config")).alias("judge_key")).groupBy("judge_key").agg(F.min("run_id").alias("run_id"))
+    return planned.join(done, "judge_key", "left").select("setting", "candidates_key", "run_id")
+
+
 def source_chain(run: int, sources: dict[int, int | None]) -> list[int]:
     """A run and the runs it took its results from, stopping at a cycle (OT10)."""
     out: list[int] = []

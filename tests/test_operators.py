@@ -337,3 +337,12 @@ def test_prompts_leave_out_what_is_null(spark):
     assert out[0].startswith("Title: T\nArticle: abcde...\n\nClass: Strike\nDoesn't count if: threats\n\n")
     assert out[1].startswith("Class: Strike") and "\n- Strike: Strike\n" in out[2]
     assert "Number 1\nQuestion: Strike" in out[3] and "Number 1\nClass: Strike" in out[4]
+
+
+def test_gate_knows_blanks_of_all_scripts(spark):
+    from skerry.functions import gate
+
+    pages = ["   　\n", "", None, "  x", ("Wort " * 60), "a b c"]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, body string")
+    got = {r.i: r.reason for r in rows.select("i", gate.junk_reason(F.col("body")).alias("reason")).collect()}
+    assert got == {0: "empty", 1: "empty", 2: "empty", 3: "too_thin", 4: None, 5: "too_thin"}
