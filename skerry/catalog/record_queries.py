@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.catalog.matching_queries import _SCORED as _RANKED_LEAVES
+from skerry.catalog.matching_queries import _vectors
 from skerry.catalog.roles import Catalog
 from skerry.functions import feed_time, replies
 from skerry.operators import bank, components, minhash, ontology, ranking, records, reports, strategies
@@ -276,13 +278,34 @@ def _(verdicts):
     return records.judged_runs(verdicts)
 
 
-@add("OT32_both_cutoffs", "pool truth")
+def _cutoff_sql(name: str, scored: str, truth: str, least: float, margin: float, most: int) -> str:
+    """One cutoff's report: AGG41's, for a pool and labels in SQL."""
+    return f"""SELECT s.*, h.*, '{name}' AS cutoff FROM (
+      SELECT CAST(sum(kept) AS BIGINT) AS pairs, round(avg(kept), 6) AS per_document, count_if(kept = 0) AS documents_with_none, count(*) AS documents
+      FROM (SELECT document_id, count_if(kept) AS kept FROM (SELECT *, score >= greatest({least}, max(score) OVER (PARTITION BY document_id) - {margin}) AND rank <= {most} AS kept FROM {scored}) k GROUP BY document_id) d) s,
+      (SELECT count(*) AS positives, count(k.kept) AS in_pool, count_if(k.kept) AS kept_positives FROM {truth} t
+       LEFT JOIN (SELECT *, score >= greatest({least}, max(score) OVER (PARTITION BY document_id) - {margin}) AND rank <= {most} AS kept FROM {scored}) k USING (document_id, concept_id) WHERE t.matched) h"""
+
+
+@add("OT32_both_cutoffs", "pool truth", _cutoff_sql("asked", "{pool}", "{truth}", 0.3, 0.2, 3) + " UNION ALL " + _cutoff_sql("own", "{pool}", "{truth}", 0.25, 0.1, 15))
 def _(pool, truth):
-    """Each report is AGG41's, which has SQL of its own."""
     scored = pool.select(*PAIR, "score", "rank")
     return records.both_cutoffs(scored, truth, {"min_score": 0.3, "margin": 0.2, "max_k": 3}, {"min_score": 0.25, "margin": 0.1, "max_k": 15})
 
 
+@add(
+    "AGG42_live_cutoffs",
+    "embeddings",
+    _RANKED_LEAVES + ", p AS (SELECT document_id, concept_id, score, rank FROM r WHERE rank <= 8), t AS (SELECT vec_id AS document_id, label AS concept_id, vec_id % 3 <> 0 AS matched FROM {embeddings}) "
+    + _cutoff_sql("asked", "p", "t", 0.0, 0.2, 3) + " UNION ALL " + _cutoff_sql("own", "p", "t", 0.1, 0.1, 5),
+)
+def _(embeddings):
+    """Vectors ranked against the live leaves, and two cutoffs of that one pool; the labels are the vectors' own."""
+    documents, leaves = _vectors(embeddings)
+    truth = embeddings.select(F.col("vec_id").alias("document_id"), F.col("label").alias("concept_id"), (F.col("vec_id") % 3 != 0).alias("matched"))
+    return records.live_cutoffs(documents.drop("own"), leaves, truth, {"min_score": 0.0, "margin": 0.2, "max_k": 3}, {"min_score": 0.1, "margin": 0.1, "max_k": 5}, 8)
+
+
 @add("OT19_proposable_texts", "articles", "SELECT code, lower(code) AS text FROM (SELECT unnest(themes) AS code FROM {articles}) t GROUP BY code HAVING count(*) >= 20 AND code NOT LIKE 'TAX%'")
 def _(articles):
     codes = articles.select(F.explode("themes").alias("code")).groupBy("code").agg(F.count("*").alias("uses"))

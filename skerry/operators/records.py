@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.operators import ranking
 from skerry.operators.metrics import PAIR
+from skerry.plans.cuts import cut
 
 
 def with_text_key(rows: DataFrame, fields: str, key: str = "text_key") -> DataFrame:
@@ -101,6 +102,11 @@ def both_cutoffs(pool: DataFrame, truth: DataFrame, asked: dict, own: dict) -> D
     return first.unionByName(report(own).withColumn("cutoff", F.lit("own")))
 
 
+def live_cutoffs(documents: DataFrame, leaves: DataFrame, truth: DataFrame, asked: dict, own: dict, size: int = 20) -> DataFrame:
+    """Both cutoffs of the live version: documents and leaves (with their vectors) are ranked here, once (AGG42, OT32)."""
+    return both_cutoffs(cut(ranking.pool(documents, leaves, size)), truth, asked, own)
+
+
 def proposable_texts(codes: DataFrame, readable: Column, uses: Column, least: int = 10_000) -> DataFrame:
     """(code, text) of themes that may be proposed: no taxonomy terms, used often enough (OT19, FLT17)."""
     return codes.where(~F.col("code").startswith("TAX_") & (uses >= least)).select("code", readable.alias("text"))
