@@ -161,10 +161,7 @@ def _(calendar, coded, articles):
     return seen.groupBy("entry_id", "rep").agg(F.min("first_seen").cast("string").alias("first_seen"))
 
 
-@add(
-    "BK06_label_queue",
-    "verdicts pool labels_all",
-    """WITH v AS (SELECT * FROM {verdicts} WHERE error IS NULL AND matched IS NOT NULL),
+_QUEUE = """WITH v AS (SELECT * FROM {verdicts} WHERE error IS NULL AND matched IS NOT NULL),
     u AS (SELECT run_id FROM {verdicts} WHERE confidence IS NOT NULL AND error IS NULL GROUP BY run_id HAVING count(*) >= 20 AND stddev_pop(confidence) >= 0.05
       AND avg(CASE WHEN confidence > 0.15 AND confidence < 0.85 THEN 1E0 ELSE 0E0 END) >= 0.05),
     j AS (SELECT document_id, concept_id, count(*) AS judged, count(DISTINCT matched) > 1 AS split, avg(CASE WHEN run_id IN (SELECT run_id FROM u) THEN confidence END) AS mean FROM v GROUP BY document_id, concept_id),
@@ -173,7 +170,13 @@ def _(calendar, coded, articles):
     q AS (SELECT p.*, 1E0 / (1 + coalesce(labels, 0)) AS cov, coalesce(greatest(0E0, 1 - 2 * abs(mean - 0.5E0)), 0E0) AS doubt FROM p LEFT JOIN h USING (concept_id)
       WHERE (document_id, concept_id) NOT IN (SELECT (document_id, concept_id) FROM {labels_all}))
     SELECT document_id, concept_id, round(CASE WHEN split THEN 1 + doubt WHEN judged IS NULL THEN 0.5E0 + 0.3E0 * cov WHEN doubt > 0 THEN 0.4E0 * doubt + 0.2E0 * cov ELSE 0.1E0 * cov END + 1E-9, 6) AS priority,
-      CASE WHEN split THEN 'runs disagree' WHEN judged IS NULL THEN 'never judged' WHEN doubt > 0 THEN 'model uncertain' ELSE 'coverage' END AS reason FROM q""",
+      CASE WHEN split THEN 'runs disagree' WHEN judged IS NULL THEN 'never judged' WHEN doubt > 0 THEN 'model uncertain' ELSE 'coverage' END AS reason FROM q"""
+
+
+@add(
+    "BK06_label_queue",
+    "verdicts pool labels_all",
+    _QUEUE,
 )
 def _(verdicts, pool, labels):
     usable = M.usable_confidence(verdicts).where("usable").select("run_id")

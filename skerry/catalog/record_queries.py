@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.catalog.calendar_queries import _QUEUE
 from skerry.catalog.matching_queries import _SCORED as _RANKED_LEAVES
 from skerry.catalog.matching_queries import _vectors
 from skerry.catalog.roles import Catalog
@@ -554,9 +555,9 @@ def _(part, region):
     return ontology.resolved(part.select("p_partkey", version.alias("version")), region.select(F.col("r_regionkey").cast("int").alias("version")))
 
 
-@add("TOP06_labelling_queue", "verdicts pool labels_all")
+@add("TOP06_labelling_queue", "verdicts pool labels_all", f"{_QUEUE} ORDER BY priority DESC, document_id, concept_id LIMIT 100")
 def _(verdicts, pool, labels):
-    """The first hundred of BK06's queue, which has SQL of its own."""
+    """The first hundred of BK06's queue; the limit is the feature."""
     ready = M.usable_confidence(verdicts).where("usable").select("run_id")
     return records.pair_priorities(S.queue(verdicts, pool.where("selected"), labels, ready), 100).select(*PAIR, "priority", "reason")
 
