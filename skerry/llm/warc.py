@@ -38,6 +38,7 @@ from pyspark.taskcontext import TaskContext
 
 from skerry.plans.cuts import cut, shared_folder
 from skerry.plans.shipping import ship
+from skerry.plans.skew import looked_up
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
@@ -81,7 +82,8 @@ def decided(pages: DataFrame) -> DataFrame:
     alike = (
         rows.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     )
-    joined = rows.join(alike.drop("n"), "digest", "left")
+    # the pages of a digest that many share don't meet in one task with their payloads
+    joined = looked_up(rows, cut(alike), ("digest",), "n", F.xxhash64("page_id"))
     return joined.select("page_id", "url", "payload", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
