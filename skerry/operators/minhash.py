@@ -73,10 +73,14 @@ def signatures(documents: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            sets = [text_shingles(t.as_py()) for t in batch.column(1)]
-            values = [signature(s).astype(np.int32).tolist() for s in sets]
+            texts = batch.column(1).to_pylist()
+            signed: dict[str | None, tuple[int, list[int]]] = {}  # equal texts of a batch are signed once
+            for text in texts:
+                if text not in signed:
+                    runs = text_shingles(text)
+                    signed[text] = len(runs), signature(runs).astype(np.int32).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(values, pa.list_(pa.int32()))], names=["document_id", "shingles", "signature"]
+                [batch.column(0), pa.array([signed[t][0] for t in texts], pa.int32()), pa.array([signed[t][1] for t in texts], pa.list_(pa.int32()))], names=["document_id", "shingles", "signature"]
             )
 
     return documents.select("document_id", "body").mapInArrow(run, "document_id long, shingles int, signature array<int>")
