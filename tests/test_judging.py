@@ -248,3 +248,37 @@ def test_batches_record_failures_on_every_pair(spark, classes):
     assert {got[d, c] for d, c in got if d == 3} == {(None, "no body")}
     with pytest.raises(ValueError, match="unknown mode"):
         judging.judged("route", pairs, articles, concepts, done, Scripted({}))
+
+
+def test_leaves_are_ranked_for_each_event(spark, classes):
+    """Allowed are the leaves reached and those under the parents answered yes; the nearest two of them are kept."""
+    from skerry.operators import strategies
+
+    _, edges = classes
+    hashes = providers.HashEmbedder()
+    whats = {(0, 0): "fire", (0, 1): "flood", (1, 0): "storm"}
+    events = spark.createDataFrame([(d, o, w) for (d, o), w in whats.items()], "document_id long, ordinal int, what string").select("document_id", "ordinal", F.struct("what").alias("event"))
+    passed = spark.createDataFrame([(0, 0, 100, True), (0, 0, 200, False), (0, 1, 200, True), (1, 0, 100, False)], "document_id long, ordinal int, concept_id int, matched boolean")
+    reached = spark.createDataFrame([(0, 1, 1)], "document_id long, ordinal int, concept_id int")
+    vectors = {i: [float(x) for x in hashes.embed([f"n{i}"])[0]] for i in (1, 2, 3, 4)}
+    leaves = spark.createDataFrame(list(vectors.items()), "concept_id int, leaf_vector array<float>")
+    got = {}
+    for r in strategies.ranked_events(events, passed, reached, edges, leaves, hashes, k=2).collect():
+        got.setdefault((r.document_id, r.ordinal), set()).add(r.concept_id)
+    allowed = {(0, 0): (1, 2, 3), (0, 1): (1, 3, 4)}
+
+    def near(key):
+        own = hashes.embed([whats[key]])[0]
+        return set(sorted(allowed[key], key=lambda c: -sum(a * b for a, b in zip(own, vectors[c], strict=True)))[:2])
+
+    assert got == {key: near(key) for key in allowed}
+
+
+def test_stand_in_vectors(spark):
+    from skerry import catalog
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(70)], "item_id long, text string")
+    got = {r.item_id: r.vector for r in providers.embedded(rows, providers.HashEmbedder(), patience=QUICK).collect()}
+    want = providers.HashEmbedder().embed([f"text {i}" for i in range(70)])
+    assert all(abs(a - b) < 1e-6 for i in range(70) for a, b in zip(got[i], want[i], strict=True))
+    assert "SRC31_embedded" in catalog.queries()
