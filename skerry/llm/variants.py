@@ -10,7 +10,9 @@ meet, those whose masks differ in more than two bits go at once, the edit distan
 rest.  Pairs that agree in several bands or halves are taken in the first one.
 
 A band's value with a large part of all words is split: its shorter words are dealt
-to several tasks, its others go to each of these.  A word's form is its near word of the
+to several tasks, its others go to each of these.  Joins of words with words ask for a
+sort-merge join: Spark's estimate comes from compressed files and knows nothing of a word's many
+entries, so it would take large tables for small ones and broadcast them.  A word's form is its near word of the
 largest count, if that count is large enough; forms are followed to the last one, the root.
 
 Null texts have no words; null ids count as empty ones.  Repeated rows count each time,
@@ -103,14 +105,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     heads = F.substring("a_word", F.lit(1), head) == F.substring("b_word", F.lit(1), head)
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*key, "part")]
     alike = [F.bit_count(apart) <= 2, ordered, *earlier, (F.col("l.half") == 0) == heads, F.levenshtein("a_word", "b_word", 1) == 1]
-    return left.alias("l").join(right.alias("r"), reduce(Column.__and__, same + alike)).select(F.col("a_word").alias("a"), F.col("a_n"), F.col("b_word").alias("b"), F.col("b_n"))
+    return left.alias("l").join(right.alias("r").hint("merge"), reduce(Column.__and__, same + alike)).select(F.col("a_word").alias("a"), F.col("a_n"), F.col("b_word").alias("b"), F.col("b_n"))
 
 
 def with_forms(words: DataFrame, pairs: DataFrame, ratio: int) -> DataFrame:
     """(word, n, n_near, form, form_n): the form is the near word of largest n, ties to the first one, if it has ``ratio`` times the word's n."""
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")).union(pairs.select("b", "a", "a_n"))
     best = both.groupBy("word").agg(F.count("*").alias("near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     enough = -F.col("best.m") >= ratio * F.col("n")
     return found.select(
         "word", "n", F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
@@ -127,9 +129,9 @@ def with_roots(forms: DataFrame) -> DataFrame:
     moved = True
     while moved:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        at = cut(at.join(further, "root").select("word", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        at = cut(at.join(further.hint("merge"), "root").select("word", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
         moved = not at.where("moved").isEmpty()
-    return forms.join(at.select("word", "root"), "word")
+    return forms.join(at.select("word", "root").hint("merge"), "word")
 
 
 def spelling_variants(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 5, least_count: int = 3, ratio: int = 2) -> DataFrame:

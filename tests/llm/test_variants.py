@@ -99,6 +99,24 @@ def test_a_band_that_most_words_share_is_split(spark, monkeypatch):
     assert got == want and variants.near_pairs(table).count() == len(want)
 
 
+def test_words_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """However small Spark takes their files to be; the values that are split may be."""
+    plans, cut = [], variants.cut
+
+    def ran(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(variants, "cut", lambda df: cut(ran(df)))
+    monkeypatch.setattr(variants, "SPLIT", 10**6)
+    docs = queries.table(spark, sf_dir, "documents").limit(50)
+    assert ran(variants.spelling_variants(docs)).count() > 0
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in line for line in joins)
+    assert not [x for x in joins if "Broadcast" in x and not ("band#" in x and "LeftOuter" in x)]
+
+
 def test_masks_differ_in_two_bits_at_most(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
