@@ -61,6 +61,8 @@ PAIR_LIMIT = 32
 CLASS_RATIO = 1.3
 SKETCH_BITS = 20
 SKETCH_RUN = 1 << 20
+#: One text in so many counts for tokens that are too rare to recur within a run; they have to be in so many of these texts.
+SKETCH_SHARE, SKETCH_LEAST = 32, 3
 #: Rows whose texts are hashed together.
 SLICE = 128
 #: Cells in which keys are counted to find those that many share.
@@ -76,12 +78,25 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How often tokens recur, by cell: a table of 2 ** SKETCH_BITS counts over all documents.
 
-    Within runs of SKETCH_RUN tokens, what recurs at least three times is counted.
+    Within runs of SKETCH_RUN tokens, what recurs at least three times is counted.  In a
+    large corpus this misses tokens of hundreds of documents, which would put all of these
+    together; so the tokens of one text in SKETCH_SHARE are counted over all runs.  The
+    sketch serves the order of tokens alone, which no result depends on.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         held: list[np.ndarray] = []
+        sampled: list[np.ndarray] = []
+
+        def rows_of(cells: np.ndarray, tokens: np.ndarray | None, times: np.ndarray) -> pa.RecordBatch:
+            known = pa.nulls(len(cells), pa.int64()) if tokens is None else pa.array(tokens.astype(np.int64))
+            return pa.RecordBatch.from_arrays([known, pa.array(cells), pa.array(times.astype(np.int64))], names=["token", "cell", "n"])
+
+        def counted() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sampled]), return_counts=True)
+            sampled.clear()
+            return rows_of(_cells(tokens), tokens, times)
 
         def note() -> None:
             if held:
@@ -90,7 +105,7 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 np.add.at(counts, _cells(tokens[often]), times[often])
                 held.clear()
 
-        size = 0
+        size = drawn = 0
         for batch in rows:
             for begin in range(0, batch.num_rows, SLICE):
                 for tokens in shingles.shingle_sets(batch.column(0).slice(begin, SLICE).to_pylist(), width):
@@ -99,11 +114,22 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
                     if size > SKETCH_RUN:
                         note()
                         size = 0
+                    # by its set, so that equal sets are drawn together
+                    if shingles.mixed(tokens.sum(keepdims=True, dtype=np.uint64))[0] % np.uint64(SKETCH_SHARE) == 0:
+                        sampled.append(tokens)
+                        drawn += len(tokens)
+                        if drawn > SKETCH_RUN // 4:
+                            yield counted()
+                            drawn = 0
         note()
+        yield counted()
         found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["cell", "n"])
+        yield rows_of(found, None, counts[found])
 
-    cells = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    known = docs.select(text).mapInArrow(run, "token long, cell long, n long").groupBy("token", "cell").agg(F.sum("n").alias("n"))
+    enough = known.where(F.col("token").isNull() | (F.col("n") >= SKETCH_LEAST))
+    whole = F.when(F.col("token").isNull(), F.col("n")).otherwise(F.col("n") * SKETCH_SHARE)
+    cells = enough.groupBy("cell").agg(F.sum(whole).alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     sketch[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), 2**32 - 1)
     return sketch
@@ -321,8 +347,11 @@ def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         return links
 
     # matrix: for each difference token that several members have, the subgroups whose union has it
-    shared = Counter(t for d in differences for t in d.tolist())
-    overlapping = [[t for t in d.tolist() if shared[t] > 1] for d in differences]
+    # tokens of one member alone, most of them where members are unlike, never become Python objects
+    tokens, holders = np.unique(np.concatenate(differences), return_counts=True)
+    tokens, holders = tokens[holders > 1], holders[holders > 1]
+    shared = dict(zip(tokens.tolist(), holders.tolist(), strict=True))
+    overlapping = [d[np.searchsorted(tokens, d, "right") > np.searchsorted(tokens, d)].tolist() for d in differences]
     members: dict[int, list[int]] = defaultdict(list)
     for i, found in enumerate(overlapping):
         if found:
@@ -388,7 +417,8 @@ def _links_in_groups(docs: DataFrame, members: DataFrame, key: str, text: str, w
 
     spark_kind = docs.schema[key].dataType.simpleString()
     kind = pa.int32() if spark_kind == "int" else pa.string() if spark_kind == "string" else pa.int64()
-    texts = likely(docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")), members, "doc").join(tasks, "doc")
+    # Spark doesn't know how many blocks a row is sent to, so it might take the tasks for a small table
+    texts = likely(docs.select(F.col(key).alias("doc"), F.col(text).alias("_text")), members, "doc").join(tasks.hint("merge"), "doc")
     return (
         texts.repartition("task")
         .sortWithinPartitions("task")

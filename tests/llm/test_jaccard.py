@@ -94,6 +94,26 @@ def test_group_links_span_the_components():
                     assert find(i) == find(j)
 
 
+def test_tokens_too_rare_for_a_run_do_not_put_documents_together(spark, monkeypatch):
+    """A token of 200 documents, of which no run of tokens holds three, comes after each document's own."""
+    monkeypatch.setattr(jaccard, "SKETCH_RUN", 400)
+    monkeypatch.setattr(jaccard, "SKETCH_SHARE", 4)
+    rng = random.Random(9)
+    rows = [(i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(250)] + [f"c{k}" for k in range(5)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    common = shingles.shingle_set("c0 c1 c2 c3 c4", 5)
+    sketch = jaccard.frequency_sketch(docs, "text", 5)
+    assert sketch[jaccard._cells(common)][0] >= jaccard.SKETCH_LEAST * 4
+    for _, text in rows:
+        tokens = shingles.shingle_set(text, 5)
+        assert common[0] in tokens
+        c = len(tokens).bit_length()
+        assert not set((shingles.mixed(common + jaccard.np.uint64(c))).tolist()) & set(jaccard.rarest_keys(tokens, 80, sketch).tolist())
+    monkeypatch.setattr(jaccard, "PAIR_LIMIT", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width=5, percent=80).collect()}
+    assert got == brute(rows, 5, 80)
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = spark.createDataFrame([(5, text, 1), (3, text, 2), (9, text + " more", 3), (4, "other words of its own here", 4), (None, text, 5), (7, None, 6)], "doc_id long, text string, n long")
