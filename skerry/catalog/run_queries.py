@@ -241,11 +241,14 @@ def _(shown, verdicts):
 
 @add("OT13_calendar_preview", "calendar coded", "SELECT c.entry_id, count(DISTINCT e.document_id) AS in_feed, count(DISTINCT CASE WHEN e.root_code < '11' THEN e.document_id END) AS passing FROM {calendar} c LEFT JOIN {coded} e ON e.place_id = c.place_id AND CAST(e.occurred_at AS DATE) BETWEEN c.starts_on - 3 AND c.starts_on + 3 GROUP BY c.entry_id")
 def _(calendar, coded):
-    from skerry.operators.calendars import entry_days
+    from skerry.operators.calendars import entry_days, shared_windows
 
+    members, windows = shared_windows(calendar)
     daily = coded.groupBy("place_id", F.to_date("occurred_at").alias("day"), "document_id").agg(F.bool_or(F.col("root_code") < "11").alias("passes"))
-    met = entry_days(calendar, 3, 3).join(daily, ["place_id", "day"], "left")
-    return met.groupBy("entry_id").agg(F.countDistinct("document_id").alias("in_feed"), F.countDistinct(F.when(F.col("passes"), F.col("document_id"))).alias("passing"))
+    met = daily.join(entry_days(windows, 3, 3, "window"), ["place_id", "day"]).groupBy("window", "document_id").agg(F.bool_or("passes").alias("passes"))
+    counts = met.groupBy("window").agg(F.count("document_id").alias("in_feed"), F.count(F.when(F.col("passes"), F.col("document_id"))).alias("passing"))
+    # an entry without any has a row as well
+    return members.join(counts, "window", "left").select("entry_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("in_feed", "passing")))
 
 
 @add("OT20_documents_per_run", "shown", "SELECT run_id, count(DISTINCT document_id) AS documents FROM {shown} GROUP BY run_id")

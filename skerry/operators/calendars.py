@@ -1,7 +1,8 @@
 """Known events with windows, followed from the feed to a match.
 
 Windows are whole days; a feed record meets an entry on (place, day), an equi-join
-that Spark partitions by key, and no range condition is left over.
+that Spark partitions by key, and no range condition is left over.  Entries with equal windows
+share one: what it holds is worked out once, and where a result is by entry, entries meet it last.
 """
 
 from __future__ import annotations
@@ -15,23 +16,47 @@ STAGES = ["in_feed", "passed_filter", "fetched", "retrieved", "judged", "matched
 SLICES_PER_DAY = 96
 
 
-def entry_days(calendar: DataFrame, before: int, after: int) -> DataFrame:
-    """(entry_id, place_id, day) for each day of each window, from ``before`` days ahead of the start to ``after`` behind it."""
+def entry_days(calendar: DataFrame, before: int, after: int, key: str = "entry_id") -> DataFrame:
+    """(key, place_id, day) for each day of each window, from ``before`` days ahead of the start to ``after`` behind it."""
     days = F.sequence(F.date_sub("starts_on", before), F.date_add("starts_on", after))
-    return calendar.select("entry_id", "place_id", F.explode(days).alias("day"))
+    return calendar.select(key, "place_id", F.explode(days).alias("day"))
 
 
-def window_documents(calendar: DataFrame, events: DataFrame, articles: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
-    """(entry_id, document_id, first_seen): documents of either feed at the place within the window (JN05, SET03).
+def shared_windows(calendar: DataFrame, by: tuple[str, ...] = ("entry_id",)) -> tuple[DataFrame, DataFrame]:
+    """(members, windows) of a calendar: ``members`` has ``by`` once each with its window, ``windows`` the places and first days of each window.
 
-    Sightings are first made one for each (place, day, document): the join meets
-    counts of documents, not of records.
+    Entries with equal places and first days have the same window, so there are no more
+    windows than places times days unless entries have several rows.  Rows
+    without a place or a day hold nothing.
     """
+    dated = F.col("place_id").isNotNull() & F.col("starts_on").isNotNull()
+    spans = calendar.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(dated, F.struct("place_id", "starts_on")))).alias("_spans"))
+    # its first member names a window; a struct is never null
+    named = spans.groupBy("_spans").agg(F.min(F.struct(*by)).alias("window"))
+    windows = named.select("window", F.explode("_spans").alias("_s")).select("window", "_s.place_id", "_s.starts_on")
+    return spans.join(named, "_spans").select(*by, "window"), windows
+
+
+def sightings(events: DataFrame, articles: DataFrame) -> DataFrame:
+    """(document_id, place_id, day), once each: where and when either feed tells of a document."""
     coded = events.select("document_id", "place_id", F.to_date("occurred_at").alias("day"))
     told = articles.select("document_id", F.explode("place_ids").alias("place_id"), F.col("published_on").alias("day"))
-    seen = coded.unionByName(told).distinct()
-    met = seen.join(entry_days(calendar, before, after), ["place_id", "day"])
-    return met.groupBy("entry_id", "document_id").agg(F.min("day").alias("first_seen"))
+    return coded.unionByName(told).distinct()
+
+
+def window_sightings(windows: DataFrame, events: DataFrame, articles: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
+    """(window, document_id, first_seen): documents of either feed in each of the ``shared_windows``."""
+    met = sightings(events, articles).join(entry_days(windows, before, after, "window"), ["place_id", "day"])
+    return met.groupBy("window", "document_id").agg(F.min("day").alias("first_seen"))
+
+
+def window_documents(calendar: DataFrame, events: DataFrame, articles: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
+    """(entry_id, document_id, first_seen): documents of either feed at the place within the window (JN05, SET03).
+
+    Nothing is shuffled after entries multiply the documents of their window.
+    """
+    members, windows = shared_windows(calendar)
+    return members.join(window_sightings(windows, events, articles, before, after), "window").select("entry_id", "document_id", "first_seen")
 
 
 def days_to_ingest(calendar: DataFrame, before: int = 3, after: int = 3) -> DataFrame:
