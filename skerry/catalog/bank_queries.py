@@ -64,10 +64,11 @@ def _(truth, verdicts, labels):
     r AS (SELECT entry_id, url, row_number() OVER (PARTITION BY entry_id ORDER BY first_seen, url) AS n FROM m WHERE entry_id % 3 <> 0) SELECT entry_id, url FROM r WHERE n <= 5""")
 def _(calendar, coded):
     """A third of the entries has a confirmed review already."""
-    days = coded.select(F.col("document_id"), "place_id", F.to_date("occurred_at").alias("starts_on"))
-    matches = days.join(calendar, ["place_id", "starts_on"]).select("entry_id", F.concat(F.lit("u"), F.col("document_id").cast("string")).alias("url"), F.col("starts_on").alias("first_seen")).distinct()
+    days = coded.select("place_id", F.to_date("occurred_at").alias("starts_on"), F.concat(F.lit("u"), F.col("document_id").cast("string")).alias("url")).distinct()
+    matches = days.withColumn("first_seen", F.col("starts_on"))
     reviews = calendar.where("entry_id % 3 = 0").select("entry_id", F.lit("other").alias("url"), F.lit(True).alias("confirmed"))
-    return bank.reviews_to_export(matches, reviews).select("entry_id", "url")
+    members = calendar.where("entry_id IS NOT NULL").select("entry_id", "place_id", "starts_on").distinct()
+    return bank.first_reviews_to_export(members, matches, reviews).select("entry_id", "url")
 
 
 @add(

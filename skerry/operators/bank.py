@@ -85,10 +85,28 @@ def reviews_to_export(matches: DataFrame, reviews: DataFrame, most: int = 5) ->
 
     confirmed = reviews.where("confirmed").select("entry_id").distinct()
     open_ = matches.join(confirmed, "entry_id", "left_anti").join(reviews.where("confirmed IS NOT NULL"), ["entry_id", "url"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("entry_id").orderBy("first_seen", "url"))
+    place = F.row_number().over(Window.partitionBy("entry_id").orderBy("first_seen", F.asc_nulls_last("url")))
     return open_.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")
 
 
+def first_reviews_to_export(members: DataFrame, matches: DataFrame, reviews: DataFrame, most: int = 5) -> DataFrame:
+    """``reviews_to_export`` where entries share matches: ``members``: entry_id, key columns; ``matches``: the key columns, url, first_seen.
+
+    Rows of a key differ by url.  An entry with n reviews needs the first most + n matches of each of its keys, so no
+    entry meets all of them.
+    """
+    from pyspark.sql import Window
+
+    key = [c for c in members.columns if c != "entry_id"]
+    reviewed = reviews.where("confirmed IS NOT NULL").groupBy("entry_id").agg(F.countDistinct("url").alias("_reviewed"))
+    open_ = members.join(reviews.where("confirmed").select("entry_id").distinct(), "entry_id", "left_anti").join(reviewed, "entry_id", "left")
+    wanted = open_.select("entry_id", *key, (F.coalesce("_reviewed", F.lit(0)) + most).alias("_most"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("first_seen", F.asc_nulls_last("url")))
+    first = matches.join(wanted.groupBy(*key).agg(F.max("_most").alias("_largest")), key).withColumn("_n", place).where("_n <= _largest").drop("_largest")
+    offered = wanted.join(first, key).where("_n <= _most").select("entry_id", "url", "first_seen").distinct()
+    return reviews_to_export(offered, reviews, most)
+
+
 def import_reviews(reviews: DataFrame, rows: DataFrame) -> DataFrame:
     """Answers written over by (entry, address); blank ones are skipped (SRC20)."""
     return upserted(reviews, rows.where("confirmed IS NOT NULL").select(*reviews.columns), ["entry_id", "url"])

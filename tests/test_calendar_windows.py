@@ -10,7 +10,7 @@ import pytest
 
 from skerry import catalog
 from skerry.catalog import roles
-from skerry.operators import calendars as C
+from skerry.operators import bank
 from tests.compare import duck_rows, spark_rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -78,3 +78,21 @@ def test_preview_counts_documents_once_a_window(spark, odd, crowded, monkeypatch
     calendar, coded = crowded
     shuffled, rows = most_rows(run_on(monkeypatch, spark, "OT13_calendar_preview", calendar=calendar, coded=coded))
     assert rows == 10_000 and shuffled <= 10_000
+
+
+def test_export_ranks_the_matches_of_a_day_once(spark, odd, crowded, monkeypatch):
+    agrees(spark, "SRC20_reviews_to_export", odd)
+    calendar, coded = crowded
+    more = coded.crossJoin(spark.range(20).selectExpr("id * 1000 AS shift")).selectExpr("feed_event_id", "document_id + shift AS document_id", "place_id", "occurred_at")
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, "SRC20_reviews_to_export", calendar=calendar, coded=more))
+    assert rows == 5 * 6_666 and shuffled <= 5 * 10_000
+
+
+def test_export_goes_on_behind_reviewed_matches(spark):
+    matches = spark.createDataFrame([("k", f"u{i:02d}", i) for i in range(20)] + [("l", "u03", 3), ("l", "v", 0)], "key string, url string, first_seen int")
+    members = spark.createDataFrame([(1, "k"), (2, "k"), (2, "l"), (3, "k"), (4, "m")], "entry_id int, key string")
+    reviews = spark.createDataFrame([(1, "u00", False), (1, "u02", False), (1, "gone", False), (2, "u03", False), (2, "u04", None), (3, "u19", True)], "entry_id int, url string, confirmed boolean")
+    got = bank.first_reviews_to_export(members, matches, reviews, 3)
+    plain = bank.reviews_to_export(members.join(matches, "key").drop("key").distinct(), reviews, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) != []
+    assert [(r.entry_id, r.url) for r in got.orderBy("entry_id", "first_seen", "url").collect()] == [(1, "u01"), (1, "u03"), (1, "u04"), (2, "u00"), (2, "v"), (2, "u01")]
