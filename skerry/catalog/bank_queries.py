@@ -134,5 +134,5 @@ def _(truth, verdicts):
     FROM k JOIN w USING (document_id) GROUP BY system, code""",
 )
 def _(calendar, coded, articles, links):
-    seen = C.window_documents(calendar, coded, articles).join(calendar.select("entry_id", "kind"), "entry_id")
-    return reports.code_outcomes(matching.carried_codes(coded, articles, links), seen)
+    members, windows = C.shared_windows(calendar, ("entry_id", "kind"))
+    return reports.code_outcomes(matching.carried_codes(coded, articles, links), members, C.window_sightings(windows, coded, articles))

@@ -96,16 +96,17 @@ def markdown(rows: DataFrame, columns: list[str], most: int = 200) -> str:
     return "\n".join(lines) + "\n"
 
 
-def code_outcomes(carried: DataFrame, calendar_hits: DataFrame) -> DataFrame:
+def code_outcomes(carried: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
     """Calendar entries and documents that each code reaches (AGG12, AGG14).
 
-    ``carried``: document_id, system, code; ``calendar_hits``: entry_id, kind, document_id.
+    ``carried``: document_id, system, code, once each; ``members``: entry_id, kind, window; ``seen``: window,
+    document_id.  Each (entry_id, kind) has one window, so entries are counted by window before codes meet them.
     """
-    met = carried.join(calendar_hits, "document_id")
-    return met.groupBy("system", "code").agg(
-        F.countDistinct("document_id").alias("documents"), F.countDistinct(F.when(F.col("kind") == "event", F.col("entry_id"))).alias("events"),
-        F.countDistinct(F.when(F.col("kind") == "control", F.col("entry_id"))).alias("controls"),
-    )
+    documents = carried.join(seen.select("document_id").distinct(), "document_id", "left_semi").groupBy("system", "code").agg(F.count("document_id").alias("documents"))
+    sizes = members.groupBy("window").agg(*(F.count(F.when(F.col("kind") == k, F.col("entry_id"))).alias(f"{k}s") for k in ("event", "control")))
+    codes = carried.join(seen.select("window", "document_id"), "document_id").select("window", "system", "code").distinct()
+    entries = codes.join(sizes, "window").groupBy("system", "code").agg(F.sum("events").alias("events"), F.sum("controls").alias("controls"))
+    return documents.join(entries, ["system", "code"])
 
 
 def share(part: DataFrame, whole: DataFrame) -> DataFrame:

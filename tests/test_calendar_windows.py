@@ -96,3 +96,21 @@ def test_export_goes_on_behind_reviewed_matches(spark):
     plain = bank.reviews_to_export(members.join(matches, "key").drop("key").distinct(), reviews, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) != []
     assert [(r.entry_id, r.url) for r in got.orderBy("entry_id", "first_seen", "url").collect()] == [(1, "u01"), (1, "u03"), (1, "u04"), (2, "u00"), (2, "v"), (2, "u01")]
+
+
+def short_tables(spark, crowded):
+    """``crowded`` with codes, a few articles and links."""
+    calendar, coded = crowded
+    coded = coded.selectExpr("*", "concat(root_code, '1') AS base_code", "concat(root_code, '1', CAST(feed_event_id % 3 AS STRING)) AS event_code")
+    articles = spark.range(30).selectExpr(
+        "id AS document_id", "IF(id % 7 = 0, NULL, 'text') AS body", "IF(id % 5 = 0, 'de', 'en') AS lang", "'s' AS source", "DATE '2024-01-09' + CAST(id % 4 AS INT) AS published_on", "array(concat('T', CAST(id % 3 AS STRING)), 'X') AS themes",
+        "array(CAST(id % 2 AS INT), 0) AS place_ids", "CASE WHEN id % 9 = 1 THEN id - 1 END AS duplicate_of", "id % 11 = 3 AS is_junk",
+    )
+    links = spark.createDataFrame([(0, "cameo", "0011", None), (1, "theme", "T1", 1), (2, "cameo", "0711", 1), (1, "cameo", "0310", None)], "concept_id int, system string, code string, linked_run int")
+    return {"calendar": calendar, "coded": coded, "articles": articles, "links": links}
+
+
+def test_outcomes_count_entries_by_window(spark, odd, crowded, monkeypatch):
+    agrees(spark, "AGG12_code_outcomes", odd)
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, "AGG12_code_outcomes", **short_tables(spark, crowded)))
+    assert rows > 0 and shuffled <= 10_000
