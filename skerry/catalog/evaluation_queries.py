@@ -27,8 +27,9 @@ _REACH = """w AS (SELECT DISTINCT c.entry_id, c.concept_id, s.document_id FROM {
 
 
 def _reach(calendar, coded, articles, links):
-    seen = C.window_documents(calendar, coded, articles)
-    return E.reach(calendar, seen, matching.carried_codes(coded, articles, links), links)
+    members, windows = C.shared_windows(calendar, ("entry_id", "concept_id"))
+    seen = C.window_sightings(windows, coded, articles)
+    return E.reach(calendar, members, seen, matching.carried_codes(coded, articles, links), links)
 
 
 @add(
@@ -51,9 +52,9 @@ def _(*frames):
     f"WITH {_REACH} SELECT DISTINCT m.entry_id, m.system, m.code FROM m SEMI JOIN {{links}} l ON l.concept_id = m.concept_id AND l.system = m.system AND l.code = m.code",
 )
 def _(calendar, coded, articles, links):
-    seen = C.window_documents(calendar, coded, articles)
-    codes = seen.join(matching.carried_codes(coded, articles, links), "document_id").select("entry_id", "system", "code").distinct()
-    return E.own_codes(calendar, codes, links)
+    members, windows = C.shared_windows(calendar, ("entry_id", "concept_id"))
+    codes = E.window_codes(C.window_sightings(windows, coded, articles), matching.carried_codes(coded, articles, links))
+    return members.join(E.own_codes(members, codes, links), ["window", "concept_id"]).select("entry_id", "system", "code").distinct()
 
 
 _LIVE = """ranked AS (SELECT DISTINCT document_id FROM {pool} WHERE document_id % 4 <> 0), p AS (SELECT document_id, concept_id, rank, selected AS kept FROM {pool} WHERE document_id % 4 <> 0),

@@ -45,26 +45,32 @@ def evaluate_calendar(
     return CalendarEvaluation(stages, missing, C.summary(stages), C.lead_times(stages, own), M.judging_cost(verdicts))
 
 
-def reach(calendar: DataFrame, seen: DataFrame, carried: DataFrame, links: DataFrame) -> DataFrame:
+def reach(calendar: DataFrame, members: DataFrame, seen: DataFrame, carried: DataFrame, links: DataFrame) -> DataFrame:
     """Each entry with whether any of its documents was seen, any link reaches it, and a link of its own class does (AGG14).
 
-    ``calendar``: entry_id, kind, concept_id; ``seen``: entry_id, document_id;
-    ``carried``: document_id, system, code.  Codes of an entry are made one each before
-    classes meet them.
+    ``calendar``: entry_id, kind, concept_id; ``members``: entry_id, concept_id, window; ``seen``: window, document_id;
+    ``carried``: document_id, system, code.  What a window and a class in it have is found before entries meet it.
     """
-    codes = seen.select("entry_id", "document_id").join(carried, "document_id").select("entry_id", "system", "code").distinct()
-    own = own_codes(calendar, codes, links).groupBy("entry_id").agg(F.lit(True).alias("own"))
-    any_code = codes.select("entry_id").distinct().withColumn("any", F.lit(True))
-    some = seen.select("entry_id").distinct().withColumn("some", F.lit(True))
-    joined = calendar.select("entry_id", "kind", "concept_id").join(some, "entry_id", "left").join(any_code, "entry_id", "left").join(own, "entry_id", "left")
+    codes = window_codes(seen, carried)
+    own = own_codes(members, codes, links).select("window", "concept_id").distinct().withColumn("own", F.lit(True))
+    some = seen.select("window").distinct().join(codes.select("window").distinct().withColumn("any", F.lit(True)), "window", "left").withColumn("some", F.lit(True))
+    met = members.join(some, "window").join(own, ["window", "concept_id"], "left")
+    # an entry with several rows has several classes or windows
+    found = met.groupBy("entry_id").agg(*(F.bool_or(c).alias(c) for c in ("some", "any", "own")))
     flags = {"observable": "some", "reached": "any", "reached_by_own_class": "own"}
+    joined = calendar.select("entry_id", "kind", "concept_id").join(found, "entry_id", "left")
     return joined.select("entry_id", "kind", "concept_id", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()))
 
 
-def own_codes(calendar: DataFrame, codes: DataFrame, links: DataFrame) -> DataFrame:
-    """(entry_id, system, code): the codes by which an entry's own class reaches it (AGG14)."""
-    classed = codes.join(calendar.select("entry_id", "concept_id"), "entry_id")
-    return classed.join(links.select("concept_id", "system", "code").distinct(), ["concept_id", "system", "code"], "left_semi").select("entry_id", "system", "code").distinct()
+def window_codes(seen: DataFrame, carried: DataFrame) -> DataFrame:
+    """(window, system, code): the codes that documents of a window carry."""
+    return seen.select("window", "document_id").join(carried, "document_id").select("window", "system", "code").distinct()
+
+
+def own_codes(members: DataFrame, codes: DataFrame, links: DataFrame) -> DataFrame:
+    """(window, concept_id, system, code): the codes of a window by which each class of its entries reaches it (AGG14)."""
+    classed = codes.join(members.select("window", "concept_id").distinct(), "window")
+    return classed.join(links.select("concept_id", "system", "code").distinct(), ["concept_id", "system", "code"], "left_semi").select("window", "concept_id", "system", "code")
 
 
 def reach_by_kind(reached: DataFrame) -> DataFrame:

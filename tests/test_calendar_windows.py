@@ -114,3 +114,10 @@ def test_outcomes_count_entries_by_window(spark, odd, crowded, monkeypatch):
     agrees(spark, "AGG12_code_outcomes", odd)
     shuffled, rows = most_rows(run_on(monkeypatch, spark, "AGG12_code_outcomes", **short_tables(spark, crowded)))
     assert rows > 0 and shuffled <= 10_000
+
+
+@pytest.mark.parametrize("name", ["AGG14_missed_by_own_class"])
+def test_reach_is_found_by_window(spark, odd, crowded, monkeypatch, name):
+    agrees(spark, name, odd)
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, name, **short_tables(spark, crowded)))
+    assert rows > 0 and shuffled <= 10_000
