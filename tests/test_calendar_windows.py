@@ -116,7 +116,7 @@ def test_outcomes_count_entries_by_window(spark, odd, crowded, monkeypatch):
     assert rows > 0 and shuffled <= 10_000
 
 
-@pytest.mark.parametrize("name", ["AGG14_missed_by_own_class", "AGG14_reach_by_kind"])
+@pytest.mark.parametrize("name", ["AGG14_missed_by_own_class", "AGG14_reach_by_kind", "AGG14_own_codes"])
 def test_reach_is_found_by_window(spark, odd, crowded, monkeypatch, name):
     agrees(spark, name, odd)
     shuffled, rows = most_rows(run_on(monkeypatch, spark, name, **short_tables(spark, crowded)))
