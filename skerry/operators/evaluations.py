@@ -37,8 +37,9 @@ def evaluate_calendar(
     run's, so windows that share documents aren't counted twice.
     """
     own = records.processed_entries(calendar, processed)
-    seen = C.window_documents(own, events, articles, before, after)
-    stages = C.stage_counts(own, seen, passed, articles, shown, verdicts)
+    members, windows = C.shared_windows(own)
+    seen = C.window_sightings(windows, events, articles, before, after)
+    stages = C.stage_counts(own, members, seen, passed, articles, shown, verdicts)
     if reviews is not None:
         stages = stages.join(C.verified(reviews), "entry_id", "left")
     missing = calendar.join(processed.select("entry_id"), "entry_id", "left_anti").select("entry_id")

@@ -1,12 +1,12 @@
 """Calendar queries on entries that repeat, overlap or miss parts, against their SQL, and what their plans shuffle."""
 
-import datetime as dt
 import shutil
 from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from skerry import catalog
 from skerry.catalog import roles
@@ -121,3 +121,28 @@ def test_reach_is_found_by_window(spark, odd, crowded, monkeypatch, name):
     agrees(spark, name, odd)
     shuffled, rows = most_rows(run_on(monkeypatch, spark, name, **short_tables(spark, crowded)))
     assert rows > 0 and shuffled <= 10_000
+
+
+@pytest.fixture(scope="module")
+def repeated(odd, tmp_path_factory):
+    """``odd`` with a region twice, so that run 1 has two verdicts for each pair."""
+    folder = tmp_path_factory.mktemp("repeated")
+    for file in Path(odd).glob("*.parquet"):
+        shutil.copy(file, folder / file.name)
+    regions = pq.read_table(folder / "region.parquet")
+    (folder / "region.parquet").unlink()
+    pq.write_table(pa.concat_tables([regions, regions.slice(0, 1)]), folder / "region.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["AGG31_calendar_summary"])
+def test_stages_are_counted_by_window(spark, odd, repeated, crowded, monkeypatch, name):
+    for folder in (odd, repeated):
+        agrees(spark, name, folder)
+    pairs = spark.range(30).crossJoin(spark.range(5).withColumnRenamed("id", "c"))
+    shown = pairs.where("id % 2 = 0").selectExpr("1 AS run_id", "id AS document_id", "CAST(c AS INT) AS concept_id")
+    verdicts = pairs.selectExpr("1 AS run_id", "id AS document_id", "CAST(c AS INT) AS concept_id", "id % 3 = 0 AS matched", "CAST(NULL AS STRING) AS error", "0.5D AS confidence", "1L AS tokens", "0.5D AS seconds", "0L AS place_id")
+    tables = short_tables(spark, crowded)
+    tables["calendar"] = tables["calendar"].selectExpr("*", "IF(entry_id % 4 = 1, entry_id + 1, NULL) AS precursor_of").withColumn("kind", F.expr("IF(entry_id % 4 = 1, 'precursor', kind)"))
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, name, **tables, shown=shown, verdicts=verdicts))
+    assert rows > 0 and shuffled <= 10_000
