@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skerry import catalog
 from skerry.catalog import roles
 from skerry.operators import bank
+from skerry.operators import calendars as C
 from tests.compare import duck_rows, spark_rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -146,3 +147,11 @@ def test_stages_are_counted_by_window(spark, odd, repeated, crowded, monkeypatch
     tables["calendar"] = tables["calendar"].selectExpr("*", "IF(entry_id % 4 = 1, entry_id + 1, NULL) AS precursor_of").withColumn("kind", F.expr("IF(entry_id % 4 = 1, 'precursor', kind)"))
     shuffled, rows = most_rows(run_on(monkeypatch, spark, name, **tables, shown=shown, verdicts=verdicts))
     assert rows > 0 and shuffled <= 10_000
+
+
+@pytest.mark.parametrize("name", ["JN05_window_documents"])
+def test_entries_meet_documents_last(spark, odd, crowded, monkeypatch, name):
+    agrees(spark, name, odd)
+    tables = short_tables(spark, crowded)
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, name, calendar=tables["calendar"], coded=tables["coded"], articles=tables["articles"]))
+    assert rows > 100_000 and shuffled <= 10_000
