@@ -149,7 +149,7 @@ def test_stages_are_counted_by_window(spark, odd, repeated, crowded, monkeypatch
     assert rows > 0 and shuffled <= 10_000
 
 
-@pytest.mark.parametrize("name", ["JN05_window_documents"])
+@pytest.mark.parametrize("name", ["JN05_window_documents", "WIN13_first_of_representative"])
 def test_entries_meet_documents_last(spark, odd, crowded, monkeypatch, name):
     agrees(spark, name, odd)
     tables = short_tables(spark, crowded)
