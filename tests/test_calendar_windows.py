@@ -155,3 +155,10 @@ def test_entries_meet_documents_last(spark, odd, crowded, monkeypatch, name):
     tables = short_tables(spark, crowded)
     shuffled, rows = most_rows(run_on(monkeypatch, spark, name, calendar=tables["calendar"], coded=tables["coded"], articles=tables["articles"]))
     assert rows > 100_000 and shuffled <= 10_000
+
+
+def test_events_meet_entries_in_blocks(spark, odd, monkeypatch):
+    agrees(spark, "JN04_events_in_window", odd)  # some windows end before they start
+    monkeypatch.setattr(C, "BLOCK", 7)
+    agrees(spark, "JN04_events_in_window", odd)
+    agrees(spark, "JN05_window_documents", odd)
