@@ -36,7 +36,8 @@ def _(calendar, coded):
 
 @add("SET08_all_window_documents", "calendar coded articles", f"SELECT DISTINCT document_id FROM ({_SEEN})")
 def _(calendar, coded, articles):
-    return C.window_documents(calendar, coded, articles).select("document_id").distinct()
+    days = C.entry_days(calendar.select("place_id", "starts_on").distinct(), 3, 3, "starts_on").select("place_id", "day").distinct()
+    return C.sightings(coded, articles).join(days, ["place_id", "day"], "left_semi").select("document_id").distinct()
 
 
 @add("ST09_days_to_ingest", "calendar", "SELECT CAST(day AS VARCHAR) AS day, string_agg(DISTINCT CAST(place_id AS VARCHAR), ',' ORDER BY CAST(place_id AS VARCHAR)) AS places FROM (SELECT place_id, CAST(unnest(generate_series(starts_on - 3, starts_on + 3, INTERVAL 1 DAY)) AS DATE) AS day FROM {calendar}) GROUP BY day")

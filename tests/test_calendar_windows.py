@@ -162,3 +162,11 @@ def test_events_meet_entries_in_blocks(spark, odd, monkeypatch):
     monkeypatch.setattr(C, "BLOCK", 7)
     agrees(spark, "JN04_events_in_window", odd)
     agrees(spark, "JN05_window_documents", odd)
+
+
+@pytest.mark.parametrize("name", ["SET08_all_window_documents"])
+def test_documents_meet_places_and_days(spark, odd, crowded, monkeypatch, name):
+    agrees(spark, name, odd)
+    tables = short_tables(spark, crowded)
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, name, calendar=tables["calendar"], coded=tables["coded"], articles=tables["articles"]))
+    assert rows > 0 and shuffled <= 1_000
