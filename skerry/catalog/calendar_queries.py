@@ -156,7 +156,10 @@ def _(slices):
 
 @add("WIN12_owned_documents", "calendar coded articles", f"SELECT document_id, min(entry_id) AS entry_id FROM ({_SEEN}) GROUP BY document_id")
 def _(calendar, coded, articles):
-    return S.owned(C.window_documents(calendar, coded, articles))
+    # the first entry of each place and day stands for all
+    first = calendar.groupBy("place_id", "starts_on").agg(F.min("entry_id").alias("entry_id"))
+    days = C.entry_days(first, 3, 3).groupBy("place_id", "day").agg(F.min("entry_id").alias("entry_id"))
+    return S.owned(C.sightings(coded, articles).join(days, ["place_id", "day"]))
 
 
 @add("WIN13_first_of_representative", "calendar coded articles", f"SELECT entry_id, coalesce(duplicate_of, document_id) AS rep, CAST(min(first_seen) AS VARCHAR) AS first_seen FROM ({_SEEN}) JOIN {{articles}} USING (document_id) GROUP BY 1, 2")

@@ -164,7 +164,7 @@ def test_events_meet_entries_in_blocks(spark, odd, monkeypatch):
     agrees(spark, "JN05_window_documents", odd)
 
 
-@pytest.mark.parametrize("name", ["SET08_all_window_documents"])
+@pytest.mark.parametrize("name", ["SET08_all_window_documents", "WIN12_owned_documents"])
 def test_documents_meet_places_and_days(spark, odd, crowded, monkeypatch, name):
     agrees(spark, name, odd)
     tables = short_tables(spark, crowded)
