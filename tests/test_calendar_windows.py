@@ -170,3 +170,11 @@ def test_documents_meet_places_and_days(spark, odd, crowded, monkeypatch, name):
     tables = short_tables(spark, crowded)
     shuffled, rows = most_rows(run_on(monkeypatch, spark, name, calendar=tables["calendar"], coded=tables["coded"], articles=tables["articles"]))
     assert rows > 0 and shuffled <= 1_000
+
+
+def test_events_of_a_day_are_counted_once(spark, odd, crowded, monkeypatch):
+    agrees(spark, "FLT15_whole_day_window", odd)
+    calendar, coded = crowded
+    wide = coded.crossJoin(spark.range(100)).drop("id")
+    shuffled, rows = most_rows(run_on(monkeypatch, spark, "FLT15_whole_day_window", calendar=calendar, coded=wide))
+    assert rows > 0 and shuffled <= 10_000
