@@ -394,7 +394,7 @@ def _(links):
 @add("JN21_supporting_documents", "calendar truth", "SELECT o.entry_id, t.document_id FROM {calendar} o JOIN {truth} t ON t.matched AND o.concept_id = t.concept_id AND (o.place_id % 6 = 0 OR o.place_id = t.document_id % 25) AND o.starts_on = DATE '2024-01-01' + CAST(t.document_id % 28 AS INT)")
 def _(calendar, truth):
     dated = truth.select("document_id", (F.col("document_id") % 25).alias("place_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("document_id") % 28).cast("int")).alias("occurred_on")).distinct()
-    rows = calendar.select("entry_id", "concept_id", F.when(F.col("place_id") % 6 != 0, F.col("place_id")).alias("place_id"), F.col("starts_on").alias("occurred_on"))
+    rows = calendar.where("place_id IS NOT NULL").select("entry_id", "concept_id", F.when(F.col("place_id") % 6 != 0, F.col("place_id")).alias("place_id"), F.col("starts_on").alias("occurred_on"))
     return bank.supporting_documents(rows, truth, dated).select("entry_id", "document_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators.metrics import PAIR, clean
+from skerry.plans.blocks import in_blocks
 from skerry.sources.sheets import upserted
 
 TRUSTED = ("human", "adjudicated", "imported")
@@ -118,13 +119,16 @@ def supporting_documents(observations: DataFrame, truth: DataFrame, dated: DataF
     ``dated``: document_id, place_id, occurred_on.
     """
     positive = truth.where("matched").select(*PAIR).join(dated, "document_id")
-    o, d = observations.alias("o"), positive.alias("d")
-    fits = (
-        (F.col("o.concept_id") == F.col("d.concept_id"))
-        & (F.col("o.place_id").isNull() | (F.col("o.place_id") == F.col("d.place_id")))
-        & (F.col("o.occurred_on").isNull() | (F.col("o.occurred_on") == F.col("d.occurred_on")))
+    # four rows at most: whether place and day are asked for
+    kinds = observations.select(F.col("place_id").isNotNull().alias("_at"), F.col("occurred_on").isNotNull().alias("_on")).distinct()
+    known = (~F.col("_at") | F.col("place_id").isNotNull()) & (~F.col("_on") | F.col("occurred_on").isNotNull())
+    offered = positive.crossJoin(F.broadcast(kinds)).where(known).select(
+        F.col("concept_id").alias("_concept"), F.when(F.col("_at"), F.col("place_id")).alias("_place"), F.when(F.col("_on"), F.col("occurred_on")).alias("_day"), "document_id"
     )
-    return o.join(d, fits).select("o.*", F.col("d.document_id").alias("document_id"))
+    keyed = observations.where("concept_id IS NOT NULL").withColumns({"_c": F.col("concept_id"), "_p": F.col("place_id"), "_d": F.col("occurred_on")})
+    blocks = in_blocks(keyed, ["_c", "_p", "_d"], observations.columns)
+    fits = (F.col("_concept") == F.col("_c")) & F.col("_place").eqNullSafe(F.col("_p")) & F.col("_day").eqNullSafe(F.col("_d"))
+    return offered.join(blocks, fits).select(F.inline("members"), "document_id")
 
 
 def observation_recall(observations: DataFrame, pool: DataFrame, verdicts: DataFrame) -> DataFrame:

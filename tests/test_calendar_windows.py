@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skerry import catalog
 from skerry.catalog import roles
 from skerry.operators import bank
-from skerry.operators import calendars as C
+from skerry.plans import blocks
 from tests.compare import duck_rows, spark_rows
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -159,7 +159,7 @@ def test_entries_meet_documents_last(spark, odd, crowded, monkeypatch, name):
 
 def test_events_meet_entries_in_blocks(spark, odd, monkeypatch):
     agrees(spark, "JN04_events_in_window", odd)  # some windows end before they start
-    monkeypatch.setattr(C, "BLOCK", 7)
+    monkeypatch.setattr(blocks, "BLOCK", 7)
     agrees(spark, "JN04_events_in_window", odd)
     agrees(spark, "JN05_window_documents", odd)
 
@@ -178,3 +178,43 @@ def test_events_of_a_day_are_counted_once(spark, odd, crowded, monkeypatch):
     wide = coded.crossJoin(spark.range(100)).drop("id")
     shuffled, rows = most_rows(run_on(monkeypatch, spark, "FLT15_whole_day_window", calendar=calendar, coded=wide))
     assert rows > 0 and shuffled <= 10_000
+
+
+def most_met(df):
+    """The most rows that any join of the executed plan gave."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind.endswith("JoinExec"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(found)
+
+
+def test_observations_meet_documents_that_fit_in_blocks(spark, odd, monkeypatch):
+    agrees(spark, "JN21_supporting_documents", odd)
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    agrees(spark, "JN21_supporting_documents", odd)
+    monkeypatch.undo()
+    seen = spark.range(2_000).selectExpr("id AS entry_id", "1 AS concept_id", "IF(id % 4 = 0, NULL, CAST(id % 10 AS INT)) AS place_id", "IF(id % 3 = 0, NULL, DATE '2024-01-01' + CAST(id % 7 AS INT)) AS occurred_on")
+    dated = spark.range(100).selectExpr("id AS document_id", "IF(id % 9 = 0, NULL, id % 10) AS place_id", "IF(id % 8 = 0, NULL, DATE '2024-01-01' + CAST(id % 7 AS INT)) AS occurred_on")
+    truth = spark.range(100).selectExpr("id AS document_id", "1 AS concept_id", "id % 2 = 0 AS matched")
+    got = bank.supporting_documents(seen, truth, dated)
+    assert got.columns == [*seen.columns, "document_id"]
+    documents = dated.collect()
+    want = sorted(
+        (o.entry_id, d.document_id) for o in seen.collect() for d in documents
+        if d.document_id % 2 == 0 and (o.place_id is None or o.place_id == d.place_id) and (o.occurred_on is None or o.occurred_on == d.occurred_on)
+    )
+    assert sorted((r.entry_id, r.document_id) for r in got.collect()) == want != []
+    assert most_met(got) <= len(want) / 10
