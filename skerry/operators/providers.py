@@ -237,7 +237,8 @@ def replies_of(spark: SparkSession, log: str) -> DataFrame:
 def _log_missing(questions: DataFrame, provider: ChatProvider, log: str, patience: Patience) -> None:
     """Ask (key, prompt) and write each call's replies to a file of its own as soon as they are there.
 
-    A task that is run again finds the files of its earlier attempt and asks for the rest only.
+    Rows of one key have to be in one task, which asks for the first.  A task that is run
+    again finds the files of its earlier attempt and asks for the rest only.
     """
     run = uuid.uuid4().hex
 
@@ -254,7 +255,8 @@ def _log_missing(questions: DataFrame, provider: ChatProvider, log: str, patienc
                 done.update(pq.read_table(info.path, columns=["key"], filesystem=target)["key"].to_pylist())
                 number += 1
         for batch in batches:
-            rows = [(k, p) for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k not in done]
+            rows = list({k: p for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k not in done}.items())
+            done.update(k for k, _ in rows)
             for s in range(0, len(rows), patience.size):
                 some, begin = rows[s : s + patience.size], time.monotonic()
                 said = ask(provider.answer, [p for _, p in some], patience)
@@ -267,8 +269,7 @@ def _log_missing(questions: DataFrame, provider: ChatProvider, log: str, patienc
                 number += 1
             yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
 
-    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    questions.repartition(parts, "key").mapInArrow(work, "n long").agg(F.sum("n")).collect()
+    questions.mapInArrow(work, "n long").agg(F.sum("n")).collect()
 
 
 def _line(key: str, said: object, seconds: float) -> dict:
@@ -280,21 +281,41 @@ def _line(key: str, said: object, seconds: float) -> dict:
     return line | {"reply": said}
 
 
-def asked(rows: DataFrame, provider: ChatProvider, prompt: str = "prompt", log: str | None = None, patience: Patience = Patience(), costs: bool = False) -> DataFrame:
+def sampled(rows: DataFrame, samples: int, prompt: str = "prompt") -> DataFrame:
+    """Each prompt so many times; those after the first carry their number, so that no cache answers them alike."""
+    each = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    return each.withColumn(prompt, F.when(F.col("sample") == 1, F.col(prompt)).otherwise(F.concat(prompt, F.lit("\nSample "), F.col("sample").cast("string"))))
+
+
+def asked(
+    rows: DataFrame, provider: ChatProvider, prompt: str = "prompt", log: str | None = None, patience: Patience = Patience(), costs: bool = False, samples: int = 1
+) -> DataFrame:
     """``rows`` with ``reply`` and ``error`` (and what it cost); each different prompt is asked once (SRC32, ST17).
 
+    With ``samples``, each row is there once a ``sample``.  Prompts are shuffled once, before samples multiply them
+    (again by sample where a log of earlier replies is given).
+
     What the log holds isn't asked again, by whichever action, job or restart; failures
     are kept like replies.  Without a log, one in the shared folder is made for this call.
     A null prompt is not asked and has neither.  Leave speculation off: two attempts of a task at once would both ask.
     """
     spark = rows.sparkSession
     ship(spark)
+    fresh = log is None
     log = log or f"{shared_folder(spark)}/replies-{uuid.uuid4().hex}"
     system, path = file_system(log)
     system.create_dir(path, recursive=True)
-    keyed = rows.withColumn("asked_key", prompt_key(provider, F.col(prompt)))
-    questions = keyed.where(F.col(prompt).isNotNull()).select(F.col("asked_key").alias("key"), prompt).dropDuplicates(["key"])
-    _log_missing(questions.join(replies_of(spark, log).select("key"), "key", "left_anti"), provider, log, patience)
+
+    def each(some: DataFrame, key: str) -> DataFrame:
+        return (some if samples == 1 else sampled(some, samples, prompt)).withColumn(key, prompt_key(provider, F.col(prompt)))
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.where(F.col(prompt).isNotNull()).select(prompt_key(provider, F.col(prompt)).alias("key"), prompt).repartition(parts, "key")
+    questions = known if samples == 1 else each(known, "key").select("key", prompt)
+    if not fresh:
+        questions = questions.join(replies_of(spark, log).select("key"), "key", "left_anti")
+    _log_missing(questions, provider, log, patience)
+    keyed = each(rows, "asked_key")
     told = ["reply", "error", *(["input_tokens", "output_tokens", "seconds"] if costs else [])]
     found = replies_of(spark, log).select(F.col("key").alias("asked_key"), *told)
     return keyed.drop(*told).join(found, "asked_key", "left").drop("asked_key")

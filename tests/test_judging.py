@@ -2,6 +2,7 @@
 
 import json
 import threading
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -282,3 +283,34 @@ def test_stand_in_vectors(spark):
     want = providers.HashEmbedder().embed([f"text {i}" for i in range(70)])
     assert all(abs(a - b) < 1e-6 for i in range(70) for a, b in zip(got[i], want[i], strict=True))
     assert "SRC31_embedded" in catalog.queries()
+
+
+def test_samples_multiply_prompts_behind_the_shuffle(spark, monkeypatch, tmp_path):
+    from tests.test_calendar_windows import most_rows
+
+    calls, frames = tmp_path / "calls", []
+    calls.mkdir()
+
+    class Counted(providers.HashChat):
+        def answer(self, prompts):
+            (calls / uuid.uuid4().hex).write_text(str(len(prompts)))
+            return super().answer(prompts)
+
+    whole = providers._log_missing
+    monkeypatch.setattr(providers, "_log_missing", lambda questions, *rest: frames.append(questions) or whole(questions, *rest))
+    rows = spark.range(90).selectExpr("id", "IF(id % 10 = 9, NULL, concat('about ', CAST(id % 30 AS STRING))) AS prompt")
+    got = providers.asked(rows, Counted(), samples=3)
+    shuffled, n = most_rows(frames[0])
+    assert shuffled == 81 and n == 3 * 81
+    found = got.collect()
+    assert len(found) == 270 and all((r.reply is None) == (r.id % 10 == 9) for r in found)
+    assert sum(int(f.read_text()) for f in calls.iterdir()) == 3 * 27, "each different prompt is asked once"
+    plain = providers.asked(providers.sampled(rows, 3), providers.HashChat())
+    assert sorted((r.id, r.sample, r.reply or "") for r in found) == sorted((r.id, r.sample, r.reply or "") for r in plain.collect())
+    # a log holds samples one by one
+    log = f"file://{tmp_path}/log"
+    providers.asked(rows, Counted(), log=log)
+    before = sum(int(f.read_text()) for f in calls.iterdir())
+    again = providers.asked(rows, Counted(), log=log, samples=3)
+    assert sum(int(f.read_text()) for f in calls.iterdir()) - before == 2 * 27
+    assert sorted((r.id, r.sample, r.reply or "") for r in again.collect()) == sorted((r.id, r.sample, r.reply or "") for r in found)
