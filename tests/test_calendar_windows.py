@@ -136,7 +136,7 @@ def repeated(odd, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["AGG31_calendar_summary", "EV05_calendar_summary", "EV05_calendar_entries", "AGG32_stage_counts"])
+@pytest.mark.parametrize("name", ["AGG31_calendar_summary", "EV05_calendar_summary", "EV05_calendar_entries", "AGG32_stage_counts", "JN23_lead_times"])
 def test_stages_are_counted_by_window(spark, odd, repeated, crowded, monkeypatch, name):
     for folder in (odd, repeated):
         agrees(spark, name, folder)
